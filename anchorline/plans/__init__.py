@@ -1,0 +1,12 @@
+"""Query compositions. `load_all` imports every module that registers queries."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ["event_queries"]
+
+
+def load_all() -> None:
+    for m in MODULES:
+        importlib.import_module(f"anchorline.plans.{m}")
