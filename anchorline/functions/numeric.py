@@ -16,32 +16,32 @@ _ROOT_TWO_PI = 2.506628274631
 
 
 def r6(c) -> Column:
-    """Six-digit rounding with negative zero folded into zero, so both engines print the same value."""
+    """Six-digit rounding for comparison: a nudge moves exact half-way values off the tie, negative zero becomes zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
 
 
-def _horner(coefs, a: Column) -> Column:
-    acc = F.lit(coefs[0])
+def _horner(coefs, a: str) -> str:
+    acc = f"{coefs[0]!r}D"
     for c in coefs[1:]:
-        acc = acc * a + F.lit(c)
+        acc = f"({acc} * {a} + {c!r}D)"
     return acc
 
 
-def phi(z: Column) -> Column:
-    """Standard normal distribution function."""
-    a = F.abs(z)
-    e = F.exp(-(a * a) / 2.0)
-    frac = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + F.lit(0.65)))))
-    tail = (F.when(a > 37.0, F.lit(0.0))
-            .when(a < _SPLIT, e * _horner(_NUM, a) / _horner(_DEN, a))
-            .otherwise(e / frac / _ROOT_TWO_PI))
-    return F.when(z > 0, 1.0 - tail).otherwise(tail)
+def phi(z: str) -> Column:
+    """Standard normal distribution function of a SQL expression; one parsed expression, all of it inside generated code."""
+    a = f"abs({z})"
+    e = f"exp(-({a} * {a}) / 2D)"
+    frac = f"({a} + 1D/({a} + 2D/({a} + 3D/({a} + 4D/({a} + 0.65D)))))"
+    tail = (f"CASE WHEN {a} > 37D THEN 0D WHEN {a} < {_SPLIT!r}D THEN {e} * {_horner(_NUM, a)} / {_horner(_DEN, a)} "
+            f"ELSE {e} / {frac} / {_ROOT_TWO_PI!r}D END")
+    return F.expr(f"CASE WHEN {z} > 0 THEN 1D - ({tail}) ELSE ({tail}) END")
 
 
-def exceed_probability(baseline: Column, mean: Column, sd: Column, threshold: float) -> Column:
-    margin = baseline + mean - F.lit(float(threshold))
-    return F.when(sd > 0, phi(margin / sd)).otherwise((margin >= 0).cast("double"))
+def exceed_probability(baseline: str, mean: str, sd: str, threshold: float) -> Column:
+    """P(baseline + rise >= threshold) for a normal rise, from SQL expressions."""
+    margin = f"({baseline} + {mean} - {float(threshold)!r}D)"
+    return F.when(F.expr(f"{sd} > 0"), phi(f"({margin} / {sd})")).otherwise(F.expr(f"CAST({margin} >= 0 AS DOUBLE)"))
 
 
 def interval90(mean: Column, sd: Column) -> tuple[Column, Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from anchorline.functions.labels import normalize_meal_type
 from anchorline.functions.numeric import clean
+from anchorline.session import stage
 from anchorline.spec import WindowSpec
 
 # fixed values: reason and flag texts
@@ -113,7 +114,8 @@ def resolve_anchors(df: DataFrame, spec: WindowSpec) -> DataFrame:
     anchors = _anchors(df, spec)
     seen = _observe(anchors, _sliced_readings(df, spec), spec).where(~F.col("dropped"))
     untimed = anchors.where(F.col("t0").isNull())
-    obs = _neighbours(seen.unionByName(untimed, allowMissingColumns=True))
+    # anchors are a small share of the series; staged, because the two-level neighbour step and both output tables read them
+    obs = _neighbours(stage(seen.unionByName(untimed, allowMissingColumns=True), "anchors"))
     unit = F.lit(float(spec.unit))
     few = F.col("n_valid") < 2
     leading = F.when(~few, (F.col("first_valid") - F.col("t0")) / unit)

@@ -74,9 +74,8 @@ def predictive(df: DataFrame, model: str, threshold: float = THRESHOLD) -> DataF
     df = df.withColumns({"mean_rise": x * F.col("post_b") + z * F.col("post_g"), "pred_std": spread("s_bb", "s_bg", "s_gg"),
                          "mean_rise_frozen_prior": x * F.col("m_b") + z * F.col("m_g"), "__fsd": spread("v_bb", "v_bg", "v_gg")})
     lo, hi = interval90(F.col("mean_rise"), F.col("pred_std"))
-    base = F.col("baseline_glucose")
-    return df.withColumns({"interval90_low": lo, "interval90_high": hi, "p": exceed_probability(base, F.col("mean_rise"), F.col("pred_std"), threshold),
-                           "p_frozen_prior": exceed_probability(base, F.col("mean_rise_frozen_prior"), F.col("__fsd"), threshold)}).drop("__fsd")
+    return df.withColumns({"interval90_low": lo, "interval90_high": hi, "p": exceed_probability("baseline_glucose", "mean_rise", "pred_std", threshold),
+                           "p_frozen_prior": exceed_probability("baseline_glucose", "mean_rise_frozen_prior", "__fsd", threshold)}).drop("__fsd")
 
 
 FORECAST_COLUMNS = ["participant_id", "event_id", "us", "fold", "y", "rise", "activity", "p", "mean_rise", "pred_std", "interval90_low", "interval90_high",
@@ -121,11 +120,10 @@ def version_changes(traj: DataFrame) -> DataFrame:
 
 def personal_rate(learned: DataFrame, priors: DataFrame, on: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Dose times the participant's own running rise per unit dose; the population rate until the first outcome is known."""
-    j = learned.join(priors, on)
     rate = F.when(F.col("n_learned") > 0, F.col("rate_sum") / F.col("n_learned")).otherwise(F.col("m_b"))
-    mean = F.col("carbs_g") * rate
-    return j.select("participant_id", "event_id", F.col("n_learned").cast("bigint").alias("n_personal_before"), rate.alias("rate"), mean.alias("mean_rise"),
-                    exceed_probability(F.col("baseline_glucose"), mean, F.sqrt("noise"), threshold).alias("p"))
+    j = learned.join(priors, on).withColumn("rate", rate).withColumn("mean_rise", F.col("carbs_g") * F.col("rate"))
+    return j.select("participant_id", "event_id", F.col("n_learned").cast("bigint").alias("n_personal_before"), "rate", "mean_rise",
+                    exceed_probability("baseline_glucose", "mean_rise", "sqrt(noise)", threshold).alias("p"))
 
 
 def prospective_activity(events: DataFrame, min_history: int = 4) -> DataFrame:

@@ -11,6 +11,7 @@ from anchorline.operators import sequential as sq
 from anchorline.plans import modelsql as M
 from anchorline.plans.registry import query
 from anchorline.plans.sqltext import COHORT, r, with_
+from anchorline.session import stage
 from anchorline.sources.adapters import cohort
 
 FC_PLAIN = ["participant_id", "event_id", "us", "fold", "grp", "y", "n_personal_before"]
@@ -27,8 +28,9 @@ def rsql(plain, floats):
 
 
 def fold_inputs(spark, sf):
-    ev = cohort(spark, sf)
-    return ev, fo.participant_folds(ev)
+    """The stored event table and the stored fold assignment, as the protocol has them between its steps."""
+    ev = stage(cohort(spark, sf), "events")
+    return ev, stage(fo.participant_folds(ev), "folds")
 
 
 def learned(ev, folds):

@@ -1,11 +1,16 @@
-"""Session settings used by the bench and the tests; on a cluster the caller's own session is used unchanged."""
+"""Session settings used by the bench and the tests, and staging of shared intermediate tables.
+
+On a cluster the caller's own session is used unchanged."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import SparkSession
+_SCRATCH: dict[str, str] = {}
 
 
 def local_session(app: str = "anchorline", cpus: int | None = None, memory: str = "12g") -> SparkSession:
@@ -20,6 +25,7 @@ def local_session(app: str = "anchorline", cpus: int | None = None, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,8 +33,22 @@ def local_session(app: str = "anchorline", cpus: int | None = None, memory: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a scratch folder when the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the session names in spark.checkpoint.dir; a scratch folder where it is unset (tests, local bench)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _SCRATCH[app]
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    It cuts the lineage at the points where the protocol has a stored table anyway (events, folds, forecasts), survives the loss of
+    executors, and keeps column pruning, filters and size statistics, which a row-level checkpoint would not."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/anchorline/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
