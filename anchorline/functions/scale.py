@@ -17,12 +17,16 @@ def _dummy(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], bool]:
     return df.withColumn("__all", F.lit(0)), ["__all"], True
 
 
-def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str], inclusive: bool = True) -> DataFrame:
-    """Running sums over (bucket, order) within `keys`, two-level. `sums` maps output column -> input column."""
+def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str], inclusive: bool = True,
+                totals: bool = False) -> DataFrame:
+    """Running sums over (bucket, order) within `keys`, two-level. `sums` maps output column -> input column.
+
+    With `totals`, the whole-key sum of each output is added as `<output>_total`."""
     df, keys, drop = _dummy(df, keys)
-    totals = df.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
+    slices = df.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums])
+    whole = [F.sum(f"__t_{o}").over(Window.partitionBy(*keys)).alias(f"{o}_total") for o in sums] if totals else []
+    offsets = slices.select(*keys, bucket, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums], *whole)
     local = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = df.join(offsets, [*keys, bucket])
     for o, c in sums.items():

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorline.functions.numeric import exceed_probability, interval90
+from anchorline.functions.numeric import exceed_probability, interval90, phi
 from anchorline.functions.scale import prefix_sums
 from anchorline.spec import DAY, OUTCOME_WINDOW, THRESHOLD
 
@@ -74,8 +74,11 @@ def predictive(df: DataFrame, model: str, threshold: float = THRESHOLD) -> DataF
     df = df.withColumns({"mean_rise": x * F.col("post_b") + z * F.col("post_g"), "pred_std": spread("s_bb", "s_bg", "s_gg"),
                          "mean_rise_frozen_prior": x * F.col("m_b") + z * F.col("m_g"), "__fsd": spread("v_bb", "v_bg", "v_gg")})
     lo, hi = interval90(F.col("mean_rise"), F.col("pred_std"))
-    return df.withColumns({"interval90_low": lo, "interval90_high": hi, "p": exceed_probability("baseline_glucose", "mean_rise", "pred_std", threshold),
-                           "p_frozen_prior": exceed_probability("baseline_glucose", "mean_rise_frozen_prior", "__fsd", threshold)}).drop("__fsd")
+    # both standard scores get a column of their own, so the long rational form reads a column instead of repeating the division
+    t = F.lit(float(threshold))
+    df = df.withColumns({"interval90_low": lo, "interval90_high": hi, "__z": (F.col("baseline_glucose") + F.col("mean_rise") - t) / F.col("pred_std"),
+                         "__zf": (F.col("baseline_glucose") + F.col("mean_rise_frozen_prior") - t) / F.col("__fsd")})
+    return df.withColumns({"p": phi("__z"), "p_frozen_prior": phi("__zf")}).drop("__fsd", "__z", "__zf")
 
 
 FORECAST_COLUMNS = ["participant_id", "event_id", "us", "fold", "y", "rise", "activity", "p", "mean_rise", "pred_std", "interval90_low", "interval90_high",
