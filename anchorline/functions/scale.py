@@ -96,3 +96,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     val = F.when(F.col("__f") < 0.5, F.col("__a") + diff * F.col("__f")).otherwise(F.col("__z") - diff * (1 - F.col("__f")))
     out = sides.withColumn("__q", val).groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("__q"))).alias(n) for n in probs])
     return out.drop("__all") if drop else out
+
+
+def dyadic_nodes(value: Column, levels: int) -> Column:
+    """The `levels` aligned power-of-two intervals that contain an integer, as an array of struct(level, node)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)),
+                       lambda j: F.struct(j.alias("level"), F.call_function("shiftright", value, j).alias("node")))
+
+
+def dyadic_cover(lo: Column, hi: Column, levels: int) -> Column:
+    """The aligned power-of-two intervals that exactly tile [lo, hi]: at most two per level.
+
+    Joining points to tiles on equality answers a range condition without ever pairing the rows of a group."""
+    steps = F.sequence(F.lit(0), F.lit(levels - 1))
+
+    def at(j: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+        left = F.call_function("shiftright", lo + one - 1, j)
+        right = F.call_function("shiftright", hi + 1, j)
+        live = left < right
+        return F.array(F.struct(j.alias("level"), F.when(live & (left % 2 == 1), left).alias("node")),
+                       F.struct(j.alias("level"), F.when(live & (right % 2 == 1), right - 1).alias("node")))
+    return F.filter(F.flatten(F.transform(steps, at)), lambda s: s["node"].isNotNull())
