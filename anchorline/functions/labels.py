@@ -32,12 +32,12 @@ def is_annotated(c) -> Column:
 
 def classify_a1c(v) -> Column:
     v = _c(v)
-    return F.when(v < 5.7, "normal").when(v <= 6.4, "prediabetes").when(v > 6.4, "diabetes")
+    return F.when(v < 5.7, "healthy").when(v <= 6.4, "pre-diabetes").when(v > 6.4, "t2d")
 
 
 def classify_fasting_glucose(v) -> Column:
     v = _c(v)
-    return F.when(v < 100, "normal").when(v < 126, "prediabetes").when(v >= 126, "diabetes")
+    return F.when(v < 100, "healthy").when(v < 126, "pre-diabetes").when(v >= 126, "t2d")
 
 
 def participant_number(c) -> Column:
@@ -58,3 +58,34 @@ def name_tokens(path) -> Column:
     """Distinct lower-case letter runs of a file's base name without its extension."""
     base = F.regexp_replace(F.regexp_extract(_c(path), r"([^/\\]*)$", 1), r"\.[^.]*$", "")
     return F.array_distinct(F.filter(F.split(F.lower(base), "[^a-z]+"), lambda t: F.length(t) > 0))
+
+
+# fixed values: file classes, name hints and participant-like names
+TABULAR = ("csv", "tsv", "parquet")
+IMAGES = ("jpg", "jpeg", "png", "heic", "heif", "bmp", "gif", "tiff", "tif")
+DOCS = ("md", "txt", "pdf", "docx", "yaml", "yml", "rtf")
+DOC_HINT = r"(?i)(readme|license|licence|codebook|dictionary|metadata|documentation|methods|protocol|consent|changelog)"
+PARTICIPANT_DIR = r"(?i)^(subject[-_]?[0-9]+|participant[-_]?[0-9]+|p[0-9]{2,4}|s[0-9]{2,4}|[0-9]{2,4})$"
+PARTICIPANT_STEM = r"(?i)^(subject|participant|p|s)[-_]?[0-9]+$"
+
+
+def extension(path) -> Column:
+    return F.lower(F.regexp_extract(_c(path), r"\.([A-Za-z0-9]+)$", 1))
+
+
+def file_class(path) -> Column:
+    e = extension(path)
+    name = F.regexp_extract(_c(path), r"([^/\\]*)$", 1)
+    return (F.when(e.isin(*TABULAR), "tabular").when(e.isin(*IMAGES), "image").when(e.isin(*DOCS) | name.rlike(DOC_HINT), "doc").otherwise("other"))
+
+
+def redact_path(path) -> Column:
+    """Participant folders and participant-named files are replaced; both separators are understood, '/' is written."""
+    parts = F.filter(F.split(F.regexp_replace(_c(path), r"\\", "/"), "/"), lambda p: p != "")
+    last = F.size(parts) - 1
+
+    def one(p, i):
+        stem, ext = F.regexp_replace(p, r"\.[^.]*$", ""), F.regexp_extract(p, r"(\.[^.]*)$", 1)
+        return (F.when((i == 0) & (last > 0) & p.rlike(PARTICIPANT_DIR), F.lit("<participant_id>"))
+                .when((i == last) & stem.rlike(PARTICIPANT_STEM), F.concat(F.lit("<participant_file>"), ext)).otherwise(p))
+    return F.array_join(F.transform(parts, one), "/")

@@ -118,3 +118,16 @@ def dyadic_cover(lo: Column, hi: Column, levels: int) -> Column:
         return F.array(F.struct(j.alias("level"), F.when(live & (left % 2 == 1), left).alias("node")),
                        F.struct(j.alias("level"), F.when(live & (right % 2 == 1), right - 1).alias("node")))
     return F.filter(F.flatten(F.transform(steps, at)), lambda s: s["node"].isNotNull())
+
+
+def adjacent_row(df: DataFrame, keys: list[str], slice_col: str, order: list[str], fields: list[str], out: str, following: bool = False) -> DataFrame:
+    """Previous (or following) row's order columns and fields as a struct `out`, two-level over slices: lag inside the slice, and at a slice
+    edge the nearest row of the nearest earlier (later) slice."""
+    row = F.struct(*order, *fields)
+    edge = (F.min(row) if following else F.max(row)).alias("__edge")
+    w = Window.partitionBy(*keys).orderBy(slice_col)
+    per = df.groupBy(*keys, slice_col).agg(edge)
+    per = per.select(*keys, slice_col, (F.lead("__edge") if following else F.lag("__edge")).over(w).alias("__far"))
+    local = Window.partitionBy(*keys, slice_col).orderBy(*order)
+    near = (F.lead(row) if following else F.lag(row)).over(local)
+    return df.join(per, [*keys, slice_col]).withColumn(out, F.coalesce(near, F.col("__far"))).drop("__far")

@@ -38,7 +38,7 @@ _LOG = f"""ac AS (SELECT participant_id, event_id, us, us AS "at", 1 AS kind, 'f
 lg AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(e) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version_after FROM ac WINDOW w AS (PARTITION BY participant_id ORDER BY "at", kind, us, event_id))"""
 
 
-@query("replay_log", with_(COHORT, EXC, _LOG) + "SELECT participant_id, seq, action, event_id, "at", version_after - e AS version_before, version_after FROM lg")
+@query("replay_log", with_(COHORT, EXC, _LOG) + "SELECT participant_id, seq, action, event_id, \"at\", version_after - e AS version_before, version_after FROM lg")
 def replay_log(spark, sf):
     return tw.replay_log(stage(with_exclusions(spark, sf), "events"))
 
