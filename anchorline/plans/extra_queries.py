@@ -169,3 +169,37 @@ def stream_personalise(spark, sf):
     d = spark.read.schema(out.schema).parquet(f"{base}/out").where(F.col("kind") == "forecast")
     return rounded(d, ["participant_id", "event_id", "version"], ["mean_rise", "pred_std"])
 
+
+
+# ------------------------------------------------------------------ stored tables as sources
+
+@query("file_scan")
+def file_scan(spark, sf):
+    from anchorline.sources.files import scan_directory
+    return scan_directory(spark, sf).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "ext", "class", "length")
+
+
+@query("table_profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count(nullif(CAST({c} AS VARCHAR), '')) AS n_missing, count(*) AS n_rows FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
+def table_profile(spark, sf):
+    from anchorline.sources.files import profile_table
+    return profile_table(spark, f"{sf}/customer.parquet").select("column_name", "n_missing", "n_rows")
+
+
+@query("event_table_stored", with_(SERIES) + "SELECT 'sensor_a' AS channel, TRUE AS require_isolated, 100e0 AS threshold FROM series LIMIT 1")
+def event_table_stored(spark, sf):
+    """Write the event table with its settings and read the settings back."""
+    from anchorline.operators.events import event_table
+    from anchorline.sources.sinks import write_event_table
+    path = f"{checkpoint_dir(spark)}/anchorline/events-{uuid.uuid4().hex}"
+    write_event_table(event_table(series(spark, sf), FIXTURE), path, FIXTURE, "run-1")
+    return spark.read.json(f"{path}/settings").select("channel", "require_isolated", "threshold")
+
+
+@query("prior_artifact")
+def prior_artifact(spark, sf):
+    """Export an aggregate prior and read it back through the validator."""
+    from anchorline.sources.files import read_priors
+    from anchorline.sources.sinks import export_prior
+    path = f"{checkpoint_dir(spark)}/anchorline/prior-{uuid.uuid4().hex}"
+    export_prior(stage(cohort(spark, sf), "events"), path, ["7"])
+    return read_priors(spark, path).select("format", r6("model_b.mean").alias("mean"), r6("model_c.v_gg").alias("v_gg"), "rejected")
