@@ -149,6 +149,8 @@ def id_candidates(bio: DataFrame, participants: DataFrame) -> DataFrame:
     """For every identifier-looking column: rows, parsed, distinct, matched. Exactly one complete, unique, intersecting column may be used."""
     import re
     cols = [c for c in bio.columns if re.search(ID_NAME, c)]
+    if not cols:
+        return bio.sparkSession.createDataFrame([], "column_name string, n_rows bigint, n_parsed bigint, n_distinct bigint, n_matched bigint, usable boolean")
     nums = participants.select(participant_number("participant_id").alias("number")).distinct()
     long = bio.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), participant_number(F.col(c).cast("string")).alias("number")) for c in cols])).alias("x")).select("x.*")
     hit = long.join(nums.withColumn("__hit", F.lit(1)), "number", "left")
@@ -211,7 +213,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     types = dict(df.dtypes)
     items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("type"), F.col(f"m_{i}").alias("n_missing"), F.lit(c).rlike("(?i)(time|date)").alias("time_like_name"),
                                F.when(F.lit(c).rlike("(?i)(time|date)"), F.col(f"t_{i}")).alias("parse_share")) for i, c in enumerate(columns)])
-    return row.select("__n", F.explode(items).alias("x")).select("x.*", F.col("__n").alias("n_rows"), (F.col("x.n_missing") / F.col("__n")).alias("missing_share"))
+    return row.select("__n", F.explode(items).alias("x")).select("x.*", F.col("__n").alias("n_rows"), F.try_divide(F.col("x.n_missing"), F.col("__n")).alias("missing_share"))
 
 
 def file_size_summary(files: DataFrame) -> DataFrame:

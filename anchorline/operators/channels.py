@@ -24,8 +24,8 @@ def confusion(m: DataFrame) -> DataFrame:
     la, lb = F.col("label_exceeds_a") == 1, F.col("label_exceeds_b") == 1
     c = m.agg(F.count(F.lit(1)).alias("n"), F.count_if(la & lb).alias("tp"), F.count_if(la & ~lb).alias("fn"), F.count_if(~la & lb).alias("fp"), F.count_if(~la & ~lb).alias("tn"))
     n, tp, fn, fp, tn = (F.col(x).cast("double") for x in ("n", "tp", "fn", "fp", "tn"))
-    po, pe = (tp + tn) / n, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
-    return c.withColumn("share_disagree", (fn + fp) / n).withColumn("kappa", F.when(pe != 1, (po - pe) / (1 - pe)))
+    po, pe = F.try_divide(tp + tn, n), F.try_divide((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
+    return c.withColumn("share_disagree", F.try_divide(fn + fp, n)).withColumn("kappa", F.when(pe != 1, (po - pe) / (1 - pe)))
 
 
 def difference_report(m: DataFrame, threshold: float, delta: float = 10.0) -> DataFrame:
@@ -44,7 +44,7 @@ def difference_report(m: DataFrame, threshold: float, delta: float = 10.0) -> Da
 def concentration(m: DataFrame) -> DataFrame:
     """How the label disagreements spread over participants."""
     per = m.groupBy("participant_id").agg(F.count_if(F.col("label_exceeds_a") != F.col("label_exceeds_b")).alias("d"))
-    return per.agg(F.count_if(F.col("d") > 0).alias("participants_with_any"), (F.max("d") / F.sum("d")).alias("max_share"), F.sum("d").alias("n_disagreements"))
+    return per.agg(F.count_if(F.col("d") > 0).alias("participants_with_any"), F.try_divide(F.max("d"), F.sum("d")).alias("max_share"), F.sum("d").alias("n_disagreements"))
 
 
 def average_ranks(df: DataFrame, value: str, out: str, slices: int = 1024) -> DataFrame:
@@ -62,7 +62,8 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     p = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     r = p.join(average_ranks(p, a, "__ra"), a).join(average_ranks(p, b, "__rb"), b)
     ok = (F.count(F.lit(1)) >= 3) & (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.when(ok, F.corr(a, b)).alias("pearson"), F.when(ok, F.corr("__ra", "__rb")).alias("spearman"))
+    rho = lambda x, y: F.when(ok, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    return r.agg(F.count(F.lit(1)).alias("n"), rho(a, b).alias("pearson"), rho("__ra", "__rb").alias("spearman"))
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:

@@ -65,7 +65,7 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """One aggregate for every column, then a bounded unpivot of the single result row."""
     row = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     long = row.select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in columns])).alias("s"))
-    return long.select("s.column_name", "s.n_missing", "n_rows", (F.col("s.n_missing") / F.col("n_rows")).alias("share_missing"))
+    return long.select("s.column_name", "s.n_missing", "n_rows", F.try_divide(F.col("s.n_missing"), F.col("n_rows")).alias("share_missing"))
 
 
 def distribution(df: DataFrame, value: str, keys: list[str] | None = None, probs: dict[str, float] | None = None) -> DataFrame:

@@ -158,8 +158,8 @@ def convergence(traj: DataFrame) -> DataFrame:
     ends = [F.max("version").alias("n_observations"), F.min_by("beta_sd", "version").alias("__b0"), F.max_by("beta_sd", "version").alias("__b1"),
             F.min_by("gamma_sd", "version").alias("__g0"), F.max_by("gamma_sd", "version").alias("__g1"),
             F.bool_and(ok("beta_sd", "__b")).alias("beta_monotone"), F.bool_and(ok("gamma_sd", "__g")).alias("gamma_monotone")]
-    return j.groupBy("participant_id").agg(*ends).select("participant_id", "n_observations", (F.col("__b1") / F.col("__b0")).alias("beta_ratio"),
-                                                         (F.col("__g1") / F.col("__g0")).alias("gamma_ratio"), "beta_monotone", "gamma_monotone")
+    return j.groupBy("participant_id").agg(*ends).select("participant_id", "n_observations", F.try_divide("__b1", "__b0").alias("beta_ratio"),
+                                                         F.try_divide("__g1", "__g0").alias("gamma_ratio"), "beta_monotone", "gamma_monotone")
 
 
 def what_if(state: DataFrame, scenarios: list[tuple[str, float, float, float]], ranges: DataFrame | None = None) -> DataFrame:
