@@ -98,17 +98,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return out.drop("__all") if drop else out
 
 
-def dyadic_nodes(value: Column, levels: int) -> Column:
+def _steps(levels: int | Column) -> Column:
+    return F.sequence(F.lit(0), (F.lit(levels) if isinstance(levels, int) else levels) - 1)
+
+
+def dyadic_nodes(value: Column, levels: int | Column) -> Column:
     """The `levels` aligned power-of-two intervals that contain an integer, as an array of struct(level, node)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)),
+    return F.transform(_steps(levels),
                        lambda j: F.struct(j.alias("level"), F.call_function("shiftright", value, j).alias("node")))
 
 
-def dyadic_cover(lo: Column, hi: Column, levels: int) -> Column:
+def dyadic_cover(lo: Column, hi: Column, levels: int | Column) -> Column:
     """The aligned power-of-two intervals that exactly tile [lo, hi]: at most two per level.
 
     Joining points to tiles on equality answers a range condition without ever pairing the rows of a group."""
-    steps = F.sequence(F.lit(0), F.lit(levels - 1))
+    steps = _steps(levels)
 
     def at(j: Column) -> Column:
         one = F.call_function("shiftleft", F.lit(1).cast("bigint"), j)

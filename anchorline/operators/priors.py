@@ -161,17 +161,19 @@ def stratified_prior(strata: DataFrame, whole: DataFrame, keys: list[str], gamma
 
 
 def fold_priors(events: DataFrame, folds: DataFrame, model: str, scheme: str = "empirical_bayes", gamma_width: float | None = None,
-                k: int = N_FOLDS) -> DataFrame:
-    """Prior rows to join on `fold` (empirical Bayes) or `fold, grp` (stratified): m_b, v_bb, m_g, v_bg, v_gg, noise, prevalence."""
+                k: int = N_FOLDS, pools: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
+    """Prior rows to join on `fold` (empirical Bayes) or `fold, grp` (stratified): m_b, v_bb, m_g, v_bg, v_gg, noise, prevalence.
+
+    `pools` passes stored training pools (all, per group) so several priors share one pass over the events."""
     validate_options(model, scheme, gamma_width)
-    whole = training_pool(events, folds, k)
+    whole = pools[0] if pools else training_pool(events, folds, k)
     prevalence = F.col("pos") / F.col("n")
     if scheme == "empirical_bayes":
         p = prior_b(whole) if model == "B" else prior_c(whole)
         if model == "B":
             p = p.withColumn("m_g", F.lit(0.0)).withColumn("v_bg", F.lit(0.0)).withColumn("v_gg", F.lit(0.0))
         return p.select("fold", "m_b", "v_bb", "m_g", "v_bg", "v_gg", "noise", "source", prevalence.alias("train_prevalence"))
-    strata = training_pool(events, folds, k, by_group=True)
+    strata = pools[1] if pools and pools[1] is not None else training_pool(events, folds, k, by_group=True)
     # a group whose every participant sits in the held-out fold has no training row: it takes the pooled prior
     grid = folds.select("fold", "grp").distinct()
     strata = grid.join(strata, ["fold", "grp"], "left").withColumn("n_participants", F.coalesce("n_participants", F.lit(0)))

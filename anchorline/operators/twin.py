@@ -15,7 +15,6 @@ from anchorline.spec import LABEL_TOLERANCE, OUTCOME_WINDOW, THRESHOLD
 
 SLICE = 365 * 86_400_000_000
 HIT = 0.5
-DOSE_LEVELS = 40          # doses are compared as whole micro-units below 2**40
 SIMILAR = 0.25
 TREND_FLAT = 0.1
 
@@ -247,21 +246,30 @@ def rolling_brier(rates: DataFrame, window: int = 10, minimum: int = 3) -> DataF
 def own_history(forecasts: DataFrame, reconciled: DataFrame, slice_us: int = SLICE, window: int = OUTCOME_WINDOW) -> DataFrame:
     """For each forecast, the participant's outcomes already learned from meals within 25 % of its dose: count, mean rise, share reached.
 
-    A dose range is tiled by aligned power-of-two intervals; lessons are indexed under the intervals that hold them. The condition becomes
-    an equality on (participant, interval) and a running sum over time, so rows of one participant are never paired."""
-    unit = F.round(F.col("carbs_g") * 1_000_000).cast("bigint")
-    lo = F.ceil(F.round(F.col("carbs_g") * (1 - SIMILAR) * 1_000_000, 3)).cast("bigint")
-    hi = F.floor(F.round(F.col("carbs_g") * (1 + SIMILAR) * 1_000_000, 3)).cast("bigint")
-    ask = forecasts.select("participant_id", "event_id", F.col("us").alias("at"), F.lit(1).alias("kind"), F.explode_outer(dyadic_cover(lo, hi, DOSE_LEVELS)).alias("t"))
-    know = reconciled.select("participant_id", F.lit("").alias("event_id"), (F.col("us") + window).alias("at"), F.lit(0).alias("kind"),
-                             F.explode(dyadic_nodes(unit, DOSE_LEVELS)).alias("t"), F.lit(1).alias("__n"), F.col("rise").alias("__r"), F.col("y").alias("__y"))
-    # only intervals that some lesson occupies can contribute
-    live = know.select("participant_id", "t.level", "t.node").distinct()
+    Doses become ranks among the participant's distinct doses; a dose range is then a rank range, tiled by aligned power-of-two intervals,
+    and a lesson is indexed under the few intervals that hold its rank. The condition is an equality on (participant, interval) plus a
+    running sum over time, so the rows of one participant are never paired with each other."""
+    dose = F.round("carbs_g", 9)
+    cell = F.floor(F.log2(F.greatest(F.col("d"), F.lit(0.0)) + 1) * 64)
+    # order at equal values: lower bound, value, upper bound - so a running count gives "values below" and "values up to"
+    vals = reconciled.select("participant_id", dose.alias("d")).distinct().select("participant_id", F.lit("").alias("event_id"), "d", F.lit(0).alias("side"), F.lit(1).alias("__w"))
+    ends = F.explode(F.array(F.struct(F.round(F.col("carbs_g") * (1 - SIMILAR), 9).alias("d"), F.lit(-1).alias("side")), F.struct(F.round(F.col("carbs_g") * (1 + SIMILAR), 9).alias("d"), F.lit(1).alias("side"))))
+    asks = forecasts.select("participant_id", "event_id", ends.alias("x")).select("participant_id", "event_id", "x.d", "x.side", F.lit(0).alias("__w"))
+    run = prefix_sums(vals.unionByName(asks).withColumn("__s", cell), ["participant_id"], "__s", ["d", "side", "event_id"], {"below": "__w"}, totals=True)
+    bits = (F.ceil(F.log2(F.greatest(F.col("below_total"), F.lit(1)).cast("double"))) + 1).cast("int")
+    rank = run.where(F.col("side") == 0).select("participant_id", "d", (F.col("below") - 1).alias("__rank"), bits.alias("__bits"))
+    span = run.where(F.col("side") != 0).groupBy("participant_id", "event_id").agg(
+        F.max(F.when(F.col("side") == -1, F.col("below"))).alias("__lo"), (F.max(F.when(F.col("side") == 1, F.col("below"))) - 1).alias("__hi"), F.max(bits).alias("__bits"))
+    live = span.where(F.col("__hi") >= F.col("__lo"))
+    ask = live.join(forecasts.select("participant_id", "event_id", "us"), ["participant_id", "event_id"]).select(
+        "participant_id", "event_id", F.col("us").alias("at"), F.lit(1).alias("kind"), F.explode(dyadic_cover(F.col("__lo"), F.col("__hi"), F.col("__bits"))).alias("t"))
+    know = reconciled.withColumn("d", dose).join(rank, ["participant_id", "d"]).select(
+        "participant_id", F.lit("").alias("event_id"), (F.col("us") + window).alias("at"), F.lit(0).alias("kind"), F.explode(dyadic_nodes(F.col("__rank"), F.col("__bits"))).alias("t"),
+        F.lit(1).alias("__n"), F.col("rise").alias("__r"), F.col("y").alias("__y"))
     flat = lambda d: d.select("*", "t.level", "t.node").drop("t")
-    asked = flat(ask).join(live, ["participant_id", "level", "node"], "left_semi")
-    both = flat(know).unionByName(asked, allowMissingColumns=True).fillna(0, ["__n", "__y"]).fillna(0.0, ["__r"])
-    run = prefix_sums(_with_slice(both, "at", slice_us), ["participant_id", "level", "node"], "__s", ["at", "kind", "event_id"], {"n": "__n", "r": "__r", "y": "__y"})
-    found = run.where(F.col("kind") == 1).groupBy("participant_id", "event_id").agg(F.sum("n").alias("n_similar"), F.sum("r").alias("__r"), F.sum("y").alias("__y"))
+    both = flat(know).unionByName(flat(ask), allowMissingColumns=True).fillna(0, ["__n", "__y"]).fillna(0.0, ["__r"])
+    found = prefix_sums(_with_slice(both, "at", slice_us), ["participant_id", "level", "node"], "__s", ["at", "kind", "event_id"], {"n": "__n", "r": "__r", "y": "__y"})
+    found = found.where(F.col("kind") == 1).groupBy("participant_id", "event_id").agg(F.sum("n").alias("n_similar"), F.sum("r").alias("__r"), F.sum("y").alias("__y"))
     out = forecasts.select("participant_id", "event_id", "carbs_g").join(found, ["participant_id", "event_id"], "left")
     n = F.coalesce("n_similar", F.lit(0))
     return out.select("participant_id", "event_id", n.alias("n_similar"), F.when(n > 0, F.col("__r") / n).alias("mean_rise_similar"), F.when(n > 0, F.col("__y") / n).alias("share_reached"))

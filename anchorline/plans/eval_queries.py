@@ -23,7 +23,8 @@ N_BOOT = 200
 def both(spark, sf):
     ev_, folds = fold_inputs(spark, sf)
     seen = stage(learned(ev_, folds), "learned")
-    return tuple(sq.forecasts(seen, pr.fold_priors(ev_, folds, m), m, ["fold"]) for m in ("B", "C"))
+    pools = (stage(pr.training_pool(ev_, folds), "pool"), None)
+    return tuple(sq.forecasts(seen, pr.fold_priors(ev_, folds, m, pools=pools), m, ["fold"]) for m in ("B", "C"))
 
 
 def scored(spark, sf, model="C"):
@@ -37,10 +38,11 @@ def paired(spark, sf):
 def four(spark, sf):
     ev_, folds = fold_inputs(spark, sf)
     seen = stage(learned(ev_, folds), "learned")
+    pools = (stage(pr.training_pool(ev_, folds), "pool"), stage(pr.training_pool(ev_, folds, by_group=True), "strata"))
     arms = {}
     for m in ("B", "C"):
-        arms[f"{m.lower()}_eb"] = sq.forecasts(seen, pr.fold_priors(ev_, folds, m), m, ["fold"])
-        arms[f"{m.lower()}_st"] = sq.forecasts(seen, pr.fold_priors(ev_, folds, m, "stratified"), m, ["fold", "grp"])
+        arms[f"{m.lower()}_eb"] = sq.forecasts(seen, pr.fold_priors(ev_, folds, m, pools=pools), m, ["fold"])
+        arms[f"{m.lower()}_st"] = sq.forecasts(seen, pr.fold_priors(ev_, folds, m, "stratified", pools=pools), m, ["fold", "grp"])
     return arms
 
 
