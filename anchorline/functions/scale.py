@@ -18,20 +18,27 @@ def _dummy(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], bool]:
 
 
 def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str], inclusive: bool = True,
-                totals: bool = False) -> DataFrame:
+                totals: bool = False, extremes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Running sums over (bucket, order) within `keys`, two-level. `sums` maps output column -> input column.
 
-    With `totals`, the whole-key sum of each output is added as `<output>_total`."""
+    With `totals`, the whole-key sum of each output is added as `<output>_total`. `extremes` maps an output to (column, "max" or "min")
+    for running maxima and minima carried the same way."""
+    pick = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    extremes = extremes or {}
     df, keys, drop = _dummy(df, keys)
-    slices = df.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
+    slices = df.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()], *[pick[how][0](c).alias(f"__t_{o}") for o, (c, how) in extremes.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = [F.sum(f"__t_{o}").over(Window.partitionBy(*keys)).alias(f"{o}_total") for o in sums] if totals else []
-    offsets = slices.select(*keys, bucket, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums], *whole)
+    offsets = slices.select(*keys, bucket, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
+                             *[pick[how][0](f"__t_{o}").over(before).alias(f"__o_{o}") for o, (_, how) in extremes.items()], *whole)
     local = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = df.join(offsets, [*keys, bucket])
     for o, c in sums.items():
         out = out.withColumn(o, F.coalesce(F.sum(c).over(local), F.lit(0)) + F.col(f"__o_{o}"))
-    out = out.drop(*[f"__o_{o}" for o in sums])
+    for o, (c, how) in extremes.items():
+        one, two = pick[how]
+        out = out.withColumn(o, two(one(c).over(local), F.col(f"__o_{o}")))
+    out = out.drop(*[f"__o_{o}" for o in [*sums, *extremes]])
     return out.drop("__all") if drop else out
 
 

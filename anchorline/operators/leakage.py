@@ -43,9 +43,10 @@ def mutate(series: DataFrame, probe: DataFrame, spec: WindowSpec) -> DataFrame:
 def check(series: DataFrame, spec: WindowSpec, anchor_number: int = 0, builder=event_table) -> DataFrame:
     """(participant_id, mutation, rebuilt, mismatched columns, passed) for the `anchor_number`-th usable anchor of every participant."""
     base = stage(builder(series, spec), "leakage-base")
-    # the nth by (time, event): n is small, so a bounded sorted prefix per participant is enough
-    first = base.groupBy("participant_id").agg(F.array_sort(F.collect_set("us")).alias("t")) if anchor_number else base.groupBy("participant_id").agg(F.array(F.min("us")).alias("t"))
-    probe = stage(first.where(F.size("t") > anchor_number).select("participant_id", F.col("t")[anchor_number].alias("us")), "probes")
+    # the nth by (time, event): n is small, so Spark keeps only the first rows of each participant before the exchange
+    rk = F.row_number().over(Window.partitionBy("participant_id").orderBy("us", "event_id"))
+    first = base.select("participant_id", "event_id", "us").withColumn("rk", rk).where(F.col("rk") <= anchor_number + 1)
+    probe = stage(first.where(F.col("rk") == anchor_number + 1).select("participant_id", "us"), "probes")
     rebuilt = builder(mutate(series, probe, spec), spec)
     parts = F.split("participant_id", "#")
     re = rebuilt.select(parts[0].alias("participant_id"), parts[1].alias("mutation"), "us", F.struct(*FEATURES).alias("new"))

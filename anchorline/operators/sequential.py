@@ -7,11 +7,11 @@ sum is two-level over time slices, so one very long participant history does not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.numeric import exceed_probability, interval90, phi
-from anchorline.functions.scale import prefix_sums
+from anchorline.functions.scale import dyadic_cover, dyadic_nodes, prefix_sums
 from anchorline.spec import DAY, OUTCOME_WINDOW, THRESHOLD
 
 SLICE = 365 * DAY
@@ -129,12 +129,31 @@ def personal_rate(learned: DataFrame, priors: DataFrame, on: list[str], threshol
                     exceed_probability("baseline_glucose", "mean_rise", "sqrt(noise)", threshold).alias("p"))
 
 
-def prospective_activity(events: DataFrame, min_history: int = 4) -> DataFrame:
+def prospective_activity(events: DataFrame, min_history: int = 4, value: str = "activity_level", slice_us: int = SLICE) -> DataFrame:
     """Activity label against the median of the participant's earlier events; unknown below `min_history` of them.
 
-    A running median has no additive form; Spark keeps it in one growing window per participant, ordered by (time, event)."""
-    w = Window.partitionBy("participant_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    med, n = F.percentile("activity_level", F.lit(0.5)).over(w), F.count("activity_level").over(w)
-    return events.select("participant_id", "event_id", "activity_level", med.alias("earlier_median"), n.alias("n_earlier")).withColumn(
-        "label", F.when((F.col("n_earlier") < min_history) | F.col("activity_level").isNull(), "unknown")
-        .when(F.col("activity_level") > F.col("earlier_median"), "active").otherwise("sedentary"))
+    A running median would need one growing window per participant. The label only needs to know on which side of it a value falls: with L
+    earlier values below the current one out of n, it is active when both middle ones are below, sedentary when neither is, and only between
+    two middle values are its nearest earlier neighbours compared. L and the neighbours come from aligned intervals of value ranks."""
+    base = events.where(F.col(value).isNotNull()).select("participant_id", "event_id", "us", F.col(value).alias("v"))
+    cell = F.floor(F.log2(F.abs("v") + 1) * 64) * F.signum("v")
+    dist = base.select("participant_id", "v").distinct().withColumn("__s", cell).withColumn("__one", F.lit(1))
+    bits = (F.ceil(F.log2(F.col("r_total").cast("double"))) + 1).cast("int")
+    ranks = prefix_sums(dist, ["participant_id"], "__s", ["v"], {"r": "__one"}, totals=True).select("participant_id", "v", (F.col("r") - 1).alias("rank"), F.col("r_total").alias("size"), bits.alias("bits"))
+    e = base.join(ranks, ["participant_id", "v"])
+    nothing = F.lit(None).cast("bigint")
+    teach = e.select("participant_id", "event_id", "us", F.lit(1).alias("kind"), F.lit(0).alias("side"), F.explode(dyadic_nodes(F.col("rank"), F.col("bits"))).alias("t"), F.lit(1).alias("__c"), F.col("rank").alias("__r"))
+    sides = F.concat(F.transform(dyadic_cover(F.lit(0).cast("bigint"), F.col("rank") - 1, F.col("bits")), lambda t: F.struct(F.lit(-1).alias("side"), t.alias("t"))),
+                     F.transform(dyadic_cover(F.col("rank"), F.col("size") - 1, F.col("bits")), lambda t: F.struct(F.lit(1).alias("side"), t.alias("t"))))
+    ask = e.select("participant_id", "event_id", "us", F.lit(0).alias("kind"), F.explode(sides).alias("x")).select("participant_id", "event_id", "us", "kind", "x.side", "x.t", F.lit(0).alias("__c"), nothing.alias("__r"))
+    both = teach.unionByName(ask).select("*", "t.level", "t.node").drop("t").withColumn("__s", F.floor(F.col("us") / slice_us))
+    run = prefix_sums(both, ["participant_id", "level", "node"], "__s", ["us", "event_id", "kind"], {"c": "__c"}, extremes={"hi": ("__r", "max"), "lo": ("__r", "min")})
+    below = F.col("side") == -1
+    got = run.where(F.col("kind") == 0).groupBy("participant_id", "event_id").agg(
+        F.sum("c").alias("n_earlier"), F.sum(F.when(below, F.col("c")).otherwise(0)).alias("l"), F.max(F.when(below, F.col("hi"))).alias("pred"), F.min(F.when(~below, F.col("lo"))).alias("succ"))
+    name = lambda k: ranks.select("participant_id", F.col("rank").alias(k), F.col("v").alias(f"{k}_value"))
+    j = events.select("participant_id", "event_id", value).join(got, ["participant_id", "event_id"], "left").join(name("pred"), ["participant_id", "pred"], "left").join(name("succ"), ["participant_id", "succ"], "left")
+    n, ell = F.coalesce("n_earlier", F.lit(0)), F.col("l")
+    k1, k2 = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
+    active = F.when(ell >= k2 + 1, True).when(ell <= k1, False).otherwise(F.col(value) > (F.col("pred_value") + F.col("succ_value")) / 2)
+    return j.select("participant_id", "event_id", value, n.alias("n_earlier"), F.when((n < min_history) | F.col(value).isNull(), "unknown").when(active, "active").otherwise("sedentary").alias("label"))

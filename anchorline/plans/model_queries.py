@@ -223,12 +223,12 @@ def batch_update(spark, sf):
     return rounded(sq.with_posterior(s, "C").select("participant_id", "n", F.col("post_b").alias("beta"), F.col("post_g").alias("gamma")), ["participant_id", "n"], ["beta", "gamma"])
 
 
-@query("prospective_activity", with_(COHORT) + f"""SELECT participant_id, event_id, n AS n_earlier, {r('med')} AS earlier_median,
+@query("prospective_activity", with_(COHORT) + f"""SELECT participant_id, event_id, n AS n_earlier,
  CASE WHEN n < 4 THEN 'unknown' WHEN activity_level > med THEN 'active' ELSE 'sedentary' END AS label
  FROM (SELECT *, count(*) OVER w AS n, quantile_cont(activity_level, 0.5) OVER w AS med FROM cohort
   WINDOW w AS (PARTITION BY participant_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 def prospective_activity(spark, sf):
-    return rounded(sq.prospective_activity(cohort(spark, sf)), ["participant_id", "event_id", "n_earlier", "label"], ["earlier_median"])
+    return sq.prospective_activity(stage(cohort(spark, sf), "events")).select("participant_id", "event_id", "n_earlier", "label")
 
 
 @query("design_terms", with_(COHORT) + f"""SELECT event_id, 1e0 AS intercept, carbs_g, {r('carbs_g*(activity_level - (SELECT avg(activity_level) FROM cohort))')} AS carbs_x_activity FROM cohort""")
