@@ -15,10 +15,11 @@ _SPLIT = 7.07106781186547
 _ROOT_TWO_PI = 2.506628274631
 
 
-def r6(c) -> Column:
-    """Six-digit rounding for comparison: a nudge moves exact half-way values off the tie, negative zero becomes zero."""
+def rounded_value(c) -> Column:
+    """Rounding for comparison between engines: five decimals, so that the order of a floating-point sum does not show; a nudge moves exact
+    half-way values off the tie, and negative zero becomes zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(1e-9), 5) + F.lit(0.0)
 
 
 def _horner(coefs, a: str) -> str:

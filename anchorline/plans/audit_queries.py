@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorline.functions import labels as lb
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import audits as au
 from anchorline.operators import channels as ch
 from anchorline.operators import compare as cp
@@ -274,7 +274,7 @@ def macro_quality(spark, sf):
 @query("atwater_ratio", f"SELECT l_orderkey, l_linenumber, {r('CASE WHEN 4*l_quantity + 4*(l_linenumber - 3) + 9*l_discount > 0 THEN l_extendedprice / (4*l_quantity + 4*(l_linenumber - 3) + 9*l_discount) END')} AS ratio FROM lineitem")
 def atwater_ratio(spark, sf):
     t = table(spark, sf, "lineitem").withColumn("protein", F.col("l_linenumber") - 3)
-    return t.select("l_orderkey", "l_linenumber", r6(au.atwater_ratio("l_extendedprice", "l_quantity", "protein", "l_discount")).alias("ratio"))
+    return t.select("l_orderkey", "l_linenumber", rounded_value(au.atwater_ratio("l_extendedprice", "l_quantity", "protein", "l_discount")).alias("ratio"))
 
 
 _TOLU = 6 * HOUR

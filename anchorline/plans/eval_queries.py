@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import bootstrap as bo
 from anchorline.operators import compare as cp
 from anchorline.operators import evaluation as ev
@@ -106,12 +106,12 @@ def bundle_ctes(src, keys, min_class=2, n="bd"):
 
 @query("auc", with_(*M.SEQ_C, auc_cte("fc", "")) + f"SELECT n_positive, n_negative, {r('roc_auc')} AS roc_auc FROM au")
 def auc(spark, sf):
-    return ev.discrimination(scored(spark, sf), []).select("n_positive", "n_negative", r6("roc_auc").alias("roc_auc"))
+    return ev.discrimination(scored(spark, sf), []).select("n_positive", "n_negative", rounded_value("roc_auc").alias("roc_auc"))
 
 
 @query("average_precision", with_(*M.SEQ_C, auc_cte("fc", "")) + f"SELECT {r('average_precision')} AS average_precision FROM au")
 def average_precision(spark, sf):
-    return ev.discrimination(scored(spark, sf), []).select(r6("average_precision").alias("average_precision"))
+    return ev.discrimination(scored(spark, sf), []).select(rounded_value("average_precision").alias("average_precision"))
 
 
 _LOSS = ["prevalence", "mean_probability", "brier", "log_loss", "brier_of_constant_prevalence"]
@@ -232,7 +232,7 @@ def personalisation_levels(spark, sf):
     ident = pr.ols(pr.sufficient(cohort(spark, sf), ["participant_id"])).select("participant_id", F.col("b2").isNotNull().alias("ok"))
     f = finals(spark, sf, "C").join(ident, "participant_id")
     return f.agg(F.count(F.lit(1)).alias("n_participants"), *[F.count_if(F.col("n_obs") >= m).alias(f"at_least_{m}") for m in (1, 3, 5, 10, 20)],
-                 r6(F.stddev_samp("beta")).alias("between_sd_beta"), r6(F.stddev_samp("gamma")).alias("between_sd_gamma"), F.count_if("ok").alias("n_identifiable"))
+                 rounded_value(F.stddev_samp("beta")).alias("between_sd_beta"), rounded_value(F.stddev_samp("gamma")).alias("between_sd_gamma"), F.count_if("ok").alias("n_identifiable"))
 
 
 @query("prior_only_forecasts", with_(*M.SEQ_B) + "SELECT count(*) AS n_forecasts, count(*) FILTER (n_personal_before = 0) AS from_prior_only FROM fb")

@@ -6,7 +6,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import events as ev
 from anchorline.operators import reports as rep
 from anchorline.plans.registry import query
@@ -29,7 +29,7 @@ def build(spark, sf, channel="sensor_a"):
 
 
 def _project(df, floats, plain, counts=()):
-    return df.select(*plain, *[F.col(c).cast("bigint").alias(c) for c in counts], *[r6(c).alias(c) for c in floats])
+    return df.select(*plain, *[F.col(c).cast("bigint").alias(c) for c in counts], *[rounded_value(c).alias(c) for c in floats])
 
 
 def _sql(floats, plain, counts=(), src="ev"):
@@ -78,7 +78,7 @@ def overlap_flags(spark, sf):
 
 @query("baseline_asof", _BASE + f"SELECT participant_id, event_id, base_us, {r('base_v')} AS base_v FROM ev_x")
 def baseline_asof(spark, sf):
-    return _resolved(spark, sf).select("participant_id", "event_id", F.col("base.us").alias("base_us"), r6("base.v").alias("base_v"))
+    return _resolved(spark, sf).select("participant_id", "event_id", F.col("base.us").alias("base_us"), rounded_value("base.v").alias("base_v"))
 
 
 @query("activity_windows", _BASE + f"""SELECT participant_id, event_id, {', '.join(f"{r(f'act{i}')} AS act{i}, n_act{i}" for i in range(3))} FROM ev_x""")
@@ -89,13 +89,13 @@ def activity_windows(spark, sf):
 @query("trend_slope", _BASE + f"SELECT participant_id, event_id, n_trend, {r('CASE WHEN n_trend >= 3 THEN slope END')} AS trend_slope FROM ev_x")
 def trend_slope(spark, sf):
     return _resolved(spark, sf).select("participant_id", "event_id", "n_trend",
-                                       r6(F.when(F.col("n_trend") >= FIXTURE.trend_min_points, F.col("slope"))).alias("trend_slope"))
+                                       rounded_value(F.when(F.col("n_trend") >= FIXTURE.trend_min_points, F.col("slope"))).alias("trend_slope"))
 
 
 @query("outcome_window", _BASE + f"""SELECT participant_id, event_id, {r('peak')} AS peak, n_after, n_rows,
  CASE WHEN peak IS NOT NULL THEN peak >= {FIXTURE.threshold} END AS exceeds FROM ev_x""")
 def outcome_window(spark, sf):
-    return _resolved(spark, sf).select("participant_id", "event_id", r6("peak").alias("peak"), "n_after", "n_rows",
+    return _resolved(spark, sf).select("participant_id", "event_id", rounded_value("peak").alias("peak"), "n_after", "n_rows",
                                        (F.col("peak") >= FIXTURE.threshold).alias("exceeds"))
 
 
@@ -117,7 +117,7 @@ def window_readings(spark, sf):
         F.explode(F.sequence(F.floor(F.col("us") / step).cast("bigint"), F.floor((F.col("us") + step) / step).cast("bigint"))).alias("slot"))
     s = src.select("participant_id", "us", "sensor_a", F.floor(F.col("us") / step).cast("bigint").alias("slot"))
     hit = a.join(s, ["participant_id", "slot"]).where((F.col("us") >= F.col("t0")) & (F.col("us") <= F.col("t0") + step))
-    return hit.select("participant_id", "anchor_row", (F.col("us") - F.col("t0")).alias("offset_us"), r6("sensor_a").alias("value"))
+    return hit.select("participant_id", "anchor_row", (F.col("us") - F.col("t0")).alias("offset_us"), rounded_value("sensor_a").alias("value"))
 
 
 _DUPES = """d AS (SELECT *, row_number() OVER (PARTITION BY participant_id, us // 21600000000 ORDER BY row_order) AS rn FROM series)"""
@@ -182,7 +182,7 @@ _MISS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c})
 
 @query("feature_missingness", _BASE + _MISS)
 def feature_missingness(spark, sf):
-    return rep.missingness(build(spark, sf), ev.FEATURES).withColumn("share_missing", r6("share_missing"))
+    return rep.missingness(build(spark, sf), ev.FEATURES).withColumn("share_missing", rounded_value("share_missing"))
 
 
 @query("completeness_distribution", _BASE + f"""SELECT count(*) AS n, {r('avg(window_completeness)')} AS mean, {r('min(window_completeness)')} AS min,
@@ -190,14 +190,14 @@ def feature_missingness(spark, sf):
  {r('avg(CAST(window_completeness >= 1 AS INT))')} AS share_complete FROM ev""")
 def completeness_distribution(spark, sf):
     d = rep.completeness_distribution(build(spark, sf))
-    return d.select("n", *[r6(c).alias(c) for c in ("mean", "min", "max", "p5", "median", "share_complete")])
+    return d.select("n", *[rounded_value(c).alias(c) for c in ("mean", "min", "max", "p5", "median", "share_complete")])
 
 
 @query("excluded_valid_share", _BOTH + f"""SELECT count(n_valid) AS n, {r('avg(n_valid / 121.0e0)')} AS mean, {r('quantile_cont(n_valid / 121.0e0, 0.5)')} AS median,
  {r('max(n_valid / 121.0e0)')} AS max FROM ex""")
 def excluded_valid_share(spark, sf):
     x = ev.exclusion_log(series(spark, sf), FIXTURE).withColumn("share", F.col("n_valid") / 121.0)
-    return rep.distribution(x, "share", probs={"median": 0.5}).select("n", *[r6(c).alias(c) for c in ("mean", "median", "max")])
+    return rep.distribution(x, "share", probs={"median": 0.5}).select("n", *[rounded_value(c).alias(c) for c in ("mean", "median", "max")])
 
 
 @query("anonymous_labels", with_(SERIES) + """SELECT participant_id, 'P' || row_number() OVER (ORDER BY md5('0|' || participant_id), participant_id) AS label

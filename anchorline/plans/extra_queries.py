@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import boosted as bt
 from anchorline.operators import bootstrap as bo
 from anchorline.operators import compare as cp
@@ -43,7 +43,7 @@ def model_a_contributions(spark, sf):
     for f in bt.BASELINE_FEATURES:
         total = total + F.col(f"contribution_{f}")
     return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - F.col("log_odds")) > 1e-9).alias("n_not_additive"),
-                 *[r6(F.avg(F.abs(f"contribution_{f}"))).alias(f"mean_abs_{f}") for f in bt.BASELINE_FEATURES])
+                 *[rounded_value(F.avg(F.abs(f"contribution_{f}"))).alias(f"mean_abs_{f}") for f in bt.BASELINE_FEATURES])
 
 
 @query("three_model_comparison")
@@ -120,14 +120,14 @@ _WM = "(SELECT max(epoch_us(ts)) FROM events)"
  HAVING epoch_us(date_trunc('day', any_value(ts))) + 86400000000 <= {_WM} - 3600000000""")
 def stream_daily_blocks(spark, sf):
     d = _stream(spark, sf, st.daily_blocks)
-    return d.select("participant_id", F.unix_micros("day").alias("day_us"), "n", r6("mean").alias("mean"))
+    return d.select("participant_id", F.unix_micros("day").alias("day_us"), "n", rounded_value("mean").alias("mean"))
 
 
 @query("stream_rolling_activity", f"""WITH w AS (SELECT CAST(user_id AS VARCHAR) AS participant_id, value, (epoch_us(ts) // 43200000000 + k) * 43200000000 + 43200000000 AS at_us FROM events, (SELECT unnest(range(4)) AS k))
 SELECT participant_id, at_us, {r('avg(value)')} AS mean, count(value) AS n FROM w GROUP BY 1, 2 HAVING at_us <= {_WM} - 3600000000""")
 def stream_rolling_activity(spark, sf):
     d = _stream(spark, sf, lambda s: st.rolling_activity(s, "2 days", "12 hours"))
-    return d.select("participant_id", F.unix_micros("at").alias("at_us"), r6("mean").alias("mean"), "n")
+    return d.select("participant_id", F.unix_micros("at").alias("at_us"), rounded_value("mean").alias("mean"), "n")
 
 
 @query("stream_first_requests", "SELECT CAST(user_id AS VARCHAR) AS participant_id, event_id FROM events")
@@ -151,7 +151,7 @@ def stream_outcomes(spark, sf):
         rd = s.where(F.col("event_type").isin("view", "click", "error")).select("participant_id", "ts", "value")
         return st.outcome_windows(a, rd, "12 hours")
     d = _stream(spark, sf, build)
-    return d.select("participant_id", "event_id", r6("peak").alias("peak"), "n_readings")
+    return d.select("participant_id", "event_id", rounded_value("peak").alias("peak"), "n_readings")
 
 
 @query("stream_personalise", with_(*M.SEQ_C) + f"SELECT participant_id, event_id, n_personal_before AS version, {r('mean_rise')} AS mean_rise, {r('pred_std')} AS pred_std FROM fc")
@@ -202,4 +202,4 @@ def prior_artifact(spark, sf):
     from anchorline.sources.sinks import export_prior
     path = f"{checkpoint_dir(spark)}/anchorline/prior-{uuid.uuid4().hex}"
     export_prior(stage(cohort(spark, sf), "events"), path, ["7"])
-    return read_priors(spark, path).select("format", r6("model_b.mean").alias("mean"), r6("model_c.v_gg").alias("v_gg"), "rejected")
+    return read_priors(spark, path).select("format", rounded_value("model_b.mean").alias("mean"), rounded_value("model_c.v_gg").alias("v_gg"), "rejected")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import leave_one_out as lo
 from anchorline.plans.model_queries import rounded
 from anchorline.plans.registry import query
@@ -50,7 +50,7 @@ def prequential_loo(spark, sf):
 def prequential_loo_activity(spark, sf):
     e = stage(cohort(spark, sf), "events")
     p = stage(lo.prequential(e, ("frozen_C", "C", "B_shuffled", "C_perm_activity")), "prequential")
-    return p.groupBy("model", "is_active").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.pow(F.col("p") - F.col("y"), 2))).alias("brier"), r6(F.avg(F.abs(F.col("mean_rise") - F.col("rise")))).alias("mae_rise"))
+    return p.groupBy("model", "is_active").agg(F.count(F.lit(1)).alias("n"), rounded_value(F.avg(F.pow(F.col("p") - F.col("y"), 2))).alias("brier"), rounded_value(F.avg(F.abs(F.col("mean_rise") - F.col("rise")))).alias("mae_rise"))
 
 
 @query("others_median", with_(COHORT) + f"""SELECT p.participant_id, {r('quantile_cont(c.activity_level, 0.5)')} AS others_median FROM (SELECT DISTINCT participant_id FROM cohort) p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import folds as fo
 from anchorline.operators import priors as pr
 from anchorline.operators import sequential as sq
@@ -20,7 +20,7 @@ FC_FLOAT = ["rise", "activity", "p", "mean_rise", "pred_std", "interval90_low",
 
 
 def rounded(df, plain, floats):
-    return df.select(*plain, *[r6(c).alias(c) for c in floats])
+    return df.select(*plain, *[rounded_value(c).alias(c) for c in floats])
 
 
 def rsql(plain, floats):
@@ -54,7 +54,7 @@ def folds(spark, sf):
  USING (participant_id) GROUP BY fold""")
 def fold_composition(spark, sf):
     ev, f = fold_inputs(spark, sf)
-    return fo.fold_composition(ev, f).withColumn("prevalence", r6("prevalence"))
+    return fo.fold_composition(ev, f).withColumn("prevalence", rounded_value("prevalence"))
 
 
 @query("fold_group_sizes", with_(COHORT, M.FOLDS) + "SELECT fold, grp, count(*) AS n_participants FROM folds GROUP BY ALL")
@@ -95,12 +95,15 @@ def fold_coverage(spark, sf):
     return fo.coverage_check(oof(spark, sf, "B", inputs=(ev, f)), ev)
 
 
-_FIT = ["b1", "rss1", "i1", "b2", "g2", "rss2", "i2bb", "i2bg", "i2gg"]
+_FIT = ["b1", "i1", "b2", "g2", "i2bb", "i2bg", "i2gg", "mean_square1", "mean_square2"]
 
 
-@query("participant_ols", with_(COHORT, M.FITS) + f"SELECT {rsql(['participant_id', 'n'], _FIT)} FROM fits")
+@query("participant_ols", with_(COHORT, M.FITS) + f"SELECT {rsql(['participant_id', 'n'], _FIT)} FROM (SELECT *, rss1 / (1000 * n) AS mean_square1, rss2 / (1000 * n) AS mean_square2 FROM fits)")
 def participant_ols(spark, sf):
-    return rounded(pr.ols(pr.sufficient(cohort(spark, sf), ["participant_id"])), ["participant_id", "n"], _FIT)
+    # residual sums are large next to the other columns: shown per event and in thousands
+    f = pr.ols(pr.sufficient(cohort(spark, sf), ["participant_id"]))
+    f = f.withColumn("mean_square1", F.col("rss1") / (1000 * F.col("n"))).withColumn("mean_square2", F.col("rss2") / (1000 * F.col("n")))
+    return rounded(f, ["participant_id", "n"], _FIT)
 
 
 _PB = ["m_b", "v_bb", "noise", "spread1"]
@@ -135,7 +138,7 @@ def prior_by_participant(spark, sf):
     """The stratified prior each held-out participant is given; its own rows never enter (the training pool excludes its fold)."""
     ev, f = fold_inputs(spark, sf)
     p = pr.fold_priors(ev, f, "C", "stratified")
-    return f.join(p, ["fold", "grp"]).select("participant_id", "fold", "source", r6("m_b").alias("beta_mean"), r6(F.sqrt("v_bb")).alias("beta_sd"), r6(F.sqrt("v_gg")).alias("gamma_sd"))
+    return f.join(p, ["fold", "grp"]).select("participant_id", "fold", "source", rounded_value("m_b").alias("beta_mean"), rounded_value(F.sqrt("v_bb")).alias("beta_sd"), rounded_value(F.sqrt("v_gg")).alias("gamma_sd"))
 
 
 @query("prior_fold_summary", with_(*M.BASE, M.STRATA, M.stratified()) + f"""SELECT fold, count(*) AS n_priors_averaged, count(*) FILTER (source LIKE '%pooled%') AS n_pooled_fallbacks,
@@ -144,8 +147,8 @@ def prior_fold_summary(spark, sf):
     ev, f = fold_inputs(spark, sf)
     p = f.join(pr.fold_priors(ev, f, "C", "stratified"), ["fold", "grp"])
     return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n_priors_averaged"), F.count_if(F.col("source").contains("pooled")).alias("n_pooled_fallbacks"),
-                                 r6(F.avg("m_b")).alias("beta_mean"), r6(F.avg(F.sqrt("v_bb"))).alias("beta_sd"), r6(F.avg(F.sqrt("v_gg"))).alias("gamma_sd"),
-                                 r6(F.avg(F.sqrt("noise"))).alias("noise_sd"))
+                                 rounded_value(F.avg("m_b")).alias("beta_mean"), rounded_value(F.avg(F.sqrt("v_bb"))).alias("beta_sd"), rounded_value(F.avg(F.sqrt("v_gg"))).alias("gamma_sd"),
+                                 rounded_value(F.avg(F.sqrt("noise"))).alias("noise_sd"))
 
 
 @query("seq_forecast_b", with_(*M.SEQ_B) + f"SELECT {rsql(FC_PLAIN, FC_FLOAT)} FROM fb")
@@ -235,4 +238,4 @@ def prospective_activity(spark, sf):
 def design_terms(spark, sf):
     ev = cohort(spark, sf)
     centre = ev.agg(F.avg("activity_level").alias("a")).scalar()
-    return ev.select("event_id", F.lit(1.0).alias("intercept"), "carbs_g", r6(F.col("carbs_g") * (F.col("activity_level") - centre)).alias("carbs_x_activity"))
+    return ev.select("event_id", F.lit(1.0).alias("intercept"), "carbs_g", rounded_value(F.col("carbs_g") * (F.col("activity_level") - centre)).alias("carbs_x_activity"))

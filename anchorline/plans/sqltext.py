@@ -8,7 +8,7 @@ from anchorline.spec import Z90
 
 
 def r(x: str) -> str:
-    return f"(round(CAST({x} AS DOUBLE) + 1e-9, 6) + 0e0)"
+    return f"(round(CAST({x} AS DOUBLE) + 1e-9, 5) + 0e0)"
 
 
 def _h(coefs, a):

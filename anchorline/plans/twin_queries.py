@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorline.functions import quality as ql
-from anchorline.functions.numeric import r6
+from anchorline.functions.numeric import rounded_value
 from anchorline.operators import twin as tw
 from anchorline.plans import modelsql as M
 from anchorline.plans.event_queries import _BASE as EVENTS
@@ -155,7 +155,7 @@ def _obs(e):
  CASE WHEN k % 27 = 0 THEN 'excluded' WHEN k % 4 = 0 THEN 'partial_window' END AS flag FROM (SELECT *, CAST(event_id AS BIGINT) AS k FROM cohort)""")
 def observation_intake(spark, sf):
     e = stage(cohort(spark, sf), "events")
-    return tw.observation_intake(e, _obs(e)).select("event_id", "refused", r6("peak_rise").alias("peak_rise"), "reached_threshold", "flag")
+    return tw.observation_intake(e, _obs(e)).select("event_id", "refused", rounded_value("peak_rise").alias("peak_rise"), "reached_threshold", "flag")
 
 
 _ACTS = [1.2, 2.0, 3.5]
@@ -179,14 +179,14 @@ def version_history(spark, sf):
 
 @query("latest_version", with_(*traj_sql("C")) + f"SELECT participant_id, version, event_id, {r('beta_mean')} AS beta_mean FROM tj QUALIFY version = max(version) OVER (PARTITION BY participant_id)")
 def latest_version(spark, sf):
-    return tw.latest(traj(spark, sf, "C")).select("participant_id", "version", "event_id", r6("beta_mean").alias("beta_mean"))
+    return tw.latest(traj(spark, sf, "C")).select("participant_id", "version", "event_id", rounded_value("beta_mean").alias("beta_mean"))
 
 
 @query("asof_version", with_(*traj_sql("C")) + f"SELECT participant_id, version, {r('beta_mean')} AS beta_mean, {r('gamma_sd')} AS gamma_sd FROM tj WHERE version = 3")
 def asof_version(spark, sf):
     t = trajectory(spark, sf)
     wanted = t.where(F.col("version") == 3).select("participant_id", "version")
-    return tw.as_of_version(t, wanted).select("participant_id", "version", r6("beta_mean").alias("beta_mean"), r6("gamma_sd").alias("gamma_sd"))
+    return tw.as_of_version(t, wanted).select("participant_id", "version", rounded_value("beta_mean").alias("beta_mean"), rounded_value("gamma_sd").alias("gamma_sd"))
 
 
 @query("convergence", with_(*traj_sql("C")) + f"""SELECT participant_id, max(version) AS n_observations, {r('max_by(beta_sd, version)/min_by(beta_sd, version)')} AS beta_ratio,
