@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import byte_bpe, line_dedup, packing, simhash, token_files
+from anchorline.llm import ann, byte_bpe, embedding_dedup, line_dedup, packing, simhash, token_files
 from anchorline.llm.tokens import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.scratch(spark, "token-files")
@@ -64,3 +69,8 @@ FROM marked GROUP BY doc_id""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
     return kept.select("doc_id", F.coalesce("n_lines", F.lit(1)).alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_ann")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
