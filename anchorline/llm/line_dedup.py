@@ -91,8 +91,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     order = ["k1", "k2", "doc_id", "pos"]
     seen = stage(lines.repartitionByRange(spread(docs), *order).sortWithinPartitions(*order)
                  .mapInArrow(_stream, "k1 bigint, k2 bigint, doc_id bigint, text_key bigint, pos bigint, kind int"), "seen")
+    # at most two rows per range partition, so its size is bounded by the number of partitions
     firsts = seen.where(F.col("kind") == REPORT).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    decided = seen.where(F.col("kind") == OPEN).join(firsts, ["k1", "k2"]).where(F.col("doc_id") > F.col("first"))
+    decided = seen.where(F.col("kind") == OPEN).join(F.broadcast(firsts), ["k1", "k2"]).where(F.col("doc_id") > F.col("first"))
     names = ["doc_id", "text_key", "pos"]
     return seen.where(F.col("kind") == DROPPED).select(*names).unionByName(decided.select(*names))
 
