@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import ann, byte_bpe, embedding_dedup, line_dedup, packing, simhash, substring, token_files
+from anchorline.llm import ann, byte_bpe, embedding_dedup, line_dedup, packing, quality, simhash, substring, token_files, toxicity
+from anchorline.llm.labelled import fold, training_rows
 from anchorline.llm.tokens import vocabulary_path
 
+#: Labelled rows that a classifier is fitted on at most, about.
+MAX_ROWS = 20_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,6 +37,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(training_rows(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, MAX_ROWS))
+    return _judged(quality.score(docs, model), 4, 2)
+
+
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.scratch(spark, "token-files")
@@ -40,6 +55,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, MAX_ROWS))
+    return _judged(toxicity.score(docs, model), 3, 1)
+
+
 @query("op5_simhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
