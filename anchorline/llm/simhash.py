@@ -6,7 +6,7 @@ sum(t_i + 1) = radius + 1: two fingerprints within the radius differ in at most
 by its partition values and probes the values within t_i of its own. Thresholds are unequal, and -1 leaves a partition out.
 
 What is learned from the data changes cost only, never the result: (1) bits are grouped by their correlation over all fingerprints, so that the
-redundancy between bits is inside partitions; (2) for two, three and four partitions, histograms of all fingerprints give the chance that two
+redundancy between bits is inside partitions; (2) for each number of partitions, histograms of all fingerprints give the chance that two
 of them are within t bits in a partition, hence estimated candidate counts; (3) dynamic programming over partitions spends radius + 1 where
 probes and candidates cost least. More data therefore moves to fewer, wider partitions.
 
@@ -14,12 +14,17 @@ Candidates are verified on all bits inside the bucket they share, and a bucket g
 pairs. A bucket above BLOCK rows is cut into block pairs. As equal fingerprints are collapsed first, the members of a dense bucket are distinct
 points of a small Hamming ball, which bounds it whatever the number of copies.
 
+Sixty-four bits tell apart similarities near 1. For a similarity such as 0.8 of five-word shingles, `copies` fingerprints are taken from one pass over
+the shingles; each copy is probed, so that a pair meets in one of many partitions, and `total` bounds the distance over all copies' bits: two texts of
+Jaccard similarity j differ in about arccos(2 j / (1 + j)) / pi of them. `similar_bits` gives that bound.
+
 Inputs. A null or empty text, or one of white space, has fingerprint zero and is linked like any other. Rows with a null id get a fingerprint but no
 component, and link nothing. Rows with equal ids or equal texts each get a row. An empty table gives an empty result. Further columns are ignored."""
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -38,68 +43,97 @@ BLOCK = 1024
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Whole text, A-Z lower-cased, words between ASCII white space, shingles with repeats."""
+#: Multiplier and shift that give the further copies their own hashes: those of SplitMix64. Fixed values.
+_STEP, _MULTIPLY = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def similar_bits(jaccard: float, copies: int, slack: float = 0.8) -> int:
+    """Distance over all copies' bits of two texts of this similarity, and `slack` standard deviations."""
+    p, n = acos(2 * jaccard / (1 + jaccard)) / pi, BITS * copies
+    return int(n * p + slack * (n * p * (1 - p)) ** 0.5)
+
+
+def _copy(hashes: np.ndarray, k: int) -> np.ndarray:
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * _STEP & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MULTIPLY[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MULTIPLY[1])
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, copies: int = 1) -> bytes:
+    """Whole text, A-Z lower-cased, words between ASCII white space, shingles with repeats. Eight bytes per copy, highest bit first."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return bytes(8 * copies)
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     start, end = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(start, end[shingle - 1:])], np.uint64)
-    counts = np.zeros(BITS, np.int64)
+    digest, last = xxhash.xxh64_intdigest, min(shingle, len(words)) - 1
+    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(start, end[last:])], np.uint64)
+    counts = np.zeros((copies, BITS), np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+        some = hashes[at:at + (1 << 14)]
+        for k in range(copies):
+            counts[k] += np.unpackbits(_copy(some, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, copies: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp)."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 
     def run(batches):
         for batch in steps(batches):
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], schema=out)
+            fps = [fingerprint(t, shingle, seed, copies) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())], schema=out)
+
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, fp binary")
+
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+def _words(column_: pa.Array, copies: int) -> np.ndarray:
+    """(rows, copies) words of a binary column of fingerprints."""
+    column_ = column_.combine_chunks() if isinstance(column_, pa.ChunkedArray) else column_
+    if not len(column_):
+        return np.zeros((0, copies), np.uint64)
+    at = int(np.frombuffer(column_.buffers()[1], np.int32)[column_.offset])
+    return np.frombuffer(column_.buffers()[2], ">u8", len(column_) * copies, at).astype(np.uint64).reshape(-1, copies)
 
 
 # ---- what the data say about the bits ----------------------------------------------------------------------------------------------------
-def _bits(fp: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _sums(fps: DataFrame, count, size: int) -> np.ndarray:
-    """Sum over all fingerprints of a fixed-length count vector, added up per task and then in Spark."""
+def _sums(fps: DataFrame, count, copies: int, size: int) -> np.ndarray:
+    """Sum over all fingerprints of a count vector per copy, added up per task and then in Spark."""
     def run(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros((copies, size), np.int64)
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            for at in range(0, len(x), 1 << 14):
-                total += count(x[at:at + (1 << 14)])
+            x = _words(batch.column(0), copies)
+            for at in range(0, len(x), 1 << 13):
+                for k in range(copies):
+                    total[k] += count(x[at:at + (1 << 13), k], k)
         keep = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(total[keep])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(total.ravel()[keep])], names=["cell", "n"])
 
-    out = np.zeros(size, np.int64)
-    for r in fps.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
+    out = np.zeros(copies * size, np.int64)
+    for r in fps.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most copies * size rows
         out[r["cell"]] = r["n"]
-    return out
+    return out.reshape(copies, size)
 
 
-def correlation(fps: DataFrame, n: int) -> np.ndarray:
-    """Absolute correlation of every two bits over all fingerprints."""
-    def count(x):
+def correlation(fps: DataFrame, n: int, copies: int) -> np.ndarray:
+    """Absolute correlation of every two bits of a copy over all fingerprints."""
+    def count(x, k):
         b = _bits(x).astype(np.float32)
         return (b.T @ b).astype(np.int64).ravel()
 
-    both = _sums(fps, count, BITS * BITS).reshape(BITS, BITS) / max(n, 1)
-    p = np.diag(both)
+    both = _sums(fps, count, copies, BITS * BITS).reshape(copies, BITS, BITS) / max(n, 1)
+    p = np.diagonal(both, axis1=1, axis2=2)
     spread_ = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    return np.abs((both - np.outer(p, p)) / np.outer(spread_, spread_))
+    return np.abs((both - p[:, :, None] * p[:, None, :]) / (spread_[:, :, None] * spread_[:, None, :]))
 
 
 def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
@@ -136,8 +170,7 @@ def _distance_chances(hist: np.ndarray) -> np.ndarray:
 
 
 def _ball(width: int, t: int) -> int:
-    import math
-    return sum(math.comb(width, d) for d in range(t + 1))
+    return sum(comb(width, d) for d in range(t + 1))
 
 
 def allocate(costs: list[dict[int, float]], budget: int) -> tuple[float, list[int]]:
@@ -154,94 +187,102 @@ def allocate(costs: list[dict[int, float]], budget: int) -> tuple[float, list[in
     return best[budget]
 
 
-def plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed."""
-    n = fps.count()
-    corr = correlation(fps, n)
-    layouts = [group_bits(corr, m) for m in range(2, radius + 2)]
-    subs = [[part[at:at + 8] for at in range(0, len(part), 8)] for layout in layouts for part in layout]
-    flat = [s for part in subs for s in part]
-
-    def count(x):
+def _histograms(fps: DataFrame, subs: list[list[list[int]]], copies: int) -> np.ndarray:
+    """Counts of every value of every sub-partition (at most eight bits), per copy."""
+    def count(x, k):
         b = _bits(x).astype(np.int64)
-        return np.concatenate([np.bincount(b[:, s] @ (1 << np.arange(len(s))), minlength=256) for s in flat])
-
-    hist = _sums(fps, count, 256 * len(flat)).reshape(-1, 256)
-    chances, at = [], 0
-    for part in subs:
-        total = np.ones(1)
-        for s in part:
-            total = np.convolve(total, _distance_chances(hist[at][:1 << len(s)]))
-            at += 1
-        chances.append(total.cumsum())
-    options, k = [], 0
-    for layout in layouts:
-        costs = []
-        for part in layout:
-            near = chances[k]
-            k += 1
-            costs.append({-1: 0.0} | {t: n * (1 + _ball(len(part), t)) * PROBE_COST + n * n / 2 * float(near[min(t, len(near) - 1)]) * CANDIDATE_COST for t in range(radius + 1)})
-        cost, thresholds = allocate(costs, radius + 1)
-        options.append((cost, [(p, t) for p, t in zip(layout, thresholds) if t >= 0]))
-    return min(options, key=lambda o: o[0])[1]
+        return np.concatenate([np.bincount(b[:, s] @ (1 << np.arange(len(s))), minlength=256) for s in subs[k]])
+
+    return _sums(fps, count, copies, 256 * len(subs[0])).reshape(copies, -1, 256)
+
+
+def plan(fps: DataFrame, radius: int, copies: int = 1, partitions: tuple[int, ...] | None = None) -> list[list[tuple[list[int], int]]]:
+    """For each copy, (bits, threshold) of each partition that is probed. `partitions`: the numbers of partitions to choose from."""
+    n = fps.count()
+    layouts = [[group_bits(corr, m) for m in partitions or range(2, radius + 2)] for corr in correlation(fps, n, copies)]
+    subs = [[[part[at:at + 8] for at in range(0, len(part), 8)] for layout in own for part in layout] for own in layouts]
+    flat = [[s for part in own for s in part] for own in subs]
+    hist = _histograms(fps, flat, copies)
+    out = []
+    for k in range(copies):
+        chances, at = [], 0
+        for part in subs[k]:
+            total = np.ones(1)
+            for s in part:
+                total = np.convolve(total, _distance_chances(hist[k, at][:1 << len(s)]))
+                at += 1
+            chances.append(total.cumsum())
+        options, c = [], 0
+        for layout in layouts[k]:
+            costs = []
+            for part in layout:
+                near = chances[c]
+                c += 1
+                costs.append({-1: 0.0} | {t: n * (1 + _ball(len(part), t)) * PROBE_COST + n * n / 2 * float(near[min(t, len(near) - 1)]) * CANDIDATE_COST for t in range(radius + 1)})
+            cost, thresholds = allocate(costs, radius + 1)
+            options.append((cost, [(p, t) for p, t in zip(layout, thresholds) if t >= 0]))
+        out.append(min(options, key=lambda o: o[0])[1])
+    return out
 
 
 # ---- probe and verify --------------------------------------------------------------------------------------------------------------------
-def _index(reps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+def _index(reps: DataFrame, plans: list[list[tuple[list[int], int]]]) -> DataFrame:
     """(part, value, fp, node): every class under its own value of each partition and under the values it probes."""
-    masks = []
-    for bits, t in parts:
-        masks.append([sum(1 << b for b in flip) for d in range(t + 1) for flip in combinations(range(len(bits)), d)])
+    copies = len(plans)
+    masks = [[[sum(1 << b for b in flip) for d in range(t + 1) for flip in combinations(range(len(bits)), d)] for bits, t in parts] for parts in plans]
 
     def run(batches):
         for batch in batches:
-            fp, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            b = _bits(fp).astype(np.int64)
-            for i, (bits, t) in enumerate(parts):
-                value = b[:, bits] @ (np.int64(1) << np.arange(len(bits), dtype=np.int64))
-                for mask in masks[i]:
-                    # of two values one bit apart, the one that has the bit set looks for the other
-                    keep = slice(None) if t != 1 or not mask else (value & mask) != 0
-                    v = value[keep] ^ mask
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v), pa.array(fp[keep]), pa.array(node[keep])], names=["part", "value", "fp", "node"])
+            words, node, fp = _words(batch.column(0), copies), batch.column(1), batch.column(0)
+            for k, parts in enumerate(plans):
+                b = _bits(words[:, k]).astype(np.int64)
+                for i, (bits, t) in enumerate(parts):
+                    value = b[:, bits] @ (np.int64(1) << np.arange(len(bits), dtype=np.int64))
+                    for mask in masks[k][i]:
+                        # of two values one bit apart, the one that has the bit set looks for the other
+                        keep = np.arange(len(value)) if t != 1 or not mask else np.flatnonzero(value & mask)
+                        v = value[keep] ^ mask
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k * BITS + i, np.int32)), pa.array(v), fp.take(pa.array(keep)), node.take(pa.array(keep))], names=["part", "value", "fp", "node"])
 
-    return reps.select("fp", "node").mapInArrow(run, "part int, value bigint, fp bigint, node bigint")
+    return reps.select("fp", "node").mapInArrow(run, "part int, value bigint, fp binary, node bigint")
 
 
-def link_edges(reps: DataFrame, radius: int = 3) -> DataFrame:
+def link_edges(reps: DataFrame, radius: int = 3, copies: int = 1, total: int | None = None, partitions: tuple[int, ...] | None = None) -> DataFrame:
     """(a, b): a spanning forest of every bucket's links, by node."""
-    keys = ["part", "value", "b1", "b2"]
+    keys, most = ["part", "value", "b1", "b2"], radius if total is None else total
 
     def run(batches):
         for table, starts in whole_runs(batches, keys):
-            fp, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
+            fp, node = _words(table.column("fp"), copies), table.column("node").to_numpy()
             forest = Forest(len(fp))
 
             def compare(i, j):
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+                near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int32) <= most
                 forest.join(i[near], j[near])
 
             each_offset(starts, len(fp), compare)
             tied = forest.root != np.arange(len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[forest.root[tied]])], names=["a", "b"])
 
-    dealt = cells(_index(reps, plan(reps, radius)), ["part", "value"], "fp", BLOCK)
+    dealt = cells(_index(reps, plan(reps, radius, copies, partitions)), ["part", "value"], "fp", BLOCK)
     return dealt.select(*keys, "fp", "node").mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: the smallest id reachable over fingerprints within `radius` bits."""
-    fps = stage(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, copies: int = 1, total: int | None = None,
+                    partitions: tuple[int, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id: the smallest id reachable over linked fingerprints. Links: within `radius` bits, or with `total` within that over all copies."""
+    fps = stage(fingerprints(docs, shingle, seed, copies, id_col, text_col), "fingerprints")
     reps = stage(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = connected_components(link_edges(reps, radius))
+    found = connected_components(link_edges(reps, radius, copies, total, partitions))
     classes = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows of one document of each component, the one with the smallest id; of rows with that id, one. Rows with a null id stay."""
-    near = near_duplicates(docs, radius, shingle, id_col=id_col, text_col=text_col)
+def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, copies: int = 8, radius: int = 3, partitions: tuple[int, ...] = (4,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows of one document of each group of similar documents, the one with the smallest id; of rows with that id, one. Rows with a null id stay.
+
+    Each copy's partitions of sixteen bits bring together what may be similar; the distance over all copies decides."""
+    near = near_duplicates(docs, radius, shingle, copies=copies, total=similar_bits(jaccard, copies), partitions=partitions, id_col=id_col, text_col=text_col)
     keep = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    rest = docs.where(column(id_col).isNull())
     kept = docs.join(keep, column(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(rest)
+    return kept.unionByName(docs.where(column(id_col).isNull()))
