@@ -1,7 +1,7 @@
 """Toxic documents by a learned lexicon, matched through misspellings, with the context of each match.
 
 Lexicon. Over at most about `max_rows` labelled documents, copies counted once, Spark counts for every word and word beginning how many toxic and other
-documents hold it. Terms that hold up against the number of terms tried make a trie.
+documents hold it. Terms whose likelihood ratio holds up against the number of terms tried make a trie, each weighted by its log odds.
 
 Matching. A Levenshtein automaton (one insertion, deletion, substitution or transposition for terms of five letters or more) is intersected with the trie:
 a state is the set of trie nodes and errors that the letters so far allow. States are made when first reached and remembered, so reading a word costs one
@@ -29,12 +29,15 @@ from anchorline.llm.common import column, pick, steps
 from anchorline.session import stage
 
 #: Letters from which a term may be misspelled, lengths of word beginnings tried as terms, most terms kept, and most words remembered.
-FUZZY_FROM, STEMS, MAX_TERMS, MEMO = 5, (4, 5, 6, 7), 2000, 400_000
+FUZZY_FROM, STEMS, MAX_TERMS, MEMO = 5, (4, 5, 6, 7, 8), 4000, 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _OPEN, _CLOSE = "\"'“„«‹‘", "\"'”“»›’"
-FEATURES = 6
-#: Where the weights are drawn to: any plain match, plain matches, any misspelled, misspelled, quoted, cluster; and the constant.
-PRIOR = np.array([5.0, 0.5, 2.0, 0.5, 0.2, 0.2, -4.0])
+FEATURES = 7
+#: Largest weight of a term, and what a misspelling leaves of it.
+HEAVIEST, MISSPELLED = 8.0, 0.6
+#: Where the weights are drawn to: heaviest plain match, distinct plain matches together, their number, heaviest misspelled, misspelled together, quoted
+#: together, cluster; and the constant.
+PRIOR = np.array([1.0, 0.3, 0.3, 0.7, 0.3, 0.1, 0.2, -4.0])
 
 
 def bare(word: str) -> str:
@@ -42,20 +45,23 @@ def bare(word: str) -> str:
 
 
 class Lexicon:
-    """The trie, and its intersection with the automaton. terms: (term, whether it is a word's beginning)."""
+    """The trie, and its intersection with the automaton. terms: (term, whether it is a word's beginning, weight)."""
 
-    def __init__(self, terms: list[tuple[str, bool]], known: list[str], errors: int = 1):
+    def __init__(self, terms: list[tuple[str, bool, float]], known: list[str], errors: int = 1):
         self.terms, self.known, self.errors = terms, frozenset(known), errors
         self.child: list[dict[str, int]] = [{}]
         self.whole, self.beginning = {}, {}
-        for term, begins in terms:
+        for term, begins, weight in terms:
             node = 0
             for letter in term:
                 if letter not in self.child[node]:
                     self.child[node][letter] = len(self.child)
                     self.child.append({})
                 node = self.child[node][letter]
-            (self.beginning if begins else self.whole)[node] = errors if len(term) >= FUZZY_FROM and not begins else 0
+            if begins:
+                self.beginning[node] = weight
+            else:
+                self.whole[node] = (errors if len(term) >= FUZZY_FROM else 0, weight)
         self._start()
 
     def __getstate__(self):
@@ -65,12 +71,14 @@ class Lexicon:
         self.__init__(state["terms"], state["known"], state["errors"])
 
     def _start(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, float] | None] = {}
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.next: list[dict[str, int]] = []
-        self.final: list[int] = []  # errors of the best whole term here, -1 if none
-        self.begun: list[bool] = []
+        # heaviest whole term read here without and with an error, and heaviest beginning
+        self.exact: list[float] = []
+        self.close: list[float] = []
+        self.begun: list[float] = []
         self.first = self._state({(0, 0, "")})
 
     def _state(self, items: set) -> int:
@@ -88,8 +96,10 @@ class Lexicon:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.next.append({})
-            self.final.append(min((e for n, e, owed in key if not owed and e <= self.whole.get(n, -1)), default=-1))
-            self.begun.append(any(not owed and e <= self.beginning.get(n, -1) for n, e, owed in key))
+            ends = [(e, *self.whole[n]) for n, e, owed in key if not owed and n in self.whole]
+            self.exact.append(max((w for e, _, w in ends if not e), default=0.0))
+            self.close.append(max((w for e, most, w in ends if 0 < e <= most), default=0.0))
+            self.begun.append(max((self.beginning[n] for n, e, owed in key if not owed and not e and n in self.beginning), default=0.0))
         return self.ids[key]
 
     def _step(self, state: int, letter: str) -> int:
@@ -111,26 +121,28 @@ class Lexicon:
         self.next[state][letter] = to = self._state(out) if out else -1
         return to
 
-    def match(self, word: str) -> int:
-        """0 none, 1 a term or its beginning, 2 a misspelled term."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > MEMO or len(self.states) > 200_000:
-                self._start()
-            found = self.memo[word] = self._read(bare(word))
+    def match(self, word: str) -> tuple[int, float] | None:
+        """(1, weight) of a term or beginning, (2, weight) of a misspelled term, or nothing."""
+        if word in self.memo:
+            return self.memo[word]
+        if len(self.memo) > MEMO or len(self.states) > 200_000:
+            self._start()
+        found = self.memo[word] = self._read(bare(word))
         return found
 
-    def _read(self, word: str) -> int:
-        state = self.first
+    def _read(self, word: str) -> tuple[int, float] | None:
+        state, weight = self.first, 0.0
         for letter in word:
             to = self.next[state].get(letter)
             state = self._step(state, letter) if to is None else to
             if state < 0:
-                return 0
-            if self.begun[state]:
-                return 1
-        e = self.final[state]
-        return 0 if e < 0 else 1 if e == 0 else 0 if word in self.known else 2
+                break
+            weight = max(weight, self.begun[state])
+        if state >= 0:
+            weight = max(weight, self.exact[state])
+        if weight:
+            return 1, weight
+        return (2, MISSPELLED * self.close[state]) if state >= 0 and self.close[state] and word not in self.known else None
 
 
 def quoted(words: list[str], at: int, window: int) -> bool:
@@ -154,21 +166,25 @@ def quoted(words: list[str], at: int, window: int) -> bool:
 
 
 def features(text: str | None, lexicon: Lexicon, window: int) -> list[float]:
-    words = (text or "").lower().split()
-    memo, match = lexicon.memo, lexicon.match
-    hits = [(i, m) for i, m in enumerate([memo[w] if w in memo else match(w) for w in words]) if m] if lexicon.terms else []
+    if not lexicon.terms or not text:
+        return [0.0] * FEATURES
+    words, match = text.lower().split(), lexicon.match
+    hits = [(i, m) for i, m in enumerate(map(match, words)) if m]
     if not hits:
         return [0.0] * FEATURES
-    spoken = {i: quoted(words, i, window) for i, _ in hits}
-    plain = [i for i, m in hits if m == 1 and not spoken[i]]
-    fuzzy = [i for i, m in hits if m == 2 and not spoken[i]]
-    abuse = sorted(plain + fuzzy)
+    plain, fuzzy, spoken, abuse = {}, {}, 0.0, []
+    for i, (kind, weight) in hits:
+        if quoted(words, i, window):
+            spoken += weight
+            continue
+        (plain if kind == 1 else fuzzy)[bare(words[i])] = weight
+        abuse.append(i)
     cluster, at = 0, 0
     for j, i in enumerate(abuse):
         while abuse[at] < i - window:
             at += 1
         cluster = max(cluster, j - at + 1)
-    return [float(bool(plain)), math.log1p(len(plain)), float(bool(fuzzy)), math.log1p(len(fuzzy)), math.log1p(sum(spoken.values())), math.log1p(cluster)]
+    return [max(plain.values(), default=0.0), math.log1p(sum(plain.values())), math.log1p(len(plain)), max(fuzzy.values(), default=0.0), math.log1p(sum(fuzzy.values())), math.log1p(spoken), math.log1p(cluster)]
 
 
 class Model:
@@ -176,7 +192,6 @@ class Model:
         self.lexicon, self.weights, self.window = lexicon, weights, window
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        # the features hold the lexicon's remembered words, so read them through the memo afresh in each call
         x = np.array([features(t, self.lexicon, self.window) + [1.0] for t in texts]).reshape(-1, FEATURES + 1)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
@@ -212,7 +227,7 @@ def _terms(training: DataFrame) -> DataFrame:
             .groupBy("term", "begins").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def fit(training: DataFrame, window: int = 6, precision: float = 0.95) -> Model:
+def fit(training: DataFrame, window: int = 6, precision: float = 0.5) -> Model:
     """From (doc_id, text, label). To the driver come at most MAX_TERMS terms, their misspellings among clean words, and six numbers per training document."""
     once = stage(_once(training), "training")
     totals = dict(once.groupBy("label").count().collect())
@@ -222,17 +237,18 @@ def fit(training: DataFrame, window: int = 6, precision: float = 0.95) -> Model:
     terms = stage(_terms(once), "terms")
     tried = max(1, terms.count())
     base = toxic / (toxic + clean)
-    # a term so often in toxic documents alone by chance: the base rate to that power, for each term tried
-    least = max(3, math.ceil(math.log(tried / 0.05) / -math.log(base)))
-    strong = (terms.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
-              .orderBy(F.desc("toxic"), "term", "begins").limit(MAX_TERMS).collect())
-    begins = {r["term"] for r in strong if r["begins"]}
-    chosen = [(r["term"], r["begins"]) for r in strong if not (r["begins"] and any(r["term"][:n] in begins for n in STEMS if n < len(r["term"])))]
+    n, a, b = F.col("toxic") + F.col("clean"), F.col("toxic"), F.col("clean")
+    # likelihood ratio of the term's own share of toxic documents against the base rate, beyond what `tried` terms give by chance
+    ratio = a * F.log(a / (n * base)) + F.when(b > 0, b * F.log(b / (n * (1 - base)))).otherwise(0.0)
+    odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
+    strong = (terms.where((a >= 3) & (a >= precision * n) & (ratio >= math.log(tried / 0.05))).withColumn("odds", odds).where("odds > 0")
+              .orderBy(F.desc(ratio), "term", "begins").limit(MAX_TERMS).collect())
+    chosen = [(r["term"], r["begins"], min(r["odds"], HEAVIEST)) for r in strong]
     lexicon = Lexicon(chosen, [])
 
     def near(batches):
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if lexicon.match(w) == 2]
+            words = [w for w in batch.column(0).to_pylist() if (lexicon.match(w) or (0,))[0] == 2]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["term"])
 
     known = [r[0] for r in terms.where("NOT begins AND clean > 0 AND toxic < clean").select("term").mapInArrow(near, "term string").collect()]
