@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, FractionalType, IntegralType
 
 UNRECOGNIZED = "unrecognized"
 
@@ -44,6 +45,16 @@ def participant_number(c) -> Column:
     return F.regexp_extract(_c(c), r"([0-9]+)\s*$", 1).try_cast("bigint")
 
 
+def id_number(c, kind: DataType) -> Column:
+    """The number of an identifier cell: an integer as it is, a whole float as its integer and no other, text by its trailing digits."""
+    c = _c(c)
+    if isinstance(kind, IntegralType):
+        return c.cast("bigint")
+    if isinstance(kind, FractionalType):
+        return F.when(c == F.floor(c), c.try_cast("bigint"))
+    return participant_number(c.cast("string"))
+
+
 def canonical_id(c) -> Column:
     """3.0 and '3' are one spelling; zero padding and letter case stay distinct."""
     t = F.trim(_c(c).cast("string"))
@@ -65,8 +76,8 @@ TABULAR = ("csv", "tsv", "parquet")
 IMAGES = ("jpg", "jpeg", "png", "heic", "heif", "bmp", "gif", "tiff", "tif")
 DOCS = ("md", "txt", "pdf", "docx", "yaml", "yml", "rtf")
 DOC_HINT = r"(?i)(readme|license|licence|codebook|dictionary|metadata|documentation|methods|protocol|consent|changelog)"
-PARTICIPANT_DIR = r"(?i)^(subject[-_]?[0-9]+|participant[-_]?[0-9]+|p[0-9]{2,4}|s[0-9]{2,4}|[0-9]{2,4})$"
-PARTICIPANT_STEM = r"(?i)^(subject|participant|p|s)[-_]?[0-9]+$"
+PARTICIPANT_DIR = r"(?i)^(cgmacros[-_]?[0-9]+|subject[-_]?[0-9]+|participant[-_]?[0-9]+|p[0-9]{2,4}|s[0-9]{2,4}|[0-9]{2,4})$"
+PARTICIPANT_STEM = r"(?i)^(cgmacros|subject|participant|p|s)[-_]?[0-9]+$"
 
 
 def extension(path) -> Column:
@@ -79,13 +90,19 @@ def file_class(path) -> Column:
     return (F.when(e.isin(*TABULAR), "tabular").when(e.isin(*IMAGES), "image").when(e.isin(*DOCS) | name.rlike(DOC_HINT), "doc").otherwise("other"))
 
 
-def redact_path(path) -> Column:
-    """Participant folders and participant-named files are replaced; both separators are understood, '/' is written."""
+def redact_path(path, folders: Column | None = None) -> Column:
+    """Participant folders and participant-named files are replaced; both separators are understood, '/' is written.
+
+    A part is a participant's wherever it stands if it names a participant folder: the path's own top folder, or one of `folders` (an array)."""
     parts = F.filter(F.split(F.regexp_replace(_c(path), r"\\", "/"), "/"), lambda p: p != "")
     last = F.size(parts) - 1
+    top = F.when((last > 0) & F.element_at(parts, 1).rlike(PARTICIPANT_DIR), F.element_at(parts, 1))
 
     def one(p, i):
         stem, ext = F.regexp_replace(p, r"\.[^.]*$", ""), F.regexp_extract(p, r"(\.[^.]*)$", 1)
-        return (F.when((i == 0) & (last > 0) & p.rlike(PARTICIPANT_DIR), F.lit("<participant_id>"))
+        own = F.coalesce(p == top, F.lit(False))
+        if folders is not None:
+            own = own | (F.array_contains(folders, p) & p.rlike(PARTICIPANT_DIR))
+        return (F.when(own, F.lit("<participant_id>"))
                 .when((i == last) & stem.rlike(PARTICIPANT_STEM), F.concat(F.lit("<participant_file>"), ext)).otherwise(p))
     return F.array_join(F.transform(parts, one), "/")

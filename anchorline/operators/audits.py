@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.functions.labels import classify_a1c, name_tokens, parse_numeric, participant_number
+from anchorline.functions.labels import classify_a1c, id_number, name_tokens, parse_numeric, participant_number
 from anchorline.functions.scale import adjacent_row, dense_ids
 
 K = ["participant_id"]
 # fixed values
 GAP_EDGES = (0, 1, 5, 15, 30, 60, 120, 240)
-OFFSETS = (-60, -45, -30, -15, 0, 15, 30, 45, 60, 90, 120, 180)
-MINUTE_EDGES = (0, 5, 15, 30, 60, 120, 240)
+OFFSETS = (-60, -30, -15, 0, 15, 30, 45, 60, 90, 120, 150, 180)
+MINUTE_EDGES = (0, 5, 10, 15, 20, 30, 45, 60, 90, 120, 240)
 ID_NAME = r"(?i)(^|[^a-z])(id|subject|participant|patient|sub)([^a-z]|$)"
 
 
@@ -152,7 +152,7 @@ def id_candidates(bio: DataFrame, participants: DataFrame) -> DataFrame:
     if not cols:
         return bio.sparkSession.createDataFrame([], "column_name string, n_rows bigint, n_parsed bigint, n_distinct bigint, n_matched bigint, usable boolean")
     nums = participants.select(participant_number("participant_id").alias("number")).distinct()
-    long = bio.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), participant_number(F.col(c).cast("string")).alias("number")) for c in cols])).alias("x")).select("x.*")
+    long = bio.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), id_number(F.col(c), bio.schema[c].dataType).alias("number")) for c in cols])).alias("x")).select("x.*")
     hit = long.join(nums.withColumn("__hit", F.lit(1)), "number", "left")
     # two-step distinct: one row per (column, number), then counts
     per = hit.groupBy("column_name", "number").agg(F.count(F.lit(1)).alias("c"), F.max("__hit").alias("h"))
@@ -162,7 +162,7 @@ def id_candidates(bio: DataFrame, participants: DataFrame) -> DataFrame:
 
 def link_groups(bio: DataFrame, participants: DataFrame, id_column: str, a1c_column: str) -> DataFrame:
     """participant -> group by identifier, never by position; missing rows and unparseable values keep their reason."""
-    b = bio.select(participant_number(F.col(id_column).cast("string")).alias("number"), parse_numeric(F.col(a1c_column).cast("string")).alias("a1c"), F.lit(True).alias("found"))
+    b = bio.select(id_number(F.col(id_column), bio.schema[id_column].dataType).alias("number"), parse_numeric(F.col(a1c_column).cast("string")).alias("a1c"), F.lit(True).alias("found"))
     p = participants.select("participant_id").distinct().withColumn("number", participant_number("participant_id"))
     j = p.join(b, "number", "left")
     return j.select("participant_id", classify_a1c("a1c").alias("grp"), F.when(F.col("number").isNull(), "no trailing number").when(F.col("found").isNull(), "no row in the group table").when(F.col("a1c").isNull(), "missing or unparseable").alias("problem"))

@@ -31,7 +31,8 @@ def mutate(series: DataFrame, probe: DataFrame, spec: WindowSpec) -> DataFrame:
     invented = nth.where(F.col("rk").isin(*[k + 1 for k in INVENTED])).select("participant_id", "row_order", F.lit(True).alias("__new"))
     s = s.join(invented, ["participant_id", "row_order"], "left")
     sensors = [c for c in ("sensor_a", "sensor_b") if c in series.columns]
-    name = lambda k: F.concat_ws("#", "participant_id", F.lit(k)).alias("participant_id")
+    # the builder knows participants only: mutation first, so that the first mark ends it whatever an id holds
+    name = lambda k: F.concat(F.lit(f"{k}#"), "participant_id").alias("participant_id")
     over = lambda cond, c: F.when(cond, t).otherwise(F.col(c)).alias(c)
     rest = ["row_order", "us"]
     after = s.select(name("all_after"), *rest, *[over(late, c) for c in (*sensors, "activity", "dose")], F.when(F.col("__new"), F.lit("Snack")).otherwise(F.col("anchor_label")).alias("anchor_label"))
@@ -48,8 +49,9 @@ def check(series: DataFrame, spec: WindowSpec, anchor_number: int = 0, builder=e
     first = base.select("participant_id", "event_id", "us").withColumn("rk", rk).where(F.col("rk") <= anchor_number + 1)
     probe = stage(first.where(F.col("rk") == anchor_number + 1).select("participant_id", "us"), "probes")
     rebuilt = builder(mutate(series, probe, spec), spec)
-    parts = F.split("participant_id", "#")
-    re = rebuilt.select(parts[0].alias("participant_id"), parts[1].alias("mutation"), "us", F.struct(*FEATURES).alias("new"))
+    at = F.instr("participant_id", "#")
+    own = F.substring(F.col("participant_id"), at + 1, F.length("participant_id"))
+    re = rebuilt.select(own.alias("participant_id"), F.substring_index("participant_id", "#", 1).alias("mutation"), "us", F.struct(*FEATURES).alias("new"))
     want = base.join(probe, ["participant_id", "us"], "left_semi").select("participant_id", "us", F.struct(*FEATURES).alias("old"))
     kinds = ("all_after", "sensor_after_lag", "covariate_at_anchor")
     want = want.withColumn("mutation", F.explode(F.array(*[F.lit(k) for k in kinds])))

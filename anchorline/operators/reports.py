@@ -132,11 +132,13 @@ def require_columns(df: DataFrame, columns: list[str], what: str) -> None:
         raise ValueError(f"{what}: missing columns {missing}")
 
 
-def sample_size_gate(events: DataFrame, min_participants: int = 20, min_median_events: float = 8, min_pos: int = 100, min_neg: int = 100) -> DataFrame:
+def sample_size_gate(events: DataFrame, min_participants: int = 20, min_median_events: float = 8, min_pos: int = 30, min_neg: int = 30) -> DataFrame:
     per = events.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label_exceeds_180").alias("pos"))
     # event counts per participant are small integers: the count histogram is what `percentile` holds
     tot = per.agg(F.count(F.lit(1)).alias("n_participants"), F.percentile("n", F.lit(0.5)).alias("median_events"),
                   F.sum("pos").alias("n_positive"), F.sum(F.col("n") - F.col("pos")).alias("n_negative"))
     ok: Column = ((F.col("n_participants") >= min_participants) & (F.col("median_events") >= min_median_events)
                   & (F.col("n_positive") >= min_pos) & (F.col("n_negative") >= min_neg))
-    return tot.withColumn("passes", ok)
+    short = F.concat_ws(";", *[F.when(~F.coalesce(F.col(c) >= least, F.lit(False)), F.lit(f"{c} < {least:g}")) for c, least in
+                               (("n_participants", min_participants), ("median_events", min_median_events), ("n_positive", min_pos), ("n_negative", min_neg))])
+    return tot.withColumn("passes", F.coalesce(ok, F.lit(False))).withColumn("shortfalls", short)

@@ -247,7 +247,7 @@ def top_labels(spark, sf):
     return au.top_k(series(spark, sf), "anchor_label", 3)
 
 
-_EDGE = " + ".join(f"CAST(step >= {e} AS INT)" for e in au.GAP_EDGES[1:])
+_EDGE = " + ".join(f"CAST(step >= {e} AS INT)" for e in (1, 5, 15, 30, 60, 120, 240))
 
 
 @query("meal_spacing", with_(SERIES, "sa AS (SELECT (us - lag(us) OVER (PARTITION BY participant_id ORDER BY us, row_order)) / 3600000000e0 AS step FROM series WHERE anchor_label IS NOT NULL)") + f"""SELECT CAST({_EDGE} AS INT) AS bucket, count(*) AS n,
@@ -279,7 +279,7 @@ def atwater_ratio(spark, sf):
 
 _TOLU = 6 * HOUR
 _PROBE = f"""pb AS (SELECT a.participant_id, a.row_order AS anchor_row, o.o AS "offset", arg_min(s.sensor_a, struct_pack(d := abs(s.us - (a.us + o.o * {HOUR})), l := -s.us)) AS v
- FROM series a CROSS JOIN (SELECT unnest([{', '.join(map(str, au.OFFSETS))}]) AS o) o JOIN series s ON s.participant_id = a.participant_id AND s.sensor_a IS NOT NULL AND s.us BETWEEN a.us + o.o * {HOUR} - {_TOLU} AND a.us + o.o * {HOUR} + {_TOLU}
+ FROM series a CROSS JOIN (SELECT unnest([-60, -30, -15, 0, 15, 30, 45, 60, 90, 120, 150, 180]) AS o) o JOIN series s ON s.participant_id = a.participant_id AND s.sensor_a IS NOT NULL AND s.us BETWEEN a.us + o.o * {HOUR} - {_TOLU} AND a.us + o.o * {HOUR} + {_TOLU}
  WHERE a.anchor_label IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
@@ -327,7 +327,7 @@ def photo_offsets(spark, sf):
     return rounded(au.photo_pairs(photo_rows(spark, sf), HOUR), ["participant_id", "us"], ["offset"])
 
 
-_HB = " + ".join(f"CAST(fo >= {e} AS INT)" for e in au.MINUTE_EDGES[1:])
+_HB = " + ".join(f"CAST(fo >= {e} AS INT)" for e in (5, 10, 15, 20, 30, 45, 60, 90, 120, 240))
 
 
 @query("photo_histogram", with_(SERIES, _PH, _PP) + f"SELECT CAST({_HB} AS INT) AS bucket, count(*) AS n FROM pc WHERE fo IS NOT NULL GROUP BY 1")
@@ -395,6 +395,12 @@ def group_classify(spark, sf):
     return bio(spark, sf).select("row", lb.parse_numeric(a).alias("value"), lb.is_annotated(a).alias("annotated"), lb.classify_a1c(lb.parse_numeric(a)).alias("grp"), lb.classify_fasting_glucose("glucose").alias("fasting"))
 
 
+@query("group_link_float_id", with_(_BIO) + f"SELECT 'p' || CAST(c_custkey AS VARCHAR) AS participant_id, CASE WHEN c_custkey % 4 <> 3 THEN {_GRP} END AS grp, CASE WHEN c_custkey % 4 = 3 THEN 'no row in the group table' WHEN v IS NULL THEN 'missing or unparseable' END AS problem FROM bn")
+def group_link_float_id(spark, sf):
+    b = bio(spark, sf).withColumn("id", F.col("row").cast("double") + F.when(F.col("row") % 4 == 3, 0.5).otherwise(0.0))
+    return au.link_groups(b, table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("participant_id")), "id", "A1c PDL (Lab)")
+
+
 @query("group_link", with_(_BIO) + f"SELECT 'p' || CAST(c_custkey AS VARCHAR) AS participant_id, {_GRP} AS grp, CASE WHEN v IS NULL THEN 'missing or unparseable' END AS problem FROM bn")
 def group_link(spark, sf):
     p = table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("participant_id"))
@@ -432,13 +438,13 @@ _PATHS = """CASE doc_id % 6 WHEN 0 THEN 'subject-' || doc_id || '/S' || doc_id |
 def paths(spark, sf):
     d = F.col("doc_id")
     s = d.cast("string")
-    p = (F.when(d % 6 == 0, F.concat(F.lit("subject-"), s, F.lit("/S"), s, F.lit(".csv"))).when(d % 6 == 1, F.concat(F.lit("docs\\README_"), s, F.lit(".md")))
-         .when(d % 6 == 2, F.concat(F.lit("p"), (10 + d % 80).cast("string"), F.lit("\\photos\\img"), s, F.lit(".JPG"))).when(d % 6 == 3, F.concat(F.lit("tables/participant_"), s, F.lit(".parquet")))
+    p = (F.when(d % 6 == 0, F.concat(F.lit("subject-"), s, F.lit("/raw/subject-"), s, F.lit("/S"), s, F.lit(".csv"))).when(d % 6 == 1, F.concat(F.lit("docs\\README_"), s, F.lit(".md")))
+         .when(d % 6 == 2, F.concat(F.lit("p"), (10 + d % 80).cast("string"), F.lit("\\photos\\img"), s, F.lit(".JPG"))).when(d % 6 == 3, F.concat(F.when(d % 4 == 1, "tables/CGMacros-").otherwise("tables/participant_"), s, F.lit(".parquet")))
          .when(d % 6 == 4, F.concat(F.lit("notes/"), F.col("lang"), F.lit("/protocol"))).otherwise(F.concat(F.lit("misc/"), F.col("source"), F.lit(".bin"))))
     return table(spark, sf, "documents").select("doc_id", p.alias("path"), F.col("n_chars").alias("length"))
 
 
-@query("path_redaction", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<participant_id>/<participant_file>.csv' WHEN 1 THEN 'docs/README_' || doc_id || '.md' WHEN 2 THEN '<participant_id>/photos/img' || doc_id || '.JPG' WHEN 3 THEN 'tables/<participant_file>.parquet'
+@query("path_redaction", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<participant_id>/raw/<participant_id>/<participant_file>.csv' WHEN 1 THEN 'docs/README_' || doc_id || '.md' WHEN 2 THEN '<participant_id>/photos/img' || doc_id || '.JPG' WHEN 3 THEN 'tables/<participant_file>.parquet'
  WHEN 4 THEN 'notes/' || lang || '/protocol' ELSE 'misc/' || source || '.bin' END AS redacted FROM documents""")
 def path_redaction(spark, sf):
     return paths(spark, sf).select("doc_id", lb.redact_path("path").alias("redacted"))

@@ -253,7 +253,8 @@ def replay_validation(spark, sf):
 
 
 @query("sample_size_gate", with_(COHORT) + """SELECT count(*) AS n_participants, quantile_cont(n, 0.5) AS median_events, CAST(sum(pos) AS BIGINT) AS n_positive,
- CAST(sum(n - pos) AS BIGINT) AS n_negative, count(*) >= 20 AND quantile_cont(n, 0.5) >= 8 AND sum(pos) >= 100 AND sum(n - pos) >= 100 AS passes
+ CAST(sum(n - pos) AS BIGINT) AS n_negative, count(*) >= 20 AND quantile_cont(n, 0.5) >= 8 AND sum(pos) >= 30 AND sum(n - pos) >= 30 AS passes, concat_ws(';', CASE WHEN NOT count(*) >= 20 THEN 'n_participants < 20' END, CASE WHEN NOT quantile_cont(n, 0.5) >= 8 THEN 'median_events < 8' END,
+ CASE WHEN NOT sum(pos) >= 30 THEN 'n_positive < 30' END, CASE WHEN NOT sum(n - pos) >= 30 THEN 'n_negative < 30' END) AS shortfalls
  FROM (SELECT participant_id, count(*) AS n, sum(label_exceeds_180) AS pos FROM cohort GROUP BY 1)""")
 def sample_size_gate(spark, sf):
     return rep.sample_size_gate(cohort(spark, sf))

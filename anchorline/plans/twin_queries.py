@@ -304,8 +304,15 @@ def paging(spark, sf):
 
 
 @query("request_quarantine", with_(COHORT) + """SELECT event_id, concat_ws(';', CASE WHEN NOT (carbs_g * 5 BETWEEN 0 AND 500) THEN 'carbs_out_of_range' END, CASE WHEN NOT (baseline_glucose * 6 BETWEEN 20 AND 600) THEN 'baseline_out_of_range' END,
- CASE WHEN NOT (activity_level * 10 BETWEEN 0 AND 25) THEN 'activity_out_of_range' END) AS faults FROM cohort""")
+ CASE WHEN NOT (activity_level * 10 BETWEEN 0 AND 25) THEN 'activity_out_of_range' END,
+ CASE WHEN NOT regexp_full_match(eid, '[A-Za-z0-9][A-Za-z0-9._:-]{0,63}') THEN 'bad_identifier' END, CASE WHEN NOT (cov BETWEEN 0 AND 1) THEN 'coverage_out_of_range' END, CASE WHEN NOT (age BETWEEN 0 AND 1440) THEN 'baseline_age_out_of_range' END,
+ CASE WHEN NOT (slope BETWEEN -20 AND 20) THEN 'trend_out_of_range' END, CASE WHEN NOT (since BETWEEN 0 AND 100000) THEN 'time_since_last_out_of_range' END, CASE WHEN NOT (length(reason) BETWEEN 3 AND 200) THEN 'bad_reason_length' END) AS faults
+ FROM (SELECT *, CASE WHEN n % 5 = 0 THEN '..' || event_id WHEN n % 7 = 0 THEN repeat('a', 65) ELSE event_id END AS eid, n % 12 / 10e0 AS cov, n % 1500 AS age, n % 50 - 25 AS slope, n * 977 % 120000 AS since, CASE WHEN n % 3 = 0 THEN repeat('x', CAST(n % 300 AS BIGINT)) END AS reason
+  FROM (SELECT *, us // 3600000000 AS n FROM cohort))""")
 def request_quarantine(spark, sf):
-    e = cohort(spark, sf).select("event_id", (F.col("carbs_g") * 5).alias("carbs_g"), (F.col("baseline_glucose") * 6).alias("baseline_glucose"), (F.col("activity_level") * 10).alias("activity_level"))
-    return e.select("event_id", F.concat_ws(";", ql.request_faults()).alias("faults"))
+    e = cohort(spark, sf).select("event_id", (F.col("carbs_g") * 5).alias("carbs_g"), (F.col("baseline_glucose") * 6).alias("baseline_glucose"), (F.col("activity_level") * 10).alias("activity_level"), F.expr("us div 3600000000").alias("n"))
+    n, eid = F.col("n"), F.when(F.col("n") % 5 == 0, F.concat(F.lit(".."), "event_id")).when(F.col("n") % 7 == 0, F.lit("a" * 65)).otherwise(F.col("event_id"))
+    e = e.select(F.col("event_id").alias("key"), eid.alias("event_id"), "carbs_g", "baseline_glucose", "activity_level", (n % 12 / 10.0).alias("activity_coverage"), (n % 1500).alias("baseline_age"), (n % 50 - 25).alias("trend_slope"),
+                 (n * 977 % 120000).alias("time_since_last"), F.when(n % 3 == 0, F.expr("repeat('x', CAST(n % 300 AS INT))")).alias("excluded_reason"))
+    return e.select(F.col("key").alias("event_id"), F.concat_ws(";", ql.request_faults(e.columns)).alias("faults"))
 
