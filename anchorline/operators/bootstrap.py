@@ -1,34 +1,47 @@
 """Participant-clustered percentile bootstrap.
 
-Participants are collapsed to their sums before any resampling. A replicate's draws come from integer mixing of (replicate, slot), so every
-engine, task and retry draws the same participants; the draw table is joined back by participant number, broadcast or shuffled as its size decides.
+Participants are collapsed to their sums before any resampling. How often a participant is in a replicate is a Poisson(1) count, as in resampling a large
+cohort with replacement, drawn by integer mixing of the replicate with 60 bits of the participant's md5: every engine, task and retry draws alike, no
+participant needs a number, and a replicate's sums are folded inside each task before the only exchange, a row per replicate.
 """
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.functions.scale import dense_ids
 from anchorline.operators.evaluation import discrimination, ece
 
 _M = 2147483647
+#: u at or above the k-th limit counts at least k + 1. Beyond twelve the chance is below one in the range of u.
+_LIMITS = [int(_M * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12)]
+
+
+def mix_sql(seed: int, h: str = "__h", r: str = "__r", div: str = "div") -> str:
+    """A number in [0, 2**31 - 1) from a 60-bit hash and a replicate, as SQL text valid in Spark (and, with `//`, elsewhere)."""
+    a, b = f"({h} % {_M})", f"({h} {div} {_M})"
+    x0 = f"(({a} + {r} * 1000003 + {seed * 40692 + 12345}) % {_M})"
+    x1 = f"(({x0} * 48271 + {b}) % {_M})"
+    x2 = f"((({x1} * {x1}) % {_M} + {r} * 271) % {_M})"
+    x3 = f"(({x2} * 69621 + {a}) % {_M})"
+    x4 = f"((({x3} * {x3}) % {_M} + {b} * 131) % {_M})"
+    return f"(({x4} * 16807) % {_M})"
 
 
-def draw_sql(seed: int, r: str = "__r", s: str = "__s", n: str = "__n", div: str = "div") -> str:
-    """Zero-based participant number drawn in slot s of replicate r, as SQL text valid in Spark (and, with `//`, elsewhere)."""
-    x0 = f"(({r} * 1000003 + {s} * 7919 + {seed * 40692 + 12345}) % {_M})"
-    x1 = f"(({x0} * 48271) % {_M})"
-    x2 = f"((({x1} * {x1}) % {_M} + {s} * 271) % {_M})"
-    x3 = f"(({x2} * 69621) % {_M})"
-    x4 = f"((({x3} * {x3}) % {_M} + {r} * 131) % {_M})"
-    x5 = f"(({x4} * 16807) % {_M})"
-    return f"(({x5} * {n}) {div} {_M})"
+def count_sql(u: str) -> str:
+    """The Poisson(1) count of a number from `mix_sql`."""
+    return "(" + " + ".join(f"CASE WHEN {u} >= {limit} THEN 1 ELSE 0 END" for limit in _LIMITS) + ")"
 
 
-def _draws(ranked: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
-    slots = ranked.select(*keys, F.col("__i").alias("__s"), "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("__r"))
-    return slots.select(*keys, "__r", F.expr(draw_sql(seed)).alias("__i"))
+def drawn(df: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """Each row once per replicate `__r` that holds its participant, with how often, `__m`. Narrow: no exchange."""
+    h = F.conv(F.substring(F.md5(F.col("participant_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    each = df.withColumn("__h", h).withColumn("__r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))))
+    # generated, so that u is computed once and not copied into each comparison
+    each = each.withColumn("__u", F.explode(F.array(F.expr(mix_sql(seed)))))
+    return each.withColumn("__m", F.expr(count_sql("__u"))).where("__m > 0").drop("__h", "__u")
 
 
 def ratio_bootstrap(stats: DataFrame, keys: list[str], numerators: list[str], denominator: str = "n", n_boot: int = 1000, seed: int = 0,
@@ -36,9 +49,9 @@ def ratio_bootstrap(stats: DataFrame, keys: list[str], numerators: list[str], de
     """Ratio-of-sums estimates with percentile intervals, long form: keys, metric, estimate, ci_low, ci_high, excludes_zero.
 
     `stats` has one row per (keys, participant_id). The interval quantile is taken over n_boot values per key, a fixed small number."""
-    ranked = dense_ids(stats, "participant_id", "__i", "__n", keys=keys)
-    by_replicate = _draws(ranked, keys, n_boot, seed).join(ranked.select(*keys, "__i", denominator, *numerators), [*keys, "__i"]).groupBy(*keys, "__r").agg(
-        F.sum(denominator).alias("__den"), *[F.sum(c).alias(c) for c in numerators])
+    m = F.col("__m")
+    by_replicate = drawn(stats.select(*keys, "participant_id", denominator, *numerators), n_boot, seed).groupBy(*keys, "__r").agg(
+        F.sum(F.col(denominator) * m).alias("__den"), *[F.sum(F.col(c) * m).alias(c) for c in numerators])
     q = by_replicate.groupBy(*keys).agg(*[F.percentile(F.col(c) / F.col("__den"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(c) for c in numerators])
     point = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_participants"), F.sum(denominator).cast("bigint").alias("n_events"),
                                      *[(F.sum(c) / F.sum(denominator)).alias(f"__e_{c}") for c in numerators])
@@ -55,14 +68,10 @@ def rank_metric_bootstrap(scored: DataFrame, arms: list[str], n_boot: int = 200,
     `scored` is long: arm, participant_id, p, y. Events are collapsed to (participant, arm, p) counts first, then weighted by how often the
     participant was drawn; one-class replicates are skipped and counted."""
     cells = scored.groupBy("arm", "participant_id", "p").agg(F.sum("y").alias("__pos"), F.count(F.lit(1)).alias("__cnt"))
-    people = scored.select("participant_id").distinct()
-    ranked = dense_ids(people, "participant_id", "__i", "__n")
-    times = _draws(ranked, [], n_boot, seed).groupBy("__r", "__i").agg(F.count(F.lit(1)).alias("__m"))
-    drawn = times.join(ranked.select("__i", "participant_id"), "__i").join(cells, "participant_id")
     # two weighted rows per cell at most: its positives and its negatives
     lab = F.explode(F.array(F.struct(F.lit(1).alias("y"), (F.col("__pos") * F.col("__m")).alias("w")),
                             F.struct(F.lit(0).alias("y"), ((F.col("__cnt") - F.col("__pos")) * F.col("__m")).alias("w"))))
-    rows = (drawn.select("__r", "arm", "p", lab.alias("l")).select("__r", "arm", "p", "l.y", "l.w").where(F.col("w") > 0)
+    rows = (drawn(cells, n_boot, seed).select("__r", "arm", "p", lab.alias("l")).select("__r", "arm", "p", "l.y", "l.w").where(F.col("w") > 0)
             .groupBy("__r", "arm", "p", "y").agg(F.sum("w").alias("w")))
     k = ["__r", "arm"]
     m = discrimination(rows, k, weight="w", min_class=1).join(ece(rows, k, 10, weight="w"), k).join(ece(rows, k, 5, weight="w"), k).join(

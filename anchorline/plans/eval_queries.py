@@ -17,7 +17,7 @@ from anchorline.plans.registry import query
 from anchorline.plans.sqltext import COHORT, r, with_
 from anchorline.session import stage
 
-N_BOOT = 200
+N_BOOT = 2000
 
 
 def both(spark, sf):
@@ -245,16 +245,13 @@ def prior_only_forecasts(spark, sf):
 def boot_ctes(stats, keys, metrics, n_boot=N_BOOT, seed=0, n="bt"):
     """CTEs ending in {n}: long bootstrap table from a per-participant stats CTE."""
     k = "".join(f"{x}, " for x in keys)
-    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    on = " AND ".join(["d.i = s.i", *[f"d.{x} = s.{x}" for x in keys]])
-    dk = "".join(f"d.{x}, " for x in keys)
     longs = " UNION ALL ".join(
         f"SELECT {''.join(f'p.{x}, ' for x in keys)} n_participants, n_events, '{m}' AS metric, p.{m} AS estimate, q.{m}_lo AS ci_low, q.{m}_hi AS ci_high FROM {n}_p p "
         + (f"JOIN {n}_q q ON {' AND '.join(f'p.{x} = q.{x}' for x in keys)}" if keys else f"CROSS JOIN {n}_q q") for m in metrics)
     gb = f"GROUP BY {', '.join(keys)}" if keys else ""
-    return f"""{n}_k AS (SELECT *, row_number() OVER ({part} ORDER BY md5(participant_id), participant_id) - 1 AS i, count(*) OVER ({part}) AS nn FROM {stats}),
-{n}_d AS (SELECT {k} r, {bo.draw_sql(seed, 'r', 'i', 'nn', '//')} AS i FROM {n}_k, (SELECT unnest(range({n_boot})) AS r)),
-{n}_r AS (SELECT {dk} d.r, {', '.join(f'sum(s.{m}) / sum(s.n) AS {m}' for m in metrics)} FROM {n}_d d JOIN {n}_k s ON {on} GROUP BY {dk} d.r),
+    return f"""{n}_k AS (SELECT *, CAST('0x' || substring(md5(participant_id), 1, 15) AS BIGINT) AS h FROM {stats}),
+{n}_d AS (SELECT *, {bo.mix_sql(seed, 'h', 'r', '//')} AS u FROM {n}_k, (SELECT unnest(range({n_boot})) AS r)),
+{n}_r AS (SELECT {k} r, {', '.join(f'sum({m} * w) / sum(n * w) AS {m}' for m in metrics)} FROM (SELECT *, {bo.count_sql('u')} AS w FROM {n}_d) WHERE w > 0 GROUP BY {k} r),
 {n}_q AS (SELECT {k} {', '.join(f'quantile_cont({m}, 0.025) AS {m}_lo, quantile_cont({m}, 0.975) AS {m}_hi' for m in metrics)} FROM {n}_r {gb}),
 {n}_p AS (SELECT {k} count(*) AS n_participants, CAST(sum(n) AS BIGINT) AS n_events, {', '.join(f'sum({m}) / sum(n) AS {m}' for m in metrics)} FROM {stats} {gb}),
 {n} AS (SELECT *, ci_low > 0 OR ci_high < 0 AS excludes_zero FROM ({longs}))"""

@@ -24,7 +24,7 @@ from anchorline.sources.adapters import cohort, series, table
 from anchorline.spec import FIXTURE
 from anchorline.streaming import pipelines as st
 
-TREES = 20  # the library default is 100; fewer rounds only shorten this registered run
+TREES = 100
 
 
 @query("model_a_forecasts")
@@ -96,7 +96,7 @@ def b_vs_a_bootstrap(spark, sf):
     j = b.join(a, ["participant_id", "event_id"])
     y, pb, pa = F.col("y"), F.col("p"), F.col("p_a")
     s = j.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.sum((pb - y) * (pb - y) - (pa - y) * (pa - y)).alias("brier"), F.sum(log_loss(y, pb) - log_loss(y, pa)).alias("log_loss"))
-    return rounded(bo.ratio_bootstrap(s, [], ["brier", "log_loss"], n_boot=200), ["metric", "n_events", "excludes_zero"], ["estimate", "ci_low", "ci_high"])
+    return rounded(bo.ratio_bootstrap(s, [], ["brier", "log_loss"], n_boot=1000), ["metric", "n_events", "excludes_zero"], ["estimate", "ci_low", "ci_high"])
 
 
 # ------------------------------------------------------------------ streaming, run to the end of the supplied table

@@ -4,15 +4,22 @@ On a cluster the caller's own session is used unchanged."""
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders of local sessions, removed when Python ends.
 _SCRATCH: dict[str, str] = {}
 
 
+def _remove(path: str) -> None:
+    shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
 def local_session(app: str = "anchorline", cpus: int | None = None, memory: str = "12g") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (
@@ -33,13 +40,19 @@ def local_session(app: str = "anchorline", cpus: int | None = None, memory: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a scratch folder where it is unset (tests, local bench)."""
+    """The shared folder the session names in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (tests, local bench) gets a folder of its own beside its warehouse; on a cluster that would be a
+    folder other machines do not see, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        _SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _SCRATCH[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging-{app}-{os.getpid()}"
+        atexit.register(_remove, _SCRATCH[app])
     return _SCRATCH[app]
 
 

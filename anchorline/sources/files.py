@@ -91,11 +91,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").option("sep", sep).csv(path)
 
 
-def profile_table(spark: SparkSession, path: str, row_cap: int | None = None) -> DataFrame:
-    """Column profile of a stored table; `row_cap` is an explicit option of a quick look and marks the result truncated."""
-    df = read_table(spark, path)
-    truncated = F.lit(row_cap is not None)
-    return column_profile(df if row_cap is None else df.limit(row_cap)).withColumn("truncated", truncated)
+def profile_table(spark: SparkSession, path: str) -> DataFrame:
+    """Column profile of a whole stored table: one aggregate."""
+    return column_profile(read_table(spark, path))
 
 
 def dataset_audit(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -67,26 +67,37 @@ def test_phi(spark):
     assert got == pytest.approx([0.5 * erfc(-x / sqrt(2)) for x in z], abs=2e-16, rel=1e-9)
 
 
-def draw(r, s, seed, n):
+def poisson_count(r, pid, seed):
+    """Inverse of the Poisson(1) distribution function at the mixed number of (replicate, participant)."""
+    import hashlib
+    from math import exp, factorial
     M = 2147483647
-    x0 = (r * 1000003 + s * 7919 + seed * 40692 + 12345) % M
-    x1 = x0 * 48271 % M
-    x2 = (x1 * x1 % M + s * 271) % M
-    x3 = x2 * 69621 % M
-    x4 = (x3 * x3 % M + r * 131) % M
-    return x4 * 16807 % M * n // M
+    h = int(hashlib.md5(pid.encode()).hexdigest()[:15], 16)
+    a, b = h % M, h // M
+    x = (a + r * 1000003 + seed * 40692 + 12345) % M
+    x = (x * 48271 + b) % M
+    x = (x * x % M + r * 271) % M
+    x = (x * 69621 + a) % M
+    x = (x * x % M + b * 131) % M
+    u = x * 16807 % M
+    return sum(u >= int(M * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12))
+
+
+def test_counts_are_poisson_and_independent_over_participants():
+    w = np.array([[poisson_count(r, f"p{i}", 0) for i in range(60)] for r in range(400)])
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04
+    c = np.corrcoef(w.T) - np.eye(60)
+    assert np.abs(c).max() < 0.25 and abs(c.mean()) < 0.005
 
 
 def test_ratio_bootstrap_is_the_ratio_of_drawn_sums(spark):
-    import hashlib
     ids = [f"p{i}" for i in range(9)]
     num = {p: float(i * i - 20) for i, p in enumerate(ids)}
     den = {p: float(1 + i % 3) for i, p in enumerate(ids)}
-    order = sorted(ids, key=lambda p: (hashlib.md5(p.encode()).hexdigest(), p))
     boots = []
     for r in range(100):
-        took = [order[draw(r, s, 5, 9)] for s in range(9)]
-        boots.append(sum(num[t] for t in took) / sum(den[t] for t in took))
+        w = {p: poisson_count(r, p, 5) for p in ids}
+        boots.append(sum(w[p] * num[p] for p in ids) / sum(w[p] * den[p] for p in ids))
     df = spark.createDataFrame([(p, num[p], den[p]) for p in ids], "participant_id string, x double, n double")
     r = bo.ratio_bootstrap(df, [], ["x"], n_boot=100, seed=5).first()
     assert r.estimate == pytest.approx(sum(num.values()) / sum(den.values()))
