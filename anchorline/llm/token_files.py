@@ -35,8 +35,14 @@ def width(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
 
+#: Widths at which the stream is an array of little-endian integers.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Lowest bit first: id i fills bits [i * bits, (i + 1) * bits) of the stream."""
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     planes = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(planes[:, :bits].ravel(), bitorder="little").tobytes()
 
@@ -45,6 +51,8 @@ def unpack_bits(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     """n ids from position `start`, touching only the bytes that hold them."""
     if not n:
         return np.zeros(0, "<u4")
+    if bits in _WHOLE:
+        return np.frombuffer(payload, _WHOLE[bits], n, start * bits // 8).astype("<u4")
     lo, hi = start * bits, (start + n) * bits
     stream = np.unpackbits(np.frombuffer(payload, np.uint8, -(-hi // 8) - lo // 8, lo // 8), bitorder="little")[lo % 8:lo % 8 + n * bits]
     planes = np.zeros((n, 32), np.uint8)
