@@ -2,30 +2,37 @@
 
 Both supported kinds of vocabulary never let a token cross from a non-space character to a space: byte-level vocabularies take a space only
 as the first character of a piece, word vocabularies drop white space. A text cut at those places therefore encodes to the same ids, and most
-of the cut parts have been seen before. Any other kind of tokenizer encodes whole texts."""
+of the cut parts have been seen before. Nor does a token cross from a letter to the punctuation that ends a part, so a word and its
+punctuation are remembered apart. New words of letters alone are one piece for the library's model; all else goes through its whole chain.
+Any other kind of tokenizer encodes whole texts."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+from struct import pack
 
-import numpy as np
-
-#: Memo entries and bytes after which the memo starts anew.
-MEMO_ENTRIES, MEMO_BYTES = 600_000, 48 << 20
-_GAP = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+#: Entries of one generation of the memo. Two are kept, so that what is frequent outlives what is not.
+MEMO_ENTRIES = 300_000
+_GAP = re.compile(r"\s[ \n]")
+_CUT = re.compile(r"(?<=\S) ")
+_STEM = re.compile(r"(.*[^\W\d_])([!-/:-@\[-^`{-~]+)", re.S)
 _LOADED: dict[str, "MemoTokenizer"] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class MemoTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # special strings inside a text are ordinary text
+        self.model, self.normalizer = self.library.model, self.library.normalizer
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         before, normal = plan.get("pre_tokenizer") or {}, plan.get("normalizer") or {}
@@ -36,32 +43,106 @@ class MemoTokenizer:
         elif steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and {"type": "Lowercase"} in normal.get("normalizers", []):
             self.kind = "word"
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
+        # the characters that stand for bytes, as the library's byte level gives them
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.characters: dict[int, str] = {}
+        for c in [*range(0x800), *range(0x800, 0xD800, 0x100), *range(0xE000, 0x10000, 0x100), *range(0x10000, 0x110000, 0x1000)]:
+            for byte, shown in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]):
+                self.characters[byte] = shown
+        self.space = self.characters[32] if self.kind == "byte" else ""
+        self.memo: dict[str, bytes] = {}  # parts that follow a space
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # parts that do not: the first of a text, and ending punctuation
 
     def parts(self, text: str) -> list[str]:
+        """The first part, then what follows each cut. A part that starts with a line end or a space has no space before it, any other has."""
         if self.kind == "word":
-            return text.split(" ")
-        if self.kind == "whole":
-            return [text]
-        if text[:1] == " " or _GAP.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return text.replace("\n", " ").split(" ")
+        if text[:1] not in (" ", "\n") and not _GAP.search(text):
+            return text.replace("\n", " \n").split(" ")
+        first, *rest = _CUT.split(text)
+        return [first, *[" " + p if not p or p[0].isspace() else p for p in rest]]
+
+    def _chain(self, texts: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_bare(self, parts: set[str]) -> None:
+        """Ids of parts that do not follow a space, all at once."""
+        new = [p for p in parts if p not in self.bare]
+        self.bare.update(zip(new, self._chain(new)))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of parts after the first."""
+        out: list[bytes] = [b""] * len(words)
+        rest, byte, line = [], self.kind == "byte", self.bare.get("\n", b"")
+        for i, word in enumerate(words):
+            on_line = byte and word[:1] == "\n"
+            plain = word[1:] if on_line else word if byte or (word.isascii() and word.islower()) else self.normalizer.normalize_str(word)
+            if not plain.isalpha() or len(plain) > 1000:
+                rest.append(i)
+                continue
+            if not plain.isascii():
+                plain = plain.encode().decode("latin-1").translate(self.characters)
+            ids = _packed([t.id for t in self.model.tokenize(plain if on_line else self.space + plain)])
+            out[i] = line + ids if on_line else ids
+        for at in range(0, len(rest), 2000):
+            some = rest[at:at + 2000]
+            for i, ids in zip(some, self._chain([" " + words[i] if byte and words[i][:1] not in (" ", "\n") else words[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        memo, older = self.memo, self.older
+        words, stems, split = [], set(), []
+        for part in new:
+            known = older.get(part)
+            if known is not None:
+                memo[part] = known
+            elif part[-1].isalnum() or not (cut := _STEM.fullmatch(part)):
+                words.append(part)
+            else:
+                split.append((part, cut[1], cut[2]))
+                stems.add(cut[1])
+        for stem in stems - memo.keys() - new:
+            if stem in older:
+                memo[stem] = older[stem]
+            else:
+                words.append(stem)
+        memo.update(zip(words, self._words(words)))
+        self._learn_bare({tail for _, _, tail in split})
+        for part, stem, tail in split:
+            memo[part] = memo[stem] + self.bare[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for a null or empty text."""
-        if len(self.memo) > MEMO_ENTRIES or self.held > MEMO_BYTES:
-            self.memo, self.held = {}, 0
-        memo = self.memo
-        cut = [self.parts(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in memo})
-        for at in range(0, len(new), 2000):
-            some = new[at:at + 2000]
-            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                memo[part] = ids = np.array(e.ids, dtype="<u4").tobytes()
-                self.held += len(ids) + len(part)
-        return [b"".join([memo[p] for p in parts]) for parts in cut]
+        if self.kind == "whole":
+            done = iter(self._chain([t for t in texts if t]))
+            return [next(done) if t else b"" for t in texts]
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo, self.older = {}, self.memo
+        if len(self.bare) > MEMO_ENTRIES // 10:
+            self.bare = {}
+        cut = [self.parts(t) if t else None for t in texts]
+        heads = [p[0] if p else "" for p in cut]
+        for p in cut:
+            if p:
+                p[0] = ""
+        self._learn_bare({*heads, " ", "\n"})
+        new = set().union(*[p for p in cut if p]) - self.memo.keys() if any(cut) else set()
+        new.discard("")
+        self._learn(new)
+        memo, bare = self.memo, self.bare
+        memo[""] = b""
+        gap = bare[" "] if self.kind == "byte" else b""
+        out = []
+        for head, p in zip(heads, cut):
+            if not p:
+                out.append(b"")
+                continue
+            rest = p[1:]
+            middle = [memo[x] for x in rest] if "" not in rest or not gap else [memo[x] if x else gap for x in rest]
+            out.append(b"".join([bare[head], *middle]))
+        return out
 
 
 def tokenizer(path: str) -> MemoTokenizer:
