@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators.events import ELIGIBILITY, FEATURES, OUTCOMES, RETAINED_RAW
@@ -66,19 +67,52 @@ def out_of_fold(events: DataFrame, folds: DataFrame, factory=None, k: int = N_FO
     return out.select("participant_id", "event_id", "us", "fold", "grp", F.col("label_exceeds_180").alias("y"), "p", "train_prevalence")
 
 
-def contributions(model: GBTClassificationModel, events: DataFrame, background: DataFrame, n_background: int = 8) -> DataFrame:
-    """Exact interventional Shapley values of the three features on the log-odds; a row sums to its log-odds.
+def _cuts(model: GBTClassificationModel) -> list[list[float]]:
+    """The values each feature is split at in any tree; at most the model's bins."""
+    found: list[set[float]] = [set() for _ in BASELINE_FEATURES]
+    for index, value in re.findall(r"feature (\d+) <= ([-+0-9.eE]+)", model.toDebugString):
+        if int(index) % 2 == 0:  # odd ones are the missing-value indicators
+            found[int(index) // 2].add(float(value))
+    return [sorted(c) for c in found]
 
-    All 8 coalitions times a fixed small background become rows of one transform; the weights of three-player Shapley values recombine them."""
+
+def contributions(model: GBTClassificationModel, events: DataFrame, background: DataFrame) -> DataFrame:
+    """Exact interventional Shapley values of the three features on the log-odds, against the whole background; a row sums to its log-odds.
+
+    The trees see a value only through the interval between two split values that it lies in, so the background is one count per cell of intervals, and
+    each of the 8 coalitions is evaluated once per cell: a table bounded by the model, whatever the number of rows. Events look their cells up."""
     from pyspark.ml.functions import vector_to_array
-    # a deterministic background sample by hash order, a fixed number of rows
-    bg = background.orderBy(F.xxhash64("event_id"), "event_id").limit(n_background).select(*BASELINE_FEATURES).collect()
-    refs = F.array(*[F.struct(*[F.lit(None if v is None else float(v)).cast("double").alias(f) for f, v in zip(BASELINE_FEATURES, row, strict=True)]) for row in bg])
-    masks = F.array(*[F.lit(m) for m in range(8)])
-    x = events.select("event_id", *[F.col(f).alias(f"x_{f}") for f in BASELINE_FEATURES]).withColumn("mask", F.explode(masks)).withColumn("ref", F.explode(refs))
-    mixed = x.select("event_id", "mask", *[F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.col(f"x_{f}")).otherwise(F.col(f"ref.{f}")).alias(f) for i, f in enumerate(BASELINE_FEATURES)])
-    score = model.transform(_vector(mixed)).withColumn("margin", 2 * vector_to_array("rawPrediction")[1])
-    v = score.groupBy("event_id").agg(*[F.avg(F.when(F.col("mask") == m, F.col("margin"))).alias(f"v{m}") for m in range(8)])
+    cuts = _cuts(model)
+    bins = [f"b{i}" for i in range(3)]
+
+    def interval(f: str, cut: list[float]) -> Column:
+        """How many split values lie below; -1 for a missing value."""
+        below = F.size(F.filter(F.array(*[F.lit(c) for c in cut]), lambda c: F.col(f) > c)) if cut else F.lit(0)
+        return F.when(F.col(f).isNull(), -1).otherwise(below)
+
+    def binned(df: DataFrame) -> DataFrame:
+        at = [interval(f, cut).alias(b) for b, f, cut in zip(bins, BASELINE_FEATURES, cuts, strict=True)]
+        return df.select(*[c for c in ("event_id",) if c in df.columns], *at)
+
+    counts = stage(binned(background).groupBy(*bins).agg(F.count(F.lit(1)).alias("n")), "background")
+    cells = None
+    for mask in range(8):
+        own = [i for i in range(3) if mask >> i & 1]
+        part = counts.groupBy(*[bins[i] for i in range(3) if i not in own]).agg(F.sum("n").alias("n"))
+        for i in own:
+            part = part.withColumn(bins[i], F.explode(F.sequence(F.lit(-1), F.lit(len(cuts[i])))))
+        part = part.select(F.lit(mask).alias("mask"), *bins, "n")
+        cells = part if cells is None else cells.unionByName(part)
+    # any value of an interval stands for it: its upper end, or one above the last
+    inside = [F.array(*[F.lit(c) for c in (*cut, cut[-1] + 1.0 if cut else 0.0)]) for cut in cuts]
+    values = cells.withColumns({f: F.when(F.col(b) >= 0, F.element_at(v, F.col(b) + 1)) for f, b, v in zip(BASELINE_FEATURES, bins, inside, strict=True)})
+    margin = 2 * vector_to_array("rawPrediction")[1]
+    key = ["mask", "k0", "k1", "k2"]
+    in_mask = [F.when(F.expr(f"mask & {1 << i}") > 0, F.col(b)).otherwise(-2).alias(f"k{i}") for i, b in enumerate(bins)]
+    mean = (model.transform(_vector(values)).select("mask", *in_mask, "n", margin.alias("margin"))
+            .groupBy(*key).agg((F.sum(F.col("margin") * F.col("n")) / F.sum("n")).alias("v")))
+    asked = binned(events).withColumn("mask", F.explode(F.array(*[F.lit(m) for m in range(8)]))).select("event_id", "mask", *in_mask)
+    v = asked.join(stage(mean, "coalitions"), key).groupBy("event_id").agg(*[F.max(F.when(F.col("mask") == m, F.col("v"))).alias(f"v{m}") for m in range(8)])
     out = {}
     for i, f in enumerate(BASELINE_FEATURES):
         b = 1 << i

@@ -204,3 +204,30 @@ def test_fingerprint_ignores_order_and_sees_changes(spark, events):
     a = fo.fingerprint(events, cols).first().fingerprint
     assert fo.fingerprint(events.orderBy(F.rand(1)), cols).first().fingerprint == a
     assert fo.fingerprint(events.withColumn("carbs_g", F.col("carbs_g") + F.when(F.col("event_id") == "p00-m000", 1e-6).otherwise(0.0)), cols).first().fingerprint != a
+
+
+def test_contributions_are_shapley_values_over_the_whole_background(spark):
+    import random
+
+    from pyspark.ml.functions import vector_to_array
+
+    from anchorline.operators import boosted
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        x = [None if rng.random() < 0.15 else round(rng.uniform(0, 9), 1) for _ in range(3)]
+        rows.append((f"e{i}", *x, int(sum(v or 0 for v in x) + rng.gauss(0, 2) > 12)))
+    df = spark.createDataFrame(rows, "event_id string, carbs_g double, baseline_glucose double, activity_level double, label_exceeds_180 int")
+    model = boosted.fit(df, trees=6)
+    few = df.limit(4)
+    mixed = [(a[0], m, *[a[1 + i] if m >> i & 1 else b[1 + i] for i in range(3)]) for a in few.collect() for m in range(8) for b in rows]
+    scored = model.transform(boosted._vector(spark.createDataFrame(mixed, "event_id string, mask int, carbs_g double, baseline_glucose double, activity_level double")))
+    means = scored.withColumn("v", 2 * vector_to_array("rawPrediction")[1]).groupBy("event_id", "mask").avg("v")
+    v = {(r[0], r[1]): r[2] for r in means.collect()}
+    for r in boosted.contributions(model, few, df).collect():
+        e = r["event_id"]
+        assert r["bias"] == pytest.approx(v[e, 0]) and r["log_odds"] == pytest.approx(v[e, 7])
+        for i, f in enumerate(boosted.BASELINE_FEATURES):
+            b, j, k = 1 << i, *[1 << q for q in range(3) if q != i]
+            want = (v[e, b] - v[e, 0]) / 3 + (v[e, b | j] - v[e, j]) / 6 + (v[e, b | k] - v[e, k]) / 6 + (v[e, 7] - v[e, j | k]) / 3
+            assert r[f"contribution_{f}"] == pytest.approx(want)
