@@ -3,7 +3,8 @@
 Every line's 128-bit hash goes to a range partition, sorted by (hash, document, position), and a stream over the sorted rows sees the first
 document of each line before any other. The ranges are cut over (hash, document, position), so one line that a third of all documents hold is
 spread over many partitions like any other rows. Such a line may begin in an earlier partition: each partition therefore also reports the
-smallest document of its first and last line, and the rows of its first line are decided against those reports (two rows per partition).
+smallest document of its first and last line, and the rows of its first line are decided against those reports, which are broadcast (two rows
+per partition).
 The decisions come back as one compressed keep bitmap per document, never as text.
 
 A line's key is the line without white space at its ends, with A-Z lower-cased. Keys of fewer than `min_chars` code points never count.
