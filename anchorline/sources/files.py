@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,15 +39,18 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 system, name = fs.FileSystem.from_uri(path)
                 with system.open_input_stream(name) as s:
-                    first = s.read(65_536).decode("utf-8-sig", "replace").splitlines()[0]
-                out.append((path, [c.strip() for c in first.split(",")]))
+                    line = b""
+                    while b"\n" not in line and (more := s.read(65_536)):
+                        line += more
+                first = line.decode("utf-8-sig", "replace").splitlines()[0]
+                out.append((path, [c.strip() for c in next(csv.reader([first]))]))
             except Exception:  # noqa: BLE001
                 out.append((path, None))
         yield pd.DataFrame(out, columns=["path", "columns"])
 
 
 def discover_participant_files(spark: SparkSession, root: str, required=REQUIRED) -> DataFrame:
-    """CSV files whose (trimmed) header holds the required columns, whatever the file is called. Only the first block of a file is read."""
+    """CSV files whose (trimmed) header holds the required columns, whatever the file is called. A file is read up to the end of its first line."""
     csv = scan_directory(spark, root).where(F.col("ext") == "csv").select("path")
     h = csv.mapInPandas(_headers, "path string, columns array<string>")
     need = F.array(*[F.lit(c) for c in required])

@@ -131,3 +131,14 @@ def test_duplicate_requests_are_dropped(spark, tmp_path):
     out = st.first_requests(feed(spark, df, str(tmp_path / "in"), [(0, 1 << 62)]))
     st.run_to_table(out, str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2"]
+
+
+def test_header_of_any_length_and_with_quotes(tmp_path):
+    import pandas as pd
+
+    from anchorline.sources.files import _headers
+    wide = ",".join(["Timestamp", "Meal Type", '"a, quoted name"', *[f"column number {i}" for i in range(9000)]])
+    (tmp_path / "wide.csv").write_text(wide + "\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = next(_headers(iter([pd.DataFrame({"path": [f"file://{tmp_path}/wide.csv", f"file://{tmp_path}/empty.csv"]})])))
+    assert got["columns"][0][:3] == ["Timestamp", "Meal Type", "a, quoted name"] and len(got["columns"][0]) == 9003 and got["columns"][1] is None
