@@ -29,7 +29,9 @@ from anchorline.llm.common import column, pick, steps
 from anchorline.session import stage
 
 #: Letters from which a term may be misspelled, lengths of word beginnings tried as terms, most terms kept, and most words remembered.
-FUZZY_FROM, STEMS, MAX_TERMS, MEMO = 5, (4, 5, 6, 7, 8), 4000, 400_000
+#: Beyond STATES automaton states, or MEMO words, both are made anew; STEP bytes of text are counted at once when terms are.
+STATES, STEP = 20_000, 1 << 20
+FUZZY_FROM, STEMS, MAX_TERMS, MEMO = 5, (4, 5, 6, 7, 8), 4000, 150_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _OPEN, _CLOSE = "\"'“„«‹‘", "\"'”“»›’"
 FEATURES = 7
@@ -125,7 +127,7 @@ class Lexicon:
         """(1, weight) of a term or beginning, (2, weight) of a misspelled term, or nothing."""
         if word in self.memo:
             return self.memo[word]
-        if len(self.memo) > MEMO or len(self.states) > 200_000:
+        if len(self.memo) > MEMO or len(self.states) > STATES:
             self._start()
         found = self.memo[word] = self._read(bare(word))
         return found
@@ -212,7 +214,7 @@ def _once(training: DataFrame) -> DataFrame:
 def _terms(training: DataFrame) -> DataFrame:
     """(term, begins, toxic, clean): documents that hold each word and word beginning, counted per step and then in Spark."""
     def run(batches):
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP):
             counts: tuple[Counter, Counter] = Counter(), Counter()
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = {bare(w) for w in text.lower().split()} - {""}
