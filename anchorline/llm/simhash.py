@@ -14,9 +14,14 @@ Candidates are verified on all bits inside the bucket they share, and a bucket g
 pairs. A bucket above BLOCK rows is cut into block pairs. As equal fingerprints are collapsed first, the members of a dense bucket are distinct
 points of a small Hamming ball, which bounds it whatever the number of copies.
 
-Sixty-four bits tell apart similarities near 1. For a similarity such as 0.8 of five-word shingles, `copies` fingerprints are taken from one pass over
-the shingles; each copy is probed, so that a pair meets in one of many partitions, and `total` bounds the distance over all copies' bits: two texts of
-Jaccard similarity j differ in about arccos(2 j / (1 + j)) / pi of them. `similar_bits` gives that bound.
+Sixty-four bits tell apart similarities near 1. For lower ones, `copies` fingerprints are taken from one pass over the shingles; each copy is probed, so that
+a pair meets in one of many partitions, and `total` bounds the distance over all copies' bits: two texts of Jaccard similarity j differ in about
+arccos(2 j / (1 + j)) / pi of them. `similar_bits` gives that bound. Both are estimates: they find candidates and decide nothing exactly.
+
+`keep_one` decides by the exact Jaccard similarity of the sets of shingles. Equal sets are collapsed. Candidates share all ROWS minima of one of BANDS groups of
+hash functions and enough minima altogether; both limits follow from the binomial law, whatever the length of the texts, and a pair at the bound is missed
+with a chance of about (1 - j ** ROWS) ** BANDS + MISS. Candidates tie documents to loose groups. Inside a loose group every two sets are compared exactly,
+in cells of bounded rows and shingles, and only what passes is an edge.
 
 Inputs. A null or empty text, or one of white space, has fingerprint zero and is linked like any other. Rows with a null id get a fingerprint but no
 component, and link nothing. Rows with equal ids or equal texts each get a row. An empty table gives an empty result. Further columns are ignored."""
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.common import column, pick, steps
+from anchorline.llm.common import column, pick, spread, steps, text_key
 from anchorline.llm.components import Forest, cells, connected_components, each_offset, whole_runs
 from anchorline.session import stage
 
@@ -278,11 +283,157 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     return fps.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, copies: int = 8, radius: int = 3, partitions: tuple[int, ...] = (4,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# ---- exact similarity of shingle sets ----------------------------------------------------------------------------------------------------
+#: Minima of a band and bands of a sketch; chance that the count of equal minima rejects a pair at the bound.
+ROWS, BANDS, MISS = 4, 24, 1e-6
+#: Documents and shingles of a block of a large group.
+SETS, SHINGLES = 512, 1 << 20
+#: Counters of the bound on an intersection.
+COUNTERS = 1024
+_ODD = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, (2, ROWS * BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("minima", pa.binary()), ("bands", pa.binary())])
+
+
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, cut as in `fingerprint`."""
+    words = (text or "").encode().lower().split()
+    last, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i:i + last]), seed) for i in range(len(words) - last + 1)] if words else [], np.uint64))
+
+
+def equal_minima(jaccard: float, miss: float = MISS) -> int:
+    """The most equal minima that a pair of this similarity falls short of with a chance of at most `miss`."""
+    n, below = ROWS * BANDS, 0.0
+    for k in range(n + 1):
+        below += comb(n, k) * jaccard**k * (1 - jaccard) ** (n - k)
+        if below > miss:
+            return k
+    return n
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte of each minimum, and a 64-bit key of each band. An empty set has zeros."""
+    least = np.full(ROWS * BANDS, 2**64 - 1, np.uint64) if len(hashes) else np.zeros(ROWS * BANDS, np.uint64)
+    for at in range(0, len(hashes), 1 << 11):
+        x = hashes[at:at + (1 << 11), None] * _ODD[0] + _ODD[1]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(_MULTIPLY[0])
+        least = np.minimum(least, x.min(0))
+    mixed = _copy(least, 1)
+    keys = np.zeros(BANDS, np.uint64)
+    for row in mixed.reshape(BANDS, ROWS).T:
+        keys = _copy(keys ^ row, 1)
+    return mixed.astype(np.uint8).tobytes(), _copy(keys + np.arange(BANDS, dtype=np.uint64), 1).tobytes()
+
+
+def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    def run(batches):
+        for batch in steps(batches):
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            minima, bands = zip(*map(sketch, sets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
+                                              pa.array(minima, pa.binary()), pa.array(bands, pa.binary())], schema=_SKETCH)
+
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, set_key binary, n bigint, minima binary, bands binary")
+
+
+def _flat(column_: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column_.to_pylist()), kind)
+
+
+def candidate_edges(classes: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): a spanning forest of every band bucket's pairs that share enough minima."""
+    keys, least = ["band", "b1", "b2"], equal_minima(jaccard)
+
+    def index(batches):
+        for batch in batches:
+            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(_flat(batch.column(2), np.int64)), batch.column(1).take(at), batch.column(0).take(at)], names=["band", "minima", "node"])
+
+    def run(batches):
+        for table, starts in whole_runs(batches, keys):
+            minima, node = _flat(table.column("minima"), np.uint8).reshape(-1, ROWS * BANDS), table.column("node").to_numpy()
+            forest = Forest(len(node))
+
+            def compare(i, j):
+                apart = forest.root[i] != forest.root[j]
+                i, j = i[apart], j[apart]
+                near = np.count_nonzero(minima[i] == minima[j], axis=1) >= least
+                forest.join(i[near], j[near])
+
+            each_offset(starts, len(node), compare)
+            tied = forest.root != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[forest.root[tied]])], names=["a", "b"])
+
+    rows = classes.select("node", "minima", "bands").mapInArrow(index, "band bigint, minima binary, node bigint")
+    return cells(rows, ["band"], "minima", BLOCK).select(*keys, "minima", "node").mapInArrow(run, "a bigint, b bigint").where("a <> b")
+
+
+def tie_similar(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """Root of each set in the graph of pairs with at least this Jaccard similarity, by exact intersections.
+
+    An intersection is at most the sum of the smaller counts of hashes modulo COUNTERS, which spares most pairs of a large group the intersection."""
+    n, forest = np.array([len(x) for x in sets]), Forest(len(sets))
+    counts = np.array([np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for x in sets], np.int32) if len(sets) > 16 else None
+
+    def enough(inter, i, j):
+        return inter / np.maximum(n[i] + n[j] - inter, 1) >= jaccard
+
+    def compare(i, j):
+        keep = (forest.root[i] != forest.root[j]) & enough(np.minimum(n[i], n[j]), i, j)
+        i, j = i[keep], j[keep]
+        if counts is not None and len(i):
+            keep = enough(np.minimum(counts[i], counts[j]).sum(1), i, j)
+            i, j = i[keep], j[keep]
+        if len(i):
+            near = enough(np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())]), i, j)
+            forest.join(i[near], j[near])
+
+    each_offset(np.array([0]), len(sets), compare)
+    return forest.root
+
+
+def similar_edges(rows: DataFrame, classes: DataFrame, loose: DataFrame, jaccard: float, shingle: int) -> DataFrame:
+    """(a, b): a spanning forest of each cell's pairs of loosely tied documents that are similar by exact count. `rows`: doc_id, text_key, text."""
+    keys = ["component", "b1", "b2"]
+    members = classes.select("node", "text_key", "n").join(loose, "node")
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("bigint").alias("__n"))
+    members = members.join(blocks, "component").withColumnRenamed("node", "doc_id")
+    found = rows.join(members, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+
+    def cut(batches):
+        for batch in steps(batches, size=1 << 20):
+            held = [shingle_set(t, shingle).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(held, pa.binary())], names=["component", "doc_id", "text_key", "__n", "hashes"])
+
+    def run(batches):
+        for table, starts in whole_runs(batches, keys):
+            node = table.column("doc_id").to_numpy()
+            for at, to in zip(starts, [*starts[1:], len(node)]):
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").slice(at, to - at).to_pylist()]
+                root, own = tie_similar(sets, jaccard), node[at:to]
+                tied = root != np.arange(len(root))
+                yield pa.RecordBatch.from_arrays([pa.array(own[tied]), pa.array(own[root[tied]])], names=["a", "b"])
+
+    dealt = (found.select("component", "doc_id", "text_key", "__n", "text").mapInArrow(cut, "component bigint, doc_id bigint, text_key bigint, __n bigint, hashes binary")
+             .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("__n")))
+             .withColumn("__o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+             .withColumn("b1", F.least("block", "__o")).withColumn("b2", F.greatest("block", "__o")))
+    return dealt.select(*keys, "doc_id", "hashes").repartition(spread(rows), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").where("a <> b")
+
+
+def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows of one document of each group of similar documents, the one with the smallest id; of rows with that id, one. Rows with a null id stay.
 
-    Each copy's partitions of sixteen bits bring together what may be similar; the distance over all copies decides."""
-    near = near_duplicates(docs, radius, shingle, copies=copies, total=similar_bits(jaccard, copies), partitions=partitions, id_col=id_col, text_col=text_col)
-    keep = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    Groups: reachable over pairs whose sets of shingles have at least this Jaccard similarity. Empty sets are equal."""
+    rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
+    sketches = stage(_sketches(rows, shingle), "sketches")
+    # a class has one set, so one n and one sketch
+    classes = stage(sketches.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands"))
+                    .select("set_key", F.col("r.doc_id").alias("node"), F.col("r.text_key").alias("text_key"), "n", "minima", "bands"), "classes")
+    loose = connected_components(candidate_edges(classes, jaccard))
+    found = connected_components(similar_edges(rows, classes, loose, jaccard, shingle))
+    groups = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    keep = sketches.select("doc_id", "set_key").join(groups, "set_key").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, column(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(column(id_col).isNull()))

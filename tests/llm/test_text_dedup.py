@@ -159,6 +159,33 @@ def test_similar_documents_leave_one(spark):
     assert near.count() == len(rows) and near.where("doc_id IS NULL AND component_id IS NOT NULL").count() == 0
 
 
+def shingles_by_hand(text):
+    w = re.findall("[^\x20\x09-\x0d]+", lower(text or ""))
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+
+def jaccard_by_hand(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_similarity_is_decided_exactly_near_the_bound(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SETS", block)
+    rng = random.Random(12)
+    base = [prose(rng, rng.choice((8, 30, 90, 200, 600))).split() for _ in range(120)]
+    texts = [" ".join(w) for w in base]
+    for w in base:  # a changed tail of one in eight to one in twelve of the words: similarities of about 0.7 to 0.85
+        cut = max(1, round(len(w) / rng.uniform(6, 12)))
+        texts.append(" ".join([*w[:-cut], *prose(rng, cut).split()]))
+    texts += [" ".join(["the same six words again and"] * 20 + base[0]), *[" ".join(base[1][:-k]) for k in range(1, 40)], "", None, "one two", "ONE two"]
+    sets = [shingles_by_hand(t) for t in texts]
+    alike = [[jaccard_by_hand(a, b) for b in sets] for a in sets]
+    assert sum(0.7 < alike[i][i + 120] < 0.8 for i in range(120)) > 15 < sum(0.8 <= alike[i][i + 120] < 0.9 for i in range(120))
+    root = components(list(range(len(texts))), lambda i, j: alike[i][j] >= 0.8)
+    assert {r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()} == set(root)
+
+
 def test_components_of_paths_stars_and_hubs(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUBS", 5)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(500, 499), (7, 7)]
