@@ -3,9 +3,13 @@
 Every window of `window` consecutive words is hashed (Rabin-Karp: polynomial hashes of words, then a polynomial over the words, from running sums), and a
 window is repeated if its hash starts anywhere else, in the same document or another. Windows are counted where they meet: each belongs to its anchor,
 the smallest hash among its runs of `anchor` words, so equal windows have equal anchors, and neighbouring windows mostly share one. A row of the shuffle
-is a run of neighbouring windows with one anchor, with 48 bits of each window's hash beside the 64 bits of the anchor; that is a few bytes per window
-instead of a record. Before the shuffle a step counts its own windows: those repeated inside it are settled, and of each only one goes on, so a passage
-that every document holds costs one row per step.
+is a run of neighbouring windows with one anchor, with the 64 bits of each window's hash; that is a few bytes per window instead of a record. Before the
+shuffle a step counts its own windows: those repeated inside it are settled, and of each only one goes on, so a passage that every document holds costs
+one row per step.
+
+A phrase of an anchor's length may stand in any share of the documents, in windows that all differ. A first pass therefore counts the windows of every
+anchor. An anchor with more than GROUP of them is keyed by some bits of the window's hash besides, enough for about GROUP windows under each key: equal windows still
+meet, and no task holds a group that grows with the table. There are fewer than windows / GROUP such anchors.
 
 Repeated windows of a document merge into maximal intervals of words, which are joined back to the texts.
 
@@ -28,6 +32,8 @@ from anchorline.llm.components import whole_runs
 
 #: Text bytes counted together before the shuffle.
 STEP = 2 << 20
+#: Windows that one task compares together.
+GROUP = 1 << 18
 #: Odd multipliers of the two polynomials, and of the final mixing (the 64-bit finaliser of MurmurHash3). Fixed values.
 WORD, SEQUENCE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -90,13 +96,13 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(m[:len(m) - rest], m[rest:]) if rest else m
 
 
-def _window_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordBatch]:
+def _windows(batch: pa.RecordBatch, window: int, anchor: int):
+    """Of the windows that go on or are settled: first word, hash, anchor, document, first word of each document, and which are the first of their hash or repeated here."""
     texts = [t.encode() if t else b"" for t in batch.column(2).to_pylist()]
-    doc_id, key = batch.column(0).cast(pa.int64()), batch.column(1)
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
     start, end = words_of(raw)
     if len(start) < window:
-        return []
+        return None
     bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     doc = np.searchsorted(bounds, start, "right") - 1
     first_word = np.searchsorted(doc, np.arange(len(texts)))
@@ -105,7 +111,7 @@ def _window_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.Rec
     hashes, anchors = rolling.of(window), sliding_min(rolling.of(anchor), window - anchor + 1)
     at = np.flatnonzero(doc[:m] == doc[window - 1:])
     if not len(at):
-        return []
+        return None
     hashes, anchors = hashes[at], anchors[at]
     order = np.argsort(hashes, kind="stable")
     new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
@@ -113,6 +119,37 @@ def _window_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.Rec
     first, repeated = np.zeros(len(at), bool), np.zeros(len(at), bool)
     first[order[new]] = True
     repeated[order] = np.repeat(counts > 1, counts)
+    return at, hashes, anchors, doc, first_word, first, repeated
+
+
+def _count_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordBatch]:
+    """How many windows of each anchor go on."""
+    got = _windows(batch, window, anchor)
+    if got is None:
+        return []
+    own, n = np.unique(got[2][got[5]], return_counts=True)
+    return [pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["anchor", "n"])]
+
+
+def split_keys(anchors: np.ndarray, hashes: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The anchor, or for one of the sorted large anchors a mix of it with as many high bits of the window's hash as `large` says."""
+    own, bits = large
+    if not len(own):
+        return anchors
+    found = np.minimum(np.searchsorted(own, anchors), len(own) - 1)
+    hot = np.flatnonzero(own[found] == anchors)
+    out = anchors.copy()
+    out[hot] = _mix(anchors[hot] + (hashes[hot] >> (_U(64) - bits[found[hot]])) * _U(SEQUENCE))
+    return out
+
+
+def _window_rows(batch: pa.RecordBatch, window: int, anchor: int, large: tuple[np.ndarray, np.ndarray]) -> list[pa.RecordBatch]:
+    got = _windows(batch, window, anchor)
+    if got is None:
+        return []
+    at, hashes, anchors, doc, first_word, first, repeated = got
+    doc_id, key = batch.column(0).cast(pa.int64()), batch.column(1)
+    anchors = split_keys(anchors, hashes, large)
     out = []
 
     def rows(keep, same, hashed):
@@ -124,8 +161,8 @@ def _window_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.Rec
         size = np.diff([*head, len(i)])
         word, where = at[i[head]], doc[at[i[head]]]
         if hashed:
-            data = np.ascontiguousarray(hashes[i]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 6]).astype(np.int32)), pa.py_buffer(data)])
+            data = hashes[i].astype("<u8").tobytes()
+            blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32)), pa.py_buffer(data)])
             keyed = anchors[i[head]].view(np.int64)
         else:
             blobs, keyed = pa.nulls(len(head), pa.binary()), _mix(word.astype(_U)).view(np.int64)
@@ -152,10 +189,7 @@ def _spans_of(batches, window: int):
             yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(i)), key.take(pa.array(i)), pa.array(at[i]), pa.array(at[i] + size[i] + window - 1)], schema=_SPAN)
         if not len(wanted):
             continue
-        raw = np.frombuffer(b"".join(blobs.take(pa.array(wanted)).to_pylist()), np.uint8).reshape(-1, 6)
-        value = np.zeros((len(raw), 8), np.uint8)
-        value[:, :6] = raw
-        value = value.view("<u8").ravel()
+        value = np.frombuffer(b"".join(blobs.take(pa.array(wanted)).to_pylist()), "<u8")
         row = np.repeat(wanted, size[wanted])
         offset = np.arange(len(row)) - np.repeat(np.cumsum(size[wanted]) - size[wanted], size[wanted])
         order = np.lexsort((value, group[row]))
@@ -176,12 +210,21 @@ def _spans_of(batches, window: int):
 def spans(docs: DataFrame, window: int = 35, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, start, end): words [start, end) of a document that repeated windows cover; intervals of one document may touch or overlap."""
     anchor = min(anchor, window)
+    texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("text_key"), "text")
+
+    def tally(batches):
+        for batch in steps(batches, size=STEP):
+            yield from _count_rows(batch, window, anchor)
+
+    counts = texts.mapInArrow(tally, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
+    over = sorted((r["anchor"] & (2**64 - 1), (-(-r["n"] // GROUP) - 1).bit_length()) for r in counts.collect())  # fewer than windows / GROUP
+    large = np.array([a for a, _ in over], _U), np.array([b for _, b in over], _U)
 
     def find(batches):
         for batch in steps(batches, size=STEP):
-            yield from _window_rows(batch, window, anchor)
+            yield from _window_rows(batch, window, anchor, large)
 
-    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(find, "anchor bigint, doc_id bigint, text_key bigint, start bigint, n bigint, hashes binary")
+    rows = texts.mapInArrow(find, "anchor bigint, doc_id bigint, text_key bigint, start bigint, n bigint, hashes binary")
     met = rows.repartition(spread(docs), "anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(lambda b: _spans_of(b, window), "doc_id bigint, text_key bigint, start bigint, end bigint")
 

@@ -89,6 +89,40 @@ def test_passages(spark, monkeypatch, step):
             assert r["text"] == text
 
 
+def test_no_group_of_an_anchor_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(substring, "GROUP", 64, raising=False)
+    monkeypatch.setattr(substring, "STEP", 3000)
+    rng = random.Random(8)
+    phrase, shared = prose(rng, 20), [prose(rng, 40) for _ in range(3)]
+    texts = [" ".join([prose(rng, 40), phrase, prose(rng, 40), *([f"{s} {phrase} {s}" for s in [rng.choice(shared)]] if i % 5 == 0 else [])]) for i in range(150)]
+    largest = []
+    whole_runs = substring.whole_runs
+
+    def watched(batches, keys):
+        for table, starts in whole_runs(batches, keys):
+            n = np.where(np.asarray(table.column("hashes").combine_chunks().is_null()), 0, table.column("n").to_numpy())
+            largest.append(int(np.add.reduceat(n, starts).max()))
+            yield table, starts
+
+    docs = documents(spark, texts)
+    got = substring.apply(docs, counts=("n", "gone")).orderBy("doc_id").collect()
+    assert [(r["n"], r["gone"]) for r in got] == [w[:2] for w in passages_by_hand(texts, 35)]
+    # the second pass, in this process
+    rows = []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **b: (rows.append(self.toArrow().to_batches()) if "anchor" in self.columns else None, real(self, f, schema, *a, **b))[1])
+    substring.spans(docs)
+    monkeypatch.setattr(substring, "whole_runs", watched)
+    for _ in substring._spans_of(iter(sorted_by_anchor(rows[-1])), 35):
+        pass
+    assert largest and max(largest) < 4 * 64
+
+
+def sorted_by_anchor(batches):
+    import pyarrow as pa
+    return pa.Table.from_batches(batches).sort_by("anchor").combine_chunks().to_batches()
+
+
 def test_passages_of_odd_rows(spark):
     docs, rows = odd_rows(spark)
     got = substring.apply(docs)
