@@ -79,7 +79,7 @@ def permutation_test(spark, sf):
 
 @query("period_scan")
 def period_scan(spark, sf):
-    t = stage(sg.permutation_test(stage(sg.clipped(diff(spark, sf)), "points"), list(range(2, 13))), "scan")
+    t = stage(sg.permutation_test(stage(sg.clipped(diff(spark, sf)), "points"), list(range(2, 31))), "scan")
     return t.select("participant_id").distinct().join(sg.fundamental_period(t), "participant_id", "left")
 
 

@@ -112,3 +112,9 @@ def test_scalar_text_rules(spark):
     assert [tuple(r) for r in a] == [(5.4, True), (5.4, False), (None, False), (6.0, False)]
     p = spark.createDataFrame([("subject-12\\S12.csv",), ("a/participant_3.parquet",), ("p01/p01/x.txt",)], "s string").select(lb.redact_path("s")).collect()
     assert [r[0] for r in p] == ["<participant_id>/<participant_file>.csv", "a/<participant_file>.parquet", "<participant_id>/<participant_id>/x.txt"]
+
+
+def test_registered_scan_finds_long_periods(spark, monkeypatch):
+    from anchorline.plans import audit_queries
+    monkeypatch.setattr(audit_queries, "diff", lambda spark, sf: sg.differences(grid(spark, native(15, n=3000))))
+    assert audit_queries.period_scan(spark, None).first().fundamental_period == 15
