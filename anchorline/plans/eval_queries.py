@@ -413,7 +413,7 @@ def prior_adoption_screen(spark, sf):
     w = stage(cp.four_arms(four(spark, sf)), "arms")
     c = cp.contrast_differences(w, n_boot=N_BOOT)
     long = w.select("participant_id", "y", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"p_{a}").alias("p")) for a in _ARMN])).alias("x")).select("participant_id", "y", "x.*")
-    b = bo.rank_metric_bootstrap(long, list(_ARMN), n_boot=20)
+    b = bo.rank_metric_bootstrap(long, list(_ARMN), n_boot=N_BOOT)
     name = F.when(F.col("contrast") == "b_st_minus_b_eb", "b_stratified_minus_eb").when(F.col("contrast") == "c_st_minus_c_eb", "c_stratified_minus_eb")
     return cp.adoption_screen(c, b.withColumn("contrast", name))
 
@@ -423,7 +423,7 @@ def rank_bootstrap(spark, sf):
     """AUC, average precision, Brier and ECE intervals for both models and their difference, one common resample."""
     p = paired(spark, sf)
     long = cp.long_scores(p, []).select(F.col("model").alias("arm"), "participant_id", "p", "y")
-    return rounded(bo.rank_metric_bootstrap(long, ["B", "C"], n_boot=50), ["contrast", "metric", "n_draws_used", "n_draws_skipped", "excludes_zero"], ["ci_low", "ci_high"])
+    return rounded(bo.rank_metric_bootstrap(long, ["B", "C"], n_boot=N_BOOT), ["contrast", "metric", "n_draws_used", "n_draws_skipped", "excludes_zero"], ["ci_low", "ci_high"])
 
 
 @query("seed_sensitivity", with_(*_PQ, diff_sql("pq", []), *[boot_ctes("ds", [], _M3, seed=s, n=f"bt{s}") for s in (0, 1, 2)]) + f"""SELECT metric, {r('max(ci_low) - min(ci_low)')} AS low_spread, {r('max(ci_high) - min(ci_high)')} AS high_spread

@@ -167,3 +167,21 @@ def test_spearman_with_ties_and_constant_side(spark):
     s = ch.correlation(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a double, b double"), "a", "b").first()
     assert s.pearson == pytest.approx(np.corrcoef(a, b)[0, 1]) and s.spearman == pytest.approx(np.corrcoef(pd.Series(a).rank(), pd.Series(b).rank())[0, 1])
     assert ch.correlation(spark.createDataFrame([(1.0, 2.0)] * 4, "a double, b double"), "a", "b").first().pearson is None
+
+
+@pytest.mark.parametrize("name, least", [("rank_bootstrap", 2000), ("prior_adoption_screen", 2000), ("three_model_comparison", 1000)])
+def test_registered_rank_intervals_take_all_replicates(spark, monkeypatch, name, least):
+    from anchorline.operators import bootstrap
+    from anchorline.plans import eval_queries, extra_queries
+
+    class Asked(Exception):
+        pass
+
+    def asked(scored, arms, n_boot=200, **more):
+        raise Asked(n_boot)
+
+    monkeypatch.setattr(bootstrap, "rank_metric_bootstrap", asked)
+    monkeypatch.setattr(extra_queries, "TREES", 1)
+    with pytest.raises(Asked) as got:
+        getattr(extra_queries if name == "three_model_comparison" else eval_queries, name)(spark, "/root/testdata/sf0.001")
+    assert got.value.args[0] >= least
