@@ -150,9 +150,9 @@ def channel_verdicts(spark, sf):
     d = diff(spark, sf)
     test = stage(sg.permutation_test(stage(sg.clipped(d), "points"), [P]), "test")
     first = sg.permutation_test(stage(sg.clipped(d, "d1"), "points"), [P])
-    stab = sg.phase_stability(sg.block_phases(d, P, BLOCK, 1), test, P)
+    stab = sg.phase_stability(sg.block_phases(d, P, BLOCK), test, P)
     valid = d.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n_valid"))
-    v = sg.verdicts(test, first, stab, sg.knots(d, test, _tol(d), P), valid, 2)
+    v = sg.verdicts(test, first, stab, sg.knots(d, test, sg.resolution(grid(spark, sf)), P), valid, P)
     return v.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_participants"))
 
 

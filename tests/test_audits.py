@@ -118,3 +118,11 @@ def test_registered_scan_finds_long_periods(spark, monkeypatch):
     from anchorline.plans import audit_queries
     monkeypatch.setattr(audit_queries, "diff", lambda spark, sf: sg.differences(grid(spark, native(15, n=3000))))
     assert audit_queries.period_scan(spark, None).first().fundamental_period == 15
+
+
+def test_registered_verdict_needs_twenty_points_a_period(spark, monkeypatch):
+    from anchorline.plans import audit_queries
+    short = grid(spark, native(n=80))
+    monkeypatch.setattr(audit_queries, "grid", lambda spark, sf: short)
+    monkeypatch.setattr(audit_queries, "diff", lambda spark, sf: sg.differences(short))
+    assert [tuple(r) for r in audit_queries.channel_verdicts(spark, None).collect()] == [("insufficient_data", 1)]
