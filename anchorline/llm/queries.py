@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import ann, byte_bpe, embedding_dedup, line_dedup, packing, quality, simhash, substring, token_files, toxicity
+from anchorline.llm import ann, byte_bpe, embedding_dedup, line_dedup, merkle, packing, quality, sentence_bpe, simhash, substring, token_files, toxicity
 from anchorline.llm.labelled import fold, training_rows
 from anchorline.llm.tokens import vocabulary_path
 
@@ -103,3 +103,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ann")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_merkle")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    done = merkle.verify(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered, fold(F.col("doc_id"), 7) == 0)
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path("piece_bpe_32k.model")
+    done = sentence_bpe.decode(sentence_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
