@@ -107,22 +107,55 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_hard_negatives", """
 WITH v AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x
-  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0),
 p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
 SELECT anchor_id, positive_id, row_number() OVER w AS rank, other AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3
-WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)""")
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
-@query("op12_merkle")
+@query("op12_merkle", r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, n_chars, coalesce('1' || lang, '0') AS tree,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+         coalesce(strlen(text) || ':' || text, '-') AS after,
+         list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                     lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, tree, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(before || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || after) END AS other
+  FROM field),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+node(tree, level, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+subroot AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+top(level, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+step AS (
+  SELECT d.tree, d.pos, me.level AS seq, CASE WHEN s.h IS NULL THEN '-' WHEN me.pos % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END AS step
+  FROM placed d JOIN node me ON me.tree = d.tree AND me.pos = d.pos >> me.level AND me.n > 1 LEFT JOIN node s ON s.tree = d.tree AND s.level = me.level AND s.pos = xor(me.pos, 1)
+  UNION ALL
+  SELECT d.tree, d.pos, 1000 + me.level, CASE WHEN s.h IS NULL THEN '-' WHEN me.pos % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END
+  FROM placed d JOIN subroot r ON r.tree = d.tree JOIN top me ON me.pos = r.pos >> me.level AND me.n > 1 LEFT JOIN top s ON s.level = me.level AND s.pos = xor(me.pos, 1)),
+way AS (SELECT tree, pos, list(step ORDER BY seq) AS steps FROM step GROUP BY tree, pos),
+done AS (
+  SELECT d.doc_id, d.leaf, r.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(array_to_string(list_transform(coalesce(w.steps, []), lambda x: x[2:]), '')) AS proof_sha256,
+         list_reduce([coalesce(d.other, d.leaf)] || coalesce(w.steps, []), lambda now, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || now WHEN 'R' THEN now || x[2:] ELSE now END)) AS folded_root
+  FROM placed d JOIN subroot r USING (tree) LEFT JOIN way w ON w.tree = d.tree AND w.pos = d.pos)
+SELECT *, folded_root = root AS verified FROM done""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
     done = merkle.verify(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered, fold(F.col("doc_id"), 7) == 0)
