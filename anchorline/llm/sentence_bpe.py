@@ -10,7 +10,9 @@ then leftmost). That is exact where every piece is built by merges of higher sco
 that merging does not build from their own text can never occur and are left out of the automaton. Pieces that share a score (runs of one
 character) are compared by merging the joined text. Answers are remembered per Python worker, as are the ids of words.
 
-No piece holds a space mark after another character, so a text falls into words at its spaces. Characters outside the vocabulary become byte pieces
+No piece holds a space mark after another character, so a text falls into words at its spaces; nor does any go from a letter to the punctuation of
+`breaks` (found when the model is loaded), so a word and what ends it are looked up apart. Single characters need no test: where no longer match fits, the
+last token is the character. Characters outside the vocabulary become byte pieces
 and separate what stands beside them. Models are BPE with byte fallback and identity normalisation; any other is refused with a ValueError.
 
 Inputs. A null or empty text gives the end id alone. Rows are encoded one by one, so ties and repeated rows give repeated results; null ids are kept.
@@ -30,7 +32,9 @@ from pyspark.sql import DataFrame
 from anchorline.llm.common import pick, steps
 
 #: Entries and bytes of one generation of the memo of words (two are kept, so that what is frequent outlives what is not), and pairs remembered.
-MEMO_ENTRIES, MEMO_BYTES, PAIR_ENTRIES = 400_000, 32 << 20, 2_000_000
+MEMO_ENTRIES, MEMO_BYTES, PAIR_ENTRIES = 200_000, 16 << 20, 500_000
+#: Rows decoded at once.
+ROWS = 1024
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces, fixed by the model format
 _LOADED: dict[str, "PrefixBpe"] = {}
@@ -110,13 +114,17 @@ class PrefixBpe:
                 if highest > self.rank[i]:
                     raise ValueError(f"piece {i} is built by a merge of lower score than its own")
                 self.left[i], self.right[i] = last
-            self.automaton.add_word(p, (i, len(p)))
+                self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        letter = "[A-Za-z\u00c0-\u024f\u0400-\u04ff]"
+        inside = {c for p in self.ids for c in re.findall(f"(?<={letter})[!-/:-@\\[-`{{-~\n]", p)}
+        self.breaks = "".join(chr(c) for c in [10, *range(33, 127)] if not chr(c).isalnum() and chr(c) not in inside)
+        self.stem = re.compile(f"(.*?{letter})([{re.escape(self.breaks)}].*)", re.S).fullmatch if self.breaks else lambda text: None
 
     def merge(self, text: str, last_pair: bool = False):
         """Ids by the merges themselves, for short texts of known characters; with last_pair also the last two ids merged and the largest rank of a merge."""
@@ -162,40 +170,63 @@ class PrefixBpe:
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text of known characters."""
-        last, length, pairs = [-1] * (len(text) + 1), self.length, self.pairs
+        last, length, pairs, ids = [-1] * (len(text) + 1), self.length, self.pairs, self.ids
         for end, (token, n) in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
                 continue
             if end > n:
-                key = last[end - n] << 20 | token
+                before = last[end - n]
+                if before < 0:  # no longer match ended there
+                    before = last[end - n] = ids[text[end - n - 1]]
+                key = before << 20 | token
                 fits = pairs.get(key)
                 if fits is None:
                     if len(pairs) > PAIR_ENTRIES:
                         pairs.clear()
-                    fits = pairs[key] = self.compatible(last[end - n], token)
+                    fits = pairs[key] = self.compatible(before, token)
                 if not fits:
                     continue
             last[end] = token
         out, at = [], len(text)
         while at:
-            out.append(last[at])
-            at -= length[last[at]]
+            token = last[at]
+            if token < 0:
+                token = ids[text[at - 1]]
+            out.append(token)
+            at -= length[token]
         out.reverse()
         return out
 
+    def _remembered(self, text: str) -> bytes:
+        ids = self.memo.get(text)
+        if ids is None:
+            ids = self.older.get(text)
+            if ids is None:
+                known = self._known(text)
+                ids = struct.pack(f"<{len(known)}i", *known)
+            self.memo[text] = ids
+            self.held += len(ids) + 2 * len(text)
+        return ids
+
     def word(self, text: str) -> bytes:
-        if self.characters.issuperset(text):
-            ids = self._known(text)
-        else:
-            ids, start = [], 0
-            for i, c in enumerate(text):
-                if c not in self.characters:
-                    ids += self._known(text[start:i]) if i > start else []
-                    ids += [self.bytes[x] for x in c.encode()]
+        out, characters = [], self.characters
+        while text:
+            cut = self.stem(text)
+            head, text = (cut[1], cut[2]) if cut else (text, "")
+            if characters.issuperset(head):
+                out.append(self._remembered(head))
+                continue
+            start = 0
+            for i, c in enumerate(head):
+                if c not in characters:
+                    if i > start:
+                        out.append(self._remembered(head[start:i]))
+                    out += [struct.pack("<i", self.bytes[x]) for x in c.encode()]
                     start = i + 1
-            ids += self._known(text[start:]) if start < len(text) else []
-        return struct.pack(f"<{len(ids)}i", *ids)
+            if start < len(head):
+                out.append(self._remembered(head[start:]))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids without the end id, as little-endian 32-bit integers."""
@@ -241,9 +272,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in batches:
-            ids = batch.column(1).cast(pa.list_(pa.int32()))
-            text = [library.decode(x.as_py()) if x.is_valid else "" for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array(text, pa.string())], schema=out)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids = batch.column(1).cast(pa.list_(pa.int32()))
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+                text = [library.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array(text, pa.string())], schema=out)
 
     return pick(encoded, doc_id=id_col, ids=ids_col).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

@@ -4,14 +4,15 @@ Both supported kinds of vocabulary never let a token cross from a non-space char
 as the first character of a piece, word vocabularies drop white space. A text cut at those places therefore encodes to the same ids, and most
 of the cut parts have been seen before. Nor does a token cross from a letter to the punctuation that ends a part, so a word and its
 punctuation are remembered apart. New words of letters alone are one piece for the library's model; all else goes through its whole chain.
-Any other kind of tokenizer encodes whole texts."""
+Any other kind of tokenizer encodes whole texts, and so does a text that holds the first two characters of an added token ("<|"), as the library gives
+such a token inside a text its own id."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-from struct import pack
+from struct import Struct
 
 #: Entries of one generation of the memo. Two are kept, so that what is frequent outlives what is not.
 MEMO_ENTRIES = 300_000
@@ -21,8 +22,12 @@ _STEM = re.compile(r"(.*[^\W\d_])([!-/:-@\[-^`{-~]+)", re.S)
 _LOADED: dict[str, "MemoTokenizer"] = {}
 
 
+#: Packers of up to 63 ids.
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else Struct(f"<{len(ids)}I").pack(*ids)
 
 
 class MemoTokenizer:
@@ -31,7 +36,6 @@ class MemoTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # special strings inside a text are ordinary text
         self.model, self.normalizer = self.library.model, self.library.normalizer
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
@@ -42,6 +46,10 @@ class MemoTokenizer:
             self.kind = "byte"
         elif steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and {"type": "Lowercase"} in normal.get("normalizers", []):
             self.kind = "word"
+        #: Texts that hold one of these go through the library whole.
+        self.marks = {t["content"][:2] for t in plan.get("added_tokens", [])}
+        if any(m.lower() != m.upper() for m in self.marks):
+            self.kind = "whole"
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         # the characters that stand for bytes, as the library's byte level gives them
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -94,11 +102,10 @@ class MemoTokenizer:
     def _learn(self, new: set[str]) -> None:
         memo, older = self.memo, self.older
         words, stems, split = [], set(), []
-        for part in new:
-            known = older.get(part)
-            if known is not None:
-                memo[part] = known
-            elif part[-1].isalnum() or not (cut := _STEM.fullmatch(part)):
+        old = new & older.keys()
+        memo.update(zip(old, map(older.__getitem__, old)))
+        for part in new - old:
+            if part[-1].isalnum() or not (cut := _STEM.fullmatch(part)):
                 words.append(part)
             else:
                 split.append((part, cut[1], cut[2]))
@@ -122,26 +129,20 @@ class MemoTokenizer:
             self.memo, self.older = {}, self.memo
         if len(self.bare) > MEMO_ENTRIES // 10:
             self.bare = {}
-        cut = [self.parts(t) if t else None for t in texts]
-        heads = [p[0] if p else "" for p in cut]
-        for p in cut:
-            if p:
-                p[0] = ""
+        whole = [i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)]
+        cut = [self.parts(t) if t else [""] for t in texts]
+        for i in whole:
+            cut[i] = [""]
+        heads = [p.pop(0) for p in cut]
         self._learn_bare({*heads, " ", "\n"})
-        new = set().union(*[p for p in cut if p]) - self.memo.keys() if any(cut) else set()
+        new = set().union(*cut) - self.memo.keys()
         new.discard("")
         self._learn(new)
-        memo, bare = self.memo, self.bare
-        memo[""] = b""
-        gap = bare[" "] if self.kind == "byte" else b""
-        out = []
-        for head, p in zip(heads, cut):
-            if not p:
-                out.append(b"")
-                continue
-            rest = p[1:]
-            middle = [memo[x] for x in rest] if "" not in rest or not gap else [memo[x] if x else gap for x in rest]
-            out.append(b"".join([bare[head], *middle]))
+        self.memo[""] = self.bare[" "] if self.kind == "byte" else b""
+        find, bare = self.memo.__getitem__, self.bare
+        out = [bare[head] + b"".join(map(find, p)) for head, p in zip(heads, cut)]
+        for i, ids in zip(whole, self._chain([texts[i] for i in whole])):
+            out[i] = ids
         return out
 
 

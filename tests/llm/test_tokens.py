@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from anchorline.llm import byte_bpe, packing, token_files, tokens
 
-ODD = ["", " ", "a", "  a   b \n\n  c\t\td", " " * 50, " x", "x ", "x\n", "\nx", "a\nb", "a\n\nb", "a \nb", "a\n b", "a.\nB", "it's we'll I'M x\x1c y \x85 z  w", "<|endoftext|> hi <|startoftext|>", "日本語のテキスト \U0001f389 عربى " * 9,
+ODD = ["", " ", "a", "  a   b \n\n  c\t\td", " " * 50, " x", "x ", "x\n", "\nx", "a\nb", "a\n\nb", "a \nb", "a\n b", "a.\nB", "it's we'll I'M x\x1c y \x85 z  w", "<|endoftext|> hi <|startoftext|>", "a <|endoftext|> b", "x<|ENDOFTEXT|>y <| endoftext|>", "<|startoftext|>", "日本語のテキスト \U0001f389 عربى " * 9,
        "é café. ΑΣ Σ. İstanbul ǅ ﬁ straße a_b 1st 2² x²! y½, a'b' don't' 's ​zero ﻿x Ⅷ. ªº x̀! K Å é. ́", "a" * 3000, "ab" * 999]
 
 
@@ -22,7 +22,6 @@ def test_memo_encodes_as_the_library(name, monkeypatch):
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("ab ,.'!\n1é́Σ_- ") for _ in range(200)) for _ in range(200)] + [prose(rng, 200)]
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     mine = tokens.MemoTokenizer(public_tokenizers.path(name))
     for at in range(0, len(texts), 7):
         for text, ids in zip(texts[at:at + 7], mine.encode(texts[at:at + 7])):
