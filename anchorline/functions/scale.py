@@ -42,6 +42,33 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, sums:
     return out.drop("__all") if drop else out
 
 
+#: Rows of a slice that `equi_depth` aims at, and the most slices of one key.
+DEPTH, MOST_SLICES = 100_000, 1024
+
+
+def equi_depth(df: DataFrame, keys: list[str], value: str, out: str, depth: int = DEPTH, most: int = MOST_SLICES) -> DataFrame:
+    """df with `out`, a slice number that rises with `value` within `keys` and cuts a key's rows evenly, whatever the spread of its values.
+
+    Keys of at most `depth` rows are one slice. The others get boundaries from a mergeable quantile sketch, as many as their rows need. A value that fills
+    more than a slice has an odd number and the slice to itself; it is never cut, so equal values always meet. Null values are in the first slice."""
+    src, keys, drop = _dummy(df, keys)
+    large = src.groupBy(*keys).agg(F.count(value).alias("__n")).where(F.col("__n") > depth)
+    sketch = F.percentile_approx(value, [i / most for i in range(1, most)], 10 * most)
+    wanted = F.least(F.ceil(F.col("__n") / depth), F.lit(most))
+    # every most / wanted-th boundary; one that comes twice holds a whole slice
+    bounds = (src.join(large, keys, "left_semi").groupBy(*keys).agg(sketch.alias("__q")).join(large, keys)
+              .withColumn("__q", F.transform(F.sequence(F.lit(1), (wanted - 1).cast("int")), lambda i: F.element_at("__q", F.greatest(F.lit(1), F.round(i * most / wanted).cast("int")))))
+              .withColumn("__b", F.array_distinct("__q"))
+              .withColumn("__h", F.transform("__b", lambda b: F.size(F.filter("__q", lambda x: x == b)) > 1))
+              .withColumn("__c", F.filter("__b", lambda b, i: i % 32 == 31)).select(*keys, "__b", "__h", "__c"))
+    below = lambda bounds_: F.size(F.filter(bounds_, lambda b: b < F.col(value)))
+    coarse = below("__c") * 32
+    row = src.join(bounds, keys, "left").withColumn("__i", coarse).withColumn("__i", F.col("__i") + below(F.slice("__b", F.col("__i") + 1, 32)))
+    alone = F.coalesce((F.get("__b", F.col("__i")) == F.col(value)) & F.get("__h", F.col("__i")), F.lit(False))
+    row = row.withColumn(out, F.coalesce(F.when(F.col("__b").isNotNull() & F.col(value).isNotNull(), 2 * F.col("__i") + alone.cast("int")), F.lit(0)).cast("int")).drop("__b", "__h", "__c", "__i")
+    return row.drop("__all") if drop else row
+
+
 def dense_ids(df: DataFrame, id_col: str, out: str, total: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """Zero-based dense numbering of distinct ids in (md5(id), id) order without one global sort: 4096 hash slices plus slice offsets.
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorline.operators.evaluation import discrimination, ece
+from anchorline.functions.scale import equi_depth
+from anchorline.session import stage
 
 _M = 2147483647
 #: u at or above the k-th limit counts at least k + 1. Beyond twelve the chance is below one in the range of u.
@@ -62,20 +65,105 @@ def ratio_bootstrap(stats: DataFrame, keys: list[str], numerators: list[str], de
         "excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
+def draw_counts(h: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """(rows, n_boot): how often each 60-bit hash is in each replicate, as `mix_sql` and `count_sql` give it."""
+    a, b, r = (h % _M)[:, None], (h // _M)[:, None], np.arange(n_boot, dtype=np.int64)
+    x = (a + r * 1000003 + seed * 40692 + 12345) % _M
+    x = (x * 48271 + b) % _M
+    x = (x * x % _M + r * 271) % _M
+    x = (x * 69621 + a) % _M
+    x = (x * x % _M + b * 131) % _M
+    return np.searchsorted(_LIMITS, x * 16807 % _M, "right").astype(np.float64)
+
+
+#: Cells of a slice that are weighed together, and rows whose draws are held at once.
+SLICE_CELLS, HELD = 1024, 256
+#: Upper ends of the inner reliability bins; the five bins are pairs of the ten.
+_EDGES = np.array([i * (1.0 / 10) for i in range(1, 10)])
+_SUMS = ["pos", "neg", "sp", "u", "s", "q"]
+
+
+def _cells(scored: DataFrame) -> DataFrame:
+    """(arm, p, h, pos, neg) with the slice of the score within its arm. Slices hold whole scores; a score that fills one has an odd number."""
+    h = F.conv(F.substring(F.md5(F.col("participant_id").cast("string")), 1, 15), 16, 10).cast("bigint").alias("h")
+    cells = scored.groupBy("arm", "participant_id", "p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+    cells = stage(cells.select("arm", F.col("p").cast("double").alias("p"), h, "pos", "neg"), "cells")
+    return stage(equi_depth(cells, ["arm"], "p", "slice", SLICE_CELLS), "cells")
+
+
+def _totals(cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """(arm, slice, r, pos, neg): weighted positives and negatives of every slice and replicate. Slices of one score are weighed in pieces."""
+    pieces = cells.groupBy("arm", "slice").agg(F.ceil(F.count(F.lit(1)) / (2 * SLICE_CELLS)).alias("n"))
+    dealt = cells.join(pieces, ["arm", "slice"]).withColumn("piece", F.pmod(F.xxhash64("h", "p"), F.col("n")))
+    out = pa.schema([("arm", pa.string()), ("slice", pa.int32()), ("pos", pa.list_(pa.float64())), ("neg", pa.list_(pa.float64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        h, y = table.column("h").to_numpy(), np.stack([table.column(c).to_numpy() for c in ("pos", "neg")])
+        total = sum(y[:, i:i + HELD] @ draw_counts(h[i:i + HELD], n_boot, seed) for i in range(0, len(h), HELD))
+        return pa.Table.from_arrays([pa.array([table.column(0)[0].as_py()]), pa.array([table.column(1)[0].as_py()], pa.int32()), *[pa.array([t.tolist()], out.types[2]) for t in total]], schema=out)
+
+    each = dealt.select("arm", "slice", "h", "pos", "neg", "piece").groupBy("arm", "slice", "piece").applyInArrow(run, "arm string, slice int, pos array<double>, neg array<double>")
+    return each.select("arm", "slice", F.posexplode(F.arrays_zip("pos", "neg")).alias("r", "t")).groupBy("arm", "slice", "r").agg(F.sum("t.pos").alias("pos"), F.sum("t.neg").alias("neg"))
+
+
+def _weigh(key, cells: pa.Table, carry: pa.Table, n_boot: int, seed: int) -> pa.Table:
+    """Sums of one slice per bin and replicate, its scores from the highest down, on top of what stands above it."""
+    p = cells.column("p").to_numpy()
+    order = np.argsort(-p, kind="stable")
+    p, h, pos, neg = p[order], *[cells.column(c).to_numpy()[order] for c in ("h", "pos", "neg")]
+    r = np.argsort(carry.column("r").to_numpy())
+    above_pos, above_neg, all_neg = (carry.column(c).to_numpy()[r] for c in ("above_pos", "above_neg", "all_neg"))
+    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    sums: dict[int, np.ndarray] = {}
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + HELD, "right")) - 1)
+        end = starts[to] if to < len(starts) else len(p)
+        a = starts[at]
+        w, first = draw_counts(h[a:end], n_boot, seed), starts[at:to] - a
+        hit, miss = (np.add.reduceat(c[a:end, None] * w, first) for c in (pos, neg))
+        upto_pos, upto_neg = above_pos + np.cumsum(hit, 0), above_neg + np.cumsum(miss, 0)
+        score = p[starts[at:to], None]
+        parts = np.stack([hit, miss, score * (hit + miss), hit * (all_neg - upto_neg + miss / 2), hit * upto_pos / np.maximum(upto_pos + upto_neg, 1), hit * (1 - score) ** 2 + miss * score ** 2])
+        where = np.searchsorted(_EDGES, score[:, 0], "left")
+        for b in np.unique(where).tolist():
+            sums[b] = sums.get(b, 0) + parts[:, where == b].sum(1)
+        above_pos, above_neg, at = upto_pos[-1], upto_neg[-1], to
+    n = len(sums)
+    return pa.table({"arm": pa.array([key[0].as_py()] * (n * n_boot), pa.string()), "bin": pa.array(np.repeat(np.array(list(sums), np.int32), n_boot)), "r": pa.array(np.tile(np.arange(n_boot, dtype=np.int32), n)),
+                     **{c: pa.array(np.concatenate([x[i] for x in sums.values()])) for i, c in enumerate(_SUMS)}})
+
+
+def rank_metrics_by_replicate(scored: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
+    """(__r, arm, roc_auc, average_precision, brier, ece10, ece5) for every replicate, NULL ranks where a class or everyone is missing.
+
+    Scores of an arm are cut into slices of even size. A task weighs a slice's cells with a vector of all replicates at once, so what is shuffled is slices x
+    replicates, not events x replicates: first the totals, which are carried from slice to slice, then the sums of each slice on top of them."""
+    cells = _cells(scored)
+    totals = stage(_totals(cells, n_boot, seed), "totals")
+    over = Window.partitionBy("arm", "r")
+    higher = over.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = stage(totals.select("arm", "slice", "r", "pos", "neg", *[F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(f"above_{c}") for c in ("pos", "neg")], F.sum("neg").over(over).alias("all_neg")), "carry")
+    one = cells.where("slice % 2 = 1").groupBy("arm", "slice").agg(F.min("p").alias("p"))
+    alone = carry.join(one, ["arm", "slice"]).selectExpr("arm", f"CAST({' + '.join(f'CAST(p > {e!r}D AS INT)' for e in _EDGES.tolist())} AS INT) AS bin", "CAST(r AS INT) AS r", "pos", "neg", "p * (pos + neg) AS sp",
+                                                         "pos * (all_neg - above_neg - neg / 2) AS u", "pos * (above_pos + pos) / greatest(above_pos + pos + above_neg + neg, 1) AS s", "pos * (1 - p) * (1 - p) + neg * p * p AS q")
+    many = (cells.where("slice % 2 = 0").groupBy("arm", "slice").cogroup(carry.where("slice % 2 = 0").groupBy("arm", "slice"))
+            .applyInArrow(lambda key, left, right: _weigh(key, left, right, n_boot, seed), "arm string, bin int, r int, " + ", ".join(f"{c} double" for c in _SUMS)))
+    total = lambda c: F.sum(c).alias(c)
+    per_bin = many.unionByName(alone).groupBy("arm", "r", "bin").agg(*[total(c) for c in _SUMS])
+    pairs = per_bin.groupBy("arm", "r", F.floor(F.col("bin") / 2).alias("five")).agg(*[total(c) for c in _SUMS], F.sum(F.abs(F.col("sp") - F.col("pos"))).alias("e10")).withColumn("e5", F.abs(F.col("sp") - F.col("pos")))
+    m = pairs.groupBy("arm", "r").agg(*[total(c) for c in [*_SUMS, "e10", "e5"]]).withColumn("n", F.col("pos") + F.col("neg"))
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    part = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return m.select(F.col("r").cast("bigint").alias("__r"), "arm", F.when(both, F.col("u") / (F.col("pos") * F.col("neg"))).alias("roc_auc"), F.when(both, F.col("s") / F.col("pos")).alias("average_precision"),
+                    part("q").alias("brier"), part("e10").alias("ece10"), part("e5").alias("ece5"))
+
+
 def rank_metric_bootstrap(scored: DataFrame, arms: list[str], n_boot: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Intervals of AUC, average precision, Brier and ECE for each arm and for every later-minus-earlier arm pair, one common resample.
 
-    `scored` is long: arm, participant_id, p, y. Events are collapsed to (participant, arm, p) counts first, then weighted by how often the
-    participant was drawn; one-class replicates are skipped and counted."""
-    cells = scored.groupBy("arm", "participant_id", "p").agg(F.sum("y").alias("__pos"), F.count(F.lit(1)).alias("__cnt"))
-    # two weighted rows per cell at most: its positives and its negatives
-    lab = F.explode(F.array(F.struct(F.lit(1).alias("y"), (F.col("__pos") * F.col("__m")).alias("w")),
-                            F.struct(F.lit(0).alias("y"), ((F.col("__cnt") - F.col("__pos")) * F.col("__m")).alias("w"))))
-    rows = (drawn(cells, n_boot, seed).select("__r", "arm", "p", lab.alias("l")).select("__r", "arm", "p", "l.y", "l.w").where(F.col("w") > 0)
-            .groupBy("__r", "arm", "p", "y").agg(F.sum("w").alias("w")))
-    k = ["__r", "arm"]
-    m = discrimination(rows, k, weight="w", min_class=1).join(ece(rows, k, 10, weight="w"), k).join(ece(rows, k, 5, weight="w"), k).join(
-        rows.groupBy(*k).agg((F.sum(F.col("w") * (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))) / F.sum("w")).alias("brier")), k)
+    `scored` is long: arm, participant_id, p, y, the same events in every arm. Replicates with one class, or with nobody drawn, are skipped and counted."""
+    m = rank_metrics_by_replicate(scored, n_boot, seed)
     names = ["roc_auc", "average_precision", "brier", "ece10", "ece5"]
     wide = m.groupBy("__r").pivot("arm", arms).agg(*[F.first(n).alias(n) for n in names])
     used = F.col(f"{arms[0]}_roc_auc").isNotNull()

@@ -242,6 +242,40 @@ def prior_only_forecasts(spark, sf):
 
 # ------------------------------------------------------------------ bootstrap and paired comparisons
 
+#: The draw rule as text of its own: how a 60-bit hash and a replicate give a number below 2**31 - 1, and from where on it counts 1, 2, 3 ... (Poisson with mean 1).
+_POISSON_FROM = (790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887, 2147461637, 2147481230, 2147483407, 2147483625, 2147483645)
+
+
+def draw_ctes(src, n_boot, seed, n):
+    """CTE {n}_w: the rows of src (with participant_id) once per replicate r, with their count w."""
+    return f"""{n}_k AS (SELECT *, CAST('0x' || substring(md5(participant_id), 1, 15) AS BIGINT) AS h FROM {src}),
+{n}_a AS (SELECT *, h % 2147483647 AS h1, h // 2147483647 AS h2 FROM {n}_k, (SELECT unnest(range({n_boot})) AS r)),
+{n}_b AS (SELECT *, ((h1 + r * 1000003 + {seed} * 40692 + 12345) % 2147483647 * 48271 + h2) % 2147483647 AS x1 FROM {n}_a),
+{n}_c AS (SELECT *, ((x1 * x1 % 2147483647 + r * 271) % 2147483647 * 69621 + h1) % 2147483647 AS x3 FROM {n}_b),
+{n}_d AS (SELECT *, (x3 * x3 % 2147483647 + h2 * 131) % 2147483647 * 16807 % 2147483647 AS u FROM {n}_c),
+{n}_w AS (SELECT * EXCLUDE (h, h1, h2, x1, x3, u), {' + '.join(f'CAST(u >= {x} AS INT)' for x in _POISSON_FROM)} AS w FROM {n}_d)"""
+
+
+def rank_ctes(src, arms, n_boot, n="rk"):
+    """CTEs ending in {n}: intervals of the rank metrics of every arm and of later-minus-earlier pairs, from src (arm, participant_id, p, y)."""
+    names = {"roc_auc": "u / (np * nn)", "average_precision": "s / np", "brier": "q / (np + nn)", "ece10": "e10 / (np + nn)", "ece5": "e5 / (np + nn)"}
+    long = " UNION ALL ".join(f"SELECT arm, r, '{m}' AS metric, {x} AS v FROM {n}_m WHERE np > 0 AND nn > 0" for m, x in names.items())
+    pairs = " UNION ALL ".join([f"SELECT '{a}' AS contrast, r, metric, v FROM {n}_l WHERE arm = '{a}'" for a in arms]
+                               + [f"SELECT '{a}_minus_{b}', r, metric, x.v - y.v FROM {n}_l x JOIN {n}_l y USING (r, metric) WHERE x.arm = '{a}' AND y.arm = '{b}'" for i, a in enumerate(arms) for b in arms[:i]])
+    bin_ = lambda k: " + ".join(f"CAST(p > {i * (1.0 / k)!r}e0 AS INT)" for i in range(1, k))
+    return f"""{n}_0 AS (SELECT arm, participant_id, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM {src} GROUP BY ALL),
+{draw_ctes(f'{n}_0', n_boot, 0, n)},
+{n}_p AS (SELECT arm, r, p, CAST(sum(pos * w) AS DOUBLE) AS pos, CAST(sum(neg * w) AS DOUBLE) AS neg FROM {n}_w WHERE w > 0 GROUP BY arm, r, p),
+{n}_o AS (SELECT *, sum(pos) OVER t AS up, sum(neg) OVER t AS un, sum(neg) OVER (PARTITION BY arm, r) AS tn FROM {n}_p WINDOW t AS (PARTITION BY arm, r ORDER BY p DESC)),
+{n}_s AS (SELECT arm, r, sum(pos) AS np, sum(neg) AS nn, sum(pos * (tn - un + neg / 2)) AS u, sum(CASE WHEN pos > 0 THEN pos * up / (up + un) END) AS s, sum(pos * (1 - p) * (1 - p) + neg * p * p) AS q FROM {n}_o GROUP BY arm, r),
+{n}_10 AS (SELECT arm, r, sum(d) AS e10 FROM (SELECT arm, r, abs(sum(p * (pos + neg)) - sum(pos)) AS d FROM {n}_p GROUP BY arm, r, {bin_(10)}) GROUP BY arm, r),
+{n}_5 AS (SELECT arm, r, sum(d) AS e5 FROM (SELECT arm, r, abs(sum(p * (pos + neg)) - sum(pos)) AS d FROM {n}_p GROUP BY arm, r, {bin_(5)}) GROUP BY arm, r),
+{n}_m AS (SELECT * FROM {n}_s JOIN {n}_10 USING (arm, r) JOIN {n}_5 USING (arm, r)),
+{n}_l AS ({long}),
+{n} AS (SELECT *, ci_low > 0 OR ci_high < 0 AS excludes_zero FROM (SELECT contrast, metric, count(*) AS n_draws_used, {n_boot} - count(*) AS n_draws_skipped, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high
+ FROM ({pairs}) GROUP BY contrast, metric))"""
+
+
 def boot_ctes(stats, keys, metrics, n_boot=N_BOOT, seed=0, n="bt"):
     """CTEs ending in {n}: long bootstrap table from a per-participant stats CTE."""
     k = "".join(f"{x}, " for x in keys)
@@ -249,9 +283,8 @@ def boot_ctes(stats, keys, metrics, n_boot=N_BOOT, seed=0, n="bt"):
         f"SELECT {''.join(f'p.{x}, ' for x in keys)} n_participants, n_events, '{m}' AS metric, p.{m} AS estimate, q.{m}_lo AS ci_low, q.{m}_hi AS ci_high FROM {n}_p p "
         + (f"JOIN {n}_q q ON {' AND '.join(f'p.{x} = q.{x}' for x in keys)}" if keys else f"CROSS JOIN {n}_q q") for m in metrics)
     gb = f"GROUP BY {', '.join(keys)}" if keys else ""
-    return f"""{n}_k AS (SELECT *, CAST('0x' || substring(md5(participant_id), 1, 15) AS BIGINT) AS h FROM {stats}),
-{n}_d AS (SELECT *, {bo.mix_sql(seed, 'h', 'r', '//')} AS u FROM {n}_k, (SELECT unnest(range({n_boot})) AS r)),
-{n}_r AS (SELECT {k} r, {', '.join(f'sum({m} * w) / sum(n * w) AS {m}' for m in metrics)} FROM (SELECT *, {bo.count_sql('u')} AS w FROM {n}_d) WHERE w > 0 GROUP BY {k} r),
+    return f"""{draw_ctes(stats, n_boot, seed, n)},
+{n}_r AS (SELECT {k} r, {', '.join(f'sum({m} * w) / sum(n * w) AS {m}' for m in metrics)} FROM {n}_w WHERE w > 0 GROUP BY {k} r),
 {n}_q AS (SELECT {k} {', '.join(f'quantile_cont({m}, 0.025) AS {m}_lo, quantile_cont({m}, 0.975) AS {m}_hi' for m in metrics)} FROM {n}_r {gb}),
 {n}_p AS (SELECT {k} count(*) AS n_participants, CAST(sum(n) AS BIGINT) AS n_events, {', '.join(f'sum({m}) / sum(n) AS {m}' for m in metrics)} FROM {stats} {gb}),
 {n} AS (SELECT *, ci_low > 0 OR ci_high < 0 AS excludes_zero FROM ({longs}))"""
@@ -408,22 +441,52 @@ def prior_arms_points(spark, sf):
     return rounded(ev.bundle(stage(stacked, "arms"), ["arm"], 1), ["arm", "n_events"], ["brier", "log_loss", "ece10", "ece5"])
 
 
-@query("prior_adoption_screen")
-def prior_adoption_screen(spark, sf):
+def adoption(spark, sf, n_boot):
     w = stage(cp.four_arms(four(spark, sf)), "arms")
-    c = cp.contrast_differences(w, n_boot=N_BOOT)
+    c = cp.contrast_differences(w, n_boot=n_boot)
     long = w.select("participant_id", "y", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"p_{a}").alias("p")) for a in _ARMN])).alias("x")).select("participant_id", "y", "x.*")
-    b = bo.rank_metric_bootstrap(long, list(_ARMN), n_boot=N_BOOT)
+    b = bo.rank_metric_bootstrap(long, list(_ARMN), n_boot=n_boot)
     name = F.when(F.col("contrast") == "b_st_minus_b_eb", "b_stratified_minus_eb").when(F.col("contrast") == "c_st_minus_c_eb", "c_stratified_minus_eb")
     return cp.adoption_screen(c, b.withColumn("contrast", name))
 
 
+@query("prior_adoption_screen")
+def prior_adoption_screen(spark, sf):
+    return adoption(spark, sf, N_BOOT)
+
+
+#: Replicates of the runs whose SQL a single machine can repeat.
+N_CHECKED = 200
+_ARML = "al AS (" + " UNION ALL ".join(f"SELECT '{a}' AS arm, participant_id, y, p FROM {t}" for a, t in _ARMN.items()) + ")"
+
+
+@query("prior_adoption_screen_200", with_(*M.ARMS, _WIDE, _CS, boot_ctes("cs", [], [f"{c}__{m}" for c in cp.CONTRASTS for m in _M3], N_CHECKED), _ARML, rank_ctes("al", list(_ARMN), N_CHECKED)) + """
+SELECT contrast, brier_below_zero, log_loss_below_zero, ece10_not_above_zero, brier_below_zero AND log_loss_below_zero AND ece10_not_above_zero AS passes
+FROM (SELECT split_part(metric, '__', 1) AS contrast, bool_or(metric LIKE '%__brier' AND ci_high < 0) AS brier_below_zero, bool_or(metric LIKE '%__log_loss' AND ci_high < 0) AS log_loss_below_zero
+      FROM bt WHERE metric LIKE '__stratified_minus_eb%' GROUP BY 1)
+JOIN (SELECT substring(contrast, 1, 1) || '_stratified_minus_eb' AS contrast, NOT ci_low > 0 AS ece10_not_above_zero FROM rk WHERE metric = 'ece10' AND contrast IN ('b_st_minus_b_eb', 'c_st_minus_c_eb')) USING (contrast)""")
+def prior_adoption_screen_200(spark, sf):
+    return adoption(spark, sf, N_CHECKED)
+
+
+_RKC = ["contrast", "metric", "n_draws_used", "n_draws_skipped", "excludes_zero"]
+
+
+def rank_intervals(spark, sf, n_boot):
+    long = cp.long_scores(paired(spark, sf), []).select(F.col("model").alias("arm"), "participant_id", "p", "y")
+    return rounded(bo.rank_metric_bootstrap(long, ["B", "C"], n_boot=n_boot), _RKC, ["ci_low", "ci_high"])
+
+
 @query("rank_bootstrap")
 def rank_bootstrap(spark, sf):
     """AUC, average precision, Brier and ECE intervals for both models and their difference, one common resample."""
-    p = paired(spark, sf)
-    long = cp.long_scores(p, []).select(F.col("model").alias("arm"), "participant_id", "p", "y")
-    return rounded(bo.rank_metric_bootstrap(long, ["B", "C"], n_boot=N_BOOT), ["contrast", "metric", "n_draws_used", "n_draws_skipped", "excludes_zero"], ["ci_low", "ci_high"])
+    return rank_intervals(spark, sf, N_BOOT)
+
+
+@query("rank_bootstrap_200", with_(*_PQ, "al AS (SELECT 'B' AS arm, participant_id, p_b AS p, y FROM pq UNION ALL SELECT 'C', participant_id, p_c, y FROM pq)", rank_ctes("al", ["B", "C"], N_CHECKED))
+       + f"SELECT {rsql(_RKC, ['ci_low', 'ci_high'])} FROM rk")
+def rank_bootstrap_200(spark, sf):
+    return rank_intervals(spark, sf, N_CHECKED)
 
 
 @query("seed_sensitivity", with_(*_PQ, diff_sql("pq", []), *[boot_ctes("ds", [], _M3, seed=s, n=f"bt{s}") for s in (0, 1, 2)]) + f"""SELECT metric, {r('max(ci_low) - min(ci_low)')} AS low_spread, {r('max(ci_high) - min(ci_high)')} AS high_spread

@@ -185,3 +185,50 @@ def test_registered_rank_intervals_take_all_replicates(spark, monkeypatch, name,
     with pytest.raises(Asked) as got:
         getattr(extra_queries if name == "three_model_comparison" else eval_queries, name)(spark, "/root/testdata/sf0.001")
     assert got.value.args[0] >= least
+
+
+def _draws(ids, n_boot, seed):
+    import hashlib
+    m = bo._M
+    out = {}
+    for i in ids:
+        h = int(hashlib.md5(i.encode()).hexdigest()[:15], 16)
+        a, b, counts = h % m, h // m, []
+        for r in range(n_boot):
+            x = (a + r * 1000003 + seed * 40692 + 12345) % m
+            x = (x * 48271 + b) % m
+            x = (x * x % m + r * 271) % m
+            x = (x * 69621 + a) % m
+            x = (x * x % m + b * 131) % m
+            counts.append(sum(x * 16807 % m >= limit for limit in bo._LIMITS))
+        out[i] = counts
+    return out
+
+
+def test_rank_metrics_of_every_replicate_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bo, "SLICE_CELLS", 8)
+    rng = np.random.default_rng(7)
+    rows = [("A", f"p{i % 4}", float(p), int(rng.random() < 0.1 + 0.6 * p)) for i, p in enumerate(rng.random(90).round(2))]
+    rows += [("A", f"q{i}", 0.3, int(i % 3 == 0)) for i in range(60)]  # one score for many: a slice of its own
+    rows += [("B", who, float(rng.integers(0, 11) / 10), y) for _, who, _, y in rows]
+    n_boot, seed = 30, 3
+    got = {(r["arm"], r["__r"]): r for r in bo.rank_metrics_by_replicate(spark.createDataFrame(rows, "arm string, participant_id string, p double, y int"), n_boot, seed).collect()}
+    assert len(got) == 2 * n_boot
+    w = _draws({r[1] for r in rows}, n_boot, seed)
+    for arm in "AB":
+        for b in range(n_boot):
+            e = [(p, y) for a, who, p, y in rows if a == arm for _ in range(w[who][b])]
+            p, y = (np.array(x, float) for x in zip(*e))
+            pos, neg = p[y == 1], p[y == 0]
+            auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / len(pos) / len(neg)
+            ap = np.mean([(y[p >= t] == 1).mean() for t in pos])
+            ece = [sum(abs((p[k] - y[k]).sum()) for k in [np.searchsorted([i * (1 / n) for i in range(1, n)], p, "left") == j for j in range(n)]) / len(p) for n in (10, 5)]
+            r = got[arm, b]
+            assert [r["roc_auc"], r["average_precision"], r["brier"], r["ece10"], r["ece5"]] == pytest.approx([auc, ap, ((p - y) ** 2).mean(), *ece])
+
+
+def test_replicates_without_anyone_are_counted(spark):
+    rows = [("A", "p1", 0.2, 0), ("A", "p1", 0.7, 1), ("A", "p2", 0.4, 1)]
+    r = bo.rank_metric_bootstrap(spark.createDataFrame(rows, "arm string, participant_id string, p double, y int"), ["A"], n_boot=50).first()
+    drawn = [sum(c) for c in zip(*_draws(["p1"], 50, 0).values())]
+    assert r.n_draws_used == sum(c > 0 for c in drawn) and r.n_draws_used + r.n_draws_skipped == 50

@@ -64,3 +64,21 @@ def test_prob_bucket_preserves_order(spark):
     p = np.sort(np.r_[0.0, 1.0, 0.5, np.random.default_rng(3).beta(0.2, 0.2, 500), 1 - 1e-15, 1e-200])
     b = [r[0] for r in spark.createDataFrame([(float(x),) for x in p], "p double").select(sc.prob_bucket("p")).collect()]
     assert b == sorted(b)
+
+
+def test_equi_depth_cuts_a_hot_key_evenly_whatever_its_values(spark):
+    rng = np.random.default_rng(8)
+    hot = [("hot", float(v)) for v in rng.exponential(size=3000)] + [("hot", 1e12), ("hot", None)] + [("hot", 0.5)] * 900
+    rows = hot + [(f"k{i % 300}", float(i)) for i in range(6000)] + [("few", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = sc.equi_depth(df, ["k"], "v", "s", depth=100, most=64).collect()
+    assert len(got) == len(rows) and {r.s for r in got if r.k != "hot"} == {0}
+    mine = sorted((r.v, r.s) for r in got if r.k == "hot" and r.v is not None)
+    assert [s for _, s in mine] == sorted(s for _, s in mine)
+    sizes = {}
+    for v, s in mine:
+        sizes.setdefault(s, []).append(v)
+    assert all(len(x) < 200 for s, x in sizes.items() if s % 2 == 0) and len(sizes) > 25
+    assert [set(x) for s, x in sizes.items() if s % 2] == [{0.5}]
+    pooled = sc.equi_depth(df, [], "v", "s", depth=1000, most=64).groupBy("s").count().collect()
+    assert len(pooled) >= 8 and "__all" not in pooled[0].asDict()
