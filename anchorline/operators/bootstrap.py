@@ -22,51 +22,64 @@ _M = 2147483647
 _LIMITS = [int(_M * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12)]
 
 
-def mix_sql(seed: int, h: str = "__h", r: str = "__r", div: str = "div") -> str:
-    """A number in [0, 2**31 - 1) from a 60-bit hash and a replicate, as SQL text valid in Spark (and, with `//`, elsewhere)."""
-    a, b = f"({h} % {_M})", f"({h} {div} {_M})"
-    x0 = f"(({a} + {r} * 1000003 + {seed * 40692 + 12345}) % {_M})"
-    x1 = f"(({x0} * 48271 + {b}) % {_M})"
-    x2 = f"((({x1} * {x1}) % {_M} + {r} * 271) % {_M})"
-    x3 = f"(({x2} * 69621 + {a}) % {_M})"
-    x4 = f"((({x3} * {x3}) % {_M} + {b} * 131) % {_M})"
-    return f"(({x4} * 16807) % {_M})"
-
-
-def count_sql(u: str) -> str:
-    """The Poisson(1) count of a number from `mix_sql`."""
-    return "(" + " + ".join(f"CASE WHEN {u} >= {limit} THEN 1 ELSE 0 END" for limit in _LIMITS) + ")"
-
-
-def drawn(df: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """Each row once per replicate `__r` that holds its participant, with how often, `__m`. Narrow: no exchange."""
-    h = F.conv(F.substring(F.md5(F.col("participant_id").cast("string")), 1, 15), 16, 10).cast("bigint")
-    each = df.withColumn("__h", h).withColumn("__r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))))
-    # generated, so that u is computed once and not copied into each comparison
-    each = each.withColumn("__u", F.explode(F.array(F.expr(mix_sql(seed)))))
-    return each.withColumn("__m", F.expr(count_sql("__u"))).where("__m > 0").drop("__h", "__u")
+def _folded(stats: DataFrame, keys: list[str], columns: list[str], n_boot: int, seed: int) -> DataFrame:
+    """(keys, __r, columns): weighted sums of every replicate, folded in each task: a task hands on one row per key and replicate it has met."""
+    h = F.conv(F.substring(F.md5(F.col("participant_id").cast("string")), 1, 15), 16, 10).cast("bigint").alias("__h")
+    kinds = "".join(f"`{k}` {stats.schema[k].dataType.simpleString()}, " for k in keys)
+    k = len(keys)
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def flush():
+            for key, sums in held.items():
+                yield pa.RecordBatch.from_arrays([*[pa.array([v] * n_boot, t) for v, t in zip(key, types)], pa.array(np.arange(n_boot, dtype=np.int64)), *[pa.array(x) for x in sums]], names=[*keys, "__r", *columns])
+            held.clear()
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(k)]
+            for at in range(0, batch.num_rows, HELD):
+                some = batch.slice(at, HELD)
+                w = draw_counts(some.column(k).to_numpy(), n_boot, seed)
+                x = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False) for c in some.columns[k + 1:]])
+                rows: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*[c.to_pylist() for c in some.columns[:k]]) if k else [()] * some.num_rows):
+                    rows.setdefault(key, []).append(i)
+                for key, mine in rows.items():
+                    held[key] = held.get(key, 0) + x[:, mine] @ w[mine]
+                if len(held) > KEYS_HELD:
+                    yield from flush()
+        yield from flush()
+
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    each = stats.select(*keys, h, *values).mapInArrow(run, f"{kinds}__r bigint, " + ", ".join(f"`{c}` double" for c in columns))
+    return each.groupBy(*keys, "__r").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def ratio_bootstrap(stats: DataFrame, keys: list[str], numerators: list[str], denominator: str = "n", n_boot: int = 1000, seed: int = 0,
                     alpha: float = 0.05) -> DataFrame:
     """Ratio-of-sums estimates with percentile intervals, long form: keys, metric, estimate, ci_low, ci_high, excludes_zero.
 
-    `stats` has one row per (keys, participant_id). The interval quantile is taken over n_boot values per key, a fixed small number."""
-    m = F.col("__m")
-    by_replicate = drawn(stats.select(*keys, "participant_id", denominator, *numerators), n_boot, seed).groupBy(*keys, "__r").agg(
-        F.sum(F.col(denominator) * m).alias("__den"), *[F.sum(F.col(c) * m).alias(c) for c in numerators])
-    q = by_replicate.groupBy(*keys).agg(*[F.percentile(F.col(c) / F.col("__den"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(c) for c in numerators])
+    `stats` has one row per (keys, participant_id). Replicates in which nobody of a key is drawn are skipped and counted. The interval quantile is taken over
+    n_boot values per key, a fixed small number."""
+    named = {c: f"__v{i}" for i, c in enumerate([denominator, *numerators])}
+    by_replicate = _folded(stats.select(*keys, "participant_id", *[F.col(c).alias(n) for c, n in named.items()]), keys, list(named.values()), n_boot, seed)
+    den = F.col(named[denominator])
+    q = by_replicate.groupBy(*keys).agg(F.count_if(den > 0).alias("n_draws_used"), F.count_if(~(den > 0)).alias("n_draws_skipped"),
+                                        *[F.percentile(F.when(den > 0, F.col(named[c]) / den), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(c) for c in numerators])
     point = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_participants"), F.sum(denominator).cast("bigint").alias("n_events"),
                                      *[(F.sum(c) / F.sum(denominator)).alias(f"__e_{c}") for c in numerators])
     joined = point.join(q, keys) if keys else point.withColumn("__k", F.lit(0)).join(q.withColumn("__k", F.lit(0)), "__k").drop("__k")
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"__e_{c}").alias("estimate"), F.col(c)[0].alias("ci_low"), F.col(c)[1].alias("ci_high"))
                                for c in numerators]))
-    return joined.select(*keys, "n_participants", "n_events", rows.alias("x")).select(*keys, "n_participants", "n_events", "x.*").withColumn(
+    counts = ["n_participants", "n_events", "n_draws_used", "n_draws_skipped"]
+    return joined.select(*keys, *counts, rows.alias("x")).select(*keys, *counts, "x.*").withColumn(
         "excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 
 def draw_counts(h: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
-    """(rows, n_boot): how often each 60-bit hash is in each replicate, as `mix_sql` and `count_sql` give it."""
+    """(rows, n_boot): how often each 60-bit hash is in each replicate, in integers that any engine can repeat."""
     a, b, r = (h % _M)[:, None], (h // _M)[:, None], np.arange(n_boot, dtype=np.int64)
     x = (a + r * 1000003 + seed * 40692 + 12345) % _M
     x = (x * 48271 + b) % _M
@@ -78,6 +91,8 @@ def draw_counts(h: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
 
 #: Cells of a slice that are weighed together, and rows whose draws are held at once.
 SLICE_CELLS, HELD = 1024, 256
+#: Keys whose sums a task holds before it hands them on.
+KEYS_HELD = 64
 #: Upper ends of the inner reliability bins; the five bins are pairs of the ten.
 _EDGES = np.array([i * (1.0 / 10) for i in range(1, 10)])
 _SUMS = ["pos", "neg", "sp", "u", "s", "q"]
