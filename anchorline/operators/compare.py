@@ -10,6 +10,7 @@ from anchorline.functions.numeric import finite, log_loss
 from anchorline.functions.scale import exact_quantiles
 from anchorline.operators.bootstrap import ratio_bootstrap
 from anchorline.operators.evaluation import bundle, discrimination
+from anchorline.session import stage
 from anchorline.spec import COLD_START_MAX, EXPERIENCED_MIN
 
 STAGES = ((0, 0, "0"), (1, 4, "1-4"), (5, 9, "5-9"), (10, 19, "10-19"), (20, 10**9, "20+"))
@@ -234,6 +235,35 @@ def adoption_screen(contrasts: DataFrame, ece_contrasts: DataFrame) -> DataFrame
     return a.join(e, "contrast").withColumn("passes", F.col("brier_below_zero") & F.col("log_loss_below_zero") & F.col("ece10_not_above_zero"))
 
 
+def experiment_comparisons(records: DataFrame, comparisons: list[tuple[str, str, str, str]], n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """mean(metric of a - metric of b) over the events that both forecast, for a fixed list of (model_a, model_b, metric, subset).
+
+    `records` is long: participant_id, event_id, model, p, mean_rise, y, rise, is_active. Subsets are all, active and sedentary. Lower is better for every
+    metric, so a negative estimate favours model_a. A listed model that was not run gives no row, a comparison without shared events one with n_events 0.
+    Events become wide once; each then gives its differences, which are summed per participant before any resampling."""
+    run = [r[0] for r in records.select("model").distinct().collect()]  # the forecasters, a handful
+    listed = [(i, *c) for i, c in enumerate(comparisons) if c[0] in run and c[1] in run]
+    spark = records.sparkSession
+    models = sorted({m for _, a, b, *_ in listed for m in (a, b)})
+    wide = records.groupBy("participant_id", "event_id").pivot("model", models).agg(F.first("p").alias("p"), F.first("mean_rise").alias("mean_rise")).join(
+        records.groupBy("participant_id", "event_id").agg(F.first("y").alias("y"), F.first("rise").alias("rise"), F.first("is_active").alias("is_active")), ["participant_id", "event_id"])
+
+    def loss(model: str, metric: str) -> Column:
+        p, y = F.col(f"`{model}_p`"), F.col("y")
+        return {"brier": lambda: (p - y) * (p - y), "log_loss": lambda: log_loss(y, p), "mae_rise": lambda: F.abs(F.col(f"`{model}_mean_rise`") - F.col("rise"))}[metric]()
+
+    there = {"all": F.lit(True), "active": F.col("is_active"), "sedentary": ~F.col("is_active")}
+    each = [F.struct(F.lit(i).alias("id"), F.when(there[subset] & F.col(f"`{a}_p`").isNotNull() & F.col(f"`{b}_p`").isNotNull(), loss(a, metric) - loss(b, metric)).alias("d")) for i, a, b, metric, subset in listed]
+    names = spark.createDataFrame(listed or [], "id int, model_a string, model_b string, metric_name string, subset string")
+    if not listed:
+        return names.selectExpr("model_a", "model_b", "metric_name AS metric", "subset", "0L AS n_participants", "0L AS n_events", "0D AS estimate", "0D AS ci_low", "0D AS ci_high", "false AS excludes_zero", "'' AS reading")
+    stats = wide.select("participant_id", F.explode(F.array(*each)).alias("x")).select("participant_id", "x.*").where("d IS NOT NULL").groupBy("id", "participant_id").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n"))
+    b = ratio_bootstrap(stage(stats, "comparisons"), ["id"], ["d"], n_boot=n_boot, seed=seed)
+    reading = F.when(F.col("estimate") < 0, "negative favours model_a").when(F.col("estimate").isNotNull(), "positive favours model_b")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_participants", "n_events")]
+    return names.join(b, "id", "left").select("model_a", "model_b", F.col("metric_name").alias("metric"), "subset", *counts, "estimate", "ci_low", "ci_high", "excludes_zero", reading.alias("reading"))
+
+
 def comparison_list(paired_stats: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Keep the pre-registered comparisons, in their order; the list is a fixed small table."""
     return paired_stats.join(comparisons, ["contrast", "metric", "subset"])

@@ -104,16 +104,35 @@ def both_classes(df: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_participants"), F.count_if((F.col("lo") == 0) & (F.col("hi") == 1)).alias("participants_with_both_classes"))
 
 
+#: Newton steps of the calibration line, and the step below which it has converged.
+NEWTON_STEPS, CONVERGED = 25, 1e-10
+
+
 def calibration_line(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """Slope and intercept of an unpenalised logistic fit of the outcome on logit(p); NULL for one class or a constant forecast."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    """Slope and intercept of an unpenalised logistic fit of the outcome on logit(p); NULL for one class, a constant forecast or outcomes that a line separates.
+
+    Newton's method on sums: every step is one aggregate of two gradients and three curvatures over a stored table, so the data stay where they are."""
+    from math import isfinite
+
+    from anchorline.session import stage
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    z = df.select(F.log(q / (1 - q)).alias("z"), F.col(y).cast("double").alias("label"))
-    lo = z.agg(F.min("label").alias("a"), F.max("label").alias("b"), (F.max("z") - F.min("z")).alias("r")).first()
-    schema = "slope double, intercept double, reason string"
-    spark = df.sparkSession
-    if lo.a is None or lo.a == lo.b or lo.r < 1e-9:
+    z = stage(df.select(F.log(q / (1 - q)).alias("z"), F.col(y).cast("double").alias("y")), "logits")
+    schema, spark = "slope double, intercept double, reason string", df.sparkSession
+    seen = z.agg(F.min("y").alias("a"), F.max("y").alias("b"), (F.max("z") - F.min("z")).alias("r")).first()
+    if seen.a is None or seen.a == seen.b or seen.r < 1e-9:
         return spark.createDataFrame([(None, None, "single class or constant predictions")], schema)
-    fit = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-10, standardization=False).fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(z))
-    return spark.createDataFrame([(float(fit.coefficients[0]), float(fit.intercept), None)], schema)
+    intercept = slope = 0.0
+    for _ in range(NEWTON_STEPS):
+        fit = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("z"))))
+        w = fit * (1 - fit)
+        s = z.agg(*[F.sum(x).alias(n) for n, x in (("g0", F.col("y") - fit), ("g1", (F.col("y") - fit) * F.col("z")), ("h00", w), ("h01", w * F.col("z")), ("h11", w * F.col("z") * F.col("z")))]).first()
+        det = s.h00 * s.h11 - s.h01 * s.h01
+        if not det > 1e-12 * s.h00 * s.h11:
+            break
+        d0, d1 = (s.h11 * s.g0 - s.h01 * s.g1) / det, (s.h00 * s.g1 - s.h01 * s.g0) / det
+        intercept, slope = intercept + d0, slope + d1
+        if not (isfinite(intercept) and isfinite(slope)):
+            break
+        if abs(d0) < CONVERGED and abs(d1) < CONVERGED:
+            return spark.createDataFrame([(slope, intercept, None)], schema)
+    return spark.createDataFrame([(None, None, "no finite fit")], schema)

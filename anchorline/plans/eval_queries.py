@@ -182,7 +182,12 @@ def activity_threshold_strata(spark, sf):
     return rounded(ev.bundle(f, ["is_active"]), ["is_active", "n_events"], _BUND)
 
 
-@query("calibration_line")
+@query("calibration_line", with_(*M.SEQ_C, """cz AS MATERIALIZED (SELECT ln(q / (1 - q)) AS z, y FROM (SELECT least(greatest(p, 1e-6), 1 - 1e-6) AS q, y FROM fc)),
+it(k, a, b) AS (SELECT 0, 0e0, 0e0 UNION ALL
+ SELECT k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+ FROM (SELECT k, a, b, sum(y - f) AS g0, sum((y - f) * z) AS g1, sum(f * (1 - f)) AS h00, sum(f * (1 - f) * z) AS h01, sum(f * (1 - f) * z * z) AS h11
+       FROM (SELECT k, a, b, z, y, 1 / (1 + exp(-(a + b * z))) AS f FROM it, cz WHERE k < 15) GROUP BY k, a, b))""").replace("WITH ", "WITH RECURSIVE ", 1)
+       + f"SELECT CAST(NULL AS VARCHAR) AS reason, {r('b')} AS slope, {r('a')} AS intercept FROM it WHERE k = 15")
 def calibration_line(spark, sf):
     return rounded(ev.calibration_line(scored(spark, sf)), ["reason"], ["slope", "intercept"])
 

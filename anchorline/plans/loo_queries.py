@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorline.functions.numeric import rounded_value
+from anchorline.operators import boosted as bt
+from anchorline.operators import compare as cp
 from anchorline.operators import leave_one_out as lo
-from anchorline.plans.model_queries import rounded
+from anchorline.plans.eval_queries import N_BOOT, boot_ctes
+from anchorline.plans.model_queries import fold_inputs, rounded, rsql
 from anchorline.plans.registry import query
 from anchorline.plans.sqltext import COHORT, phi, r, with_
 from anchorline.session import stage
@@ -57,3 +60,42 @@ def prequential_loo_activity(spark, sf):
  JOIN cohort c ON c.participant_id <> p.participant_id GROUP BY 1""")
 def others_median(spark, sf):
     return rounded(lo.others_median(stage(cohort(spark, sf), "events")), ["participant_id"], ["others_median"])
+
+
+#: (a, b, metric, subset), fixed in advance; a negative estimate favours a.
+COMPARISONS = [
+    ("B", "frozen_B", "brier", "all"), ("B", "B_shuffled", "brier", "all"), ("B", "personal_rate", "brier", "all"),
+    ("C", "B", "brier", "all"), ("C", "B", "brier", "active"), ("C", "B", "brier", "sedentary"),
+    ("C", "C_perm_activity", "brier", "all"),
+    ("C", "frozen_C", "brier", "all"), ("C", "frozen_C", "brier", "active"), ("frozen_C", "frozen_B", "brier", "active"), ("B", "A", "brier", "all"), ("C", "A", "brier", "all"),
+    ("C", "B", "log_loss", "active"), ("B", "frozen_B", "mae_rise", "all"), ("C", "B", "mae_rise", "active"),
+]
+_CMP = ["model_a", "model_b", "metric", "subset", "n_participants", "n_events", "excludes_zero", "reading"]
+_NUM = ["estimate", "ci_low", "ci_high"]
+
+
+@query("experiment_comparisons")
+def experiment_comparisons(spark, sf):
+    """All fixed comparisons of the leave-one-participant-out run. The boosted baseline forecasts each participant from the folds that it is not in."""
+    e, f = fold_inputs(spark, sf)
+    own = stage(lo.prequential(e, ("frozen_B", "frozen_C", "B", "C", "B_shuffled", "C_perm_activity", "personal_rate")), "prequential")
+    facts = own.where("model = 'B'").select("participant_id", "event_id", "y", "rise", "is_active")
+    a = bt.staged_out_of_fold(e, f).select("participant_id", "event_id", "p").join(facts, ["participant_id", "event_id"]).select("participant_id", "event_id", F.lit("A").alias("model"), "p", F.lit(None).cast("double").alias("mean_rise"), "y", "rise", "is_active")
+    records = own.select(*a.columns).unionByName(a)
+    return rounded(cp.experiment_comparisons(records, COMPARISONS, n_boot=N_BOOT), _CMP, _NUM)
+
+
+_LOSS = {"brier": "(p - y) * (p - y)", "mae_rise": "abs(mean_rise - rise)"}
+_ONE = [("B", "frozen_B", "brier"), ("B", "frozen_B", "mae_rise"), ("B", "personal_rate", "brier")]
+
+
+@query("experiment_comparisons_one_term", with_(COHORT, _LOO, "rc AS (SELECT z.participant_id, z.event_id, model, p, mean_rise, label_exceeds_180 AS y, peak_glucose_rise AS rise FROM rz z JOIN cohort USING (event_id))",
+       "cs AS (" + " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, '{m}' AS metric_name, participant_id, count(*) AS n, sum(x.l - z.l) AS d FROM (SELECT *, {_LOSS[m]} AS l FROM rc WHERE model = '{a}') x "
+                                f"JOIN (SELECT event_id, {_LOSS[m]} AS l FROM rc WHERE model = '{b}') z USING (event_id) GROUP BY participant_id" for a, b, m in _ONE) + ")", boot_ctes("cs", ["model_a", "model_b", "metric_name"], ["d"]))
+       + f"""SELECT model_a, model_b, metric_name AS metric, 'all' AS subset, n_participants, n_events, excludes_zero, CASE WHEN estimate < 0 THEN 'negative favours model_a' ELSE 'positive favours model_b' END AS reading,
+ {', '.join(f'{r(c)} AS {c}' for c in _NUM)} FROM bt""")
+def experiment_comparisons_one_term(spark, sf):
+    """The fixed comparisons among forecasters of one term."""
+    e = stage(cohort(spark, sf), "events")
+    records = stage(lo.prequential(e, ("frozen_B", "B", "personal_rate")), "prequential")
+    return rounded(cp.experiment_comparisons(records, COMPARISONS, n_boot=N_BOOT), _CMP, _NUM)

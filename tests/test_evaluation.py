@@ -232,3 +232,39 @@ def test_replicates_without_anyone_are_counted(spark):
     r = bo.rank_metric_bootstrap(spark.createDataFrame(rows, "arm string, participant_id string, p double, y int"), ["A"], n_boot=50).first()
     drawn = [sum(c) for c in zip(*_draws(["p1"], 50, 0).values())]
     assert r.n_draws_used == sum(c > 0 for c in drawn) and r.n_draws_used + r.n_draws_skipped == 50
+
+
+def test_fixed_comparisons_against_paired_means(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        y, active = int(rng.random() < 0.4), bool(i % 3)
+        for m in ("B", "C", "A"):
+            if m == "A" and i % 2:
+                continue
+            rows.append((f"p{i % 7}", f"e{i}", m, float(rng.random()), float(rng.normal()), y, 1.0, active))
+    df = spark.createDataFrame(rows, "participant_id string, event_id string, model string, p double, mean_rise double, y int, rise double, is_active boolean")
+    listed = [("C", "B", "brier", "active"), ("C", "B", "mae_rise", "all"), ("B", "A", "log_loss", "sedentary"), ("C", "gone", "brier", "all")]
+    got = {(r.model_a, r.model_b, r.metric, r.subset): r for r in cp.experiment_comparisons(df, listed, n_boot=50).collect()}
+    assert len(got) == 3
+    at = {(r[1], r[2]): r for r in rows}
+    loss = {"brier": lambda r: (r[3] - r[5]) ** 2, "mae_rise": lambda r: abs(r[4] - r[6]), "log_loss": lambda r: -np.log(r[3] if r[5] else 1 - r[3])}
+    for (a, b, metric, subset), r in got.items():
+        both = [(at[e, a], at[e, b]) for e in {x[1] for x in rows} if (e, a) in at and (e, b) in at and (subset == "all" or at[e, a][7] == (subset == "active"))]
+        assert r.n_events == len(both) and r.estimate == pytest.approx(np.mean([loss[metric](x) - loss[metric](z) for x, z in both]))
+        assert r.ci_low <= r.estimate <= r.ci_high and r.reading.startswith("negative" if r.estimate < 0 else "positive")
+    none = cp.experiment_comparisons(df.where("model <> 'A' OR is_active"), [("B", "A", "brier", "sedentary")], n_boot=5).first()
+    assert none.n_events == 0 and none.estimate is None
+
+
+def test_calibration_line_is_the_likelihood_fit(spark):
+    rng = np.random.default_rng(10)
+    z = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.3 + 0.7 * z)))).astype(int)
+    p = 1 / (1 + np.exp(-z))
+    r = ev.calibration_line(spark.createDataFrame(list(zip(p.tolist(), y.tolist())), "p double, y int")).first()
+    f = 1 / (1 + np.exp(-(r.intercept + r.slope * z)))
+    assert abs((y - f).sum()) < 1e-6 and abs(((y - f) * z).sum()) < 1e-6
+    for bad in ([(0.2, 0), (0.8, 1), (0.3, 0)], [(0.5, 0), (0.5, 1)], [(0.1, 1), (0.9, 1)]):
+        r = ev.calibration_line(spark.createDataFrame(bad, "p double, y int")).first()
+        assert r.slope is None and r.reason
