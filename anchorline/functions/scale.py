@@ -43,32 +43,38 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, sums:
 
 
 #: Rows of a slice that `equi_depth` aims at, and the most slices of one key.
-DEPTH, MOST_SLICES = 100_000, 1024
+DEPTH, MOST_SLICES = 20_000, 1024
 
 
-def equi_depth(df: DataFrame, keys: list[str], value: str, out: str, depth: int = DEPTH, most: int = MOST_SLICES) -> DataFrame:
+def equi_depth(df: DataFrame, keys: list[str], value: str, out: str, depth: int | None = None, most: int = MOST_SLICES) -> DataFrame:
     """df with `out`, a slice number that rises with `value` within `keys` and cuts a key's rows evenly, whatever the spread of its values.
 
     Keys of at most `depth` rows are one slice. The others get boundaries from a mergeable quantile sketch, as many as their rows need. A value that fills
     more than a slice has an odd number and the slice to itself; it is never cut, so equal values always meet. Null values are in the first slice."""
     src, keys, drop = _dummy(df, keys)
-    large = src.groupBy(*keys).agg(F.count(value).alias("__n")).where(F.col("__n") > depth)
+    depth = depth or DEPTH
+    large = src.groupBy(*keys).agg(F.count(value).alias("__ed_n")).where(F.col("__ed_n") > depth)
     sketch = F.percentile_approx(value, [i / most for i in range(1, most)], 10 * most)
-    wanted = F.least(F.ceil(F.col("__n") / depth), F.lit(most))
+    wanted = F.least(F.ceil(F.col("__ed_n") / depth), F.lit(most))
     # every most / wanted-th boundary; one that comes twice holds a whole slice
-    bounds = (src.join(large, keys, "left_semi").groupBy(*keys).agg(sketch.alias("__q")).join(large, keys)
-              .withColumn("__q", F.transform(F.sequence(F.lit(1), (wanted - 1).cast("int")), lambda i: F.element_at("__q", F.greatest(F.lit(1), F.round(i * most / wanted).cast("int")))))
-              .withColumn("__b", F.array_distinct("__q"))
-              .withColumn("__h", F.transform("__b", lambda b: F.size(F.filter("__q", lambda x: x == b)) > 1))
-              .withColumn("__c", F.filter("__b", lambda b, i: i % 32 == 31)).select(*keys, "__b", "__h", "__c"))
+    bounds = (src.join(large, keys, "left_semi").groupBy(*keys).agg(sketch.alias("__ed_q")).join(large, keys)
+              .withColumn("__ed_q", F.transform(F.sequence(F.lit(1), (wanted - 1).cast("int")), lambda i: F.element_at("__ed_q", F.greatest(F.lit(1), F.round(i * most / wanted).cast("int")))))
+              .withColumn("__ed_b", F.array_distinct("__ed_q"))
+              .withColumn("__ed_h", F.transform("__ed_b", lambda b: F.size(F.filter("__ed_q", lambda x: x == b)) > 1))
+              .withColumn("__ed_c", F.filter("__ed_b", lambda b, i: i % 32 == 31)).select(*keys, "__ed_b", "__ed_h", "__ed_c"))
     below = lambda bounds_: F.size(F.filter(bounds_, lambda b: b < F.col(value)))
-    coarse = below("__c") * 32
-    row = src.join(bounds, keys, "left").withColumn("__i", coarse).withColumn("__i", F.col("__i") + below(F.slice("__b", F.col("__i") + 1, 32)))
-    alone = F.coalesce((F.get("__b", F.col("__i")) == F.col(value)) & F.get("__h", F.col("__i")), F.lit(False))
-    row = row.withColumn(out, F.coalesce(F.when(F.col("__b").isNotNull() & F.col(value).isNotNull(), 2 * F.col("__i") + alone.cast("int")), F.lit(0)).cast("int")).drop("__b", "__h", "__c", "__i")
+    coarse = below("__ed_c") * 32
+    row = src.join(bounds, keys, "left").withColumn("__ed_i", coarse).withColumn("__ed_i", F.col("__ed_i") + below(F.slice("__ed_b", F.col("__ed_i") + 1, 32)))
+    alone = F.coalesce((F.get("__ed_b", F.col("__ed_i")) == F.col(value)) & F.get("__ed_h", F.col("__ed_i")), F.lit(False))
+    row = row.withColumn(out, F.coalesce(F.when(F.col("__ed_b").isNotNull() & F.col(value).isNotNull(), 2 * F.col("__ed_i") + alone.cast("int")), F.lit(0)).cast("int")).drop("__ed_b", "__ed_h", "__ed_c", "__ed_i")
     return row.drop("__all") if drop else row
 
 
+def time_slices(df: DataFrame, keys: list[str], value: str, out: str, width: int | None = None) -> DataFrame:
+    """Even slices of each key's rows by time, or slices of a fixed width where one is given."""
+    return df.withColumn(out, F.floor(F.col(value) / width)) if width else equi_depth(df, keys, value, out)
+
+
 def dense_ids(df: DataFrame, id_col: str, out: str, total: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """Zero-based dense numbering of distinct ids in (md5(id), id) order without one global sort: 4096 hash slices plus slice offsets.
 
@@ -96,19 +102,16 @@ def prob_bucket(p) -> Column:
     return F.when(p <= 0.5, lo).otherwise(hi).cast("int")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slices: int = 2048) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slices: int = MOST_SLICES, depth: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per key (the numpy default), one row per key, one column per entry of `probs`.
 
-    Distinct values are counted first, sliced by range, and only the slices that hold a wanted rank are ordered."""
+    Distinct values are counted first, cut into even slices (an outlier widens none), and only the slices that hold a wanted rank are ordered."""
     src, keys, drop = _dummy(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")), keys)
     dist = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    span = dist.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
-    at = F.when(F.col("__hi") > F.col("__lo"),
-                F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * slices), F.lit(slices - 1))).otherwise(F.lit(0))
-    binned = dist.join(span, keys).withColumn("__s", at.cast("int"))
-    hist = binned.groupBy(*keys, "__s").agg(F.sum("__c").alias("__m"), F.first("__n").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("__before", F.coalesce(F.sum("__m").over(w), F.lit(0)))
+    binned = equi_depth(dist, keys, "__v", "__s", depth, slices)
+    hist = binned.groupBy(*keys, "__s").agg(F.sum("__c").alias("__m"))
+    w = Window.partitionBy(*keys)
+    hist = hist.withColumn("__before", F.coalesce(F.sum("__m").over(w.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__m").over(w))
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.lit(side).alias("side"))
                       for name, q in probs.items() for side in (0, 1)])
     pos = F.col("__w.q") * (F.col("__n") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.functions.scale import prefix_sums
+from anchorline.functions.scale import equi_depth, prefix_sums
 
 # fixed values
 WITHIN = (1, 5, 10, 20)
@@ -47,13 +47,10 @@ def concentration(m: DataFrame) -> DataFrame:
     return per.agg(F.count_if(F.col("d") > 0).alias("participants_with_any"), F.try_divide(F.max("d"), F.sum("d")).alias("max_share"), F.sum("d").alias("n_disagreements"))
 
 
-def average_ranks(df: DataFrame, value: str, out: str, slices: int = 1024) -> DataFrame:
-    """Average rank of each distinct value: counts per value, range slices, two-level running counts."""
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Average rank of each distinct value: counts per value, even slices of them, two-level running counts."""
     d = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    span = d.agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).withColumn("__k", F.lit(0))
-    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * slices), F.lit(slices - 1))).otherwise(0)
-    s = d.withColumn("__k", F.lit(0)).join(span, "__k").withColumn("__s", at.cast("int")).select("__v", "__c", "__s")
-    run = prefix_sums(s, [], "__s", ["__v"], {"__upto": "__c"})
+    run = prefix_sums(equi_depth(d, [], "__v", "__s"), [], "__s", ["__v"], {"__upto": "__c"})
     return run.select(F.col("__v").alias(value), (F.col("__upto") - (F.col("__c") - 1) / 2).alias(out))
 
 

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.numeric import exceed_probability
-from anchorline.functions.scale import dense_ids, prefix_sums
+from anchorline.functions.scale import dense_ids, equi_depth, prefix_sums
 from anchorline.operators.priors import DIFFUSE_B, MIN_PARTICIPANTS, RANK_TOLERANCE, RATIO, eigen_floor
-from anchorline.spec import DAY, OUTCOME_WINDOW, THRESHOLD
+from anchorline.spec import OUTCOME_WINDOW, THRESHOLD
 
-SLICE = 365 * DAY
 # names of the sums of products of the design [1, c, c*a] and the outcome y
 SUMS = {"n": "1D", "c": "carbs_g", "z": "carbs_g*activity_level", "cc": "carbs_g*carbs_g", "cz": "carbs_g*carbs_g*activity_level",
         "zz": "carbs_g*activity_level*carbs_g*activity_level", "y": "peak_glucose_rise", "cy": "carbs_g*peak_glucose_rise",
@@ -71,7 +70,7 @@ def learned_sums(events: DataFrame, lessons: DataFrame, window: int = OUTCOME_WI
     names = {**SUMS, "rate": "peak_glucose_rise/greatest(carbs_g, 1D)"}
     know = lessons.select("participant_id", (F.col("us") + window).alias("at"), F.lit(0).alias("kind"), F.lit("").alias("event_id"), *[F.expr(e).cast("double").alias(f"__{k}") for k, e in names.items()])
     ask = events.select("participant_id", F.col("us").alias("at"), F.lit(1).alias("kind"), "event_id", *[F.lit(0.0).alias(f"__{k}") for k in names])
-    both = know.unionByName(ask).withColumn("__slice", F.floor(F.col("at") / SLICE))
+    both = equi_depth(know.unionByName(ask), ["participant_id"], "at", "__slice")
     run = prefix_sums(both, ["participant_id"], "__slice", ["at", "kind", "event_id"], {f"{prefix}{k}": f"__{k}" for k in names})
     return run.where(F.col("kind") == 1).select("participant_id", "event_id", *[f"{prefix}{k}" for k in names])
 
@@ -92,20 +91,18 @@ def shuffled_lessons(events: DataFrame) -> DataFrame:
 
 def permuted_activity(events: DataFrame) -> DataFrame:
     """Control: activity permuted within the participant; the event at hash rank r hands its activity to the event at time rank r."""
-    e = events.withColumn("__s", F.floor(F.col("us") / SLICE)).withColumn("__one", F.lit(1))
+    e = equi_depth(events, ["participant_id"], "us", "__s").withColumn("__one", F.lit(1))
     timed = prefix_sums(e, ["participant_id"], "__s", ["us", "event_id"], {"__t": "__one"}).withColumn("__i", F.col("__t") - 1).drop("__t", "__one", "__s", "activity_level")
     hashed = dense_ids(events.withColumn("__key", F.concat_ws("|", F.lit("activity"), "event_id")), "__key", "__i", keys=["participant_id"])
     return timed.join(hashed.select("participant_id", "__i", "activity_level"), ["participant_id", "__i"]).drop("__i")
 
 
-def others_median(events: DataFrame, value: str = "activity_level", slices: int = 2048) -> DataFrame:
+def others_median(events: DataFrame, value: str = "activity_level") -> DataFrame:
     """Exact median of everyone else's values per participant.
 
     With g the global rank of an own value and o its rank among own values, the element at rank p of the others sits at global rank
     p + #{own: g - o <= p}: one count per participant and one lookup by rank, instead of one median per held-out participant."""
-    span = events.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).withColumn("__k", F.lit(0))
-    cell = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * slices), F.lit(slices - 1))).otherwise(0)
-    e = events.select("participant_id", "event_id", value).withColumn("__k", F.lit(0)).join(span, "__k").withColumn("__b", cell.cast("int")).withColumn("__one", F.lit(1)).select("participant_id", "event_id", value, "__b", "__one")
+    e = equi_depth(events.select("participant_id", "event_id", value, F.lit(1).alias("__one")), [], value, "__b")
     g = prefix_sums(e, [], "__b", [value, "event_id"], {"__g": "__one"}, totals=True)
     o = prefix_sums(g, ["participant_id"], "__b", [value, "event_id"], {"__o": "__one"}, totals=True)
     o = o.select("participant_id", value, (F.col("__g") - 1).alias("g"), (F.col("__o") - 1).alias("o"), (F.col("__g_total") - F.col("__o_total")).alias("m"))
@@ -282,7 +279,7 @@ def prequential(events: DataFrame, models: tuple[str, ...] | None = None, min_ev
     for o in out[1:]:
         rows = rows.unionByName(o)
     facts = own.select("participant_id", "event_id", F.col("l_n").cast("bigint").alias("n_personal_before"))
-    e = events.withColumn("__s", F.floor(F.col("us") / SLICE)).withColumn("__one", F.lit(1))
+    e = equi_depth(events, ["participant_id"], "us", "__s").withColumn("__one", F.lit(1))
     order = prefix_sums(e, ["participant_id"], "__s", ["us", "event_id"], {"__i": "__one"}, totals=True).select(
         "participant_id", "event_id", (F.col("__i") - 1).alias("order"), (F.col("__i") - 1 >= F.col("__i_total") / 2).alias("is_second_half"),
         F.col("__i_total").alias("__n"), F.col("label_exceeds_180").alias("y"), F.col("peak_glucose_rise").alias("rise"), F.col("activity_level").alias("activity"))

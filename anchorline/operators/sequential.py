@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.numeric import exceed_probability, interval90, phi
-from anchorline.functions.scale import dyadic_cover, dyadic_nodes, prefix_sums
-from anchorline.spec import DAY, OUTCOME_WINDOW, THRESHOLD
+from anchorline.functions.scale import dyadic_cover, dyadic_nodes, equi_depth, prefix_sums, time_slices
+from anchorline.spec import OUTCOME_WINDOW, THRESHOLD
 
-SLICE = 365 * DAY
 _SUMS = ("cc", "cg", "gg", "cy", "gy", "n_learned", "rate_sum")
 
 
@@ -24,7 +23,7 @@ def _lesson_sums() -> dict[str, Column]:
             "rate_sum": y / F.greatest(c, F.lit(1.0))}
 
 
-def learned_before(events: DataFrame, window: int = OUTCOME_WINDOW, slice_us: int = SLICE, evidence: Column | None = None) -> DataFrame:
+def learned_before(events: DataFrame, window: int = OUTCOME_WINDOW, slice_us: int | None = None, evidence: Column | None = None) -> DataFrame:
     """Each event with the sums over the participant's events whose outcome window had closed by its time (inclusive).
 
     `evidence` (boolean) marks the events that may be learned from; excluded ones still get a forecast."""
@@ -34,7 +33,7 @@ def learned_before(events: DataFrame, window: int = OUTCOME_WINDOW, slice_us: in
                                           *[v.cast("double").alias(f"__{k}") for k, v in values.items()])
     ask = events.select("participant_id", F.col("us").alias("at"), F.lit(1).alias("kind"), "event_id", F.struct(*events.columns).alias("ev"),
                         *[F.lit(0.0).alias(f"__{k}") for k in values])
-    both = lesson.unionByName(ask, allowMissingColumns=True).withColumn("__slice", F.floor(F.col("at") / slice_us))
+    both = time_slices(lesson.unionByName(ask, allowMissingColumns=True), ["participant_id"], "at", "__slice", slice_us)
     run = prefix_sums(both, ["participant_id"], "__slice", ["at", "kind", "event_id"], {k: f"__{k}" for k in values})
     return run.where(F.col("kind") == 1).select("ev.*", *[F.col(k) for k in values])
 
@@ -96,11 +95,11 @@ def forecasts(learned: DataFrame, priors: DataFrame, model: str, on: list[str])
                     F.sqrt("s_gg").alias("gamma_sd_before"), "s_bg", "train_prevalence")
 
 
-def trajectory(events: DataFrame, priors: DataFrame, model: str, on: list[str], slice_us: int = SLICE) -> DataFrame:
+def trajectory(events: DataFrame, priors: DataFrame, model: str, on: list[str]) -> DataFrame:
     """Every posterior version of every participant; version 0 is the prior. `events` carries fold (and grp)."""
     values = _lesson_sums()
-    src = events.select("participant_id", *on, "us", "event_id", F.floor(F.col("us") / slice_us).alias("__slice"),
-                        *[v.cast("double").alias(f"__{k}") for k, v in values.items()])
+    src = events.select("participant_id", *on, "us", "event_id", *[v.cast("double").alias(f"__{k}") for k, v in values.items()])
+    src = equi_depth(src, ["participant_id"], "us", "__slice")
     run = prefix_sums(src, ["participant_id"], "__slice", ["us", "event_id"], {k: f"__{k}" for k in values})
     zero = events.select("participant_id", *on).distinct()
     zero = zero.select("*", F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("string").alias("event_id"), *[F.lit(0.0).alias(k) for k in values])
@@ -129,7 +128,7 @@ def personal_rate(learned: DataFrame, priors: DataFrame, on: list[str], threshol
                     exceed_probability("baseline_glucose", "mean_rise", "sqrt(noise)", threshold).alias("p"))
 
 
-def prospective_activity(events: DataFrame, min_history: int = 4, value: str = "activity_level", slice_us: int = SLICE) -> DataFrame:
+def prospective_activity(events: DataFrame, min_history: int = 4, value: str = "activity_level") -> DataFrame:
     """Activity label against the median of the participant's earlier events; unknown below `min_history` of them.
 
     A running median would need one growing window per participant. The label only needs to know on which side of it a value falls: with L
@@ -146,7 +145,7 @@ def prospective_activity(events: DataFrame, min_history: int = 4, value: str = "
     sides = F.concat(F.transform(dyadic_cover(F.lit(0).cast("bigint"), F.col("rank") - 1, F.col("bits")), lambda t: F.struct(F.lit(-1).alias("side"), t.alias("t"))),
                      F.transform(dyadic_cover(F.col("rank"), F.col("size") - 1, F.col("bits")), lambda t: F.struct(F.lit(1).alias("side"), t.alias("t"))))
     ask = e.select("participant_id", "event_id", "us", F.lit(0).alias("kind"), F.explode(sides).alias("x")).select("participant_id", "event_id", "us", "kind", "x.side", "x.t", F.lit(0).alias("__c"), nothing.alias("__r"))
-    both = teach.unionByName(ask).select("*", "t.level", "t.node").drop("t").withColumn("__s", F.floor(F.col("us") / slice_us))
+    both = equi_depth(teach.unionByName(ask).select("*", "t.level", "t.node").drop("t"), ["participant_id", "level", "node"], "us", "__s")
     run = prefix_sums(both, ["participant_id", "level", "node"], "__s", ["us", "event_id", "kind"], {"c": "__c"}, extremes={"hi": ("__r", "max"), "lo": ("__r", "min")})
     below = F.col("side") == -1
     got = run.where(F.col("kind") == 0).groupBy("participant_id", "event_id").agg(

@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.functions.numeric import exceed_probability, interval90
-from anchorline.functions.scale import dyadic_cover, dyadic_nodes, prefix_sums
+from anchorline.functions.scale import dyadic_cover, dyadic_nodes, equi_depth, prefix_sums, time_slices
 from anchorline.spec import LABEL_TOLERANCE, OUTCOME_WINDOW, THRESHOLD
 
-SLICE = 365 * 86_400_000_000
 HIT = 0.5
 SIMILAR = 0.25
 TREND_FLAT = 0.1
@@ -46,7 +45,8 @@ def backdate_guard(requests: DataFrame, learned: DataFrame, window: int = OUTCOM
     arrival slices so one participant's stream is not one task."""
     both = (learned.select("participant_id", "arrival", F.lit(0).alias("kind"), F.col("us").alias("__l"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("bigint").alias("us"))
             .unionByName(requests.select("participant_id", "arrival", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("__l"), "event_id", "us"))
-            .withColumn("__s", F.floor(F.col("arrival") / SLICE)))
+            )
+    both = equi_depth(both, ["participant_id"], "arrival", "__s")
     per = both.groupBy("participant_id", "__s").agg(F.max("__l").alias("__m"))
     before = per.select("participant_id", "__s", F.max("__m").over(Window.partitionBy("participant_id").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
     local = Window.partitionBy("participant_id", "__s").orderBy("arrival", "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -88,24 +88,22 @@ def is_excluded(c: str = "excluded_reason") -> Column:
     return F.coalesce(F.trim(c) != "", F.lit(False))
 
 
-def _with_slice(df: DataFrame, t: str, slice_us: int) -> DataFrame:
-    return df.withColumn("__s", F.floor(F.col(t) / slice_us))
 
 
-def versions(events: DataFrame, slice_us: int = SLICE) -> DataFrame:
+def versions(events: DataFrame) -> DataFrame:
     """version_after per reconciled event: how many outcomes are learned once its window has closed."""
-    e = _with_slice(events.withColumn("__e", F.when(is_excluded(), 0).otherwise(1)), "us", slice_us)
+    e = equi_depth(events.withColumn("__e", F.when(is_excluded(), 0).otherwise(1)), ["participant_id"], "us", "__s")
     run = prefix_sums(e, ["participant_id"], "__s", ["us", "event_id"], {"version_after": "__e"})
     return run.withColumn("version_after", F.when(~is_excluded(), F.col("version_after"))).drop("__s", "__e")
 
 
-def replay_log(events: DataFrame, window: int = OUTCOME_WINDOW, slice_us: int = SLICE) -> DataFrame:
+def replay_log(events: DataFrame, window: int = OUTCOME_WINDOW, slice_us: int | None = None) -> DataFrame:
     """Ordered actions per participant: due outcomes first, then the forecast; version before and after each action."""
     ex = is_excluded()
     forecast = events.select("participant_id", "event_id", "us", F.col("us").alias("at"), F.lit(1).alias("kind"), F.lit("forecast").alias("action"), F.lit(0).alias("__e"))
     close = events.select("participant_id", "event_id", "us", (F.col("us") + window).alias("at"), F.lit(0).alias("kind"),
                           F.when(ex, "exclude").otherwise("reconcile").alias("action"), F.when(ex, 0).otherwise(1).alias("__e"))
-    a = _with_slice(forecast.unionByName(close), "at", slice_us).withColumn("__one", F.lit(1))
+    a = time_slices(forecast.unionByName(close), ["participant_id"], "at", "__s", slice_us).withColumn("__one", F.lit(1))
     run = prefix_sums(a, ["participant_id"], "__s", ["at", "kind", "us", "event_id"], {"seq": "__one", "version_after": "__e"})
     return run.select("participant_id", (F.col("seq") - 1).alias("seq"), "action", "event_id", "at", (F.col("version_after") - F.col("__e")).alias("version_before"), "version_after")
 
@@ -215,12 +213,12 @@ def reconciliation_summary(report: DataFrame) -> DataFrame:
                                                 F.avg("standardised_error").alias("mean_standardised_error"), F.avg("brier").alias("mean_brier"))
 
 
-def hit_rates(report: DataFrame, window: int = 5, slice_us: int = SLICE) -> DataFrame:
+def hit_rates(report: DataFrame, window: int = 5, slice_us: int | None = None) -> DataFrame:
     """Cumulative and last-`window` hit rate in reconciliation order. The rolling rate is a difference of two running counts, found by an
     equality join on (participant, rank), so a long history stays distributed."""
     if window < 1:
         raise ValueError("window must be at least 1")
-    r = _with_slice(report.withColumn("__h", F.col("hit").cast("int")).withColumn("__one", F.lit(1)), "us", slice_us)
+    r = time_slices(report.withColumn("__h", F.col("hit").cast("int")).withColumn("__one", F.lit(1)), ["participant_id"], "us", "__s", slice_us)
     run = prefix_sums(r, ["participant_id"], "__s", ["us", "event_id"], {"rank": "__one", "hits": "__h"}).drop("__s", "__h", "__one")
     back = run.select("participant_id", (F.col("rank") + window).alias("rank"), F.col("hits").alias("__before"))
     return run.join(back, ["participant_id", "rank"], "left").withColumn("cumulative_hit_rate", F.col("hits") / F.col("rank")).withColumn(
@@ -243,7 +241,7 @@ def rolling_brier(rates: DataFrame, window: int = 10, minimum: int = 3) -> DataF
         "participant_id", "n_in_window", F.when(F.col("n_in_window") >= minimum, F.col("__b")).alias("rolling_brier"))
 
 
-def own_history(forecasts: DataFrame, reconciled: DataFrame, slice_us: int = SLICE, window: int = OUTCOME_WINDOW) -> DataFrame:
+def own_history(forecasts: DataFrame, reconciled: DataFrame, window: int = OUTCOME_WINDOW, slice_us: int | None = None) -> DataFrame:
     """For each forecast, the participant's outcomes already learned from meals within 25 % of its dose: count, mean rise, share reached.
 
     Doses become ranks among the participant's distinct doses; a dose range is then a rank range, tiled by aligned power-of-two intervals,
@@ -268,7 +266,7 @@ def own_history(forecasts: DataFrame, reconciled: DataFrame, slice_us: int = SLI
         F.lit(1).alias("__n"), F.col("rise").alias("__r"), F.col("y").alias("__y"))
     flat = lambda d: d.select("*", "t.level", "t.node").drop("t")
     both = flat(know).unionByName(flat(ask), allowMissingColumns=True).fillna(0, ["__n", "__y"]).fillna(0.0, ["__r"])
-    found = prefix_sums(_with_slice(both, "at", slice_us), ["participant_id", "level", "node"], "__s", ["at", "kind", "event_id"], {"n": "__n", "r": "__r", "y": "__y"})
+    found = prefix_sums(time_slices(both, ["participant_id", "level", "node"], "at", "__s", slice_us), ["participant_id", "level", "node"], "__s", ["at", "kind", "event_id"], {"n": "__n", "r": "__r", "y": "__y"})
     found = found.where(F.col("kind") == 1).groupBy("participant_id", "event_id").agg(F.sum("n").alias("n_similar"), F.sum("r").alias("__r"), F.sum("y").alias("__y"))
     out = forecasts.select("participant_id", "event_id", "carbs_g").join(found, ["participant_id", "event_id"], "left")
     n = F.coalesce("n_similar", F.lit(0))

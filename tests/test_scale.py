@@ -82,3 +82,22 @@ def test_equi_depth_cuts_a_hot_key_evenly_whatever_its_values(spark):
     assert [set(x) for s, x in sizes.items() if s % 2] == [{0.5}]
     pooled = sc.equi_depth(df, [], "v", "s", depth=1000, most=64).groupBy("s").count().collect()
     assert len(pooled) >= 8 and "__all" not in pooled[0].asDict()
+
+
+def test_slices_of_a_hot_participant_do_not_change_results(spark, monkeypatch):
+    from helpers import COHORT, cohort_rows
+    from anchorline.operators import leave_one_out as lo
+    from anchorline.operators import sequential as sq
+    from anchorline.operators import twin as tw
+    rows = [r for r in cohort_rows(6, 8)] + [("hot", f"h{i:03d}", 1_704_067_200_000_000 + i * i * 3_600_000_000, 20.0 + i % 7, 1.0 + i % 3, 100.0, 30.0 + i % 5, i % 2, "A") for i in range(60)]
+    e = spark.createDataFrame(rows, COHORT).cache()
+    def run():
+        learned = sorted(map(tuple, sq.learned_before(e).select("event_id", "cc", "gy", "n_learned").collect()))
+        log = sorted(map(tuple, tw.replay_log(e.withColumn("excluded_reason", F.lit(None).cast("string"))).collect()))
+        return learned, log, sorted(map(tuple, sq.prospective_activity(e).collect())), sorted(map(tuple, lo.others_median(e).collect()))
+    whole = run()
+    monkeypatch.setattr(sc, "DEPTH", 9)
+    cut = run()
+    assert cut[1:] == whole[1:]
+    assert [x[0] for x in cut[0]] == [x[0] for x in whole[0]] and [x[1:] for x in cut[0]] == [pytest.approx(x[1:]) for x in whole[0]]
+    assert sc.equi_depth(e, ["participant_id"], "us", "s").where("participant_id = 'hot'").select("s").distinct().count() >= 6
