@@ -54,6 +54,9 @@ def equi_depth(df: DataFrame, keys: list[str], value: str, out: str, depth: int
     src, keys, drop = _dummy(df, keys)
     depth = depth or DEPTH
     large = src.groupBy(*keys).agg(F.count(value).alias("__ed_n")).where(F.col("__ed_n") > depth)
+    if not large.limit(1).count():  # the usual table: no key needs cutting, and no plan carries the boundaries
+        row = src.withColumn(out, F.lit(0))
+        return row.drop("__all") if drop else row
     sketch = F.percentile_approx(value, [i / most for i in range(1, most)], 10 * most)
     wanted = F.least(F.ceil(F.col("__ed_n") / depth), F.lit(most))
     # every most / wanted-th boundary; one that comes twice holds a whole slice
