@@ -14,8 +14,8 @@ import os
 import re
 from struct import Struct
 
-#: Entries of one generation of the memo. Two are kept, so that what is frequent outlives what is not.
-MEMO_ENTRIES = 300_000
+#: Entries of one generation of the memo, about 150 bytes each. Two are kept, so that what is frequent outlives what is not.
+MEMO_ENTRIES = 900_000
 _GAP = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S) ")
 _STEM = re.compile(r"(.*[^\W\d_])([!-/:-@\[-^`{-~]+)", re.S)
@@ -127,7 +127,7 @@ class MemoTokenizer:
             return [next(done) if t else b"" for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo, self.older = {}, self.memo
-        if len(self.bare) > MEMO_ENTRIES // 10:
+        if len(self.bare) > MEMO_ENTRIES // 30:
             self.bare = {}
         whole = [i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)]
         cut = [self.parts(t) if t else [""] for t in texts]
