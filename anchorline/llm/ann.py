@@ -10,12 +10,13 @@ holds the share `cover` of them. This is the measure of recall against brute for
 Index. The code is cut into m substrings of 8 or 16 bits, whichever costs less at this radius, and every vector is indexed under each. With
 r + 1 = m * q + rest, two codes within r bits are within q bits on one of the first `rest` substrings or within q - 1 on one of the others, so probing
 those values retrieves every code within the radius. A pair counts under the first substring that admits it. Pairs within the radius are reranked by
-cosine in double precision on the original vectors. A query with fewer than k pairs is compared with all vectors, in blocks of queries.
+cosine in double precision on the original vectors. Queries with fewer than k pairs are compared with all vectors, in cells of a block of queries and a
+block of vectors, all in one job.
 
 Equal vectors are indexed by their k + 1 smallest ids, as no other can be among the k nearest of anything. A large bucket is cut into blocks.
 
-Inputs. Vectors that are null, zero, or hold null or non-finite components, and rows with a null id take no part, as queries or candidates; nor do
-vectors of another length than most. Ties go to the smaller id. With fewer than k candidates all are returned. Rows with equal ids count as one
+Inputs. Vectors that are null, zero, or hold null or non-finite components, and rows with a null id take no part, as queries or candidates. Vectors of
+another length are no candidates of a query, as they have no cosine with it: each length is searched by itself, by the same index. Ties go to the smaller id. With fewer than k candidates all are returned. Rows with equal ids count as one
 vector, the one whose components sort first. An empty table gives an empty result. Further columns of the input are ignored."""
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from anchorline.llm.embedding_dedup import _matrix, _scaled, usable
 from anchorline.session import stage
 
 SAMPLE, PILOTS, BITS = 4096, 256, 256
-#: Vectors and probes of one cell, and queries of one block of the full comparison.
-VECTORS, PROBES, BLOCK = 4096, 4096, 512
+#: Vectors and probes of one cell, and queries of one cell of the full comparison.
+VECTORS, PROBES, BLOCK = 4096, 4096, 4096
+#: More than the rounding of a product of unit vectors.
+ROUNDING = 1e-9
 #: Cost of a shuffled probe against one comparison of two codes.
 PROBE_COST = 100
 
@@ -86,23 +89,14 @@ def substring_width(radius: int, bits: int, n: int, queries: int) -> int:
 
 def full_scan(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of a bounded block of queries over all vectors, k per task before the exchange."""
-    unit = _scaled(queries)
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-
     def run(batches):
         best: dict[int, list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             vec, raw = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            x = _scaled(raw)
-            near = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            near[ids[:, None] == vec] = -np.inf
-            top = np.argpartition(-near, min(2 * k, len(vec) - 1), 1)[:, :2 * k + 1]
-            for i, picks in enumerate(top):
-                picks = picks[np.isfinite(near[i, picks])]
-                scores = cosines(np.broadcast_to(queries[i], (len(picks), queries.shape[1])), raw[picks])
-                best[i] = sorted([*best.get(i, []), *zip((-scores).tolist(), vec[picks].tolist())])[:k]
+            for q, v, score in _top(ids, queries, vec, raw, k):
+                best[q] = sorted([*best.get(q, []), *zip((-score).tolist(), vec[v].tolist())])[:k]
         rows = [(int(ids[i]), v, -s) for i, found in best.items() for s, v in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["query_id", "vec_id", "score"])
@@ -110,6 +104,58 @@ def full_scan(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int)
     return nearest(vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double"), k)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _top(ids: np.ndarray, queries: np.ndarray, vec: np.ndarray, raw: np.ndarray, k: int):
+    """(query's position, positions of its k nearest, their cosines), nearest first and ties by id. The product of unit vectors only narrows the choice:
+    whatever lies within its rounding of the k-th value is scored exactly, ties included."""
+    unit = _units(raw).T
+    for at in range(0, len(ids), 256):
+        near = _units(queries[at:at + 256]) @ unit
+        near[ids[at:at + 256, None] == vec] = -np.inf
+        floor = np.partition(near, max(len(vec) - k, 0), 1)[:, max(len(vec) - k, 0)] - ROUNDING
+        for i in range(len(near)):
+            picks = np.flatnonzero((near[i] >= floor[i]) & np.isfinite(near[i]))
+            if len(picks):
+                score = cosines(np.broadcast_to(queries[at + i], (len(picks), queries.shape[1])), raw[picks])
+                first = np.lexsort((vec[picks], -score))[:k]
+                yield at + i, picks[first], score[first]
+
+
+def full_cells(vectors: DataFrame, queries: DataFrame, k: int, n: int, n_queries: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of every query over all n vectors. A cell holds a block of queries and a block of vectors and emits k rows
+    a query, so neither side is held whole anywhere, and the plan is the same for any number of queries."""
+    nv, nq = -(-n // VECTORS), -(-n_queries // BLOCK)
+
+    def dealt(side, own, other, mine, theirs, asks):
+        return (side.select("vec_id", "embedding", F.lit(asks).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(mine)).alias(own))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(theirs - 1).cast("bigint")))))
+
+    order = ["bv", "bq"]
+    columns = [*order, "asks", "vec_id", "embedding"]
+    both = dealt(vectors, "bv", "bq", nv, nq, False).select(*columns).unionByName(dealt(queries, "bq", "bv", nq, nv, True).select(*columns))
+
+    def run(batches):
+        for table, starts in whole_runs(batches, order):
+            c = {x: table.column(x).combine_chunks() for x in columns[2:]}
+            asks, vec = c["asks"].to_numpy(zero_copy_only=False), c["vec_id"].to_numpy()
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+                q, v = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+                if not len(q) or not len(v):
+                    continue
+                x = _matrix(c["embedding"].slice(a, b - a))
+                rows = [(vec[q[i]], vec[v[near]], score) for i, near, score in _top(vec[q], x[q - a], vec[v], x[v - a], k)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])), *(pa.array(np.concatenate([r[j] for r in rows])) for j in (1, 2))],
+                                                     names=["query_id", "vec_id", "score"])
+
+    dense = both.repartition(max(spread(vectors), min(nv * nq, 10_000)), *order).sortWithinPartitions(*order)
+    return nearest(dense.mapInArrow(run, "query_id bigint, vec_id bigint, score double"), k)
+
+
 def nearest(scored: DataFrame, k: int) -> DataFrame:
     """Rank within each query; only k rows of a query leave a task."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -130,20 +176,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = BITS, c
     """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query` (over `vec_id`) holds."""
     good = pick(vectors, vec_id=id_col, embedding=vector_col).where(usable() & F.col("vec_id").isNotNull())
     good = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    lengths = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    good = stage(good, "vectors")
+    out = good.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for d, n in sorted(tuple(r) for r in good.groupBy(F.size("embedding")).count().collect()):  # lengths of vectors, one in any usual table
+        out = out.unionByName(_search(good.where(F.size("embedding") == d), n, is_query, k, bits, cover))
+    return out
+
+
+def _search(good: DataFrame, n: int, is_query: Column, k: int, bits: int, cover: float) -> DataFrame:
+    """`search` over n vectors of one length."""
     empty = good.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if lengths is None:
-        return empty
-    good = stage(good.where(F.size("embedding") == lengths["d"]), "vectors")
     same = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = stage(good.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"), "indexed")
     queries = stage(good.where(is_query), "queries")
-    n, n_queries = lengths["count"], queries.count()
-    if not n_queries:
-        return empty
-    codes = Codes(_collect(_share(good, n, SAMPLE))[1], bits) if n > 1 else None
-    if codes is None:
+    n_queries = queries.count()
+    if not n_queries or n < 2:
         return empty
+    codes = Codes(_collect(_share(good, n, SAMPLE))[1], bits)
 
     # radius
     ids, pilots = _collect(_share(queries, n_queries, PILOTS))
@@ -156,19 +205,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = BITS, c
 
     pairs = _within(indexed, queries, codes, radius, bits, n, n_queries)
     scored = stage(nearest(_rerank(pairs, indexed, queries), k), "ranked")
-    # queries with fewer than k: against all vectors, a block of queries at a time
+    # queries with fewer than k: against all vectors
     missing = stage(queries.join(scored.groupBy("query_id").count().where(F.col("count") >= k), F.col("vec_id") == F.col("query_id"), "left_anti"), "missing")
     n_missing = missing.count()
     if not n_missing:
         return scored
-    out = scored.join(missing.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*scored.columns)
-    blocks = -(-n_missing // BLOCK)
-    for b in range(blocks):
-        some = missing.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        ids, block = _collect(some)
-        if len(ids):
-            out = out.unionByName(full_scan(indexed, ids, block, k))
-    return out
+    done = scored.join(missing.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*scored.columns)
+    return done.unionByName(full_cells(indexed, missing, k, n, n_missing))
 
 
 def _within(indexed: DataFrame, queries: DataFrame, codes: Codes, radius: int, bits: int, n: int, n_queries: int) -> DataFrame:

@@ -164,6 +164,51 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0 and ann.search(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
 
 
+def exact_nearest(rows, q, k=5):
+    """The k nearest of row q among rows (id, vector) of its length, by the definition."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    score = ann.cosines(np.broadcast_to(x[q], x.shape), x)
+    order = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:k]
+    return [(rank + 1, int(ids[i]), float(score[i])) for rank, i in enumerate(order)]
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_full_comparison_keeps_ties_whatever_the_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "VECTORS", block)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    x = np.random.default_rng(8).standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 - i, (x[0] * 2.0 ** i).tolist()) for i in range(1, 31)]  # thirty equal cosines, smaller ids last
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.full_cells(df, df.where("vec_id % 4 = 0"), 5, len(rows), 22).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {r[0]: exact_nearest(rows, at) for at, r in enumerate(rows) if r[0] % 4 == 0}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    ids = np.array([0, 4])
+    one = ann.full_scan(df, ids, x[ids], 5).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in one) == sorted((q, *t) for q in (0, 4) for t in want[q])
+
+
+def test_every_length_is_searched_and_odd_rows_have_a_defined_result(spark):
+    rng = np.random.default_rng(9)
+    long, short = rng.standard_normal((40, 12)), rng.standard_normal((9, 3))
+    rows = [(i, v.tolist(), 1, 0.5, 7, 8) for i, v in enumerate(long)] + [(200 + i, v.tolist(), 1, 0.5, 7, 8) for i, v in enumerate(short)]
+    rows += [rows[0], (10, [9.0] * 12, 1, 0.5, 7, 8)]  # a repeated row, and an id with two vectors: the one that sorts first counts
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double, query_id long, asks long")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 2 == 0, cover=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    one = {}
+    for i, v, *_ in rows:
+        one[i] = min(v, one.get(i, v))
+    for lot in ([r for r in one.items() if r[0] < 200], [r for r in one.items() if r[0] >= 200]):
+        for at, (i, _) in enumerate(lot):
+            if i % 2 == 0:
+                mine, want = sorted(got.pop(i)), exact_nearest(lot, at)
+                assert len(mine) == 5 and sum(m[1] in {w[1] for w in want} for m in mine) >= 4
+    assert not got
+
+
 def test_probing_retrieves_every_code_within_the_radius(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((300, 16))
@@ -177,6 +222,21 @@ def test_probing_retrieves_every_code_within_the_radius(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_lexicon_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        toxic = i % 3 == 0
+        words = prose(rng, 30).split() + (["vilescum", "rotbrain"] if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    rows += [(1000 + i, rows[i][1] + " tail%d" % i, rows[i][2]) for i in range(60)]  # near copies, of which one is learned from
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    a, b = toxicity.fit(df.repartition(1)), toxicity.fit(df.orderBy(F.desc("doc_id")).repartition(7, "text"))
+    texts = [r[1] for r in rows] + ["", None, "You vilescumm", "'vilescum'"]
+    assert (a.score(texts) == b.score(texts)).all() and a.score(["vilescum rotbrain"])[0] > 0.7 > a.score([""])[0]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     rng = random.Random(7)
