@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from anchorline.llm.common import column, pick, steps
 from anchorline.session import stage
 
-#: Letters from which a term may be misspelled, lengths of word beginnings tried as terms, most terms kept, and most words remembered.
+#: Letters from which a term may be misspelled, lengths of word beginnings tried as terms, and most words remembered.
 #: Beyond STATES automaton states, or MEMO words, both are made anew; STEP bytes of text are counted at once when terms are.
 STATES, STEP = 20_000, 1 << 20
-FUZZY_FROM, STEMS, MAX_TERMS, MEMO = 5, (4, 5, 6, 7, 8), 4000, 150_000
+FUZZY_FROM, STEMS, MEMO = 5, (4, 5, 6, 7, 8), 150_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _OPEN, _CLOSE = "\"'“„«‹‘", "\"'”“»›’"
 FEATURES = 7
@@ -199,7 +199,7 @@ class Model:
 
 
 def _once(training: DataFrame) -> DataFrame:
-    """One training document per label of those that share their least five-word hash: copies and most near copies."""
+    """One training document per label of those that share their least five-word hash: copies and most near copies. The smallest (doc_id, text) stays, so two runs fit the same."""
     def run(batches):
         for batch in steps(batches):
             least = []
@@ -208,7 +208,8 @@ def _once(training: DataFrame) -> DataFrame:
                 least.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))), default=0) >> 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "label", "least"])
 
-    return training.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, text string, label int, least bigint").dropDuplicates(["least", "label"])
+    return (training.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, text string, label int, least bigint")
+            .groupBy("least", "label").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.doc_id", "first.text", "label"))
 
 
 def _terms(training: DataFrame) -> DataFrame:
@@ -230,7 +231,8 @@ def _terms(training: DataFrame) -> DataFrame:
 
 
 def fit(training: DataFrame, window: int = 6, precision: float = 0.5) -> Model:
-    """From (doc_id, text, label). To the driver come at most MAX_TERMS terms, their misspellings among clean words, and six numbers per training document."""
+    """From (doc_id, text, label). To the driver come the terms beyond chance (words of the bounded sample's toxic documents), their
+    misspellings among clean words, and six numbers per training document."""
     once = stage(_once(training), "training")
     totals = dict(once.groupBy("label").count().collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -244,7 +246,7 @@ def fit(training: DataFrame, window: int = 6, precision: float = 0.5) -> Model:
     ratio = a * F.log(a / (n * base)) + F.when(b > 0, b * F.log(b / (n * (1 - base)))).otherwise(0.0)
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
     strong = (terms.where((a >= 3) & (a >= precision * n) & (ratio >= math.log(tried / 0.05))).withColumn("odds", odds).where("odds > 0")
-              .orderBy(F.desc(ratio), "term", "begins").limit(MAX_TERMS).collect())
+              .orderBy(F.desc(ratio), "term", "begins").collect())
     chosen = [(r["term"], r["begins"], min(r["odds"], HEAVIEST)) for r in strong]
     lexicon = Lexicon(chosen, [])
 
