@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,9 +13,15 @@ from pyspark.sql import types as T
 
 from anchorline.functions.labels import extension, file_class
 from anchorline.operators.audits import column_profile, extension_summary
+from anchorline.session import stage
+from anchorline.sources.records import fields, read_records
 
 REQUIRED = ("Timestamp", "Meal Type")
-SKIPPED_DIRS = r"/(\.git|__pycache__|\.ipynb_checkpoints)(/|$)"
+SKIPPED_DIRS = r"/(\.git|__pycache__|\.ipynb_checkpoints|\.DS_Store)(/|$)"
+#: A file's stem.
+STEM = r"([^/\\]*?)(\.[^./\\]*)?$"
+# fixed values: texts that count as missing
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 # fixed values: file column -> series column
 COLUMNS = {"Dexcom GL": "sensor_a", "Libre GL": "sensor_b", "METs": "activity", "HR": "heart_rate", "Carbs": "dose", "Protein": "protein_g", "Fat": "fat_g",
            "Fiber": "fiber_g", "Calories": "calories"}
@@ -24,62 +31,80 @@ SERIES_SCHEMA = T.StructType([T.StructField("participant_id", T.StringType()), T
                               T.StructField("columns_present", T.ArrayType(T.StringType()))])
 
 
-def scan_directory(spark: SparkSession, root: str) -> DataFrame:
+def scan_directory(spark: SparkSession, root: str, *more: str) -> DataFrame:
     """path, extension, length of every file under root; contents are never opened."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", *more)
     return f.where(~F.col("path").rlike(SKIPPED_DIRS)).withColumn("ext", extension("path")).withColumn("class", file_class("path"))
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First line of each file, read through whatever file system its URI names; an unreadable file is no candidate."""
+    """First record of each file, read through whatever file system its URI names and no further; an unreadable file is no candidate."""
     from pyarrow import fs
     for pdf in batches:
-        out = []
-        for path in pdf["path"]:
+        names = []
+        for path in pdf["uri"]:
             try:
                 system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(name) as s:
-                    line = b""
-                    while b"\n" not in line and (more := s.read(65_536)):
-                        line += more
-                first = line.decode("utf-8-sig", "replace").splitlines()[0]
-                out.append((path, [c.strip() for c in next(csv.reader([first]))]))
+                with system.open_input_stream(name) as s, io.TextIOWrapper(s, encoding="utf-8-sig", errors="replace", newline="") as text:
+                    names.append([c.strip() for c in next(csv.reader(text))])
             except Exception:  # noqa: BLE001
-                out.append((path, None))
-        yield pd.DataFrame(out, columns=["path", "columns"])
+                names.append(None)
+        yield pdf.assign(columns=names)
 
 
 def discover_participant_files(spark: SparkSession, root: str, required=REQUIRED) -> DataFrame:
-    """CSV files whose (trimmed) header holds the required columns, whatever the file is called. A file is read up to the end of its first line."""
-    csv = scan_directory(spark, root).where(F.col("ext") == "csv").select("path")
-    h = csv.mapInPandas(_headers, "path string, columns array<string>")
+    """path, uri (as Spark's file metadata spell it), columns of the CSV files whose (trimmed) header holds the required columns, whatever the file is called."""
+    csv_files = scan_directory(spark, root, "_metadata.file_path").where(F.col("ext") == "csv").select("path", F.col("file_path").alias("uri"))
+    h = csv_files.mapInPandas(_headers, "path string, uri string, columns array<string>")
     need = F.array(*[F.lit(c) for c in required])
     return h.where(F.col("columns").isNotNull() & (F.size(F.array_except(need, "columns")) == 0))
 
 
-def participant_id_from_path(path) -> F.Column:
-    return F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
-
-
-def load_series(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """All participant files as one series. Files are read per distinct header (a handful of layouts), with an explicit all-text schema;
-    an absent column is NULL and also missing from `columns_present`, because an absent channel and an empty one are different facts.
-
-    One task reads one whole file, so a row's number inside the file is known from the read order."""
-    files = discover_participant_files(spark, root) if files is None else files
-    layouts = files.groupBy("columns").agg(F.collect_list("path").alias("paths")).collect()  # file names only, one row per layout
-    out = None
-    for layout in layouts:
-        names = list(layout["columns"])
-        schema = T.StructType([T.StructField(c or f"__blank{i}", T.StringType()) for i, c in enumerate(names)])
-        raw = spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("enforceSchema", "true").csv(list(layout["paths"]))
-        ts = F.expr("try_to_timestamp(Timestamp)")
-        number = lambda c: (F.expr(f"try_cast(`{c}` AS DOUBLE)") if c in names else F.lit(None).cast("double"))
-        text = lambda c: (F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")) if c in names else F.lit(None).cast("string"))
-        part = raw.select(participant_id_from_path(F.col("_metadata.file_name")).alias("participant_id"), F.monotonically_increasing_id().alias("row_order"), F.unix_micros(ts).alias("us"),
-                          *[number(c).alias(n) for c, n in COLUMNS.items()], *[text(c).alias(n) for c, n in TEXT_COLUMNS.items()], F.array(*[F.lit(c) for c in names]).alias("columns_present"))
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], SERIES_SCHEMA) if out is None else out
+def participant_id_from_path(path, pattern: str = STEM) -> F.Column:
+    return F.regexp_extract(path, pattern, 1)
+
+
+def load_series(spark: SparkSession, root: str, files: DataFrame | None = None, id_pattern: str = STEM) -> DataFrame:
+    """All participant files as one series; `row_order` rises along a file. Files are read in splits, whatever their layouts, and a row meets its
+    file's header by (file, split). Columns are found by trimmed name (the first of equal names); texts in MISSING are null, numbers and times that cannot
+    be read too. An absent column is NULL and also missing from `columns_present`, because an absent channel and an empty one are different facts.
+
+    Files that end inside a quoted field are left out (`refused_files`). No files, no rows."""
+    headers = stage(discover_participant_files(spark, root) if files is None else files, "headers")
+    width = headers.agg(F.max(F.size("columns"))).first()[0]
+    if width is None:
+        return spark.createDataFrame([], SERIES_SCHEMA)
+    rows, _ = read_records(spark, root, headers)
+    row = rows.select("path", "at", "columns", fields("value", width).alias("f"))
+
+    def cell(c):
+        at = F.array_position("columns", F.lit(c))
+        x = F.when(at > 0, F.get("f", (at - 1).cast("int")))
+        return F.when(~x.isin(*MISSING), x)
+
+    time = cell("Timestamp")
+    us = F.unix_micros(F.coalesce(F.try_to_timestamp(time), *[F.try_to_timestamp(time, F.lit(f)) for f in ("M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")]))
+    return row.select(participant_id_from_path(F.col("path"), id_pattern).alias("participant_id"), F.col("at").alias("row_order"), us.alias("us"), *[cell(c).try_cast("double").alias(n) for c, n in COLUMNS.items()],
+                      *[cell(c).alias(n) for c, n in TEXT_COLUMNS.items()], F.col("columns").alias("columns_present"))
+
+
+def refused_files(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """path of every participant file that ends inside a quoted field, which `load_series` leaves out."""
+    return read_records(spark, root, stage(discover_participant_files(spark, root) if files is None else files, "headers"))[1]
+
+
+def column_availability(headers: DataFrame) -> DataFrame:
+    """column_name, n_files that have it, in_every_file, n_total; names only, so nobody is identified. A name repeated in a header counts once."""
+    n = headers.count()
+    return (headers.select(F.explode(F.array_distinct("columns")).alias("column_name")).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_files"))
+            .select("column_name", "n_files", (F.col("n_files") == n).alias("in_every_file"), F.lit(n).cast("bigint").alias("n_total")))
+
+
+def column_sets(headers: DataFrame) -> DataFrame:
+    """n_files, n_columns, columns_beyond_common (sorted) of every distinct set of columns. The common columns come to the driver: no more than one header holds."""
+    common = [r[0] for r in column_availability(headers).where("in_every_file").select("column_name").collect()]
+    return (headers.groupBy(F.array_sort("columns").alias("columns")).agg(F.count(F.lit(1)).alias("n_files"))
+            .select("n_files", F.size("columns").cast("bigint").alias("n_columns"), F.array_sort(F.array_except("columns", F.array(*[F.lit(c) for c in common]).cast("array<string>"))).alias("columns_beyond_common")))
 
 
 def with_channel_flag(series: DataFrame, file_column: str) -> DataFrame:
