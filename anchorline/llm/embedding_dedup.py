@@ -143,6 +143,11 @@ def grow(vectors: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
         now = stage(moved.mapInArrow(route, f"tree int, grp bigint, vec bigint, embedding {kind}, leaf bigint, done boolean"), "routed")
 
 
+def group_of(label, vector):
+    """Hash of what vectors must share to be compared; labels themselves are compared before a link is made."""
+    return F.xxhash64(label, F.size(vector))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 6, leaf: int = 1024, spill: float = 0.75,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of the input."""
@@ -150,8 +155,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 6,
     good = rows.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     if good.groupBy("vec_id").count().where("count > 1").limit(1).count():
         good = good.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("s")).select("vec_id", "s.label", "s.embedding")
-    good = stage(good.select("vec_id", "embedding", F.xxhash64("label", F.size("embedding")).alias("grp")), "vectors")
-    classes = stage(good.groupBy("grp", "embedding").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies")), "vector-classes")
+    good = stage(good.select("vec_id", "embedding", "label", group_of("label", "embedding").alias("grp")), "vectors")
+    classes = stage(good.groupBy("grp", "label", "embedding").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     found = None
     for d in [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]:  # lengths of vectors, one in any usual table
         part = _links(classes.where(F.size("embedding") == d), threshold, trees, leaf, spill * float(np.sqrt((2 - 2 * threshold) / d)))
@@ -162,8 +167,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 6,
     found = stage(found, "links")
     groups = connected_components(found.where("other <> vec").select(F.col("vec").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "vec")
     per_class = (classes.join(found.groupBy("vec").agg(F.sum("n").alias("n")), "vec", "left").join(groups, "vec", "left")
-                 .select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id")))
-    linked = good.join(per_class, ["grp", "embedding"]).select("vec_id", "n_links", "component_id")
+                 .select("grp", "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id")))
+    linked = good.join(per_class, ["grp", "label", "embedding"]).select("vec_id", "n_links", "component_id")
     return (rows.select("vec_id").join(linked, "vec_id", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
@@ -174,19 +179,21 @@ def _links(classes: DataFrame, threshold: float, trees: int, leaf: int, spill: f
     code = F.col("tree").cast("bigint") * F.lit(1 << 56) + F.xxhash64("grp", "leaf").bitwiseAND(F.lit((1 << 56) - 1))
     member = stage(grow(classes.select("grp", "vec", "embedding"), trees, leaf, spill).withColumn("code", code), "forest")
     paths = member.groupBy("vec").agg(F.collect_list("code").alias("codes"))  # a few leaves per tree
-    full = member.join(paths, "vec").join(classes.select("vec", "copies"), "vec").select("code", "vec", "copies", "embedding", "codes")
+    full = member.join(paths, "vec").join(classes.select("vec", "copies", "label"), "vec").select("code", "vec", "copies", "label", "embedding", "codes")
     keys = ["code", "b1", "b2"]
     out = pa.schema([("vec", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
     def run(batches):
         for table, starts in whole_runs(batches, keys):
-            columns = {k: table.column(k).combine_chunks() for k in ("vec", "copies", "embedding", "codes", "block", "code", "b1", "b2")}
+            columns = {k: table.column(k).combine_chunks() for k in ("vec", "copies", "label", "embedding", "codes", "block", "code", "b1", "b2")}
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
                 x = _scaled(_matrix(columns["embedding"].slice(a, b - a)))
                 vec, copies, block = (columns[k].slice(a, b - a).to_numpy() for k in ("vec", "copies", "block"))
                 norm = np.sqrt((x * x).sum(1))
                 hit = x @ x.T / (norm[:, None] * norm) >= threshold
                 hit &= ~np.eye(b - a, dtype=bool) if columns["b1"][a] == columns["b2"][a] else block[:, None] != block
+                label = columns["label"].slice(a, b - a).dictionary_encode().indices.to_numpy()
+                hit &= label[:, None] == label  # two groups or leaves may share a hash
                 if not hit.any():
                     continue
                 # pairs that met in an earlier leaf were counted there
@@ -205,4 +212,4 @@ def _links(classes: DataFrame, threshold: float, trees: int, leaf: int, spill: f
                 yield pa.RecordBatch.from_arrays([pa.array(vec[some]), pa.array((hit @ copies)[some]), pa.array(group[some])], schema=out)
 
     # a cell of two blocks of one bucket holds both; in a bucket of one block, b1 = b2
-    return cells(full, ["code"], "vec", BLOCK).select(*keys, "block", "vec", "copies", "embedding", "codes").mapInArrow(run, "vec bigint, n bigint, other bigint")
+    return cells(full, ["code"], "vec", BLOCK).select(*keys, "block", "vec", "copies", "label", "embedding", "codes").mapInArrow(run, "vec bigint, n bigint, other bigint")

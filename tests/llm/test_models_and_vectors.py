@@ -138,6 +138,15 @@ def test_vector_links(spark, monkeypatch, leaf, block):
     assert sorted(r["vec_id"] for r in again) == [0, 0, 1, 2]
 
 
+def test_labels_are_kept_apart_where_their_hashes_clash(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "group_of", lambda label, vector: F.lit(0).cast("bigint"))
+    v = [1.0, 2.0, 3.0, 4.0]
+    rows = [(1, v, 1, 7, 7, 7), (2, v, 2, 7, 7, 7), (3, [2 * x for x in v], 1, 7, 7, 7), (4, [3 * x for x in v], 2, 7, 7, 7), (5, v, None, 7, 7, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, grp long, code long, copies long")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False), 4: (1, 2, False), 5: (0, 5, True)}
+
+
 def test_nearest_neighbours(spark):
     x = cloud(np.random.default_rng(5), 600)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + BAD, VEC)
