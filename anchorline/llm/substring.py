@@ -7,9 +7,11 @@ is a run of neighbouring windows with one anchor, with the 64 bits of each windo
 shuffle a step counts its own windows: those repeated inside it are settled, and of each only one goes on, so a passage that every document holds costs
 one row per step.
 
-A phrase of an anchor's length may stand in any share of the documents, in windows that all differ. A first pass therefore counts the windows of every
-anchor. An anchor with more than GROUP of them is keyed by some bits of the window's hash besides, enough for about GROUP windows under each key: equal windows still
-meet, and no task holds a group that grows with the table. There are fewer than windows / GROUP such anchors.
+A phrase of an anchor's length, or a passage, may stand in any share of the documents. A first pass therefore counts the windows that each anchor sends. The
+rows of an anchor with more than GROUP of them are dealt over as many parts as keep about GROUP windows in each. A part settles what it holds twice and sends
+one witness of each of its windows on, and the witnesses of a window meet by its hash: there are no more of them than parts. So neither a phrase in windows that all
+differ nor one window that every step sends makes a group that grows with the table before an anchor has GROUP x GROUP windows. The anchors above GROUP are a written table;
+Spark broadcasts it where its size allows and joins by shuffle where not. Nothing of it passes through the driver.
 
 Repeated windows of a document merge into maximal intervals of words, which are joined back to the texts.
 
@@ -24,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.llm.common import column, pick, spread, steps, text_key
 from anchorline.llm.components import whole_runs
+from anchorline.session import stage
 
 #: Text bytes counted together before the shuffle.
 STEP = 2 << 20
@@ -39,7 +42,8 @@ WORD, SEQUENCE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 _U = np.uint64
 _ROW = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
-_SPAN = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+#: An interval, or with a hash the witness of a window of a dealt anchor; `once`: its part holds it once.
+_FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64()), ("once", pa.bool_())])
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -131,25 +135,12 @@ def _count_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.Reco
     return [pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["anchor", "n"])]
 
 
-def split_keys(anchors: np.ndarray, hashes: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The anchor, or for one of the sorted large anchors a mix of it with as many high bits of the window's hash as `large` says."""
-    own, bits = large
-    if not len(own):
-        return anchors
-    found = np.minimum(np.searchsorted(own, anchors), len(own) - 1)
-    hot = np.flatnonzero(own[found] == anchors)
-    out = anchors.copy()
-    out[hot] = _mix(anchors[hot] + (hashes[hot] >> (_U(64) - bits[found[hot]])) * _U(SEQUENCE))
-    return out
-
-
-def _window_rows(batch: pa.RecordBatch, window: int, anchor: int, large: tuple[np.ndarray, np.ndarray]) -> list[pa.RecordBatch]:
+def _window_rows(batch: pa.RecordBatch, window: int, anchor: int) -> list[pa.RecordBatch]:
     got = _windows(batch, window, anchor)
     if got is None:
         return []
     at, hashes, anchors, doc, first_word, first, repeated = got
     doc_id, key = batch.column(0).cast(pa.int64()), batch.column(1)
-    anchors = split_keys(anchors, hashes, large)
     out = []
 
     def rows(keep, same, hashed):
@@ -174,19 +165,25 @@ def _window_rows(batch: pa.RecordBatch, window: int, anchor: int, large: tuple[n
 
 
 def _spans_of(batches, window: int):
-    """Rows of one anchor together: intervals of the windows that stand in two rows, and those a step has settled."""
+    """Rows of one anchor, or of a part of it, together: intervals of the windows that stand in two rows, those a step has settled, and the witnesses of a part."""
     for table, starts in whole_runs(batches, ["anchor"]):
         n = table.num_rows
         doc_id, key = table.column("doc_id").combine_chunks(), table.column("text_key").combine_chunks()
         at, size = table.column("start").to_numpy(), table.column("n").to_numpy()
-        blobs = table.column("hashes").combine_chunks()
+        blobs, dealt = table.column("hashes").combine_chunks(), table.column("parts").to_numpy() > 1
         settled = np.asarray(blobs.is_null())
         group = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
         many = np.bincount(group, ~settled, minlength=len(starts)) > 1
-        wanted = np.flatnonzero(many[group] & ~settled)
+        wanted = np.flatnonzero((many[group] | dealt) & ~settled)
+
+        def found(who, begin, end, hashes=None, once=None):
+            m, i = len(who), pa.array(who)
+            return pa.RecordBatch.from_arrays([doc_id.take(i), key.take(i), pa.array(begin), pa.array(end), pa.nulls(m, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)),
+                                               pa.nulls(m, pa.bool_()) if once is None else pa.array(once)], schema=_FOUND)
+
         if settled.any():
             i = np.flatnonzero(settled)
-            yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(i)), key.take(pa.array(i)), pa.array(at[i]), pa.array(at[i] + size[i] + window - 1)], schema=_SPAN)
+            yield found(i, at[i], at[i] + size[i] + window - 1)
         if not len(wanted):
             continue
         value = np.frombuffer(b"".join(blobs.take(pa.array(wanted)).to_pylist()), "<u8")
@@ -204,7 +201,12 @@ def _spans_of(batches, window: int):
             head = np.flatnonzero(fresh)
             length = np.diff([*head, len(i)])
             who, begin = row[i[head]], at[row[i[head]]] + offset[i[head]]
-            yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(who)), key.take(pa.array(who)), pa.array(begin), pa.array(begin + length + window - 1)], schema=_SPAN)
+            yield found(who, begin, begin + length + window - 1)
+        lead = order[np.concatenate([[True], ~same])]
+        lead = lead[dealt[row[lead]]]
+        if len(lead):
+            begin = at[row[lead]] + offset[lead]
+            yield found(row[lead], begin, begin + window, value[lead], ~twice[lead])
 
 
 def spans(docs: DataFrame, window: int = 35, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,17 +218,20 @@ def spans(docs: DataFrame, window: int = 35, anchor: int = 8, id_col: str = "doc
         for batch in steps(batches, size=STEP):
             yield from _count_rows(batch, window, anchor)
 
-    counts = texts.mapInArrow(tally, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
-    over = sorted((r["anchor"] & (2**64 - 1), (-(-r["n"] // GROUP) - 1).bit_length()) for r in counts.collect())  # fewer than windows / GROUP
-    large = np.array([a for a, _ in over], _U), np.array([b for _, b in over], _U)
+    large = stage(texts.mapInArrow(tally, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
+                  .select("anchor", F.ceil(F.col("n") / GROUP).cast("bigint").alias("parts")), "anchors")
 
     def find(batches):
         for batch in steps(batches, size=STEP):
-            yield from _window_rows(batch, window, anchor, large)
-
-    rows = texts.mapInArrow(find, "anchor bigint, doc_id bigint, text_key bigint, start bigint, n bigint, hashes binary")
-    met = rows.repartition(spread(docs), "anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(lambda b: _spans_of(b, window), "doc_id bigint, text_key bigint, start bigint, end bigint")
+            yield from _window_rows(batch, window, anchor)
+
+    rows = texts.mapInArrow(find, "anchor bigint, doc_id bigint, text_key bigint, start bigint, n bigint, hashes binary").join(large, "anchor", "left")
+    part = F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.col("parts")))
+    dealt = rows.withColumn("anchor", F.when(F.col("parts").isNull() | F.col("hashes").isNull(), F.col("anchor")).otherwise(part)).withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    met = dealt.repartition(spread(docs), "anchor").sortWithinPartitions("anchor")
+    found = stage(met.mapInArrow(lambda b: _spans_of(b, window), "doc_id bigint, text_key bigint, start bigint, end bigint, hash bigint, once boolean"), "windows")
+    seen = found.where("hash IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("once AND n > 1")
+    return found.where("hash IS NULL").unionByName(seen.drop("n")).select("doc_id", "text_key", "start", "end")
 
 
 def cut(text: str | None, spans_: list) -> tuple[str | None, int, int]:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from llmhelp import components, documents, odd_rows, prose
+from pyspark.sql import functions as F
 
 from anchorline.llm import components as graph
 from anchorline.llm import line_dedup, simhash, substring
@@ -226,3 +227,18 @@ def test_components_of_paths_stars_and_hubs(spark, monkeypatch):
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {499: 499, 500: 499}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("steps", [10, 100, 1000])
+def test_one_passage_in_every_step_leaves_groups_flat(spark, monkeypatch, steps):
+    monkeypatch.setattr(substring, "GROUP", 64)
+    monkeypatch.setattr(substring, "STEP", 300)
+    rng = random.Random(9)
+    passage = prose(rng, 45)
+    texts = [f"{prose(rng, 12)} {passage} {prose(rng, 6)}" for _ in range(steps)]
+    groups, real = [], spark.createDataFrame([], "x int").__class__.mapInArrow
+    monkeypatch.setattr(spark.createDataFrame([], "x int").__class__, "mapInArrow", lambda self, f, schema, *a, **b: (groups.append(self) if "parts" in self.columns else None, real(self, f, schema, *a, **b))[1])
+    got = substring.apply(documents(spark, texts), counts=("n", "gone"))
+    largest = groups[-1].where("hashes IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert largest <= 4 * 64
+    assert [(r["n"], r["gone"]) for r in got.select("doc_id", "n", "gone").orderBy("doc_id").collect()] == [w[:2] for w in passages_by_hand(texts, 35)]
