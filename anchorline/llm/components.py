@@ -46,18 +46,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def cells(rows: DataFrame, keys: list[str], spread_by: str, limit: int) -> DataFrame:
-    """Rows of buckets with at least two rows, dealt into cells of about `limit` to 2 x `limit` rows and sorted by cell.
+    """Rows with known keys, dealt into cells of about `limit` to 2 x `limit` rows and sorted by cell.
 
     A bucket above `limit` rows is cut into blocks by hash, and a cell is a pair of blocks; every two rows of a bucket meet in a cell, and no cell
-    grows with its bucket. `b1`, `b2` are the cell's blocks and `block` the row's own."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).where("__c >= 2")
-    dealt = (rows.join(sizes, keys)
-             .withColumn("__n", F.ceil(F.col("__c") / limit))
+    grows with its bucket. `b1`, `b2` are the cell's blocks and `block` the row's own. Only buckets above the limit are in the table of block counts, a written one: Spark broadcasts
+    it where its size allows, so that no bucket has to pass through one task before it is cut; all other rows have one block."""
+    large = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > limit).select(*keys, F.ceil(F.col("__c") / limit).cast("bigint").alias("__n")), "buckets")
+    dealt = (rows.dropna(subset=keys).join(large, keys, "left")
+             .withColumn("__n", F.coalesce("__n", F.lit(1).cast("bigint")))
              .withColumn("block", F.pmod(F.xxhash64(spread_by), F.col("__n")))
              .withColumn("__o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
              .withColumn("b1", F.least("block", "__o")).withColumn("b2", F.greatest("block", "__o")))
     order = [*keys, "b1", "b2"]
-    return dealt.drop("__c", "__n", "__o").repartition(spread(rows), *order).sortWithinPartitions(*order)
+    return dealt.drop("__n", "__o").repartition(spread(rows), *order).sortWithinPartitions(*order)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

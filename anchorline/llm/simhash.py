@@ -397,8 +397,9 @@ def similar_edges(rows: DataFrame, classes: DataFrame, loose: DataFrame, jaccard
     """(a, b): a spanning forest of each cell's pairs of loosely tied documents that are similar by exact count. `rows`: doc_id, text_key, text."""
     keys = ["component", "b1", "b2"]
     members = classes.select("node", "text_key", "n").join(loose, "node")
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("bigint").alias("__n"))
-    members = members.join(blocks, "component").withColumnRenamed("node", "doc_id")
+    # only groups of more than one block are in this table, so that Spark can broadcast it and no group has to pass through one task before it is dealt
+    blocks = stage(members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("bigint").alias("__n")).where("__n > 1"), "blocks")
+    members = members.join(blocks, "component", "left").withColumn("__n", F.coalesce("__n", F.lit(1).cast("bigint"))).select("component", F.col("node").alias("doc_id"), "text_key", "n", "__n")
     found = rows.join(members, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
 
     def cut(batches):
@@ -423,7 +424,8 @@ def similar_edges(rows: DataFrame, classes: DataFrame, loose: DataFrame, jaccard
 
 
 def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows of one document of each group of similar documents, the one with the smallest id; of rows with that id, one. Rows with a null id stay.
+    """The input's rows of one document of each group of similar documents, the one with the smallest id; of rows with that id, one, that with the smallest
+    hash of its text. Rows with a null id stay.
 
     Groups: reachable over pairs whose sets of shingles have at least this Jaccard similarity. Empty sets are equal."""
     rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
@@ -434,6 +436,7 @@ def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, id_col: st
     loose = connected_components(candidate_edges(classes, jaccard))
     found = connected_components(similar_edges(rows, classes, loose, jaccard, shingle))
     groups = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    keep = sketches.select("doc_id", "set_key").join(groups, "set_key").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, column(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    keep = (sketches.select("doc_id", "text_key", "set_key").join(groups, "set_key").where(F.col("doc_id") == F.col("component_id"))
+            .groupBy(F.col("doc_id").alias("__keep")).agg(F.min("text_key").alias("__key")))
+    kept = docs.join(keep, (column(id_col) == F.col("__keep")) & (text_key(text_col) == F.col("__key")), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(column(id_col).isNull()))
