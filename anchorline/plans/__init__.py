@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["event_queries", "model_queries", "eval_queries", "twin_queries", "audit_queries", "loo_queries", "extra_queries", "file_queries"]
+MODULES = ["event_queries", "model_queries", "eval_queries", "twin_queries", "audit_queries", "loo_queries", "extra_queries", "file_queries", "replay_queries"]
 
 
 def load_all() -> None:

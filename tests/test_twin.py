@@ -82,3 +82,29 @@ def test_refusals(spark):
     rep.require_zero(rep.schema_problems(ok), "events")
     with pytest.raises(ValueError):
         rep.require_zero(rep.schema_problems(ok.withColumn("carbs_g", -F.col("carbs_g"))), "events")
+
+
+def test_a_replay_is_published_whole_or_not_at_all(spark, tmp_path):
+    from anchorline.operators import replay_store as rs
+    good = lambda p, i, **c: {"participant_id": p, "event_id": f"{p}{i}", "us": i * W, "carbs_g": 50.0, "activity_level": 2.0, "baseline_glucose": 100.0,
+                              "peak_glucose_rise": 40.0, "label_exceeds_180": 0, "grp": "A", "excluded_reason": None, **c}
+    inf = float("inf")
+    bad = {"b": {"us": None}, "c": {"carbs_g": -1.0}, "d": {"activity_level": inf}, "e": {"peak_glucose_rise": float("nan")}, "f": {"label_exceeds_180": 1}, "g": {"label_exceeds_180": None}, None: {}}
+    rows = [good("a", i) for i in range(4)] + [good("h", 1, peak_glucose_rise=None, label_exceeds_180=None, excluded_reason="gap")]
+    rows += [good(p, i, **(c if i == 2 else {})) for p, c in bad.items() for i in range(4)]
+    names = [c.split()[0] for c in EVENTS.split(",")]
+    events = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], EVENTS)
+    got = {r["participant_id"]: (r["refused"], r["n_events"]) for r in rs.refused(events).collect()}
+    assert got == {"b": ("no time", 1), "c": ("negative carbs", 1), "d": ("activity not finite", 1), "e": ("rise not finite", 1), "f": ("label disagrees with baseline plus rise", 1),
+                   "g": ("label not 0 or 1", 1), None: ("no participant", 4)}
+    base = str(tmp_path)
+    rs.publish(events, base, "one")
+    rs.write_run(events, base, "two")
+    assert {(r["run_id"], r["participant_id"]) for r in rs.published(spark, base).collect()} == {("one", "a"), ("one", "h")}
+    assert [tuple(r) for r in rs.manifest(spark, base).collect()] == [("one", 2, 7, 10)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        rs.commit(spark, base, "one")
+    rs.commit(spark, base, "two")
+    assert rs.published(spark, base).count() == 20 and rs.published(spark, base, "refused").count() == 14
+    rs.publish(events.where("participant_id = 'b'"), base, "none")
+    assert rs.manifest(spark, base).where("run_id = 'none'").first()["n_actions"] == 0
