@@ -244,14 +244,6 @@ def test_one_passage_in_every_step_leaves_groups_flat(spark, monkeypatch, steps)
     assert [(r["n"], r["gone"]) for r in got.select("doc_id", "n", "gone").orderBy("doc_id").collect()] == [w[:2] for w in passages_by_hand(texts, 35)]
 
 
-def test_a_bucket_is_cut_before_the_shuffle(spark):
-    rows = spark.range(3000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).cast("bigint").alias("key"), "id")
-    dealt = graph.cells(rows, ["key"], "id", 100)
-    assert dealt.groupBy("key", "b1", "b2").count().agg(F.max("count")).first()[0] <= 2 * 140
-    assert dealt.where("key <> 7").count() == 500 and "BroadcastHashJoin" in dealt._jdf.queryExecution().toString()
-    assert graph.cells(rows.limit(0), ["key"], "id", 100).count() == 0
-
-
 def test_of_rows_with_one_id_the_same_text_stays(spark):
     texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
     kept = {tuple(r["text"] for r in simhash.keep_one(documents(spark, texts * n).withColumn("doc_id", F.lit(7).cast("bigint")).repartition(p)).collect()) for n, p in ((1, 1), (3, 5))}
