@@ -19,6 +19,7 @@ from anchorline.plans import modelsql as M
 from anchorline.plans.model_queries import fold_inputs, rounded
 from anchorline.plans.registry import query
 from anchorline.plans.sqltext import COHORT, SERIES, r, with_
+from anchorline.plans.twin_queries import _LOG
 from anchorline.session import checkpoint_dir, stage
 from anchorline.sources.adapters import cohort, series, table
 from anchorline.spec import FIXTURE
@@ -77,7 +78,11 @@ def population_start(spark, sf):
     return rounded(p, ["n_participants", "source"], ["m_b", "v_bb", "noise"])
 
 
-@query("replay_by_index")
+_FIRST = """ce AS (SELECT *, CAST(NULL AS VARCHAR) AS excluded_reason FROM cohort WHERE participant_id = (
+ SELECT participant_id FROM (SELECT DISTINCT participant_id FROM cohort) d ORDER BY md5('3|' || participant_id), participant_id LIMIT 1))"""
+
+
+@query("replay_by_index", with_(COHORT, _FIRST, _LOG) + "SELECT seq, action, version_after - e AS version_before, version_after FROM lg")
 def replay_by_index(spark, sf):
     """Replay of the participant behind one anonymous label."""
     e = stage(cohort(spark, sf).withColumn("excluded_reason", F.lit(None).cast("string")), "events")
