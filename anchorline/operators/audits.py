@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorline.functions.labels import classify_a1c, id_number, name_tokens, parse_numeric, participant_number
 from anchorline.functions.scale import adjacent_row, dense_ids
+from anchorline.session import stage
 
 K = ["participant_id"]
 # fixed values
@@ -89,11 +90,11 @@ def nearest_probe(series: DataFrame, value: str, unit: int, tolerance: int, offs
         *K, "anchor_row", "offset", F.col("x.v").alias("v"))
 
 
-def probe_summary(probe: DataFrame) -> DataFrame:
-    """Median change against offset 0 and the share of positive changes per offset."""
+def probe_summary(probe: DataFrame, anchor: tuple[str, ...] = (*K, "anchor_row")) -> DataFrame:
+    """Median change against offset 0 and the share of positive changes per offset. `anchor` names what makes two probes those of one anchor."""
     from anchorline.functions.scale import exact_quantiles
-    base = probe.where(F.col("offset") == 0).select(*K, "anchor_row", F.col("v").alias("v0"))
-    d = probe.join(base, [*K, "anchor_row"]).withColumn("delta", F.col("v") - F.col("v0"))
+    base = probe.where(F.col("offset") == 0).select(*anchor, F.col("v").alias("v0"))
+    d = stage(probe.join(base, list(anchor)).select("offset", (F.col("v") - F.col("v0")).alias("delta")), "deltas")
     g = d.groupBy("offset").agg(F.count("delta").alias("n"), F.avg((F.col("delta") > 0).cast("double")).alias("share_positive"))
     return g.join(exact_quantiles(d, ["offset"], "delta", {"median_delta": 0.5}), "offset")
 

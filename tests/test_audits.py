@@ -37,6 +37,19 @@ def test_permutation_test_separates_signal_from_noise(spark):
     assert sg.fundamental_period(sg.permutation_test(pts, [2, 3, 4, 5, 6, 7, 8, 9, 10]).where("participant_id = 'p'")).first().fundamental_period == 5
 
 
+def test_probe_summary_pairs_anchors_by_row_alone_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from anchorline.plans import audit_queries
+    from anchorline.plans.registry import ORACLES
+    rows = [(1, f"2024-01-01 00:00:0{u}", u, "purchase", 1.0 + u, '{"k": 3}') for u in (1, 2)] + [(10 * u + i, f"2024-01-01 {h}:00:00", u, "view", 3.0 * u + i, '{"k": 3}') for u in (1, 2) for i, h in enumerate(("01", "15"))]
+    spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string").selectExpr("event_id", "CAST(t AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(ORACLES["probe_summary"]).fetchall()
+    assert sorted(tuple(r) for r in audit_queries.probe_summary(spark, str(tmp_path)).collect()) == sorted(want) and max(w[1] for w in want) == 4
+
+
 def test_differences_need_observed_neighbours(spark):
     v = np.array([1.0, 3, 6, np.nan, 10, 20, 50])
     rows = {r.m: (r.d1, r.d2) for r in sg.differences(grid(spark, v)).collect()}
