@@ -6,6 +6,12 @@ exactly when the neighbouring rows are one step away. Order-dependent steps are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil, sqrt
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +107,7 @@ def concentration(points: DataFrame, periods: list[int]) -> DataFrame:
 def _shuffled_rank(rank: str, n: str, rep: str, seed: int) -> Column:
     """A keyed bijection of [0, n): a three-round Feistel network on a square of side ceil(sqrt(n)), walked until it lands inside.
 
-    It stands in for a sort by random key, so a permutation costs no shuffle. A walk can pass each of the side**2 - n points outside once at
+    `shuffled_ranks` is the same on arrays. It stands in for a sort by random key, so a permutation costs no shuffle. A walk can pass each of the side**2 - n points outside once at
     most, so side**2 - n + 1 steps always end inside; above side 32 less than a sixteenth lies outside, and 64 steps leave odds below 1e-77."""
     side = f"CAST(ceil(sqrt({n})) AS BIGINT)"
 
@@ -116,23 +122,134 @@ def _shuffled_rank(rank: str, n: str, rep: str, seed: int) -> Column:
                   f"ELSE {step.replace('x div', f'(CASE WHEN acc < 0 THEN {rank} ELSE acc END) div').replace('(x %', f'((CASE WHEN acc < 0 THEN {rank} ELSE acc END) %')} END), {n})")
 
 
-def permutation_test(points: DataFrame, periods: list[int], n_perm: int = MIN_PERMUTATIONS, seed: int = 0) -> DataFrame:
-    """p = (1 + #null >= observed) / (n + 1) for the top-residue concentration; null = values shuffled over the same positions.
+#: Points of a participant that are shuffled in one piece. Longer series are dealt in such pieces, whose sums Spark adds.
+PIECE = 4096
+_P1, _P2, _P3, _P4, _P5 = (np.array(p, np.uint64) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    Only the residue group sizes matter for the null, so a shuffled value needs its new rank, not a join to its new position; each task
-    folds its rows to (participant, period, replicate, residue) sums before the only exchange."""
-    n_perm = max(int(n_perm), MIN_PERMUTATIONS)
+
+def _hashed(x: np.ndarray, *more) -> np.ndarray:
+    """Spark's xxhash64 of a bigint column followed by int columns, which broadcast."""
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+    h = mixed(turn((np.uint64(42) + _P5 + np.uint64(8)) ^ (turn(x.astype(np.uint64) * _P2, 31) * _P1), 27) * _P1 + _P4)
+    for v in more:
+        h = mixed(turn((h + _P5 + np.uint64(4)) ^ (np.asarray(v).astype(np.uint64) * _P1), 23) * _P2 + _P3)
+    return h.astype(np.int64)
+
+
+def shuffled_ranks(rank: np.ndarray, n: int, n_perm: int, seed: int) -> np.ndarray:
+    """(ranks, n_perm): where each rank goes under keyed bijections of [0, n), one for each replicate: a three-round Feistel network on a square of side
+    ceil(sqrt(n)), walked until it lands inside.
+
+    It stands in for a sort by random key, so a permutation costs no shuffle. A walk can pass each of the side**2 - n points outside once at
+    most, so side**2 - n + 1 steps always end inside; above side 32 less than a sixteenth lies outside, and 64 steps leave odds below 1e-77."""
+    side = ceil(sqrt(n))
+    rep = np.broadcast_to(np.arange(n_perm), (len(rank), n_perm))
+    one, two, three = (_hashed(np.arange(side)[:, None], np.arange(n_perm), k, seed) % side for k in (1, 2, 3))
+
+    def step(x, r):
+        left, right = x // side, x % side
+        left = (left + one[right, r]) % side
+        right = (right + two[left, r]) % side
+        return right * side + (left + three[right, r]) % side
+    at = step(np.broadcast_to(rank[:, None], rep.shape), rep)
+    for _ in range(min(64, side * side - n + 1) - 1):
+        out = at >= n
+        if not out.any():
+            break
+        at[out] = step(at[out], rep[out])
+    return at % n
+
+
+_short_ranks = lru_cache(maxsize=512)(lambda n, n_perm, seed: shuffled_ranks(np.arange(n), n, n_perm, seed))
+_TEST = "period int, concentration double, residue int, pair_concentration double, n_points bigint, p_value double, null95 double"
+
+
+def _tested(m: np.ndarray, a: np.ndarray, owner: np.ndarray, sizes: np.ndarray, periods: list[int], n_perm: int, seed: int) -> Iterator[tuple]:
+    """The columns of _TEST for each period, of whole participants: rows by owner and m."""
+    people, first = len(sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    to = np.concatenate([_short_ranks(n, n_perm, seed) if n <= 256 else shuffled_ranks(np.arange(n), n, n_perm, seed) for n in sizes.tolist()]) + np.repeat(first, sizes)[:, None]
+    slot, weight = owner[:, None] * n_perm + np.arange(n_perm), np.repeat(a, n_perm)
+    at = (n_perm - 1) * 0.95
+    lo, part = int(at), at - int(at)
+    for p in periods:
+        residue = m % p
+        # only the sizes of the residue groups matter for the null: the shuffled positions are those of the points in order of residue
+        in_order = residue[np.lexsort((residue, owner))]
+        c = np.bincount(owner * p + residue, minlength=people * p).reshape(people, 1, p)
+        sums = (np.bincount(owner * p + residue, a, people * p).reshape(people, 1, p), np.bincount((slot * p + in_order[to]).ravel(), weight, people * n_perm * p).reshape(people, n_perm, p))
+        means = [s / np.maximum(c, 1) for s in sums]
+        total = [np.cumsum(x, -1)[..., -1] for x in means]
+        real, null = (np.divide(x.max(-1), t, out=np.full(t.shape, np.nan), where=t > 0) for x, t in zip(means, total))
+        own = means[0][:, 0]
+        pair = np.divide((own + np.roll(own, -1, 1)).max(1), total[0][:, 0], out=np.full(people, np.nan), where=total[0][:, 0] > 0)
+        null = np.sort(np.nan_to_num(null), 1)
+        yield (p, real[:, 0], np.where(np.isnan(real[:, 0]), -1, own.argmax(1)), pair, (1 + (null >= real).sum(1)) / (n_perm + 1),
+               null[:, lo] * (1 - part) + null[:, min(lo + 1, n_perm - 1)] * part)
+
+
+def _short_series(points: DataFrame, periods: list[int], n_perm: int, seed: int) -> DataFrame:
+    """The test of participants of at most PIECE points, in memory of some PIECE points at a time."""
+    each = points.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("m", "a"))).alias("x")).select(*K, F.col("x.m").alias("m"), F.col("x.a").alias("a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            m, a, ends = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), np.cumsum(sizes)
+            i = 0
+            while i < len(sizes):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + PIECE, "right")))
+                rows, n = slice(ends[i] - sizes[i], ends[j - 1]), sizes[i:j].astype(np.int64)
+                nullable = lambda x, t: pa.array(x, t, mask=np.isnan(conc))  # noqa: B023, E731
+                for p, conc, residue, pair, p_value, null95 in _tested(m[rows], a[rows], np.repeat(np.arange(j - i), n), n, periods, n_perm, seed):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, p, np.int32)), nullable(conc, pa.float64()), nullable(residue.astype(np.int32), pa.int32()),
+                                                      nullable(pair, pa.float64()), pa.array(n), pa.array(p_value), pa.array(null95)], names=[*K, *_TEST.replace(",", "").split()[::2]])
+                i = j
+    return each.mapInArrow(run, f"{K[0]} {points.schema[K[0]].dataType.simpleString()}, {_TEST}")
+
+
+def _long_series(points: DataFrame, periods: list[int], n_perm: int, seed: int) -> DataFrame:
+    """The test of longer series: pieces of PIECE points meet the sizes of their participant's residue groups, and a task hands on its sums."""
     obs = concentration(points, periods)
     sizes = _with_periods(points, periods).withColumn("residue", (F.col("m") % F.col("period")).cast("int")).groupBy(*K, "period", "residue").agg(F.count(F.lit(1)).alias("c"))
     g = sizes.groupBy(*K, "period").agg(F.map_from_entries(F.collect_list(F.struct("residue", "c"))).alias("__m"))
-    g = g.withColumn("counts", F.expr("transform(sequence(0, period - 1), i -> coalesce(element_at(__m, i), 0L))"))
-    g = g.withColumn("ends", F.expr("transform(sequence(0, period - 1), i -> aggregate(slice(counts, 1, i + 1), 0L, (s, x) -> s + x))")).drop("__m")
-    sized = g.groupBy(*K).agg(F.collect_list(F.struct("period", "ends")).alias("ps"), F.first(F.element_at("ends", -1)).alias("n"))
+    g = g.withColumn("counts", F.expr("transform(sequence(0, period - 1), i -> coalesce(element_at(__m, i), 0L))")).drop("__m")
+    sized = g.groupBy(*K).agg(F.collect_list(F.struct("period", "counts")).alias("ps"))
     ranked = prefix_sums(points.withColumn("__one", F.lit(1)).withColumn("__s", F.floor(F.col("m") / SLICE)), K, "__s", ["m"], {"rank": "__one"}).withColumn("rank", F.col("rank") - 1)
-    reps = ranked.join(sized, K).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    moved = reps.withColumn("pos", _shuffled_rank("rank", "n", "rep", seed)).withColumn("pe", F.explode("ps"))
-    null = moved.select(*K, "rep", F.col("pe.period").alias("period"), F.expr("size(filter(pe.ends, e -> e <= pos))").alias("residue"), "a")
-    sums = null.groupBy(*K, "period", "rep", "residue").agg(F.sum("a").alias("__s"), F.count(F.lit(1)).alias("__c"))
+    pieces = ranked.groupBy(*K, F.floor(F.col("rank") / PIECE).alias("piece")).agg(F.collect_list(F.struct("rank", "a")).alias("x"))
+    dealt = pieces.join(sized, K).select(*K, F.col("x.rank").alias("rank"), F.col("x.a").alias("a"), F.col("ps.period").alias("periods"), F.col("ps.counts").alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        kind = None
+
+        def flush():
+            for (who, p), (s, c) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([who] * len(s), kind), pa.array(np.full(len(s), p, np.int32)), pa.array(np.arange(len(s), dtype=np.int32) // p), pa.array(np.arange(len(s), dtype=np.int32) % p), pa.array(s), pa.array(c)],
+                                                 names=[*K, "period", "rep", "residue", "__s", "__c"])
+            held.clear()
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i in range(batch.num_rows):
+                who, rank, a, ps, counts = (batch.column(k)[i] for k in range(5))
+                a, ends = np.asarray(a.as_py()), [np.cumsum(c) for c in counts.as_py()]
+                to, weight = shuffled_ranks(np.asarray(rank.as_py()), int(ends[0][-1]), n_perm, seed), np.repeat(a, n_perm)
+                for p, end in zip(ps.as_py(), ends):
+                    slot = (np.arange(n_perm) * p + np.searchsorted(end, to, "right")).ravel()
+                    s, c = held.setdefault((who.as_py(), p), [np.zeros(n_perm * p), np.zeros(n_perm * p, np.int64)])
+                    s += np.bincount(slot, weight, n_perm * p)
+                    c += np.bincount(slot, minlength=n_perm * p)
+                if len(held) > 64 * len(periods):
+                    yield from flush()
+        yield from flush()
+
+    sums = dealt.mapInArrow(run, f"{K[0]} {points.schema[K[0]].dataType.simpleString()}, period int, rep int, residue int, __s double, __c bigint")
+    sums = sums.where("__c > 0").groupBy(*K, "period", "rep", "residue").agg(F.sum("__s").alias("__s"), F.sum("__c").alias("__c"))
     nulls = _concentration(_means(sums, [*K, "rep"])).select(*K, "period", F.coalesce("concentration", F.lit(0.0)).alias("nc"))
     j = nulls.join(obs, [*K, "period"])
     return j.groupBy(*K, "period").agg(F.first("concentration").alias("concentration"), F.first("residue").alias("residue"), F.first("pair_concentration").alias("pair_concentration"),
@@ -140,6 +257,19 @@ def permutation_test(points: DataFrame, periods: list[int], n_perm: int = MIN_PE
                                        F.percentile("nc", F.lit(0.95)).alias("null95"))
 
 
+def permutation_test(points: DataFrame, periods: list[int], n_perm: int = MIN_PERMUTATIONS, seed: int = 0) -> DataFrame:
+    """p = (1 + #null >= observed) / (n + 1) for the top-residue concentration; null = values shuffled over the same positions.
+
+    A shuffled value needs its new rank, not a join to its new position. Participants of at most PIECE points are tested where their points meet, many at a
+    time as arrays over all replicates; longer ones are dealt in pieces, so none is a unit of work. No row is made per replicate."""
+    n_perm = max(int(n_perm), MIN_PERMUTATIONS)
+    counts = points.groupBy(*K).agg(F.count(F.lit(1)).alias("__n"))
+    long = counts.where(F.col("__n") > PIECE).select(*K)
+    if not long.limit(1).count():  # the usual table
+        return _short_series(points, periods, n_perm, seed)
+    return _short_series(points.join(long, K, "left_anti"), periods, n_perm, seed).unionByName(_long_series(points.join(long, K, "left_semi"), periods, n_perm, seed))
+
+
 def fundamental_period(scan: DataFrame, rel: float = 0.8) -> DataFrame:
     """Largest significant period that holds at least `rel` of the best significant concentration."""
     sig = scan.where(F.col("concentration").isNotNull() & (F.col("p_value") <= ALPHA))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from anchorline.functions import labels as lb
 from anchorline.operators import audits as au
 from anchorline.operators import signal as sg
+from anchorline.session import stage
 from anchorline.spec import MINUTE
 from helpers import T0
 
@@ -37,6 +38,23 @@ def test_permutation_test_separates_signal_from_noise(spark):
     assert sg.fundamental_period(sg.permutation_test(pts, [2, 3, 4, 5, 6, 7, 8, 9, 10]).where("participant_id = 'p'")).first().fundamental_period == 5
 
 
+def test_permutations_make_no_row_per_replicate_and_pieces_agree(spark, monkeypatch):
+    pts = stage(sg.clipped(sg.differences(grid(spark, native(n=400)).unionByName(grid(spark, 100 + np.random.default_rng(1).normal(0, 4, 30), "noise")))), "points")
+    whole = sg.permutation_test(pts, [3, 5])
+    assert "Generate" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(sg, "PIECE", 64)  # p is then dealt in pieces
+    key = lambda t: sorted((r.participant_id, r.period, r.residue, r.n_points, round(r.concentration, 9), round(r.p_value, 9), round(r.null95, 9)) for r in t.collect())
+    assert key(sg.permutation_test(pts, [3, 5])) == key(whole)
+
+
+def test_shuffled_ranks_are_those_of_the_column_form(spark):
+    for n in (1, 2, 7, 300):
+        df = spark.range(n).selectExpr("id AS rank", f"{n}L AS n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        want = {(r.rank, r.rep): r.pos for r in df.withColumn("pos", sg._shuffled_rank("rank", "n", "rep", 0)).collect()}
+        to = sg.shuffled_ranks(np.arange(n), n, 3, 0)
+        assert all(to[k, r] == x for (k, r), x in want.items()) and len(want) == 3 * n
+
+
 def test_probe_summary_pairs_anchors_by_row_alone_as_its_sql_does(spark, tmp_path):
     import duckdb
 
