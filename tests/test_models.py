@@ -231,3 +231,20 @@ def test_contributions_are_shapley_values_over_the_whole_background(spark):
             b, j, k = 1 << i, *[1 << q for q in range(3) if q != i]
             want = (v[e, b] - v[e, 0]) / 3 + (v[e, b | j] - v[e, j]) / 6 + (v[e, b | k] - v[e, k]) / 6 + (v[e, 7] - v[e, j | k]) / 3
             assert r[f"contribution_{f}"] == pytest.approx(want)
+
+
+def test_baseline_is_fitted_on_different_rows_with_their_number(spark, monkeypatch):
+    import random
+
+    from pyspark.ml.classification import GBTClassifier
+
+    from anchorline.operators import boosted
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 9) / 2, None if i % 7 == 0 else float(rng.randint(0, 9)), float(rng.randint(0, 3)), int(rng.random() < 0.4)) for i in range(80)]
+    df = spark.createDataFrame(rows * 5, "carbs_g double, baseline_glucose double, activity_level double, label_exceeds_180 int")
+    whole = GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.1, seed=0, maxBins=64).fit(boosted._vector(df.withColumn("label", F.col("label_exceeds_180").cast("double"))))
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data, *more: (seen.append(data.count()), fit(self, data, *more))[1])
+    got = boosted.probability(boosted.fit(df, trees=4), df.distinct())
+    want = {tuple(r[:4]): r.p for r in boosted.probability(whole, df.distinct()).select(*df.columns, "p").collect()}
+    assert seen == [len(set(rows))] and all(r.p == pytest.approx(want[tuple(r[:4])]) for r in got.select(*df.columns, "p").collect())
