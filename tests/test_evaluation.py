@@ -268,3 +268,25 @@ def test_calibration_line_is_the_likelihood_fit(spark):
     for bad in ([(0.2, 0), (0.8, 1), (0.3, 0)], [(0.5, 0), (0.5, 1)], [(0.1, 1), (0.9, 1)]):
         r = ev.calibration_line(spark.createDataFrame(bad, "p double, y int")).first()
         assert r.slope is None and r.reason
+
+
+def test_draws_follow_the_rule_and_hold_little_beside_their_result():
+    import tracemalloc
+
+    import numpy as np
+
+    from anchorline.operators import bootstrap
+    m = 2**31 - 1
+    h = np.random.default_rng(0).integers(0, 2**60, 256)
+    h[:4] = [0, 2**60 - 1, m, m * (m // 5)]
+    for n_boot, seed in ((2000, 0), (7, 5)):
+        a, b, r = (h % m)[:, None], (h // m)[:, None], np.arange(n_boot)
+        x = ((a + r * 1000003 + seed * 40692 + 12345) % m * 48271 + b) % m
+        x = ((x * x % m + r * 271) % m * 69621 + a) % m
+        u = (x * x % m + b * 131) % m * 16807 % m
+        assert (bootstrap.draw_counts(h, n_boot, seed) == (u[..., None] >= np.array(bootstrap._LIMITS)).sum(-1)).all()
+    tracemalloc.start()
+    size = bootstrap.draw_counts(h, 2000, 0).nbytes
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * size  # whole tables of intermediate numbers do not fit a core's cache
