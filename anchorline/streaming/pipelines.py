@@ -58,8 +58,9 @@ class Personaliser(StatefulProcessor):
     """Forecast now, learn when the outcome window closes.
 
     State per participant: six running sums and the queue of open windows. Rows of a micro-batch are taken in time order; before each one the
-    windows closed by its time are learned (or, if unusable, reported excluded). Event-time timers resolve what no later row triggers: a window
-    closed by the watermark cannot be preceded by any later row, so learning it then cannot leak."""
+    windows closed by its time are learned (or, if unusable, reported excluded). An event-time timer resolves what no later row triggers: a window
+    closed by the watermark cannot be preceded by any later row, so learning it then cannot leak. A participant has a timer for the first open window
+    only, which sets the next one, so the calls do not grow with the events."""
 
     def __init__(self, window_us: int = 7_200_000_000):
         self.window_us = window_us
@@ -80,6 +81,11 @@ class Personaliser(StatefulProcessor):
         elif self.pending.exists():
             self.pending.clear()
 
+    def _wake(self, queue: list) -> None:
+        """One timer, for the window that closes first; windows that the rows themselves have closed need none."""
+        if queue:
+            self.handle.registerTimer(min(p[0] for p in queue) // 1000 + 1)
+
     @staticmethod
     def _resolve(s: list, queue: list, now: int, pid: str, out: list) -> list:
         due = sorted((p for p in queue if p[0] <= now), key=lambda p: p[0])
@@ -116,14 +122,16 @@ class Personaliser(StatefulProcessor):
             usable = bool(usable and pd.notna(r.peak_glucose_rise))
             close = int(r.us) + self.window_us
             queue.append((close, r.event_id, float(r.carbs_g), float(r.activity_level), float(r.peak_glucose_rise) if usable else 0.0, usable))
-            self.handle.registerTimer(close // 1000 + 1)
+        self._wake(queue)
         self._save(s, queue)
         yield pd.DataFrame(out, columns=["participant_id", "event_id", "kind", "at_us", "version", "mean_rise", "pred_std"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         s, queue = self._load()
         out: list = []
-        queue = self._resolve(s, queue, int(expiredTimerInfo.getExpiryTimeInMs()) * 1000, key[0], out)
+        # all that the watermark has closed, so that the next timer lies ahead of it
+        queue = self._resolve(s, queue, max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs())) * 1000 - 1, key[0], out)
+        self._wake(queue)
         self._save(s, queue)
         yield pd.DataFrame(out, columns=["participant_id", "event_id", "kind", "at_us", "version", "mean_rise", "pred_std"])
 

@@ -142,3 +142,32 @@ def test_header_of_any_length_and_with_quotes(tmp_path):
     (tmp_path / "empty.csv").write_text("")
     got = next(_headers(iter([pd.DataFrame({"path": [f"file://{tmp_path}/wide.csv", f"file://{tmp_path}/empty.csv"]})])))
     assert got["columns"][0][:3] == ["Timestamp", "Meal Type", "a, quoted name"] and len(got["columns"][0]) == 9003 and got["columns"][1] is None
+
+
+def test_a_participant_has_one_timer_for_its_first_open_window():
+    import pandas as pd
+
+    class State:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        put = update = lambda self, v: setattr(self, "held", v)
+        clear = lambda self: setattr(self, "held", None)
+
+    class Handle:
+        timers: list = []
+        getValueState = getListState = lambda self, *a: State()  # noqa: E731, N815
+        registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731, N815
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    who = st.Personaliser(window_us=10_000_000)
+    who.init(Handle())
+    rows = pd.DataFrame([(f"e{i}", i * 4_000_000, 30.0, 1.0, 20.0, None, 1.0, 0.0, 1.0, 1.0, 0.0, 4.0) for i in range(20)],
+                        columns=["event_id", "us", "carbs_g", "activity_level", "peak_glucose_rise", "excluded_reason", "v_bb", "v_bg", "v_gg", "m_b", "m_g", "noise"])
+    first = pd.concat(list(who.handleInputRows(("p",), iter([rows]), At(0))))
+    assert Handle.timers == [78_001]  # the windows of e17, e18, e19 are open after the last row, at 76 s
+    later = pd.concat(list(who.handleExpiredTimer(("p",), At(83_000), At(78_001))))
+    assert later.event_id.tolist() == ["e17", "e18"] and Handle.timers == [78_001, 86_001] and (first.kind == "forecast").sum() == 20
