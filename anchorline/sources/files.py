@@ -42,7 +42,7 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
     for pdf in batches:
         names = []
-        for path in pdf["uri"]:
+        for path in pdf["uri" if "uri" in pdf else "path"]:
             try:
                 system, name = fs.FileSystem.from_uri(path)
                 with system.open_input_stream(name) as s, io.TextIOWrapper(s, encoding="utf-8-sig", errors="replace", newline="") as text:
