@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
-from math import ceil
+from math import ceil, inf, nextafter
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ FORBIDDEN = {*OUTCOMES, *ELIGIBILITY, *RETAINED_RAW, "participant_id", "event_id
 _SENTINEL = -1.0
 #: Rows of a task in a pass over the training data.
 PART = 100_000
+#: Values that a tree tells apart in a feature, the sentinel among them.
+BINS = 64
 
 
 def check_features(features) -> None:
@@ -39,20 +41,49 @@ def _vector(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.withColumns(cols)).drop(*cols)
 
 
+def _levels(train: DataFrame) -> list[list[float]]:
+    """The values that stand for all values of each feature: its own where they are few, else even quantiles of all rows."""
+    few = train.agg(*[F.approx_count_distinct(f).alias(f) for f in BASELINE_FEATURES]).first()
+    found = {f: [] for f in BASELINE_FEATURES}
+    for f in BASELINE_FEATURES:
+        if few[f] < 2 * BINS:  # the count is an estimate
+            found[f] = [r[0] for r in train.select(F.col(f).cast("double")).where(F.col(f).isNotNull()).distinct().limit(BINS).collect()]
+    wanted = [f for f in BASELINE_FEATURES if not 0 < len(found[f]) < BINS]
+    if wanted:
+        at = [i / (BINS - 2) for i in range(BINS - 1)]
+        q = train.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10_000).alias(f) for f in wanted]).first()
+        found.update({f: q[f] or [] for f in wanted})
+    return [sorted(set(found[f])) for f in BASELINE_FEATURES]
+
+
+def cells(train: DataFrame) -> DataFrame:
+    """(label, features, weight): every row at the nearest level of each feature, equal ones as one row with their number as its weight. There are at most
+    2 * BINS ** 3, whatever the number of rows. Trees split half-way between levels, so a row is on the side of every split that its own values are on."""
+    levels = _levels(train)
+    ends = [[-inf, *[nextafter((a + b) / 2, inf) for a, b in zip(own, own[1:])], inf] for own in levels]  # a value on a split is on its lower side
+    at = [f"__at_{f}" for f in BASELINE_FEATURES]
+    cut = [e if len(e) > 2 else [-inf, 0.0, inf] for e in ends]  # fewer than two levels need no cut
+    rows = train.select(F.col("label_exceeds_180").cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in BASELINE_FEATURES]).where("label IS NOT NULL")
+    rows = Bucketizer(splitsArray=cut, inputCols=list(BASELINE_FEATURES), outputCols=at, handleInvalid="keep").transform(rows)
+    seen = [F.when(F.col(f).isNotNull(), F.col(a) if len(e) > 2 else F.lit(0.0)).cast("int").alias(a) for f, a, e in zip(BASELINE_FEATURES, at, ends)]
+    n = rows.select("label", *seen).groupBy("label", *at).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    back = [F.when(F.col(a).isNotNull(), F.element_at(F.array(*[F.lit(x) for x in own]), F.col(a) + 1)).alias(f) if own else F.lit(None).cast("double").alias(f) for f, a, own in zip(BASELINE_FEATURES, at, levels)]
+    return n.select("label", *back, "weight")
+
+
 def fit(train: DataFrame, trees: int = 100, depth: int = 3, step: float = 0.1, seed: int = 0) -> GBTClassificationModel:
-    """Rows of equal features and label are one row with their number as its weight, so the hundreds of passes of a fit go over different rows only. A pass has a
-    task for every PART of them, and what a tree is grown on is cut off from the trees before it every ten trees."""
+    """The hundreds of passes of a fit go over the cells of the training rows, whose number is bounded. A pass has a task for every PART of them, and what a
+    tree is grown on is cut off from the trees before it every ten trees."""
     check_features(BASELINE_FEATURES)
-    cells = train.groupBy(F.col("label_exceeds_180").cast("double").alias("label"), *BASELINE_FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    cells = stage(cells.where("label IS NOT NULL"), "boosting-rows")
-    n = cells.agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    held = stage(cells(train), "boosting-rows")
+    n = held.agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if n.lo is None or n.lo == n.hi:
         raise ValueError("both outcome classes are needed in the training data")
     spark = train.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{checkpoint_dir(spark)}/anchorline/boosting")
-    data = _vector(cells.coalesce(ceil(n.n / PART))).select("label", "features", "weight")
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, maxBins=64, weightCol="weight", checkpointInterval=10).fit(data)
+    data = _vector(held.coalesce(ceil(n.n / PART))).select("label", "features", "weight")
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, maxBins=BINS, weightCol="weight", checkpointInterval=10).fit(data)
 
 
 def probability(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
@@ -63,7 +94,7 @@ def probability(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
 def out_of_fold(events: DataFrame, folds: DataFrame, factory=None, k: int = N_FOLDS, trees: int = 100) -> DataFrame:
     """One prediction per event from a model that never saw the participant's fold. The k fits are independent jobs and are submitted together."""
     factory = factory or (lambda train: fit(train, trees))
-    ev = events.join(folds.select("participant_id", "fold"), "participant_id")
+    ev = stage(events.join(folds.select("participant_id", "fold"), "participant_id"), "folded-events")  # read several times by every fit
 
     def one(i: int) -> DataFrame:
         train = ev.where(F.col("fold") != i)

@@ -95,7 +95,7 @@ def b_vs_a_bootstrap(spark, sf):
     from anchorline.plans.model_queries import oof
     e, f = fold_inputs(spark, sf)
     a = bt.staged_out_of_fold(e, f, TREES).select("participant_id", "event_id", F.col("p").alias("p_a"))
-    b = oof(spark, sf, "B", inputs=(e, f))
+    b = stage(oof(spark, sf, "B", inputs=(e, f)).select("participant_id", "event_id", "y", "p"), "forecasts")
     cp.require_matched(cp.event_sets(a, b).select(F.col("n_both").alias("n_shared"), "only_a", "only_b"))
     from anchorline.functions.numeric import log_loss
     j = b.join(a, ["participant_id", "event_id"])

@@ -248,3 +248,18 @@ def test_baseline_is_fitted_on_different_rows_with_their_number(spark, monkeypat
     got = boosted.probability(boosted.fit(df, trees=4), df.distinct())
     want = {tuple(r[:4]): r.p for r in boosted.probability(whole, df.distinct()).select(*df.columns, "p").collect()}
     assert seen == [len(set(rows))] and all(r.p == pytest.approx(want[tuple(r[:4])]) for r in got.select(*df.columns, "p").collect())
+
+
+def test_a_fit_goes_over_a_bounded_number_of_rows_on_the_side_of_its_splits(spark):
+    from pyspark.sql import functions as F
+
+    from anchorline.operators import boosted
+    df = spark.range(5000).selectExpr("CAST(id % 3 = 0 AS INT) AS label_exceeds_180", "CAST(id * 1.37 AS DOUBLE) AS carbs_g", "CASE WHEN id % 9 > 0 THEN 100D END AS baseline_glucose", "CAST(id % 5 AS DOUBLE) AS activity_level")
+    held = boosted.cells(df).toPandas()
+    assert len(held) <= 2 * boosted.BINS * 2 * 5 and held.weight.sum() == 5000  # before, one row for each of the 5,000
+    assert set(held.activity_level) == {0.0, 1.0, 2.0, 3.0, 4.0} and set(held.baseline_glucose.dropna()) == {100.0}
+    assert held.weight[held.baseline_glucose.isna()].sum() == df.where("baseline_glucose IS NULL").count()
+    levels = boosted._levels(df)[0]
+    assert len(levels) < boosted.BINS and (levels[0], levels[-1]) == (0.0, 4999 * 1.37)
+    split = (levels[20] + levels[21]) / 2
+    assert held.weight[held.carbs_g <= split].sum() == df.where(F.col("carbs_g") <= split).count()
