@@ -53,7 +53,7 @@ def three_model_comparison(spark, sf):
     from anchorline.plans.eval_queries import both
     e, f = fold_inputs(spark, sf)
     a = bt.staged_out_of_fold(e, f, TREES).select("participant_id", "event_id", F.col("p").alias("p_a"))
-    p = cp.pair(*both(spark, sf)).join(a, ["participant_id", "event_id"])
+    p = cp.pair(*both(spark, sf, (e, f))).join(a, ["participant_id", "event_id"])
     arms = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).alias("p")) for n, c in (("A", "p_a"), ("B", "p_b"), ("C", "p_c"))]))
     long = stage(p.select("participant_id", "y", arms.alias("x")).select("participant_id", "y", "x.*"), "arms")
     return rounded(bo.rank_metric_bootstrap(long, ["A", "B", "C"], n_boot=1000), ["contrast", "metric", "n_draws_used", "excludes_zero"], ["ci_low", "ci_high"])

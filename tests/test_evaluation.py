@@ -290,3 +290,19 @@ def test_draws_follow_the_rule_and_hold_little_beside_their_result():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1.5 * size  # whole tables of intermediate numbers do not fit a core's cache
+
+
+def test_draws_are_the_plain_rule_with_fewer_remainders():
+    import numpy as np
+
+    from anchorline.operators import bootstrap as bo
+    m, n, seed = 2**31 - 1, 40, 123
+    h = [0, 1, m - 1, m, m + 1, 2**60 - 1, 2**60 - m, *np.random.default_rng(5).integers(0, 2**60, 60).tolist()]
+
+    def plain(h, r):
+        p, q = h % m, h // m
+        x = ((p + (r * 1000003 + seed * 40692 + 12345) % m) * 48271 + q) % m
+        x = (x * x % m + r * 271) * 69621 + p
+        x = (x % m) ** 2 % m + q * 131
+        return sum(x * 16807 % m >= limit for limit in bo._LIMITS)
+    assert bo.draw_counts(np.array(h), n, seed).tolist() == [[plain(x, r) for r in range(n)] for x in h]
