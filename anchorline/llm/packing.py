@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.common import pick, steps
+from anchorline.llm.common import STEP_BYTES, pick, steps
 from anchorline.llm.tokens import tokenizer
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, offset bigint"
@@ -94,13 +94,16 @@ class _Worker:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), _OUT.types)], schema=_OUT)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+         memo: int | None = None, step: int = STEP_BYTES) -> DataFrame:
     """Packed sequences: sequence_id, length, padded_length (the capacity, or the length itself where that is a power of two), ids (little-endian
-    unsigned 32-bit integers, without padding) and the pieces they are made of. Sequence ids are unique over all tasks."""
+    unsigned 32-bit integers, without padding) and the pieces they are made of. Sequence ids are unique over all tasks.
+
+    `memo` and `step` bound what a worker remembers and cuts at once, not the result: parts in a generation of the memo, bytes of text."""
     def run(batches):
         worker = _Worker(capacity, TaskContext.get().partitionId() << 36)
-        code, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in steps(batches):
+        code, end = tokenizer(tokenizer_path, memo), np.array([end_id], "<u4").tobytes()
+        for batch in steps(batches, size=step):
             for doc, ids in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
                 worker.add(doc, ids + end)
             yield from worker.flush(BATCH)

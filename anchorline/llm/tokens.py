@@ -19,7 +19,7 @@ MEMO_ENTRIES = 900_000
 _GAP = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S) ")
 _STEM = re.compile(r"(.*[^\W\d_])([!-/:-@\[-^`{-~]+)", re.S)
-_LOADED: dict[str, "MemoTokenizer"] = {}
+_LOADED: dict[tuple[str, int | None], "MemoTokenizer"] = {}
 
 
 #: Packers of up to 63 ids.
@@ -31,7 +31,9 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class MemoTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int | None = None):
+        """`entries`: those of one generation of the memo, where a worker has less room than MEMO_ENTRIES take."""
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -125,9 +127,10 @@ class MemoTokenizer:
         if self.kind == "whole":
             done = iter(self._chain([t for t in texts if t]))
             return [next(done) if t else b"" for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
+        most = self.entries or MEMO_ENTRIES
+        if len(self.memo) > most:
             self.memo, self.older = {}, self.memo
-        if len(self.bare) > MEMO_ENTRIES // 30:
+        if len(self.bare) > most // 30:
             self.bare = {}
         whole = [i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)]
         cut = [self.parts(t) if t else [""] for t in texts]
@@ -146,11 +149,11 @@ class MemoTokenizer:
         return out
 
 
-def tokenizer(path: str) -> MemoTokenizer:
+def tokenizer(path: str, entries: int | None = None) -> MemoTokenizer:
     """One per Python worker, so that the memo serves all its tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = MemoTokenizer(path)
-    return _LOADED[path]
+    if (path, entries) not in _LOADED:
+        _LOADED[path, entries] = MemoTokenizer(path, entries)
+    return _LOADED[path, entries]
 
 
 def vocabulary_path(name: str) -> str:

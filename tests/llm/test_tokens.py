@@ -117,3 +117,12 @@ def test_packing_pads_little(spark):
     docs = documents(spark, [prose(rng, int(rng.paretovariate(1.1) * 40) % 5000 + 1) for _ in range(300)]).coalesce(1)
     got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).agg({"length": "sum", "padded_length": "sum"}).first()
     assert got["sum(padded_length)"] < 1.01 * got["sum(length)"]
+
+
+def test_a_small_memo_and_step_bound_a_worker_but_not_its_ids():
+    from anchorline.llm import tokens
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    texts = [" ".join(f"word{i}x{j}" for j in range(40)) for i in range(60)]
+    small, large = tokens.tokenizer(path, 100), tokens.tokenizer(path)
+    got = [small.encode([t])[0] for t in texts]
+    assert got == large.encode(texts) and len(small.memo) + len(small.older) <= 400 and small is tokens.tokenizer(path, 100) is not large
