@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.numeric import log_loss
-from anchorline.functions.scale import prefix_sums, prob_bucket
+from anchorline.functions.scale import UNCUT, one_slice, prefix_sums, prob_bucket
 
 
 def _w(weight: str | None) -> Column:
@@ -20,7 +20,8 @@ def discrimination(df: DataFrame, keys: list[str], p: str = "p", y: str = "y", w
     Scores are collapsed to distinct values first; the order statistics are two-level running sums, never one global sort."""
     w = _w(weight)
     d = df.groupBy(*keys, F.col(p).alias("__p")).agg(F.sum(w * F.col(y)).cast("double").alias("pos"), F.sum(w * (1 - F.col(y))).cast("double").alias("neg"))
-    d = d.withColumn("__bk", prob_bucket("__p"))
+    few = one_slice(df, keys, "__bk") if keys else None  # such keys as a participant's need no slices
+    d = d.withColumn("__bk", prob_bucket("__p")) if few is None else d.withColumn("__bk", F.lit(0)).withMetadata("__bk", {UNCUT: True})
     run = prefix_sums(d, keys, "__bk", ["__p"], {"cpos": "pos", "cneg": "neg"}, totals=True)
     above_pos = F.col("cpos_total") - F.col("cpos") + F.col("pos")
     above_neg = F.col("cneg_total") - F.col("cneg") + F.col("neg")
