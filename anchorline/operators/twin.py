@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anchorline.functions import scale
 from anchorline.functions.numeric import exceed_probability, interval90
-from anchorline.functions.scale import dyadic_cover, dyadic_nodes, equi_depth, prefix_sums, time_slices
+from anchorline.functions.scale import UNCUT, dyadic_cover, dyadic_nodes, equi_depth, one_slice, prefix_sums, time_slices
 from anchorline.spec import LABEL_TOLERANCE, OUTCOME_WINDOW, THRESHOLD
 
 HIT = 0.5
@@ -248,25 +249,28 @@ def own_history(forecasts: DataFrame, reconciled: DataFrame, window: int = OUTCO
     and a lesson is indexed under the few intervals that hold its rank. The condition is an equality on (participant, interval) plus a
     running sum over time, so the rows of one participant are never paired with each other."""
     dose = F.round("carbs_g", 9)
-    cell = F.floor(F.log2(F.greatest(F.col("d"), F.lit(0.0)) + 1) * 64)
     # order at equal values: lower bound, value, upper bound - so a running count gives "values below" and "values up to"
-    vals = reconciled.select("participant_id", dose.alias("d")).distinct().select("participant_id", F.lit("").alias("event_id"), "d", F.lit(0).alias("side"), F.lit(1).alias("__w"))
+    vals = reconciled.select("participant_id", dose.alias("d")).distinct().select("participant_id", F.lit("").alias("event_id"), F.lit(None).cast("bigint").alias("us"), "d", F.lit(0).alias("side"), F.lit(1).alias("__w"))
     ends = F.explode(F.array(F.struct(F.round(F.col("carbs_g") * (1 - SIMILAR), 9).alias("d"), F.lit(-1).alias("side")), F.struct(F.round(F.col("carbs_g") * (1 + SIMILAR), 9).alias("d"), F.lit(1).alias("side"))))
-    asks = forecasts.select("participant_id", "event_id", ends.alias("x")).select("participant_id", "event_id", "x.d", "x.side", F.lit(0).alias("__w"))
-    run = prefix_sums(vals.unionByName(asks).withColumn("__s", cell), ["participant_id"], "__s", ["d", "side", "event_id"], {"below": "__w"}, totals=True)
+    asks = forecasts.where("carbs_g IS NOT NULL").select("participant_id", "event_id", "us", ends.alias("x")).select("participant_id", "event_id", "us", "x.d", "x.side", F.lit(0).alias("__w"))
+    # three rows of the first count and two of the second for a lesson and a question, so no slice is needed where no participant has many events
+    small = not any(one_slice(x, ["participant_id"], "__s", scale.DEPTH // 6) is None for x in ([forecasts] if forecasts is reconciled else [forecasts, reconciled]))
+    one = lambda d: d.withColumn("__s", F.lit(0)).withMetadata("__s", {UNCUT: True})
+    first = vals.where("d IS NOT NULL").unionByName(asks)
+    run = prefix_sums(one(first) if small else equi_depth(first, ["participant_id"], "d", "__s"), ["participant_id"], "__s", ["d", "side", "event_id"], {"below": "__w"}, totals=True)
     bits = (F.ceil(F.log2(F.greatest(F.col("below_total"), F.lit(1)).cast("double"))) + 1).cast("int")
     rank = run.where(F.col("side") == 0).select("participant_id", "d", (F.col("below") - 1).alias("__rank"), bits.alias("__bits"))
     span = run.where(F.col("side") != 0).groupBy("participant_id", "event_id").agg(
-        F.max(F.when(F.col("side") == -1, F.col("below"))).alias("__lo"), (F.max(F.when(F.col("side") == 1, F.col("below"))) - 1).alias("__hi"), F.max(bits).alias("__bits"))
+        F.max(F.when(F.col("side") == -1, F.col("below"))).alias("__lo"), (F.max(F.when(F.col("side") == 1, F.col("below"))) - 1).alias("__hi"), F.max(bits).alias("__bits"), F.max("us").alias("us"))
     live = span.where(F.col("__hi") >= F.col("__lo"))
-    ask = live.join(forecasts.select("participant_id", "event_id", "us"), ["participant_id", "event_id"]).select(
+    ask = live.select(
         "participant_id", "event_id", F.col("us").alias("at"), F.lit(1).alias("kind"), F.explode(dyadic_cover(F.col("__lo"), F.col("__hi"), F.col("__bits"))).alias("t"))
     know = reconciled.withColumn("d", dose).join(rank, ["participant_id", "d"]).select(
         "participant_id", F.lit("").alias("event_id"), (F.col("us") + window).alias("at"), F.lit(0).alias("kind"), F.explode(dyadic_nodes(F.col("__rank"), F.col("__bits"))).alias("t"),
         F.lit(1).alias("__n"), F.col("rise").alias("__r"), F.col("y").alias("__y"))
     flat = lambda d: d.select("*", "t.level", "t.node").drop("t")
     both = flat(know).unionByName(flat(ask), allowMissingColumns=True).fillna(0, ["__n", "__y"]).fillna(0.0, ["__r"])
-    found = prefix_sums(time_slices(both, ["participant_id", "level", "node"], "at", "__s", slice_us), ["participant_id", "level", "node"], "__s", ["at", "kind", "event_id"], {"n": "__n", "r": "__r", "y": "__y"})
+    found = prefix_sums(one(both.repartition("participant_id")) if small and not slice_us else time_slices(both, ["participant_id", "level", "node"], "at", "__s", slice_us), ["participant_id", "level", "node"], "__s", ["at", "kind", "event_id"], {"n": "__n", "r": "__r", "y": "__y"})
     found = found.where(F.col("kind") == 1).groupBy("participant_id", "event_id").agg(F.sum("n").alias("n_similar"), F.sum("r").alias("__r"), F.sum("y").alias("__y"))
     out = forecasts.select("participant_id", "event_id", "carbs_g").join(found, ["participant_id", "event_id"], "left")
     n = F.coalesce("n_similar", F.lit(0))
