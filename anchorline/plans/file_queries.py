@@ -11,6 +11,7 @@ from anchorline.plans.registry import query
 from anchorline.session import checkpoint_dir, stage
 from anchorline.sources.adapters import table
 from anchorline.sources.files import column_availability, column_sets, discover_participant_files, load_series
+from anchorline.sources.sinks import write_series
 
 #: The participant is the folder here, because Spark chooses the names of files it writes.
 ID = r"participant_id=([^/]+)/"
@@ -29,9 +30,7 @@ def written_files(spark, sf) -> str:
     rows = e.select(F.col("user_id").alias("participant_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM").alias("month"), F.md5(F.col("event_id").cast("string")).alias("place"), *[c.alias(n) for n, c in cells.items()])
     rows = stage(rows, "rows")
     for i, layout in enumerate(LAYOUTS):
-        some = rows.where(F.col("participant_id") % len(LAYOUTS) == i).repartition("participant_id", "month").sortWithinPartitions("participant_id", "month", "place")
-        (some.select("participant_id", "month", *[F.col(c.strip()).alias(c) for c in layout]).write.partitionBy("participant_id", "month")
-         .option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{root}/layout={i}"))
+        write_series(rows.where(F.col("participant_id") % len(LAYOUTS) == i).withColumnsRenamed({c.strip(): c for c in layout}), f"{root}/layout={i}", ["participant_id", "month"], layout, "place")
     e.groupBy("user_id").agg(F.count("*").alias("Timestamp")).write.option("header", "true").csv(f"{root}/counts")
     return root
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from anchorline.functions.labels import extension, file_class
 from anchorline.operators.audits import column_profile, extension_summary
-from anchorline.session import stage
+from anchorline.session import listed, stage
 from anchorline.sources.records import fields, read_records
 
 REQUIRED = ("Timestamp", "Meal Type")
@@ -33,7 +33,7 @@ SERIES_SCHEMA = T.StructType([T.StructField("participant_id", T.StringType()), T
 
 def scan_directory(spark: SparkSession, root: str, *more: str) -> DataFrame:
     """path, extension, length of every file under root; contents are never opened."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", *more)
+    f = listed(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)).select("path", "length", *more)
     return f.where(~F.col("path").rlike(SKIPPED_DIRS)).withColumn("ext", extension("path")).withColumn("class", file_class("path"))
 
 
@@ -55,7 +55,8 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def discover_participant_files(spark: SparkSession, root: str, required=REQUIRED) -> DataFrame:
     """path, uri (as Spark's file metadata spell it), columns of the CSV files whose (trimmed) header holds the required columns, whatever the file is called."""
     csv_files = scan_directory(spark, root, "_metadata.file_path").where(F.col("ext") == "csv").select("path", F.col("file_path").alias("uri"))
-    h = csv_files.mapInPandas(_headers, "path string, uri string, columns array<string>")
+    # a scan makes a task of every few dozen small files, and starting Python for it takes far longer than their headers
+    h = csv_files.repartition("uri").mapInPandas(_headers, "path string, uri string, columns array<string>")
     need = F.array(*[F.lit(c) for c in required])
     return h.where(F.col("columns").isNotNull() & (F.size(F.array_except(need, "columns")) == 0))
 

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anchorline.session import stage
+from anchorline.session import listed, stage
 
 # a quote opens a field only at its start; two quotes inside are one; what follows the closing quote belongs to the field
 _FIELD = r'(?:"(?:[^"]|"")*+"[^,]*|[^",][^,]*|)'
 _FROM_OUTSIDE = re.compile(rf"{_FIELD}(?:,{_FIELD})*+")
 _FROM_INSIDE = re.compile(rf'(?:[^"]|"")*+"[^,]*(?:,{_FIELD})*+')
+#: Tasks that follow lines, or as many as the session shuffles to if that is more.
+TASKS = 64
 _LINE = "uri string, block bigint, at bigint, value string, start_out bigint, start_in bigint, out_after int, in_after int"
 
 
@@ -57,8 +59,10 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lines(spark: SparkSession, root: str, glob: str = "*.[cC][sS][vV]") -> DataFrame:
     """Every line of the files under root, with where its record starts under both beginnings of its split."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-    return raw.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), "value").mapInArrow(_follow, _LINE)
+    raw = listed(spark, lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root))
+    raw = raw.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), "value")
+    # a scan makes a task of every few dozen small files, and starting Python for it takes far longer than their lines; splits stay whole and in order
+    return raw.coalesce(max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_follow, _LINE)
 
 
 def splits(marked: DataFrame) -> DataFrame:

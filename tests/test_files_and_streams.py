@@ -171,3 +171,40 @@ def test_a_participant_has_one_timer_for_its_first_open_window():
     assert Handle.timers == [78_001]  # the windows of e17, e18, e19 are open after the last row, at 76 s
     later = pd.concat(list(who.handleExpiredTimer(("p",), At(83_000), At(78_001))))
     assert later.event_id.tolist() == ["e17", "e18"] and Handle.timers == [78_001, 86_001] and (first.kind == "forecast").sum() == 20
+
+
+def test_series_files_are_written_whole_in_order_by_their_tasks(spark, tmp_path):
+    texts = ["plain", 'half, "quoted"\nleft', None, 'a 5" plate', "", "Ünïcode", "x" * 3000]
+    rows = [(who, month, (i * 7) % 50, f"2024-01-01 00:{i:02d}:00", "Lunch" if i == 3 else None, texts[(i + len(who)) % 7]) for who in ("p/1", "p2", "p 3") for month in ("a", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "who string, month string, place int, Timestamp string, `Meal Type` string, `Amount Consumed ` string")
+    root = f"{tmp_path}/in"
+    old, sinks.HELD = sinks.HELD, 2000
+    try:
+        assert sinks.write_series(df, root, ["who", "month"], ["Timestamp", "Meal Type", "Amount Consumed "], "place") == 6
+    finally:
+        sinks.HELD = old
+    assert sorted(p.name for p in (tmp_path / "in").rglob("*") if p.is_file()) == ["series.csv"] * 6 and (tmp_path / "in" / "who=p%2F1").is_dir()
+    got = files.load_series(spark, root, id_pattern="who=([^/]+)/month=([^/]+)/").orderBy("row_order").collect()
+    for who, name in (("p/1", "p%2F1"), ("p2", "p2"), ("p 3", "p%203")):
+        want = [(r[4], r[5] or None) for r in sorted(r for r in rows if r[0] == who and r[1] == "a")]
+        mine = [(r.anchor_label, r.amount_consumed_raw) for r in got if r.participant_id == name]
+        assert len(mine) == 100 and sorted(mine, key=str) == sorted(want * 2, key=str)
+    one = files.load_series(spark, f"{root}/who=p2/month=a").orderBy("row_order").collect()
+    assert [(r.anchor_label, r.amount_consumed_raw) for r in one] == [(r[4], r[5] or None) for r in sorted(r for r in rows if r[:2] == ("p2", "a"))]
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path, monkeypatch):
+    from anchorline import session
+    from anchorline.sources import records
+    for i in range(120):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "s.csv").write_text("Timestamp,Meal Type\n2024-01-01,Lunch\n")
+    monkeypatch.setattr(records, "TASKS", 2)
+    assert records.lines(spark, str(tmp_path)).rdd.getNumPartitions() <= 4  # what the session shuffles to
+    name, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    own = spark.conf.get(name)
+    session.listed(spark, lambda: seen.append(int(spark.conf.get(name))))
+    with pytest.raises(ZeroDivisionError):
+        session.listed(spark, lambda: 1 / 0)
+    assert seen == [session.LISTERS] and spark.conf.get(name) == own
+    assert files.load_series(spark, str(tmp_path)).count() == 120
