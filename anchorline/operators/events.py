@@ -35,6 +35,8 @@ RETAINED_RAW = ["amount_consumed_raw"]
 MACROS = ["protein_g", "fat_g", "fiber_g", "calories"]
 
 _LAST_SLICE = 1 << 62
+#: Readings of a task. A session that shuffles to too few partitions for that gets more in the one exchange of the readings.
+TASK_ROWS = 1 << 17
 
 
 def duplicate_timestamps(df: DataFrame) -> DataFrame:
@@ -61,6 +63,9 @@ def _sliced_readings(df: DataFrame, spec: WindowSpec) -> DataFrame:
         "participant_id", "us", "row_order", sensor.alias("v"), act.alias("act"),
         F.explode(F.sequence(F.floor((F.col("us") - spec.window) / width).cast("bigint"),
                              F.floor((F.col("us") + spec.lookback) / width).cast("bigint"))).alias("slice"))
+    tasks = -(-df.count() // TASK_ROWS)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "participant_id", "slice")
     same_time = Window.partitionBy("participant_id", "slice", "us").orderBy("row_order")
     before = Window.partitionBy("participant_id", "slice").orderBy("us", "row_order").rowsBetween(Window.unboundedPreceding, -1)
     kept = rows.withColumn("kept", F.row_number().over(same_time) == 1)

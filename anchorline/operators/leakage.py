@@ -48,7 +48,7 @@ def check(series: DataFrame, spec: WindowSpec, anchor_number: int = 0, builder=e
     rk = F.row_number().over(Window.partitionBy("participant_id").orderBy("us", "event_id"))
     first = base.select("participant_id", "event_id", "us").withColumn("rk", rk).where(F.col("rk") <= anchor_number + 1)
     probe = stage(first.where(F.col("rk") == anchor_number + 1).select("participant_id", "us"), "probes")
-    rebuilt = builder(mutate(series, probe, spec), spec)
+    rebuilt = builder(stage(mutate(series, probe, spec), "mutated"), spec)
     at = F.instr("participant_id", "#")
     own = F.substring(F.col("participant_id"), at + 1, F.length("participant_id"))
     re = rebuilt.select(own.alias("participant_id"), F.substring_index("participant_id", "#", 1).alias("mutation"), "us", F.struct(*FEATURES).alias("new"))

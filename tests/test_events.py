@@ -122,3 +122,11 @@ def test_leakage_check_passes_and_is_not_vacuous(spark):
 def test_first_meal_time_is_in_range(spark):
     (e,) = build(spark, minute_rows())
     assert e["us"] == T0 + 400 * MINUTE
+
+
+def test_readings_of_a_task_are_bounded_whatever_the_session_shuffles_to(spark, monkeypatch):
+    f = frame(spark, [r for p in range(6) for r in minute_rows(pid=f"p{p}", meals=(200, 400, 700))])
+    want = ev.event_table(f, SPEC).orderBy("participant_id", "us").collect()
+    monkeypatch.setattr(ev, "TASK_ROWS", 500, raising=False)
+    assert ev._sliced_readings(f, SPEC).rdd.getNumPartitions() == 11  # 5,400 readings; the session shuffles to four
+    assert ev.event_table(f, SPEC).orderBy("participant_id", "us").collect() == want and len(want) > 6
