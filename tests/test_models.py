@@ -263,3 +263,16 @@ def test_a_fit_goes_over_a_bounded_number_of_rows_on_the_side_of_its_splits(spar
     assert len(levels) < boosted.BINS and (levels[0], levels[-1]) == (0.0, 4999 * 1.37)
     split = (levels[20] + levels[21]) / 2
     assert held.weight[held.carbs_g <= split].sum() == df.where(F.col("carbs_g") <= split).count()
+
+
+def test_posterior_of_two_coefficients_writes_nothing_out_twice(spark):
+    names = ["v_bb", "v_bg", "v_gg", "m_b", "m_g", "noise", "cc", "cg", "gg", "cy", "gy"]
+    row = (2.0, 0.3, 1.5, 1.1, -0.2, 4.0, 50.0, 70.0, 120.0, 65.0, 80.0)
+    out = sq.with_posterior(spark.createDataFrame([row], ", ".join(f"{c} double" for c in names)), "C")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(" / ") <= 20  # 11; 89 where every value writes out what it needs
+    v = dict(zip(names, row))
+    p = np.linalg.inv([[v["v_bb"], v["v_bg"]], [v["v_bg"], v["v_gg"]]])
+    s = np.linalg.inv(p + np.array([[v["cc"], v["cg"]], [v["cg"], v["gg"]]]) / v["noise"])
+    m = s @ (p @ [v["m_b"], v["m_g"]] + np.array([v["cy"], v["gy"]]) / v["noise"])
+    r = out.first()
+    assert [r.post_b, r.post_g, r.s_bb, r.s_bg, r.s_gg] == pytest.approx([*m, s[0, 0], s[0, 1], s[1, 1]])
