@@ -18,16 +18,19 @@ Sixty-four bits tell apart similarities near 1. For lower ones, `copies` fingerp
 a pair meets in one of many partitions, and `total` bounds the distance over all copies' bits: two texts of Jaccard similarity j differ in about
 arccos(2 j / (1 + j)) / pi of them. `similar_bits` gives that bound. Both are estimates: they find candidates and decide nothing exactly.
 
-`keep_one` decides by the exact Jaccard similarity of the sets of shingles. Equal sets are collapsed. Candidates share all ROWS minima of one of BANDS groups of
-hash functions and enough minima altogether; both limits follow from the binomial law, whatever the length of the texts, and a pair at the bound is missed
-with a chance of about (1 - j ** ROWS) ** BANDS + MISS. Candidates tie documents to loose groups. Inside a loose group every two sets are compared exactly,
-in cells of bounded rows and shingles, and only what passes is an edge.
+`keep_one` decides by the exact Jaccard similarity of the sets of shingles and leaves no pair out. Equal sets are collapsed. First, large groups are settled
+cheaply: sets that share all ROWS minima of one of BANDS groups of hash functions, and enough minima altogether, are tied to loose groups, inside which every
+two sets are compared exactly, in cells of bounded rows and shingles; only what passes is an edge. This finds most pairs, not all. Then `other_edges` finds every
+pair that is left between two of the groups so far: with all shingles in one fixed order, two sets of similarity j share one of the first n - ceil(j n) + 1
+shingles of each, so sets meet under these. The order puts rare shingles first, by counters of bounded number, which changes cost only. Pairs that meet are
+dropped by bounds that no similar pair fails (lengths, places in the order, counters of shingles), and what is left is compared exactly.
 
 Inputs. A null or empty text, or one of white space, has fingerprint zero and is linked like any other. Rows with a null id get a fingerprint but no
 component, and link nothing. Rows with equal ids or equal texts each get a row. An empty table gives an empty result. Further columns are ignored."""
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from math import acos, comb, pi
 
@@ -284,14 +287,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
 
 
 # ---- exact similarity of shingle sets ----------------------------------------------------------------------------------------------------
-#: Minima of a band and bands of a sketch; chance that the count of equal minima rejects a pair at the bound.
-ROWS, BANDS, MISS = 4, 24, 1e-6
+#: Minima of a band and bands of a sketch; chance that the count of equal minima rejects a pair at the bound. What they miss is found by `other_edges`.
+ROWS, BANDS, MISS = 4, 12, 0.01
+#: Counters that the order of shingles is taken from, a block of them in a row of the exchange, and counters of a set.
+PLACES, PLACES_ROW, OWN = 1 << 20, 1 << 14, 128
 #: Documents and shingles of a block of a large group.
 SETS, SHINGLES = 512, 1 << 20
 #: Counters of the bound on an intersection.
 COUNTERS = 1024
 _ODD = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, (2, ROWS * BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("minima", pa.binary()), ("bands", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("minima", pa.binary()), ("bands", pa.binary()), ("own", pa.binary()), ("first", pa.binary())])
 
 
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -326,15 +331,61 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
     return mixed.astype(np.uint8).tobytes(), _copy(keys + np.arange(BANDS, dtype=np.uint64), 1).tobytes()
 
 
-def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+def shingle_ranks(rows: DataFrame, shingle: int) -> np.ndarray:
+    """A byte for each of PLACES values of a shingle's hash: how common the shingles of that value are, in powers of two; 128 and more where over 2 * BLOCK sets may hold one."""
+    def count(batches):
+        total = np.zeros(PLACES, np.int64)
+        for batch in steps(batches):
+            found = np.concatenate([shingle_set(t, shingle) for t in batch.column(2).to_pylist()])
+            total += np.bincount((found % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
+        for at in range(0, PLACES, PLACES_ROW):
+            if total[at:at + PLACES_ROW].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([zlib.compress(total[at:at + PLACES_ROW].tobytes(), 1)], pa.binary())], names=["at", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        for at, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["at", "counts"])
+
+    counts, schema = np.zeros(PLACES, np.int64), "at bigint, counts binary"
+    for r in rows.mapInArrow(count, schema).repartition(min(spread(rows), PLACES // PLACES_ROW), "at").mapInArrow(add, schema).collect():  # at most PLACES counters
+        counts[r["at"]:r["at"] + PLACES_ROW] = np.frombuffer(r["counts"], np.int64)
+    usual = max(2 * counts.mean(), 1)
+    rank = np.where(counts > usual, 1 + np.log2(np.maximum(counts / usual, 1)).astype(np.int64), 0)
+    return (rank + 128 * (counts > 2 * BLOCK)).astype(np.uint8)
+
+
+def needed(n, jaccard: float):
+    """Shingles that a set of n shares at least with any set of this similarity."""
+    return np.ceil(jaccard * n - 1e-6).astype(np.int64)
+
+
+def first_shingles(hashes: np.ndarray, ranks: np.ndarray, jaccard: float) -> np.ndarray:
+    """The first of a set's shingles in the order that all sets share, one of which is among those of every set of this similarity. Of a hash the upper 31 bits, then
+    a bit for a shingle that may be in more than 2 * BLOCK sets."""
+    rank = ranks[(hashes % np.uint64(PLACES)).astype(np.int64)]
+    first = np.lexsort((hashes, rank))[:len(hashes) - int(needed(np.array(len(hashes)), jaccard)) + 1]
+    return (hashes[first] >> np.uint64(33) << np.uint64(1) | (rank[first] >> 7).astype(np.uint64)).astype(np.uint32)
+
+
+def own_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each remainder by OWN; 255 is 255 or more."""
+    return np.minimum(np.bincount((hashes % np.uint64(OWN)).astype(np.int64), minlength=OWN), 255).astype(np.uint8)
+
+
+def _sketches(rows: DataFrame, shingle: int, jaccard: float, ranks: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in steps(batches):
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             minima, bands = zip(*map(sketch, sets))
+            own, first = [own_counts(x).tobytes() for x in sets], [first_shingles(x, ranks, jaccard).tobytes() if len(x) else b"" for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
-                                              pa.array(minima, pa.binary()), pa.array(bands, pa.binary())], schema=_SKETCH)
+                                              *[pa.array(x, pa.binary()) for x in (minima, bands, own, first)]], schema=_SKETCH)
 
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, set_key binary, n bigint, minima binary, bands binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, set_key binary, n bigint, minima binary, bands binary, own binary, first binary")
 
 
 def _flat(column_: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
@@ -342,7 +393,7 @@ def _flat(column_: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def candidate_edges(classes: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b): a spanning forest of every band bucket's pairs that share enough minima."""
+    """(a, b): a spanning forest of every band bucket's pairs that share enough minima. `other_edges` finds the similar pairs that these leave out."""
     keys, least = ["band", "b1", "b2"], equal_minima(jaccard)
 
     def index(batches):
@@ -423,18 +474,98 @@ def similar_edges(rows: DataFrame, classes: DataFrame, loose: DataFrame, jaccard
     return dealt.select(*keys, "doc_id", "hashes").repartition(spread(rows), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
+def other_edges(rows: DataFrame, sketches: DataFrame, classes: DataFrame, found: DataFrame, jaccard: float, shingle: int) -> DataFrame:
+    """(a, b): every pair of similar sets of two different components of `found`. `rows`: doc_id, text_key, text."""
+    share = jaccard / (1 + jaccard)
+    members = classes.select(F.col("node").alias("doc_id"), "text_key").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    sets = stage(sketches.select("doc_id", "text_key", "n", "own", "first").join(members, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+                 .select(F.col("doc_id").alias("node"), "text_key", F.coalesce("component", "doc_id").bitwiseXOR(F.col("doc_id")).alias("tied"), "n", "own", "first"), "sets")  # tied: component ^ node, mostly 0
+
+    def index(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                n = [len(x) // 4 for x in some.column(3).to_pylist()]
+                token, of = _flat(some.column(3), np.uint32), pa.array(np.repeat(np.arange(some.num_rows), n))
+                place = np.concatenate([np.arange(x, dtype=np.int64) for x in n])
+                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), *[some.column(i).take(of) for i in range(3)], pa.array(place)], names=["token", "node", "tied", "n", "place"])
+
+    def meet(batches, keys):
+        for table, starts in whole_runs(batches, keys):
+            node, tied, n, place = (table.column(c).to_numpy() for c in ("node", "tied", "n", "place"))
+            component, pairs, held = node ^ tied, [], 0
+
+            def compare(i, j):
+                nonlocal held
+                keep = component[i] != component[j]
+                i, j = i[keep], j[keep]
+                # of two similar sets the first shingle in common leaves enough behind it in both
+                most = np.minimum(n[i] - place[i], n[j] - place[j])
+                keep = (np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-6) & (most >= share * (n[i] + n[j]) - 1e-6)
+                if keep.any():
+                    i, j = node[i[keep]], node[j[keep]]
+                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+                    held += len(i)
+                    if held > 1 << 20:
+                        pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
+                        held = len(pairs[0])
+
+            each_offset(starts, len(node), compare)
+            if pairs:
+                a, b = np.unique(np.concatenate(pairs), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
+
+    tokens = sets.select("node", "tied", "n", "first").mapInArrow(index, "token bigint, node bigint, tied bigint, n bigint, place bigint")
+    tokens = tokens.select("token", "node", "tied", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"))
+    usual = tokens.where("token % 2 = 0").repartition(spread(rows), "token").sortWithinPartitions("token").mapInArrow(lambda x: meet(x, ["token"]), "a bigint, b bigint")
+    common = cells(tokens.where("token % 2 = 1"), ["token"], "node", BLOCK).select("token", "b1", "b2", "node", "tied", "n", "place").mapInArrow(lambda x: meet(x, ["token", "b1", "b2"]), "a bigint, b bigint")
+
+    def bounded(batches):
+        for batch in batches:
+            (n, own), (m, other) = ((batch.column(i).to_numpy(), _flat(batch.column(i + 1), np.uint8).reshape(-1, OWN)) for i in (2, 4))
+            both = np.minimum(own, other)
+            keep = (both.sum(1, dtype=np.int64) >= share * (n + m) - 1e-6) | (both == 255).any(1)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    side = lambda c, names: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
+    likely = stage(usual.unionByName(common).distinct().join(side("a", ["n", "own"]), "a").join(side("b", ["n", "own"]), "b").select("a", "b", "n_a", "own_a", "n_b", "own_b")
+                   .mapInArrow(bounded, "a bigint, b bigint"), "pairs")
+    asked = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct().join(sets.select("node", "text_key"), "node").select(F.col("node").alias("doc_id"), "text_key")
+
+    def cut(batches):
+        for batch in steps(batches, size=1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+
+    texts = stage(rows.join(asked, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text").mapInArrow(cut, "node bigint, hashes binary"), "compared")
+
+    def decide(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(inter / max(len(x) + len(y) - inter, 1) >= jaccard)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    hashes = lambda c: texts.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    return likely.join(hashes("a"), "a").join(hashes("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a bigint, b bigint")
+
+
 def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows of one document of each group of similar documents, the one with the smallest id; of rows with that id, one, that with the smallest
     hash of its text. Rows with a null id stay.
 
     Groups: reachable over pairs whose sets of shingles have at least this Jaccard similarity. Empty sets are equal."""
     rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
-    sketches = stage(_sketches(rows, shingle), "sketches")
+    sketches = stage(_sketches(rows, shingle, jaccard, shingle_ranks(rows, shingle)), "sketches")
     # a class has one set, so one n and one sketch
     classes = stage(sketches.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands"))
                     .select("set_key", F.col("r.doc_id").alias("node"), F.col("r.text_key").alias("text_key"), "n", "minima", "bands"), "classes")
     loose = connected_components(candidate_edges(classes, jaccard))
     found = connected_components(similar_edges(rows, classes, loose, jaccard, shingle))
+    others = stage(other_edges(rows, sketches, classes, found, jaccard, shingle), "edges")
+    if not others.isEmpty():
+        found = connected_components(others.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     groups = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     keep = (sketches.select("doc_id", "text_key", "set_key").join(groups, "set_key").where(F.col("doc_id") == F.col("component_id"))
             .groupBy(F.col("doc_id").alias("__keep")).agg(F.min("text_key").alias("__key")))

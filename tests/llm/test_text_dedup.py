@@ -248,3 +248,38 @@ def test_of_rows_with_one_id_the_same_text_stays(spark):
     texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
     kept = {tuple(r["text"] for r in simhash.keep_one(documents(spark, texts * n).withColumn("doc_id", F.lit(7).cast("bigint")).repartition(p)).collect()) for n, p in ((1, 1), (3, 5))}
     assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
+def near_the_bound(rng, n):
+    base = [prose(rng, rng.choice((8, 30, 90, 200, 600))).split() for _ in range(n)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        cut = max(1, round(len(w) / rng.uniform(6, 12)))
+        texts.append(" ".join([*w[:-cut], *prose(rng, cut).split()]))
+    return texts
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_no_similar_pair_depends_on_the_minima(spark, monkeypatch, common):
+    """With minima that propose nothing at all the groups are those of brute force."""
+    monkeypatch.setattr(simhash, "equal_minima", lambda jaccard, miss=0.0: simhash.ROWS * simhash.BANDS + 1)
+    if common:  # all shingles in the cells of large buckets
+        monkeypatch.setattr(simhash, "BLOCK", 0.4)
+        real = simhash.cells
+        monkeypatch.setattr(simhash, "cells", lambda rows, keys, by, limit: real(rows, keys, by, 3))
+    texts = near_the_bound(random.Random(13), 60)
+    sets = [shingles_by_hand(t) for t in texts]
+    root = components(list(range(len(texts))), lambda i, j: jaccard_by_hand(sets[i], sets[j]) >= 0.8)
+    assert len(set(root)) < len(texts) - 10
+    assert {r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()} == set(root)
+
+
+def test_similar_sets_share_one_of_their_first_shingles():
+    rng = np.random.default_rng(4)
+    ranks = rng.integers(0, 4, simhash.PLACES).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, int(rng.integers(len(a) // 2, len(a) + 1)), False), rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), np.uint64)]))
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+            assert set(simhash.first_shingles(a, ranks, 0.8)) & set(simhash.first_shingles(b, ranks, 0.8))
