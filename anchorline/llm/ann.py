@@ -246,11 +246,12 @@ def _within(indexed: DataFrame, queries: DataFrame, codes: Codes, radius: int, b
     schema = "part int, value bigint, id bigint, code binary"
     data, asked = indexed.select("vec_id", "embedding").mapInArrow(index, schema), queries.select("vec_id", "embedding").mapInArrow(probe, schema)
     key = ["part", "value"]
-    sizes = (data.groupBy(*key).agg(F.count(F.lit(1)).alias("v")).join(asked.groupBy(*key).agg(F.count(F.lit(1)).alias("p")), key)
+    # Spark takes a table that Python makes for as large as the one it was made of, and would send the probes, hundreds to thousands of a query, through the driver
+    sizes = (data.groupBy(*key).agg(F.count(F.lit(1)).alias("v")).hint("merge").join(asked.groupBy(*key).agg(F.count(F.lit(1)).alias("p")), key)
              .select(*key, F.ceil(F.col("v") / VECTORS).alias("nv"), F.ceil(F.col("p") / PROBES).alias("np")))
 
     def dealt(side, own, mine, other):
-        return (side.join(sizes, key).withColumn(own, F.pmod(F.xxhash64("id"), F.col(mine)))
+        return (side.hint("merge").join(sizes, key).withColumn(own, F.pmod(F.xxhash64("id"), F.col(mine)))
                 .withColumn("bp" if own == "bv" else "bv", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))))
 
     order = [*key, "bv", "bp"]
@@ -286,8 +287,8 @@ def _within(indexed: DataFrame, queries: DataFrame, codes: Codes, radius: int, b
 
 
 def _rerank(pairs: DataFrame, indexed: DataFrame, queries: DataFrame) -> DataFrame:
-    full = (pairs.join(indexed.select("vec_id", F.col("embedding").alias("v")), "vec_id")
-            .join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("query_id", "vec_id", "q", "v"))
+    full = (pairs.hint("merge").join(indexed.select("vec_id", F.col("embedding").alias("v")), "vec_id")
+            .hint("merge").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("query_id", "vec_id", "q", "v"))
 
     def run(batches):
         for batch in batches:

@@ -518,7 +518,7 @@ def other_edges(rows: DataFrame, sketches: DataFrame, classes: DataFrame, found:
     tokens = sets.select("node", "tied", "n", "first").mapInArrow(index, "token bigint, node bigint, tied bigint, n bigint, place bigint")
     tokens = tokens.select("token", "node", "tied", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"))
     usual = tokens.where("token % 2 = 0").repartition(spread(rows), "token").sortWithinPartitions("token").mapInArrow(lambda x: meet(x, ["token"]), "a bigint, b bigint")
-    common = cells(tokens.where("token % 2 = 1"), ["token"], "node", BLOCK).select("token", "b1", "b2", "node", "tied", "n", "place").mapInArrow(lambda x: meet(x, ["token", "b1", "b2"]), "a bigint, b bigint")
+    common = cells(tokens.where("token % 2 = 1").hint("merge"), ["token"], "node", BLOCK).select("token", "b1", "b2", "node", "tied", "n", "place").mapInArrow(lambda x: meet(x, ["token", "b1", "b2"]), "a bigint, b bigint")
 
     def bounded(batches):
         for batch in batches:
@@ -528,7 +528,7 @@ def other_edges(rows: DataFrame, sketches: DataFrame, classes: DataFrame, found:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda c, names: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
-    likely = stage(usual.unionByName(common).distinct().join(side("a", ["n", "own"]), "a").join(side("b", ["n", "own"]), "b").select("a", "b", "n_a", "own_a", "n_b", "own_b")
+    likely = stage(usual.unionByName(common).distinct().hint("merge").join(side("a", ["n", "own"]), "a").join(side("b", ["n", "own"]), "b").select("a", "b", "n_a", "own_a", "n_b", "own_b")
                    .mapInArrow(bounded, "a bigint, b bigint"), "pairs")
     asked = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct().join(sets.select("node", "text_key"), "node").select(F.col("node").alias("doc_id"), "text_key")
 

@@ -269,3 +269,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert 80 not in left or not left[80]
     done = corpus_pipeline.run(spark, str(tmp_path))
     assert done.count() and {r["doc_id"] for r in done.select("doc_id").collect()} == set(left)
+
+
+def test_no_probe_or_pair_goes_through_the_driver(spark, tmp_path):
+    """Spark sees tables as large as what Python made them from, so it would broadcast all probes of few queries."""
+    x = np.random.default_rng(3).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/vectors")
+    df = spark.read.parquet(f"{tmp_path}/vectors")  # of known size
+    queries = df.where("vec_id % 100 = 0")
+    pairs = ann._within(df, queries, ann.Codes(x, 64), 20, 64, 300, 3)
+    for found in (pairs, ann._rerank(pairs, df, queries)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
