@@ -5,10 +5,11 @@ Each function takes streaming (or batch) DataFrames and returns one; sinks are c
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -49,15 +50,21 @@ def overlap_sessions(anchors: DataFrame, gap: str = "119 minutes 59.999999 secon
         F.count(F.lit(1)).alias("n_anchors")).select("participant_id", F.col("w.start").alias("first"), F.col("w.end").alias("closes"), "n_anchors")
 
 
-STATE = "n BIGINT, cc DOUBLE, cg DOUBLE, gg DOUBLE, cy DOUBLE, gy DOUBLE"
-PENDING = "close BIGINT, event_id STRING, carbs DOUBLE, activity DOUBLE, rise DOUBLE, usable BOOLEAN"
+#: Running sums, and the open windows: when they close, and what is known of them.
+STATE = ("n BIGINT, cc DOUBLE, cg DOUBLE, gg DOUBLE, cy DOUBLE, gy DOUBLE, closes ARRAY<BIGINT>, events ARRAY<STRING>, carbs ARRAY<DOUBLE>, activity ARRAY<DOUBLE>, "
+         "rises ARRAY<DOUBLE>, usable ARRAY<BOOLEAN>")
 OUTPUT = "participant_id STRING, event_id STRING, kind STRING, at_us BIGINT, version BIGINT, mean_rise DOUBLE, pred_std DOUBLE"
 
 
+COLUMNS = ["participant_id", "event_id", "kind", "at_us", "version", "mean_rise", "pred_std"]
+#: What a forecast and a lesson take from a row.
+ROW = namedtuple("ROW", "us event_id carbs_g activity_level peak_glucose_rise excluded_reason v_bb v_bg v_gg m_b m_g noise")
+
+
 class Personaliser(StatefulProcessor):
     """Forecast now, learn when the outcome window closes.
 
-    State per participant: six running sums and the queue of open windows. Rows of a micro-batch are taken in time order; before each one the
+    State per participant: six running sums and the queue of open windows, in one value, because every call for state is a message to the JVM and back. Rows of a micro-batch are taken in time order; before each one the
     windows closed by its time are learned (or, if unusable, reported excluded). An event-time timer resolves what no later row triggers: a window
     closed by the watermark cannot be preceded by any later row, so learning it then cannot leak. A participant has a timer for the first open window
     only, which sets the next one, so the calls do not grow with the events."""
@@ -67,19 +74,14 @@ class Personaliser(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", STATE)
-        self.pending = handle.getListState("pending", PENDING)
+        self.state = handle.getValueState("state", STATE)
 
     def _load(self) -> tuple[list, list]:
-        s = list(self.sums.get()) if self.sums.exists() else [0, 0.0, 0.0, 0.0, 0.0, 0.0]
-        return s, [tuple(p) for p in self.pending.get()] if self.pending.exists() else []
+        held = self.state.get()
+        return (list(held[:6]), list(zip(*held[6:]))) if held is not None else ([0, 0.0, 0.0, 0.0, 0.0, 0.0], [])
 
     def _save(self, s: list, queue: list) -> None:
-        self.sums.update(tuple(s))
-        if queue:
-            self.pending.put(queue)
-        elif self.pending.exists():
-            self.pending.clear()
+        self.state.update((*s, *([list(c) for c in zip(*queue)] or [[]] * 6)))
 
     def _wake(self, queue: list) -> None:
         """One timer, for the window that closes first; windows that the rows themselves have closed need none."""
@@ -109,12 +111,10 @@ class Personaliser(StatefulProcessor):
         x, z = r.carbs_g, r.carbs_g * r.activity_level
         return x * (bb * h[0] + bg * h[1]) + z * (bg * h[0] + gg * h[1]), (r.noise + x * x * bb + 2 * x * z * bg + z * z * gg) ** 0.5
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pid = key[0]
+    def _taken(self, pid: str, rows: list) -> list[tuple]:
         s, queue = self._load()
         out: list = []
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        for r in batch.itertuples(index=False):
+        for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
             queue = self._resolve(s, queue, int(r.us), pid, out)
             mean, sd = self._forecast(s, r)
             out.append((pid, r.event_id, "forecast", int(r.us), s[0], mean, sd))
@@ -124,26 +124,42 @@ class Personaliser(StatefulProcessor):
             queue.append((close, r.event_id, float(r.carbs_g), float(r.activity_level), float(r.peak_glucose_rise) if usable else 0.0, usable))
         self._wake(queue)
         self._save(s, queue)
-        yield pd.DataFrame(out, columns=["participant_id", "event_id", "kind", "at_us", "version", "mean_rise", "pred_std"])
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def _closed(self, pid: str, timerValues, expiredTimerInfo) -> list[tuple]:  # noqa: N803
         s, queue = self._load()
         out: list = []
         # all that the watermark has closed, so that the next timer lies ahead of it
-        queue = self._resolve(s, queue, max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs())) * 1000 - 1, key[0], out)
+        queue = self._resolve(s, queue, max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs())) * 1000 - 1, pid, out)
         self._wake(queue)
         self._save(s, queue)
-        yield pd.DataFrame(out, columns=["participant_id", "event_id", "kind", "at_us", "version", "mean_rise", "pred_std"])
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield pd.DataFrame(self._taken(key[0], [ROW._make(r) for batch in rows for r in zip(*[batch[c].tolist() for c in ROW._fields])]), columns=COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield pd.DataFrame(self._closed(key[0], timerValues, expiredTimerInfo), columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+class RowPersonaliser(Personaliser):
+    """The same on rows: what many participants give shares an Arrow batch, where a frame is one of its own."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        return iter([Row(**dict(zip(COLUMNS, r))) for r in self._taken(key[0], list(rows))])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        return iter([Row(**dict(zip(COLUMNS, r))) for r in self._closed(key[0], timerValues, expiredTimerInfo)])
+
+
 def personalise(events: DataFrame, delay: str = "0 seconds", window_us: int = 7_200_000_000) -> DataFrame:
     """Stream form of the sequential forecast. `events` carries its prior columns (stream-static join with the small prior table)."""
     rows = events.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay)
-    return rows.groupBy("participant_id").transformWithStateInPandas(
-        statefulProcessor=Personaliser(window_us), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    return rows.select("participant_id", *ROW._fields, "ts").groupBy("participant_id").transformWithState(
+        statefulProcessor=RowPersonaliser(window_us), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def use_rocksdb(spark) -> None:

@@ -208,3 +208,27 @@ def test_many_small_files_take_few_tasks(spark, tmp_path, monkeypatch):
         session.listed(spark, lambda: 1 / 0)
     assert seen == [session.LISTERS] and spark.conf.get(name) == own
     assert files.load_series(spark, str(tmp_path)).count() == 120
+
+
+def test_a_stream_step_asks_for_state_three_times_and_gives_rows():
+    """Calls for state and Arrow batches of one participant each are what a stream of many participants costs."""
+    from pyspark.sql import Row
+    calls = []
+
+    class State:
+        held = None
+        get = lambda self: calls.append("get") or self.held
+        exists = lambda self: calls.append("exists") or self.held is not None
+        put = update = lambda self, v: calls.append("update") or setattr(self, "held", v)
+        clear = lambda self: calls.append("clear")
+
+    class Handle:
+        getValueState = getListState = lambda self, *a: State()  # noqa: E731, N815
+        registerTimer = lambda self, ms: calls.append("timer")  # noqa: E731, N815
+
+    who = st.RowPersonaliser(window_us=10_000_000)
+    who.init(Handle())
+    rows = [Row(event_id=f"e{i}", us=i * 4_000_000, carbs_g=30.0, activity_level=1.0, peak_glucose_rise=None if i == 3 else 20.0, excluded_reason=None, v_bb=1.0, v_bg=0.0, v_gg=1.0, m_b=1.0, m_g=0.0, noise=4.0) for i in range(8)]
+    got = list(who.handleInputRows(("p",), iter(rows[::-1]), None))
+    assert calls == ["get", "update", "timer"] or calls == ["get", "timer", "update"]
+    assert [r.event_id for r in got if r.kind == "forecast"] == [f"e{i}" for i in range(8)] and [r.event_id for r in got if r.kind == "excluded"] == ["e3"]
