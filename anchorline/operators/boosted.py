@@ -91,8 +91,8 @@ def probability(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     return model.transform(_vector(df)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(events: DataFrame, folds: DataFrame, factory=None, k: int = N_FOLDS, trees: int = 100) -> DataFrame:
-    """One prediction per event from a model that never saw the participant's fold. The k fits are independent jobs and are submitted together."""
+def out_of_fold(events: DataFrame, folds: DataFrame, factory=None, k: int = N_FOLDS, trees: int = 100, held: tuple[str, ...] = ()) -> DataFrame:
+    """`held` names more columns of the events that the result has. One prediction per event from a model that never saw the participant's fold. The k fits are independent jobs and are submitted together."""
     factory = factory or (lambda train: fit(train, trees))
     ev = stage(events.join(folds.select("participant_id", "fold"), "participant_id"), "folded-events")  # read several times by every fit
 
@@ -105,7 +105,7 @@ def out_of_fold(events: DataFrame, folds: DataFrame, factory=None, k: int = N_FO
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("participant_id", "event_id", "us", "fold", "grp", F.col("label_exceeds_180").alias("y"), "p", "train_prevalence")
+    return out.select("participant_id", "event_id", "us", "fold", "grp", F.col("label_exceeds_180").alias("y"), "p", "train_prevalence", *held)
 
 
 def _cuts(model: GBTClassificationModel) -> list[list[float]]:

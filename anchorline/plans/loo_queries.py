@@ -78,11 +78,11 @@ _NUM = ["estimate", "ci_low", "ci_high"]
 def experiment_comparisons(spark, sf):
     """All fixed comparisons of the leave-one-participant-out run. The boosted baseline forecasts each participant from the folds that it is not in."""
     e, f = fold_inputs(spark, sf)
-    own = stage(lo.prequential(e, ("frozen_B", "frozen_C", "B", "C", "B_shuffled", "C_perm_activity", "personal_rate")), "prequential")
-    facts = own.where("model = 'B'").select("participant_id", "event_id", "y", "rise", "is_active")
-    a = bt.staged_out_of_fold(e, f).select("participant_id", "event_id", "p").join(facts, ["participant_id", "event_id"]).select("participant_id", "event_id", F.lit("A").alias("model"), "p", F.lit(None).cast("double").alias("mean_rise"), "y", "rise", "is_active")
-    records = own.select(*a.columns).unionByName(a)
-    return rounded(cp.experiment_comparisons(records, COMPARISONS, n_boot=N_BOOT), _CMP, _NUM)
+    # the baseline's forecasts are a column of the events, so that no forecasts meet in an exchange by event
+    with_a = stage(bt.out_of_fold(e, f, held=tuple(c for c in e.columns if c not in ("participant_id", "event_id", "us", "grp"))).select(*e.columns, F.col("p").alias("A_p")), "baseline-forecasts")
+    run = ("frozen_B", "frozen_C", "B", "C", "B_shuffled", "C_perm_activity", "personal_rate")
+    wide = lo.side_by_side(with_a, run, carry=("A_p",))
+    return rounded(cp.wide_comparisons(wide, [*run, "A"], COMPARISONS, n_boot=N_BOOT), _CMP, _NUM)
 
 
 _LOSS = {"brier": "(p - y) * (p - y)", "mae_rise": "abs(mean_rise - rise)"}
@@ -97,5 +97,5 @@ _ONE = [("B", "frozen_B", "brier"), ("B", "frozen_B", "mae_rise"), ("B", "person
 def experiment_comparisons_one_term(spark, sf):
     """The fixed comparisons among forecasters of one term."""
     e = stage(cohort(spark, sf), "events")
-    records = stage(lo.prequential(e, ("frozen_B", "B", "personal_rate")), "prequential")
-    return rounded(cp.experiment_comparisons(records, COMPARISONS, n_boot=N_BOOT), _CMP, _NUM)
+    run = ("frozen_B", "B", "personal_rate")
+    return rounded(cp.wide_comparisons(lo.side_by_side(e, run), list(run), COMPARISONS, n_boot=N_BOOT), _CMP, _NUM)

@@ -306,3 +306,37 @@ def test_draws_are_the_plain_rule_with_fewer_remainders():
         x = (x % m) ** 2 % m + q * 131
         return sum(x * 16807 % m >= limit for limit in bo._LIMITS)
     assert bo.draw_counts(np.array(h), n, seed).tolist() == [[plain(x, r) for r in range(n)] for x in h]
+
+
+def test_experiment_stores_and_shuffles_no_row_per_event_and_forecaster(spark, monkeypatch):
+    """The long records of seven forecasters, stored and then shuffled by event, filled the disk on large tables."""
+    from anchorline.operators import boosted, leave_one_out
+    from anchorline.plans import loo_queries
+    fit, stored = boosted.fit, {}
+    monkeypatch.setattr(boosted, "fit", lambda train, trees=1: fit(train, 1))
+
+    def counted(real):
+        def put(df, label):
+            out = real(df, label)
+            stored[label] = max(stored.get(label, 0), out.count())
+            return out
+        return put
+
+    for m in (loo_queries, leave_one_out, boosted, cp):
+        monkeypatch.setattr(m, "stage", counted(m.stage))
+    got = loo_queries.experiment_comparisons(spark, "/root/testdata/sf0.001")
+    assert got.count() == 15 and got.where("n_events > 0").count() == 15
+    assert max(n for label, n in stored.items() if label != "comparisons") == stored["folded-events"]
+
+
+def test_forecasts_side_by_side_are_the_long_records(spark):
+    from anchorline.operators import leave_one_out as lo
+    from helpers import COHORT, cohort_rows
+    e = spark.createDataFrame(cohort_rows(8, 6), COHORT).withColumn("mark", F.col("us") % 7)
+    long = {(r.event_id, r.model): r for r in lo.prequential(e).collect()}
+    wide = lo.side_by_side(e, carry=("mark",)).collect()
+    assert len(wide) * 8 == len(long) and all(r.mark is not None for r in wide)
+    for r in wide:
+        for m in ("frozen_B", "frozen_C", "B", "C", "B_shuffled", "C_perm_activity", "personal_rate", "population_constant"):
+            o = long[r.event_id, m]
+            assert (r.y, r.rise, r.is_active, r[f"{m}_p"], r[f"{m}_mean_rise"]) == (o.y, o.rise, o.is_active, pytest.approx(o.p), pytest.approx(o.mean_rise))
