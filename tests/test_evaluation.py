@@ -340,3 +340,45 @@ def test_forecasts_side_by_side_are_the_long_records(spark):
         for m in ("frozen_B", "frozen_C", "B", "C", "B_shuffled", "C_perm_activity", "personal_rate", "population_constant"):
             o = long[r.event_id, m]
             assert (r.y, r.rise, r.is_active, r[f"{m}_p"], r[f"{m}_mean_rise"]) == (o.y, o.rise, o.is_active, pytest.approx(o.p), pytest.approx(o.mean_rise))
+
+
+@pytest.mark.parametrize("decimals", [9, 2])
+def test_weighing_a_slice_passes_over_the_counts_few_times(monkeypatch, decimals):
+    """Sums of a slice against the plain formula, and the counts of a cell are only multiplied as a matrix, not once for every sum."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    n, draws = 200, 40
+    p, y = np.round(rng.random(n), decimals), (rng.random(n) < 0.4).astype(float)
+    h = rng.integers(0, 1 << 60, n)
+    above = {c: rng.integers(0, 50, draws).astype(float) for c in ("above_pos", "above_neg")} | {"all_neg": np.full(draws, 400.0)}
+    stacked = []
+    stack = np.stack
+    monkeypatch.setattr(np, "stack", lambda parts, *a, **k: stacked.append(np.ndim(parts[0])) or stack(parts, *a, **k))
+    got = bo._weigh((pa.scalar("B"), pa.scalar(2)), pa.table({"p": p, "h": h, "pos": y, "neg": 1 - y}), pa.table({"r": np.arange(draws), **above}), draws, 0).to_pandas()
+    assert max(stacked) == 1  # no table of cells by replicates for each of the six sums
+    w = bo.draw_counts(h, draws, 0)
+    hit, miss = y[:, None] * w, (1 - y)[:, None] * w
+    upto = lambda x: np.array([x[p >= v].sum(0) for v in p])
+    same = np.array([miss[p == v].sum(0) for v in p])
+    up, un = above["above_pos"] + upto(hit), above["above_neg"] + upto(miss)
+    want = {"pos": hit, "neg": miss, "sp": p[:, None] * w, "u": hit * (400 - un + same / 2), "s": hit * up / np.maximum(up + un, 1), "q": hit * (1 - p[:, None]) ** 2 + miss * p[:, None] ** 2}
+    for name, x in want.items():
+        assert got.groupby("r")[name].sum().to_numpy() == pytest.approx(x.sum(0))
+
+
+def test_a_draw_of_the_modulus_counts_as_zero(monkeypatch):
+    h = np.random.default_rng(6).integers(0, 1 << 60, 64)
+    h[:4] = [0, (1 << 60) - 1, bo._M, bo._M - 1]
+    for seed in (0, 3):
+        x = [(int(v) % bo._M + r * 1000003 + seed * 40692 + 12345) % bo._M for v in h for r in range(5)]
+        q = [int(v) // bo._M for v in h for _ in range(5)]
+        pp = [int(v) % bo._M for v in h for _ in range(5)]
+        out = []
+        for i, (a, b, c) in enumerate(zip(x, q, pp)):
+            a = (a * 48271 + b) % bo._M
+            a = (a * a % bo._M + (i % 5) * 271) % bo._M
+            a = (a * 69621 + c) % bo._M
+            a = (a * a % bo._M + b * 131) % bo._M
+            a = a * 16807 % bo._M
+            out.append(sum(a >= limit for limit in bo._LIMITS))
+        assert bo.draw_counts(h, 5, seed).ravel().tolist() == out
